@@ -288,14 +288,16 @@ def thin_lines(lines: DataFrame, x: str, series: str, value: str, bins: int = LI
     return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select("p.*")
 
 
-def strip(df: DataFrame, column: str, group: str | None, key: Sequence[str], seed: int = 42) -> DataFrame:
+def strip(
+    df: DataFrame, column: str, group: str | None, key: Sequence[str], seed: int = 42, keep: Sequence[str] = ()
+) -> DataFrame:
     """One-dimensional scatter: value, group, band (largest group first) and a repeatable offset in 0..1."""
     name = F.coalesce(label(group), F.lit(MISSING_LABEL)) if group else F.lit("")
     rows = df.select(
-        finite(F.col(quoted(column))).alias("value"), name.alias("group"),
+        *[quoted(c) for c in keep], finite(F.col(quoted(column))).alias("value"), name.alias("group"),
         (F.pmod(mix(seed, *key), F.lit(1_000_000)) / 1_000_000.0).alias("offset"),
     ).filter(F.col("value").isNotNull())
     bands = with_position(
         rows.groupBy("group").agg(F.count("*").alias("group_rows")), [F.desc("group_rows"), "group"], name="band"
     )
-    return rows.join(bands, "group").select("value", "group", "band", "offset")
+    return rows.join(bands, "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")

@@ -43,11 +43,11 @@ def block_summary(blocks: DataFrame, keys: Sequence[str], weight: Column) -> Dat
     w = _key_window(keys)
     return (
         blocks.groupBy(BLOCK, *keys)
-        .agg(F.min(SEQ).alias("_first"), F.sum(weight).alias("_in_block"))
-        .withColumn("_before", F.coalesce(F.sum("_in_block").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .agg(F.min(SEQ).alias("_b_first"), F.sum(weight).alias("_b_weight"))
+        .withColumn("_b_before", F.coalesce(F.sum("_b_weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn(
-            "_total",
-            F.sum("_in_block").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "_b_total",
+            F.sum("_b_weight").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         )
     )
 
@@ -70,10 +70,10 @@ def with_position(
     """Zero-based place of every row in ``order``, counted separately for each key."""
     blocks = ordered_blocks(df, order, keys)
     summary = block_summary(blocks, keys, F.lit(1))
-    out = join_summary(blocks, summary, keys).withColumn(name, F.col("_before") + F.col(SEQ) - F.col("_first"))
+    out = join_summary(blocks, summary, keys).withColumn(name, F.col("_b_before") + F.col(SEQ) - F.col("_b_first"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop(BLOCK, SEQ, "_first", "_before", "_in_block", "_total")
+        out = out.withColumn(total, F.col("_b_total"))
+    return out.drop(BLOCK, SEQ, "_b_first", "_b_before", "_b_weight", "_b_total")
 
 
 def with_weight_below(
@@ -84,9 +84,9 @@ def with_weight_below(
     summary = block_summary(blocks, keys, F.col(weight))
     inside = Window.partitionBy(BLOCK, *keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
     out = join_summary(blocks, summary, keys).withColumn(
-        name, F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+        name, F.col("_b_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
     )
-    return out.drop(BLOCK, SEQ, "_first", "_before", "_in_block", "_total")
+    return out.drop(BLOCK, SEQ, "_b_first", "_b_before", "_b_weight", "_b_total")
 
 
 def with_previous(

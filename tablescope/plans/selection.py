@@ -42,19 +42,19 @@ def weighted_quantiles(
     # (index of the probability, 0 for the rank below and 1 for the rank above, rank)
     targets = "array({})".format(
         ", ".join(
-            f"struct({i} AS i, {side} AS side, CAST({fn}(CAST({p!r} AS DOUBLE) * (_total - 1)) AS BIGINT) AS rank)"
+            f"struct({i} AS i, {side} AS side, CAST({fn}(CAST({p!r} AS DOUBLE) * (_b_total - 1)) AS BIGINT) AS rank)"
             for i, p in enumerate(probabilities)
             for side, fn in ((0, "floor"), (1, "ceil"))
         )
     )
     # Only blocks that hold a wanted rank go on to the running sum.
     wanted = summary.withColumn(
-        "_targets", F.expr(f"filter({targets}, t -> t.rank >= _before AND t.rank < _before + _in_block)")
+        "_targets", F.expr(f"filter({targets}, t -> t.rank >= _b_before AND t.rank < _b_before + _b_weight)")
     ).filter("size(_targets) > 0")
     inside = Window.partitionBy(BLOCK, *keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
     hits = (
         join_summary(blocks, wanted, keys)
-        .withColumn("_below", F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .withColumn("_below", F.col("_b_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         .withColumn(
             "_hit",
             F.expr(f"explode(filter(_targets, t -> t.rank >= _below AND t.rank < _below + `{weight}`))"),
@@ -66,7 +66,7 @@ def weighted_quantiles(
         for side in (0, 1)
     ]
     extra = [F.max(c).alias(c) for c in order]
-    grouped = hits.groupBy(*keys).agg(F.max("_total").alias("n"), *picks, *extra)
+    grouped = hits.groupBy(*keys).agg(F.max("_b_total").alias("n"), *picks, *extra)
     parts = (
         f"_v{i}_0 + (CAST({p!r} AS DOUBLE) * (n - 1) - floor(CAST({p!r} AS DOUBLE) * (n - 1))) * (_v{i}_1 - _v{i}_0)"
         for i, p in enumerate(probabilities)

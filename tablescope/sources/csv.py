@@ -23,10 +23,26 @@ _LEGACY_CHARSETS = "spark.sql.legacy.javaCharsets"
 TRUE_WORDS, FALSE_WORDS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 
-def clean_headers(raw: Sequence[str | None]) -> tuple[list[str], set[int]]:
-    """Unique stripped names, and the positions whose header was blank."""
+def header_names(raw: Sequence[str | None]) -> tuple[list[str], set[int]]:
+    """Stripped names before they are made unique, and the positions whose header was blank.
+
+    Exact repeats get ``.1``, ``.2`` as the usual CSV readers do; names equal only after stripping are
+    left to ``unique_names``.
+    """
     blank = {i for i, h in enumerate(raw) if h is None or not str(h).strip()}
-    return unique_names(["Unnamed" if i in blank else str(h).strip() for i, h in enumerate(raw)]), blank
+    taken, names = {h for h in raw if h}, []
+    seen: dict[str, int] = {}
+    for i, h in enumerate(raw):
+        name = "Unnamed" if i in blank else str(h)
+        if i not in blank:
+            count = seen.get(name, 0)
+            seen[name] = count + 1
+            while count and f"{h}.{count}" in taken:
+                count += 1
+            name = f"{h}.{count}" if count else name
+            taken.add(name)
+        names.append(name.strip())
+    return names, blank
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
@@ -72,7 +88,7 @@ def _scan(spark: SparkSession, path: str, encoding: str, multi_line: bool, names
 
 
 def _text_frame(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], set[int]]:
-    """All cells as text with missing tokens removed, columns named c0, c1, ..., clean names, blank positions."""
+    """All cells as text with missing tokens removed, columns named c0, c1, ..., header names, blank positions."""
     some, utf8, spans = _probe(spark, path)
     if not some:
         raise ValueError("The CSV file is empty.")
@@ -82,7 +98,7 @@ def _text_frame(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], s
         for encoding in ENCODINGS[:1] if utf8 else ENCODINGS[1:]:
             head = _scan(spark, path, encoding, spans, None).first()
             raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
-            names, blank = clean_headers(raw)
+            names, blank = header_names(raw)
             cells = _scan(spark, path, encoding, spans, names)
             broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
             checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if utf8 else broken)).first()
@@ -129,9 +145,9 @@ def _typed(c: Column, kind: str) -> Column:
     return c if kind == "string" else F.trim(c).try_cast(kind)
 
 
-def _typed_frame(cells: DataFrame, names: Sequence[str], kinds: dict[str, str], drop: set[str]) -> DataFrame:
+def _typed_frame(cells: DataFrame, names: Sequence[str], kinds: dict[str, str]) -> DataFrame:
     return cells.select(
-        *[_typed(F.col(c), kinds[c]).alias(n) for c, n in zip(cells.columns, names, strict=True) if c not in drop]
+        *[_typed(F.col(c), kinds[c]).alias(n) for c, n in zip(cells.columns, unique_names(names), strict=True)]
     )
 
 
@@ -139,18 +155,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file, folder or glob as a typed frame; blank-headed columns without values are dropped."""
     cells, names, blank = _text_frame(spark, path)
     table = {r["column_name"]: r for r in infer_types(cells, cells.columns).collect()}  # one row per column
-    drop = {f"c{i}" for i in blank if table[f"c{i}"]["present"] == 0}
-    kept = [c for c in cells.columns if c not in drop]
-    base = ["Unnamed" if int(c[1:]) in blank else names[int(c[1:])] for c in kept]
-    renamed = dict(zip(kept, unique_names([_stem(n, names, int(c[1:])) for n, c in zip(base, kept, strict=True)]), strict=True))
-    final = [renamed.get(c, names[int(c[1:])]) for c in cells.columns]
-    return _typed_frame(cells, final, {c: r["inferred"] for c, r in table.items()}, drop)
-
-
-def _stem(name: str, names: Sequence[str], position: int) -> str:
-    # Names are made unique again after columns are dropped, starting from the header text.
-    head, mark, count = name.rpartition("__")
-    return head if mark and count.isdigit() and head in names[:position] else name
+    kept = [i for i, c in enumerate(cells.columns) if not (i in blank and table[c]["present"] == 0)]
+    kinds = {c: r["inferred"] for c, r in table.items()}
+    return _typed_frame(cells.select(*[f"c{i}" for i in kept]), [names[i] for i in kept], kinds)
 
 
 def preview_csv(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -158,7 +165,7 @@ def preview_csv(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS) -> Dat
     cells, names, _ = _text_frame(spark, path)
     head = cells.limit(rows)
     kinds = {r["column_name"]: r["inferred"] for r in infer_types(head, head.columns).collect()}
-    return _typed_frame(head, names, kinds, set())
+    return _typed_frame(head, names, kinds)
 
 
 def loading_info(df: DataFrame) -> DataFrame:

@@ -44,7 +44,11 @@ def _pair_table(df: DataFrame, pairs: Sequence[tuple[int, int]], x: str, y: str)
                     "struct(count_if({0} IS NOT NULL AND {1} IS NOT NULL) AS n, "
                     "min(CASE WHEN {1} IS NOT NULL THEN {0} END) = max(CASE WHEN {1} IS NOT NULL THEN {0} END) AS flat_x, "
                     "min(CASE WHEN {0} IS NOT NULL THEN {1} END) = max(CASE WHEN {0} IS NOT NULL THEN {1} END) AS flat_y, "
-                    "corr({0}, {1}) AS r) AS s{2}_{3}".format(x.format(i), y.format(j), i, j)
+                    # corr() itself divides by zero on constant columns under ANSI rules
+                    "try_divide(covar_pop({0}, {1}), stddev_pop(CASE WHEN {1} IS NOT NULL THEN {0} END) * "
+                    "stddev_pop(CASE WHEN {0} IS NOT NULL THEN {1} END)) AS r) AS s{2}_{3}".format(
+                        x.format(i), y.format(j), i, j
+                    )
                 )
                 for i, j in batch
             ]

@@ -92,24 +92,22 @@ def _text_frame(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], s
     some, utf8, spans = _probe(spark, path)
     if not some:
         raise ValueError("The CSV file is empty.")
-    previous = spark.conf.get(_LEGACY_CHARSETS, "false")
-    spark.conf.set(_LEGACY_CHARSETS, "true")  # lets the reader take GB18030 and GBK
-    try:
-        for encoding in ENCODINGS[:1] if utf8 else ENCODINGS[1:]:
-            head = _scan(spark, path, encoding, spans, None).first()
-            raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
-            names, blank = header_names(raw)
-            cells = _scan(spark, path, encoding, spans, names)
-            broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
-            checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if utf8 else broken)).first()
-            if checks["long"]:
-                raise ValueError("Unable to parse CSV file: a row has more fields than the header")
-            if not any(checks[1:]) and not any(_REPLACEMENT in n for n in ([] if utf8 else names)):
-                break
-        else:
-            raise ValueError(f"Unable to decode the CSV file. Tried: {', '.join(ENCODINGS)}")
-    finally:
-        spark.conf.set(_LEGACY_CHARSETS, previous)
+    if not utf8:
+        # Lets Spark read GB18030 and GBK. It is looked at whenever the frame runs, so it stays set.
+        spark.conf.set(_LEGACY_CHARSETS, "true")
+    for encoding in ENCODINGS[:1] if utf8 else ENCODINGS[1:]:
+        head = _scan(spark, path, encoding, spans, None).first()
+        raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
+        names, blank = header_names(raw)
+        cells = _scan(spark, path, encoding, spans, names)
+        broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
+        checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if utf8 else broken)).first()
+        if checks["long"]:
+            raise ValueError("Unable to parse CSV file: a row has more fields than the header")
+        if utf8 or not (any(checks[1:]) or any(_REPLACEMENT in n for n in names)):
+            break
+    else:
+        raise ValueError(f"Unable to decode the CSV file. Tried: {', '.join(ENCODINGS)}")
     cells = cells.drop(_EXTRA)
     return cells.select(*[known(F.col(c)).alias(c) for c in cells.columns]), names, blank
 

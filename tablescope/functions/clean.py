@@ -94,15 +94,20 @@ def to_number(c: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def parse_format(c: Column, shape: str, pattern: str) -> Column:
+def _parse_sql(ref: str, shape: str, pattern: str) -> str:
     # Testing the shape first keeps failed parses, which are slow, rare.
-    text = F.trim(c)
-    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
+    return f'CASE WHEN {ref} RLIKE r"{shape}" THEN CAST(try_to_timestamp({ref}, r"{pattern}") AS TIMESTAMP_NTZ) END'
+
+
+def parse_format(name: str, shape: str, pattern: str) -> Column:
+    return F.expr(_parse_sql(f"trim({quoted(name)})", shape, pattern))
 
 
-def parse_general(c: Column) -> Column:
-    """The first general format whose shape fits."""
-    return F.coalesce(*[parse_format(c, shape, pattern) for shape, pattern in GENERAL_FORMATS])
+def parse_general(name: str) -> Column:
+    """The first general format whose shape fits the text column ``name``; all of them start with a digit."""
+    ref = f"trim({quoted(name)})"
+    formats = ", ".join(_parse_sql(ref, shape, pattern) for shape, pattern in GENERAL_FORMATS)
+    return F.expr(f'CASE WHEN {ref} RLIKE r"^\d" THEN coalesce({formats}) END')
 
 
 def parse_compact(c: Column) -> Column:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite
 from tablescope.operators.categorical import top_categories
-from tablescope.operators.correlation import _pairs
+from tablescope.operators.correlation import column_pairs, pair_cells
 from tablescope.operators.series import irregular_series, resample
 from tablescope.plans.selection import column_quantiles
-from tablescope.plans.wide import per_column, quoted, unpivot
+from tablescope.plans.wide import per_value, quoted, unpivot
 
 BINS, BAR_CATEGORIES, SCATTER_COLUMNS = 30, 15, 10
 
@@ -24,10 +24,8 @@ def fin(name: str) -> Column:
 def bounds_of(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """``{column: (min, max, mean)}`` of columns whose finite values vary; one number set per column."""
 
-    def build(name: str) -> dict[str, Column]:
-        return {"low": F.min(fin(name)), "high": F.max(fin(name)), "mean": F.avg(fin(name))}
-
-    rows = per_column(df, columns, build, "low double, high double, mean double").collect()
+    v = F.col("value")
+    rows = per_value(df, {c: fin(c) for c in columns}, {"low": F.min(v), "high": F.max(v), "mean": F.avg(v)}).collect()
     return {r["column_name"]: (r["low"], r["high"], r["mean"]) for r in rows if r["low"] is not None and r["low"] < r["high"]}
 
 
@@ -68,20 +66,18 @@ def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     varied = list(bounds_of(df, columns))
     quartiles = column_quantiles(df, {c: fin(c) for c in varied}, [0.25, 0.5, 0.75]) if varied else {}
 
-    def build(name: str) -> dict[str, Column]:
-        q1, q2, q3 = quartiles[name][1]
+    cells = {}
+    for name, (_, (q1, _, q3)) in quartiles.items():
         low, high, c = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), fin(name)
-        return {
-            "q1": F.lit(q1), "median": F.lit(q2), "q3": F.lit(q3), "mean": F.avg(c),
-            "whisker_low": F.least(F.lit(q1), F.min(F.when(c >= low, c))),
-            "whisker_high": F.greatest(F.lit(q3), F.max(F.when(c <= high, c))),
-            "fliers": F.count_if((c < low) | (c > high)),
-        }
-
-    schema = (
-        "q1 double, median double, q3 double, mean double, whisker_low double, whisker_high double, fliers long"
-    )
-    return per_column(df, varied, build, schema).drop("ordinal")
+        cells[name] = {
+            "value": c, "inside_low": F.when(c >= low, c), "inside_high": F.when(c <= high, c), "outside": (c < low) | (c > high)}
+    ends = per_value(df, cells, {
+        "mean": F.avg("value"), "lowest": F.min("inside_low"), "highest": F.max("inside_high"), "fliers": F.count_if(F.col("outside"))})
+    boxes = df.sparkSession.createDataFrame(
+        [(c, *values) for c, (_, values) in quartiles.items()], "column_name string, q1 double, median double, q3 double")
+    return boxes.join(ends, "column_name").select(
+        "column_name", "q1", "median", "q3", "mean", F.least("q1", "lowest").alias("whisker_low"),
+        F.greatest("q3", "highest").alias("whisker_high"), "fliers")
 
 
 def box_fliers(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -106,23 +102,19 @@ def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int = SCATT
     """Least-squares line and extent of every pair of the first ten numeric columns; all pairs in one scan."""
     chosen = list(columns)[:max_columns]
     clean = df.select(*[fin(c).alias(f"c{i}") for i, c in enumerate(chosen)])
-    pairs = _pairs(chosen)
-    row = clean.agg(
-        *[
-            F.expr(
-                f"struct(count_if(c{i} IS NOT NULL AND c{j} IS NOT NULL) AS n, regr_slope(c{j}, c{i}) AS slope, "
-                f"regr_intercept(c{j}, c{i}) AS intercept, min(CASE WHEN c{j} IS NOT NULL THEN c{i} END) AS x_min, "
-                f"max(CASE WHEN c{j} IS NOT NULL THEN c{i} END) AS x_max, "
-                f"min(CASE WHEN c{i} IS NOT NULL THEN c{j} END) AS y_min, "
-                f"max(CASE WHEN c{i} IS NOT NULL THEN c{j} END) AS y_max) AS s{i}_{j}"
-            )
-            for i, j in pairs
-        ]
-    )
-    entries = F.array(
-        *[F.struct(F.lit(chosen[i]).alias("x"), F.lit(chosen[j]).alias("y"), F.col(f"s{i}_{j}").alias("s")) for i, j in pairs]
+    pairs = column_pairs(chosen)
+    x, y = F.col("a"), F.col("b")
+    names = F.array(*[F.lit(c) for c in chosen])
+    table = (
+        pair_cells(clean, pairs)
+        .groupBy("i", "j")
+        .agg(
+            F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+            F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"),
+        )
+        .withColumns({"x": F.get(names, F.col("i")), "y": F.get(names, F.col("j"))})
+        .drop("i", "j")
     )
-    table = row.select(F.explode(entries).alias("e")).select("e.x", "e.y", "e.s.*")
     return table.filter((F.col("n") >= 2) & (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max")))
 
 

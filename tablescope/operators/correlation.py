@@ -20,11 +20,10 @@ from tablescope.plans.wide import quoted
 
 STRONG, MODERATE = 0.7, 0.4
 KENDALL_ROWS = 50_000
-PAIRS_PER_PASS = 30
 BROADCAST_ROWS = 500_000  # rank tables up to this many (value, rank) rows are broadcast, about 10 MB
 
 
-def _pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
+def column_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
 
 
@@ -33,29 +32,23 @@ def _clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[finite(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
-def _pair_table(df: DataFrame, pairs: Sequence[tuple[int, int]], x: str, y: str) -> DataFrame:
-    """n, extremes and correlation of every pair over rows where both are present, in passes of a few pairs."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(
-            *[
-                F.expr(
-                    "struct(count_if({0} IS NOT NULL AND {1} IS NOT NULL) AS n, "
-                    "min(CASE WHEN {1} IS NOT NULL THEN {0} END) = max(CASE WHEN {1} IS NOT NULL THEN {0} END) AS flat_x, "
-                    "min(CASE WHEN {0} IS NOT NULL THEN {1} END) = max(CASE WHEN {0} IS NOT NULL THEN {1} END) AS flat_y, "
-                    # corr() itself divides by zero on constant columns under ANSI rules
-                    "try_divide(covar_pop({0}, {1}), stddev_pop(CASE WHEN {1} IS NOT NULL THEN {0} END) * "
-                    "stddev_pop(CASE WHEN {0} IS NOT NULL THEN {1} END)) AS r) AS s{2}_{3}".format(
-                        x.format(i), y.format(j), i, j
-                    )
-                )
-                for i, j in batch
-            ]
-        )
-        entries = ", ".join(f"struct({i} AS i, {j} AS j, s{i}_{j} AS s)" for i, j in batch)
-        parts.append(row.select(F.expr(f"explode(array({entries}))").alias("e")).select("e.i", "e.j", "e.s.*"))
-    return reduce(DataFrame.unionByName, parts)
+def pair_cells(clean: DataFrame, pairs: Sequence[tuple[int, int]], prefix: str = "c") -> DataFrame:
+    """``i, j, a, b`` for every row and pair of columns in which both are present."""
+    entries = ", ".join(f"struct({i} AS i, {j} AS j, {prefix}{i} AS a, {prefix}{j} AS b)" for i, j in pairs)
+    return clean.select(F.expr(f"inline(array({entries}))")).filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _pair_table(clean: DataFrame, pairs: Sequence[tuple[int, int]], prefix: str = "c") -> DataFrame:
+    """n, extremes and correlation of every pair; one scan, folded to one row per task and pair."""
+    found = pair_cells(clean, pairs, prefix).groupBy("i", "j").agg(
+        F.count("*").alias("n"),
+        (F.min("a") == F.max("a")).alias("flat_x"),
+        (F.min("b") == F.max("b")).alias("flat_y"),
+        # corr() itself divides by zero on constant columns under ANSI rules
+        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"),
+    )
+    wanted = clean.sparkSession.createDataFrame(pairs, "i int, j int")  # pairs without a common row still show up
+    return wanted.join(found, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"])
 
 
 def _reasons() -> Column:
@@ -86,7 +79,7 @@ def _finished(table: DataFrame) -> DataFrame:
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    table = _pair_table(_clean(df, columns), _pairs(columns), "c{}", "c{}")
+    table = _pair_table(_clean(df, columns), column_pairs(columns))
     return _named(_finished(table), "pearson", columns, correlation_p_value("r", "n"))
 
 
@@ -108,7 +101,7 @@ def _shared_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> Da
         side = ranks.filter(F.col("c") == i).select(F.col("value").alias(f"c{i}"), F.col("rank").alias(f"r{i}"))
         # Larger rank tables go through a shuffle join, where adaptive execution splits hot values.
         rows = rows.join(F.broadcast(side) if sizes[i] <= BROADCAST_ROWS else side, f"c{i}")
-    return _pair_table(rows, pairs, "r{}", "r{}")
+    return _pair_table(rows, pairs, "r")
 
 
 def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
@@ -146,7 +139,7 @@ def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     clean = _clean(df, columns)
-    pairs = _pairs(columns)
+    pairs = column_pairs(columns)
     missing = clean.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"m{i}") for i in range(len(columns))]).first()
     shared = [p for p in pairs if not missing[p[0]] and not missing[p[1]]]
     own = [p for p in pairs if missing[p[0]] or missing[p[1]]]
@@ -174,7 +167,7 @@ def _kendall_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def kendall(df: DataFrame, columns: Sequence[str], max_rows: int = KENDALL_ROWS) -> DataFrame:
     """Tau-b per pair; the whole method is skipped above ``max_rows`` rows, which also bounds every group."""
-    pairs = _pairs(columns)
+    pairs = column_pairs(columns)
     spark = df.sparkSession
     wanted = spark.createDataFrame(pairs, "i int, j int")
     if df.count() > max_rows:

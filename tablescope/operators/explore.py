@@ -215,7 +215,7 @@ def drop_far_outliers(df: DataFrame, x: str, y: str, reach: float = FAR_REACH, s
     if len(limits) < 2:
         return pairs.drop("_x", "_y")
     inside = F.lit(True)
-    for c, (_, _, low, high) in limits.items():
+    for c, (low, high) in limits.items():
         inside = inside & F.col(c).between(low, high)
     total, kept = pairs.agg(F.count("*"), F.count_if(inside)).first()
     return (pairs if total - kept > share * total else pairs.filter(inside)).drop("_x", "_y")

@@ -21,13 +21,14 @@ _RECORD = (
 )
 
 
-def datetime_candidates(c: Column, dtype: T.DataType) -> list[Column]:
+def datetime_candidates(name: str, dtype: T.DataType) -> list[Column]:
     """The general parse and its whole-column alternatives, in the order they are tried."""
+    c = F.col(quoted(name))
     if clean.is_temporal(dtype):
         return [c.cast("timestamp_ntz")]
     if clean.is_numeric(dtype):
         return [clean.parse_compact(F.rint(c.cast("double")).cast("long"))]
-    return [clean.parse_general(c), *[clean.parse_format(c, shape, f) for shape, f in clean.CJK_FORMATS]]
+    return [clean.parse_general(name), *[clean.parse_format(name, shape, f) for shape, f in clean.CJK_FORMATS]]
 
 
 def choose_datetime_parse(df: DataFrame, columns: list[str]) -> dict[str, int]:
@@ -35,7 +36,7 @@ def choose_datetime_parse(df: DataFrame, columns: list[str]) -> dict[str, int]:
     tests = {
         (c, i): F.avg(candidate.isNotNull().cast("double"))
         for c in columns
-        for i, candidate in enumerate(datetime_candidates(F.col(quoted(c)), df.schema[c].dataType))
+        for i, candidate in enumerate(datetime_candidates(c, df.schema[c].dataType))
     }
     if not tests:
         return {}
@@ -52,7 +53,7 @@ def choose_datetime_parse(df: DataFrame, columns: list[str]) -> dict[str, int]:
 def parse_datetimes(df: DataFrame, columns: list[str]) -> DataFrame:
     chosen = choose_datetime_parse(df, columns)
     return df.withColumns(
-        {c: datetime_candidates(F.col(quoted(c)), df.schema[c].dataType)[i] for c, i in chosen.items()}
+        {c: datetime_candidates(c, df.schema[c].dataType)[i] for c, i in chosen.items()}
     )
 
 
@@ -70,7 +71,7 @@ def coerce(df: DataFrame, types: Mapping[str, str], combine: bool = True) -> tup
     for c in (c for c in pick(types, "numeric") if c in fields):
         exprs[c] = ("numeric", to_numeric(F.col(quoted(c)), fields[c]))
     for c, i in parses.items():
-        exprs[c] = ("datetime", datetime_candidates(F.col(quoted(c)), fields[c])[i])
+        exprs[c] = ("datetime", datetime_candidates(c, fields[c])[i])
     for c in (c for c in pick(types, "time") if c in fields):
         exprs[c] = ("time", clean.time_of_day(F.col(quoted(c)), fields[c]))
     out = df.withColumns({c: e for c, (_, e) in exprs.items()})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite
 from tablescope.operators import statistics
-from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, quoted
+from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, per_value, quoted
 
 MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.30
 HIGH_CARDINALITY = 0.50
@@ -98,11 +98,9 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    def build(name: str) -> dict[str, Column]:
-        c = finite(F.col(quoted(name)))
-        return {"n": F.count(c), "low": F.min(c), "high": F.max(c), "g1": F.skewness(c)}
-
-    table = per_column(df, columns, build, "n long, low double, high double, g1 double")
+    v = F.col("value")
+    table = per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
+        "n": F.count(v), "low": F.min(v), "high": F.max(v), "g1": F.skewness(v)}).fillna(0, ["n"])
     few, flat = F.col("n") < 3, F.col("low") == F.col("high")
     size = F.abs("skewness")
     return table.withColumn(

@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.clean import finite
 from tablescope.functions.normality import shapiro_wilk
 from tablescope.plans.selection import column_quantiles
-from tablescope.plans.wide import per_column, quoted, unpivot
+from tablescope.plans.wide import per_value, quoted, unpivot
 
 QUANTILES = {
     "q01": 0.01, "q05": 0.05, "q10": 0.10, "q25": 0.25, "q50": 0.50, "q75": 0.75, "q90": 0.90, "q95": 0.95, "q99": 0.99,
@@ -41,37 +42,34 @@ def or_null(c: Column) -> Column:
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, missing, mean, std, variance, min, max, range, cv, skewness, kurtosis; one scan."""
-
-    def build(name: str) -> dict[str, Column]:
-        c = number(name)
-        return {
-            "count": F.count(c), "missing": F.count_if(c.isNull()), "mean": F.avg(c), "std": F.stddev_samp(c),
-            "variance": F.var_samp(c), "min": F.min(c), "max": F.max(c), "g1": F.skewness(c), "g2": F.kurtosis(c),
-        }
-
-    schema = (
-        "count long, missing long, mean double, std double, variance double, min double, max double, g1 double, g2 double"
-    )
-    n = F.col("count")
+    v = F.col("value")
+    table = per_value(df, {c: number(c) for c in columns}, {
+        "count": F.count(v), "missing": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v),
+        "min": F.min(v), "max": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
+    })
+    n, std = F.col("count"), F.col("std")
     flat = F.col("min") == F.col("max")
-    return (
-        per_column(df, columns, build, schema)
-        .filter(n > 0)
-        .select(
-            "column_name", "ordinal", "count", "missing",
-            or_null(F.col("mean")).alias("mean"), or_null(F.col("std")).alias("std"),
-            or_null(F.col("variance")).alias("variance"), or_null(F.col("min")).alias("min"),
-            or_null(F.col("max")).alias("max"), or_null(F.col("max") - F.col("min")).alias("range"),
-            F.when(F.col("mean") != 0, or_null(F.col("std") / F.abs("mean"))).alias("coefficient_of_variation"),
-            or_null(adjusted_skewness(n, F.when(flat, F.lit(0.0)).otherwise(F.col("g1")))).alias("skewness"),
-            or_null(F.when(flat & (n >= 4), F.lit(0.0)).otherwise(adjusted_kurtosis(n, F.col("g2")))).alias("kurtosis"),
-        )
+    return table.filter(n > 0).select(
+        "column_name", "ordinal", "count", "missing",
+        or_null(F.col("mean")).alias("mean"), or_null(std).alias("std"),
+        or_null(std * std).alias("variance"), or_null(F.col("min")).alias("min"),
+        or_null(F.col("max")).alias("max"), or_null(F.col("max") - F.col("min")).alias("range"),
+        F.when(F.col("mean") != 0, or_null(std / F.abs("mean"))).alias("coefficient_of_variation"),
+        or_null(adjusted_skewness(n, F.when(flat, F.lit(0.0)).otherwise(F.col("g1")))).alias("skewness"),
+        or_null(F.when(flat & (n >= 4), F.lit(0.0)).otherwise(adjusted_kurtosis(n, F.col("g2")))).alias("kurtosis"),
     )
 
 
-def quantile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+Quantiles = dict[str, tuple[int, list[float]]]
+
+
+def report_quantiles(df: DataFrame, columns: Sequence[str]) -> Quantiles:
+    return column_quantiles(df, {c: number(c) for c in columns}, list(QUANTILES.values()))
+
+
+def quantile_table(df: DataFrame, columns: Sequence[str], found: Quantiles | None = None) -> DataFrame:
     """The nine report quantiles and the inter-quartile range, exact."""
-    found = column_quantiles(df, {c: number(c) for c in columns}, list(QUANTILES.values()))
+    found = report_quantiles(df, columns) if found is None else found
     rows = [(c, n, *values) for c, (n, values) in found.items()]
     schema = "column_name string, count long, " + ", ".join(f"{q} double" for q in QUANTILES)
     table = df.sparkSession.createDataFrame(rows, schema)
@@ -81,48 +79,55 @@ def quantile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def mad_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def mad_table(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float] | None = None) -> DataFrame:
     """Median absolute deviation from the median, unscaled."""
-    centre = column_quantiles(df, {c: number(c) for c in columns}, [0.5])
-    spread = column_quantiles(df, {c: F.abs(number(c) - F.lit(centre[c][1][0])) for c in centre}, [0.5])
-    rows = [(c, spread[c][1][0]) for c in spread]
+    if medians is None:
+        centre = column_quantiles(df, {c: number(c) for c in columns}, [0.5])
+        medians = {c: values[0] for c, (_, values) in centre.items()}
+    spread = column_quantiles(df, {c: F.abs(number(c) - F.lit(m)) for c, m in medians.items()}, [0.5])
+    rows = [(c, values[0]) for c, (_, values) in spread.items()]
     return df.sparkSession.createDataFrame(rows, "column_name string, mad double").select(
         "column_name", or_null(F.col("mad")).alias("mad")
     )
 
 
-def fences(df: DataFrame, columns: Sequence[str], reach: float = FENCE) -> dict[str, tuple[float, float, float, float]]:
-    """``{column: (q1, q3, lower, upper)}`` over finite values."""
-    quartiles = column_quantiles(df, {c: finite(F.col(quoted(c))) for c in columns}, [0.25, 0.75])
-    out = {}
-    for c, (_, (q1, q3)) in quartiles.items():
-        out[c] = (q1, q3, q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
-    return out
+Quartiles = Mapping[str, tuple[float, float]]
+
+
+def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """``{column: (q1, q3)}`` over finite values."""
+    found = column_quantiles(df, {c: finite(F.col(quoted(c))) for c in columns}, [0.25, 0.75])
+    return {c: (q1, q3) for c, (_, (q1, q3)) in found.items()}
+
 
+def fences(df: DataFrame, columns: Sequence[str], reach: float = FENCE) -> dict[str, tuple[float, float]]:
+    """``{column: (lower, upper)}``: so many quartile ranges beyond the quartiles."""
+    return {c: (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)) for c, (q1, q3) in quartiles(df, columns).items()}
 
-def outlier_table(df: DataFrame, columns: Sequence[str], reach: float = FENCE) -> DataFrame:
+
+def outlier_table(df: DataFrame, columns: Sequence[str], known: Quartiles | None = None, reach: float = FENCE) -> DataFrame:
     """Values outside the quartile fences: bounds, count and share of finite values."""
-    bounds = fences(df, columns, reach)
-
-    def build(name: str) -> dict[str, Column]:
-        c = finite(F.col(quoted(name)))
-        q1, q3, low, high = bounds.get(name, (None,) * 4)
-        outside = (c < low) | (c > high) if name in bounds else F.lit(False)
-        lit = lambda v: F.lit(v).cast("double")
-        return {
-            "n": F.count(c), "lowest": F.min(c), "highest": F.max(c), "q1": lit(q1), "q3": lit(q3),
-            "lower_bound": lit(low), "upper_bound": lit(high), "outside": F.count_if(outside),
-        }
-
-    schema = (
-        "n long, lowest double, highest double, q1 double, q3 double, lower_bound double, upper_bound double, outside long"
-    )
-    n, flat = F.col("n"), F.col("lowest") == F.col("highest")
+    known = quartiles(df, columns) if known is None else known
+    cells, edges = {}, []
+    for name in columns:
+        c, outside = finite(F.col(quoted(name))), F.lit(False)
+        if name in known:
+            q1, q3 = known[name]
+            low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
+            outside = (c < low) | (c > high)
+            edges.append((name, q1, q3, low, high))
+        cells[name] = {"value": c, "outside": outside}
+    v = F.col("value")
+    counted = per_value(df, cells, {
+        "n": F.count(v), "lowest": F.min(v), "highest": F.max(v), "outside": F.count_if(F.col("outside"))})
+    limits = df.sparkSession.createDataFrame(
+        edges, "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
+    n, flat = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("lowest") == F.col("highest"), F.lit(False))
     constant = lambda c: F.when(flat, F.col("lowest")).otherwise(F.col(c))
-    return per_column(df, columns, build, schema).select(
+    return counted.join(limits, "column_name", "left").select(
         "column_name", "ordinal", constant("q1").alias("q1"), constant("q3").alias("q3"),
         (constant("q3") - constant("q1")).alias("iqr"), constant("lower_bound").alias("lower_bound"),
-        constant("upper_bound").alias("upper_bound"), F.col("outside").alias("outlier_count"),
+        constant("upper_bound").alias("upper_bound"), F.coalesce("outside", F.lit(0)).alias("outlier_count"),
         F.coalesce(F.try_divide(F.col("outside"), n), F.lit(0.0)).alias("outlier_ratio"),
         F.when((n == 0) | flat, "skipped").otherwise("ok").alias("status"),
         F.when(n == 0, "no_valid_values").when(flat, "constant_variable").alias("reason"),
@@ -140,11 +145,10 @@ def _shapiro_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def normality_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shapiro-Wilk up to 5,000 values, Jarque-Bera above."""
 
-    def build(name: str) -> dict[str, Column]:
-        c = finite(F.col(quoted(name)))
-        return {"n": F.count(c), "low": F.min(c), "high": F.max(c), "g1": F.skewness(c), "g2": F.kurtosis(c)}
-
-    base = per_column(df, columns, build, "n long, low double, high double, g1 double, g2 double").withColumn(
+    v = F.col("value")
+    base = per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
+        "n": F.count(v), "low": F.min(v), "high": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
+    }).fillna(0, ["n"]).withColumn(
         "reason",
         F.when(F.col("n") < 3, "insufficient_samples").when(F.col("low") == F.col("high"), "constant_variable"),
     )
@@ -185,8 +189,15 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Everything about numeric columns: summary, MAD, outliers and normality."""
-    outliers = outlier_table(df, columns).select(
+    """Everything about numeric columns: summary, MAD, outliers and normality; quantiles are found once."""
+    found = report_quantiles(df, columns)
+    names = list(QUANTILES)
+    q25, q50, q75 = (names.index(q) for q in ("q25", "q50", "q75"))
+    # Fences leave infinities out; where there are none the quartiles at hand will do.
+    endless = [c for c, r in _infinite(df, columns).items() if r]
+    known = {c: (v[q25], v[q75]) for c, (_, v) in found.items() if c not in endless}
+    known |= quartiles(df, endless) if endless else {}
+    outliers = outlier_table(df, columns, known).select(
         "column_name", "lower_bound", "upper_bound", "outlier_count", "outlier_ratio",
         F.col("status").alias("outlier_status"), F.col("reason").alias("outlier_reason"),
     )
@@ -195,12 +206,18 @@ def numeric_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("status").alias("normality_status"), F.col("reason").alias("normality_reason"),
     )
     return (
-        numeric_summary(df, columns)
-        .join(mad_table(df, columns), "column_name", "left")
+        moments(df, columns)
+        .join(quantile_table(df, columns, found).drop("count"), "column_name")
+        .join(mad_table(df, columns, {c: v[q50] for c, (_, v) in found.items()}), "column_name", "left")
         .join(outliers, "column_name", "left")
         .join(normality, "column_name", "left")
     )
 
 
-def quantile_values(df: DataFrame, exprs: Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float]]:
-    return {c: values for c, (_, values) in column_quantiles(df, exprs, probabilities).items()}
+def _infinite(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    """Which columns hold infinities; whole-number columns cannot."""
+    fields = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    if not fields:
+        return {}
+    row = df.agg(*[F.bool_or(F.abs(number(c)) == float("inf")).alias(f"f{i}") for i, c in enumerate(fields)]).first()
+    return {c: bool(row[i]) for i, c in enumerate(fields)}

@@ -39,15 +39,15 @@ IDENTIFIER_COMPACT_NAMES = [
     "id", "uid", "uuid", "identifier", "playeruid", "playerid", "userid", "deviceid", "customerid", "accountid",
     "sessionid", "orderid", "itemid", "recordid",
 ]
-IDENTIFIER_ENDING = r"( id| uid| uuid| identifier| 编号)$"
+IDENTIFIER_ENDINGS = (" id", " uid", " uuid", " identifier", " 编号")
 
 CATEGORICAL_TYPES = ("categorical", "categorical_numeric", "binary", "boolean")
 OVERRIDE_TYPES = ("numeric", "categorical", "identifier", "temporal")
 
 _FEATURES = (
-    "dtype string, kind string, row_count long, non_null long, integer_like boolean, low double, high double, "
-    "compact_shape double, compact_parsed double, cjk double, separated double, parsed double, clock double, "
-    "number double, mean_length double"
+    "column_name string, ordinal int, dtype string, kind string, hint string, named_identifier boolean, row_count long, "
+    "non_null long, integer_like boolean, low double, high double, compact_shape double, compact_parsed double, cjk double, "
+    "separated double, parsed double, clock double, number double, mean_length double, unique long, number_unique long"
 )
 _NUMBER_SUFFIX = "\u0001number"
 
@@ -62,95 +62,102 @@ def _kind(dtype: T.DataType) -> str:
     return "text" if isinstance(dtype, T.StringType) else "other"
 
 
-def name_hint(name: Column) -> Column:
+def _normal(name: str) -> str:
+    return name.strip().lower().replace("_", " ").replace("-", " ")
+
+
+def name_hint(name: str) -> str | None:
     """First hint whose words occur in the normalised name."""
-    normal = F.translate(F.lower(F.trim(name)), "_-", "  ")
-    hint = F.lit(None).cast("string")
-    for kind, words in reversed(HINTS.items()):
-        hint = F.when(normal.rlike("|".join(words)), kind).otherwise(hint)
-    return hint
+    normal = _normal(name)
+    return next((kind for kind, words in HINTS.items() if any(w in normal for w in words)), None)
 
 
-def identifier_name(name: Column) -> Column:
-    raw = F.lower(F.trim(name))
-    normal = F.translate(raw, "_-", "  ")
+def identifier_name(name: str) -> bool:
+    raw, normal = name.strip().lower(), _normal(name)
     return (
-        raw.rlike(".id$")
-        | normal.isin(IDENTIFIER_NAMES)
-        | F.replace(normal, F.lit(" "), F.lit("")).isin(IDENTIFIER_COMPACT_NAMES)
-        | normal.rlike(IDENTIFIER_ENDING)
+        (len(raw) > 2 and raw.endswith("id"))
+        or normal in IDENTIFIER_NAMES
+        or normal.replace(" ", "") in IDENTIFIER_COMPACT_NAMES
+        or normal.endswith(IDENTIFIER_ENDINGS)
     )
 
 
-def column_features(df: DataFrame) -> DataFrame:
-    """One row per column with everything the type decision looks at."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
+def _share(test: Column, present: Column) -> Column:
+    return F.avg(F.when(present, F.coalesce(test, F.lit(False)).cast("double")))
 
-    def share(test: Column, present: Column) -> Column:
-        return F.avg(F.when(present, F.coalesce(test, F.lit(False)).cast("double")))
-
-    def build(name: str) -> dict[str, Column]:
-        c, dtype = F.col(quoted(name)), fields[name]
-        kind = _kind(dtype)
-        present = c.isNotNull()
-        blank = F.lit(None).cast("double")
-        out = {
-            "dtype": F.lit(dtype.simpleString()),
-            "kind": F.lit(kind),
-            "row_count": F.count(F.lit(1)),
-            "non_null": F.count(c),
-            "integer_like": F.lit(False),
-            "low": blank, "high": blank, "compact_shape": blank, "compact_parsed": blank, "cjk": blank,
-            "separated": blank, "parsed": blank, "clock": blank, "number": blank, "mean_length": blank,
-        }
-        if kind == "number":
-            d = c.cast("double")
-            whole = F.abs(d - F.rint(d)) <= 1e-8 + 1e-5 * F.abs(F.rint(d))
-            text = F.rint(d).cast("long").cast("string")
-            out |= {
-                "integer_like": F.coalesce(F.bool_and(whole), F.lit(False)),
-                "low": F.min(d),
-                "high": F.max(d),
-                "compact_shape": share(text.rlike(r"^\d{8}$"), present),
-                "compact_parsed": share(clean.parse_compact(text).isNotNull(), present),
-            }
-        if kind == "text":
-            text = F.trim(c)
-            out |= {
-                "compact_shape": share(text.rlike(r"^\d{8}$"), present),
-                "compact_parsed": share(clean.parse_compact(c).isNotNull(), present),
-                "cjk": share(text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$"), present),
-                "separated": share(text.rlike(r"[-/.:]"), present),
-                "parsed": share(clean.parse_general(c).isNotNull(), present),
-                "clock": share(clean.is_clock_text(c), present),
-                "number": share(clean.to_number(c).isNotNull(), present),
-                "mean_length": F.avg(F.length(c)),
-            }
-        return out
-
-    base = per_column(df, df.columns, build, _FEATURES)
-    cells = {n: F.col(quoted(n)) for n, t in fields.items() if clean.is_supported(t)}
-    numbers = {
-        n + _NUMBER_SUFFIX: clean.to_number(F.col(quoted(n))) for n, t in fields.items() if isinstance(t, T.StringType)
+
+_TEXT_TESTS = (
+    "compact_shape double, compact_parsed double, cjk double, separated double, parsed double, clock double, number double, "
+    "mean_length double"
+)
+_DIGIT_TESTS = "integer_like boolean, low double, high double, compact_shape double, compact_parsed double"
+
+
+def _text_tests(name: str) -> dict[str, Column]:
+    c = F.col(quoted(name))
+    text, present = F.trim(c), c.isNotNull()
+    return {
+        "compact_shape": _share(text.rlike(r"^\d{8}$"), present),
+        "compact_parsed": _share(clean.parse_compact(c).isNotNull(), present),
+        "cjk": _share(text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$"), present),
+        "separated": _share(text.rlike(r"[-/.:]"), present),
+        "parsed": _share(clean.parse_general(name).isNotNull(), present),
+        "clock": _share(clean.is_clock_text(c), present),
+        "number": _share(clean.to_number(c).isNotNull(), present),
+        "mean_length": F.avg(F.length(c)),
     }
-    if not cells:
-        return base.withColumn("unique", F.lit(0).cast("long")).withColumn("number_unique", F.lit(0).cast("long"))
-    counted = (
-        _hashed_counts(df, cells, numbers)
-        .groupBy("name")
-        .agg(
-            F.sum(F.when(~F.col("as_number"), F.col("unique"))).alias("unique"),
-            F.sum(F.when(F.col("as_number"), F.col("unique"))).alias("number_unique"),
-        )
-    )
-    return base.join(counted, F.col("column_name") == F.col("name"), "left").drop("name").fillna(
-        0, ["unique", "number_unique"]
-    )
 
 
-def _hashed_counts(df: DataFrame, cells: Mapping[str, Column], numbers: Mapping[str, Column]) -> DataFrame:
-    counts = distinct_counts(df, {**cells, **numbers})
-    return counts.select(
+def _digit_tests(name: str) -> dict[str, Column]:
+    d = F.col(quoted(name)).cast("double")
+    whole = F.abs(d - F.rint(d)) <= 1e-8 + 1e-5 * F.abs(F.rint(d))
+    text = F.rint(d).try_cast("long").cast("string")
+    return {
+        "integer_like": F.coalesce(F.bool_and(whole), F.lit(False)),
+        "low": F.min(d),
+        "high": F.max(d),
+        "compact_shape": _share(text.rlike(r"^\d{8}$"), d.isNotNull()),
+        "compact_parsed": _share(clean.parse_compact(text).isNotNull(), d.isNotNull()),
+    }
+
+
+def column_features(df: DataFrame) -> DataFrame:
+    """One row per column with everything the type decision looks at.
+
+    Values are tested over all rows. The tests a column gets depend on its kind, and for numbers on its
+    name: only names that speak of dates or times make digits tell time.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    features = {
+        name: {
+            "column_name": name, "ordinal": i, "dtype": dtype.simpleString(), "kind": _kind(dtype), "hint": name_hint(name),
+            "named_identifier": identifier_name(name), "integer_like": False, "unique": 0, "number_unique": 0,
+        }
+        for i, (name, dtype) in enumerate(fields.items())
+    }
+    present = df.agg(F.count(F.lit(1)), *[F.count(F.col(quoted(c))) for c in fields]).first()
+    for name, count in zip(fields, present[1:], strict=True):
+        features[name] |= {"row_count": present[0], "non_null": count}
+    texts = [c for c, f in features.items() if f["kind"] == "text"]
+    digits = [c for c, f in features.items() if f["kind"] == "number" and f["hint"] in ("datetime", "time")]
+    tested = [per_column(df, cs, tests, schema) for cs, tests, schema in (
+        (texts, _text_tests, _TEXT_TESTS), (digits, _digit_tests, _DIGIT_TESTS)) if cs]
+    counted = [c for c, t in fields.items() if clean.is_supported(t)]
+    # Each of these has one row per column.
+    for row in (r for table in tested for r in table.collect()):
+        features[row["column_name"]] |= {k: v for k, v in row.asDict().items() if k != "ordinal"}
+    numbers = [c for c in texts if (features[c]["number"] or 0) >= PASS_SHARE]
+    for row in _hashed_counts(df, counted, numbers).collect() if counted else ():
+        features[row["name"]]["number_unique" if row["as_number"] else "unique"] = row["unique"]
+    names = [f.split()[0] for f in _FEATURES.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(f.get(n) for n in names) for f in features.values()], _FEATURES)
+
+
+def _hashed_counts(df: DataFrame, columns: list[str], texts: list[str]) -> DataFrame:
+    """``name, as_number, unique``: distinct values, and for text also distinct numbers written in it."""
+    cells = {c: F.col(quoted(c)) for c in columns}
+    numbers = {c + _NUMBER_SUFFIX: clean.to_number(F.col(quoted(c))) for c in texts}
+    return distinct_counts(df, {**cells, **numbers}).select(
         F.split("column_name", _NUMBER_SUFFIX)[0].alias("name"),
         F.col("column_name").endswith(_NUMBER_SUFFIX).alias("as_number"),
         "unique",
@@ -160,7 +167,7 @@ def _hashed_counts(df: DataFrame, cells: Mapping[str, Column], numbers: Mapping[
 def decide_types(features: DataFrame) -> DataFrame:
     """``column_name, ordinal, dtype, detected_type, reason, missing, non_null, unique``."""
     f = F.col
-    hint, kind = name_hint(f("column_name")), f("kind")
+    hint, kind = f("hint"), f("kind")
     passes = lambda c: f(c) >= PASS_SHARE
     compact = passes("compact_shape") & passes("compact_parsed")
     text_is_date = (kind == "text") & (compact | passes("cjk") | (passes("separated") & passes("parsed")))
@@ -184,7 +191,7 @@ def decide_types(features: DataFrame) -> DataFrame:
     ladder: list[tuple[Column, str, str | Column]] = [
         (kind == "other", "skipped", "unsupported_type"),
         (f("non_null") == 0, "empty", "no_valid_values"),
-        (identifier_name(f("column_name")), "identifier", "identifier_column_name"),
+        (f("named_identifier"), "identifier", "identifier_column_name"),
         (kind == "boolean", "boolean", "boolean_dtype"),
         ((hint == "datetime") & named_date, "datetime", "datetime_column_name_and_values"),
         ((hint == "time_index") & is_number, "time_index", "time_index_column_name_and_numeric_values"),

@@ -1,8 +1,10 @@
 """Aggregates over many columns at once, and the unpivoted views of a frame.
 
-``per_column`` computes everything in one pass without a grouping key and turns the single result
-row into one row per column. Column batches read disjoint columns, so splitting a very wide table
-costs no extra input in a columnar format and keeps generated code small.
+``per_column`` suits columns of different types: a pass without a grouping key computes a limited
+number of aggregates (more would fall out of generated code), and its single row becomes one row per
+column. Passes read disjoint columns, so splitting costs no extra input in a columnar format.
+``per_value`` suits columns that all become numbers: one pass over the unpivoted cells, grouped by
+column, whatever the number of columns; map-side aggregation leaves one row per task and column.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NESTED = (T.ArrayType, T.MapType, T.StructType)
-COLUMNS_PER_PASS = 40
+AGGREGATES_PER_PASS = 30
 
 
 def per_column(
@@ -26,8 +28,9 @@ def per_column(
     if not columns:
         return spark.createDataFrame([], f"column_name string, ordinal int, {schema}")
     parts = []
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        batch = columns[start : start + COLUMNS_PER_PASS]
+    step = max(1, AGGREGATES_PER_PASS // len(build(columns[0])))
+    for start in range(0, len(columns), step):
+        batch = columns[start : start + step]
         row = df.agg(
             *[
                 F.struct(*[a.alias(k) for k, a in build(c).items()]).alias(f"s{i}")
@@ -44,16 +47,44 @@ def per_column(
     return reduce(DataFrame.unionByName, parts)
 
 
+def unpivot_fields(df: DataFrame, cells: Mapping[str, Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
+    """Long view: ``keep``, ``column_name`` and several fields per input row and column."""
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("column_name"), *[c.alias(k) for k, c in fields.items()]) for n, fields in cells.items()]
+    )
+    return df.select(*[quoted(k) for k in keep], F.inline(entries))
+
+
 def unpivot(df: DataFrame, cells: Mapping[str, Column], keep: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """Long view: ``keep``, ``column_name`` and the cell, one row per input row and column."""
-    entries = F.array(*[F.struct(F.lit(n).alias("column_name"), c.alias(value)) for n, c in cells.items()])
-    kept = [quoted(k) for k in keep]
-    return df.select(*kept, F.explode(entries).alias("_e")).select(*kept, "_e.column_name", f"_e.{value}")
+    """Long view with a single field."""
+    return unpivot_fields(df, {n: {value: c} for n, c in cells.items()}, keep)
+
+
+def per_value(
+    df: DataFrame, cells: Mapping[str, Column | Mapping[str, Column]], aggregates: Mapping[str, Column]
+) -> DataFrame:
+    """``column_name, ordinal`` and ``aggregates`` over the cells of each column (their field is ``value``).
 
+    Columns of a frame without rows are listed too, with null aggregates.
+    """
+    fields = {n: c if isinstance(c, Mapping) else {"value": c} for n, c in cells.items()}
+    names = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(fields)], "column_name string, ordinal int")
+    if not fields:
+        return names
+    found = unpivot_fields(df, fields).groupBy("column_name").agg(*[a.alias(k) for k, a in aggregates.items()])
+    return names.join(found, "column_name", "left")
+
+
+def cell_hash(column: Column, dtype: T.DataType) -> list[Column]:
+    """What tells the values of a column apart in 16 bytes.
 
-def cell_hash(column: Column) -> list[Column]:
-    """Two independent 64-bit hashes; equal pairs mean equal values up to odds of about 2**-128 a pair."""
-    return [F.xxhash64(column), F.xxhash64(F.lit(0x5DEECE66D), column)]
+    For values of up to eight bytes one 64-bit hash is a one-to-one map and the second half stays
+    zero; longer ones get two independent hashes, equal for different values with odds of about
+    2**-128 a pair.
+    """
+    if isinstance(dtype, (T.StringType, T.BinaryType, T.DecimalType, *NESTED)):
+        return [F.xxhash64(column), F.xxhash64(F.lit(0x5DEECE66D), column)]
+    return [F.xxhash64(column), F.lit(0).cast("long")]
 
 
 def row_hash(df: DataFrame) -> list[Column]:
@@ -72,23 +103,16 @@ def quoted(name: str) -> str:
 
 def distinct_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """``column_name, unique`` without nulls: 16-byte hashes are shuffled, never long values."""
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("column_name"),
-                        c.isNotNull().alias("present"),
-                        *[h.alias(k) for k, h in zip(("h1", "h2"), cell_hash(c), strict=True)],
-                    )
-                    for n, c in columns.items()
-                ]
-            )
-        ).alias("e")
-    ).select("e.*").filter("present")
-    return cells.groupBy("column_name", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("column_name").agg(
-        F.count("*").alias("unique")
-    )
+    values = df.select(*[c.alias(f"v{i}") for i, c in enumerate(columns.values())])
+    entries = []
+    for i, field in enumerate(values.schema.fields):
+        h1, h2 = cell_hash(F.col(field.name), field.dataType)
+        present = F.col(field.name).isNotNull().alias("present")
+        entries.append(F.struct(F.lit(i).alias("c"), present, h1.alias("h1"), h2.alias("h2")))
+    cells = values.select(F.inline(F.array(*entries))).filter("present")
+    counts = cells.groupBy("c", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("c").agg(F.count("*").alias("unique"))
+    names = F.array(*[F.lit(n) for n in columns])
+    return counts.select(F.get(names, F.col("c")).alias("column_name"), "unique")
 
 
 def duplicate_rows(df: DataFrame, measures: Mapping[str, Column] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.clean import micros
 from tablescope.operators.quality import ratio
+from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_previous
 from tablescope.plans.selection import weighted_quantiles
 from tablescope.plans.wide import quoted
@@ -60,6 +61,7 @@ def gap_counts(df: DataFrame, time_col: str) -> DataFrame:
 
 def gap_summary(gaps: DataFrame) -> DataFrame:
     """total, mean, median, min, max in seconds."""
+    gaps = materialize(gaps)
     median = weighted_quantiles(gaps, [0.5], value="gap").select((F.col("quantiles")[0] / SECOND).alias("median"))
     middle = median.first()
     gap, weight = F.col("gap"), F.col("weight")
@@ -83,7 +85,7 @@ def time_intervals(df: DataFrame, time_col: str) -> DataFrame:
 
 
 def top_intervals(df: DataFrame, time_col: str, top_n: int = TOP_INTERVALS) -> DataFrame:
-    gaps = gap_counts(df, time_col)
+    gaps = materialize(gap_counts(df, time_col))
     total = gaps.agg(F.sum("weight").alias("n")).first()["n"] or 1  # one number
     return gaps.orderBy(F.desc("weight"), "gap").limit(top_n).select(
         (F.col("gap") / SECOND).alias("interval_seconds"),

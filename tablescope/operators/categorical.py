@@ -26,10 +26,10 @@ def value_counts(df: DataFrame, columns: Sequence[str], missing_label: str | Non
 
 
 def with_share(counts: DataFrame, keys: Sequence[str] = ("column_name",), name: str = "ratio") -> DataFrame:
-    """Share of ``count`` in its column; the totals have one row per column and join back small."""
+    """Share of ``count`` in its column; the totals, one row per column, are broadcast."""
     keys = list(keys)
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("_all"))
-    return counts.join(totals, keys).withColumn(name, F.col("count") / F.col("_all")).drop("_all")
+    return counts.join(F.broadcast(totals), keys).withColumn(name, F.col("count") / F.col("_all")).drop("_all")
 
 
 def frequency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from tablescope.operators.categorical import top_categories
 from tablescope.operators.correlation import column_pairs, pair_cells
 from tablescope.operators.series import irregular_series, resample
 from tablescope.plans.selection import column_quantiles
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
 
 BINS, BAR_CATEGORIES, SCATTER_COLUMNS = 30, 15, 10
@@ -39,11 +40,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFr
     bounds = bounds_of(df, columns)
     spark = df.sparkSession
     if not bounds:
-        return spark.createDataFrame([], "column_name string, bin int, bin_start double, bin_end double, count long")
+        return small_table(spark, [], "column_name string, bin int, bin_start double, bin_end double, count long")
     cells = unpivot(df, {c: bin_of(fin(c), low, high, bins) for c, (low, high, _) in bounds.items()}, value="bin")
     counts = cells.filter(F.col("bin").isNotNull()).groupBy("column_name", "bin").agg(F.count("*").alias("n"))
     rows = [(c, low, high) for c, (low, high, _) in bounds.items()]
-    layout = spark.createDataFrame(rows, "column_name string, low double, high double").select(
+    layout = small_table(spark, rows, "column_name string, low double, high double").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
     step = (F.col("high") - F.col("low")) / bins
@@ -58,7 +59,7 @@ def histogram_marks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     bounds = bounds_of(df, columns)
     middle = column_quantiles(df, {c: fin(c) for c in bounds}, [0.5]) if bounds else {}
     rows = [(c, mean, middle[c][1][0]) for c, (_, _, mean) in bounds.items()]
-    return df.sparkSession.createDataFrame(rows, "column_name string, mean double, median double")
+    return small_table(df.sparkSession, rows, "column_name string, mean double, median double")
 
 
 def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,8 +74,7 @@ def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "value": c, "inside_low": F.when(c >= low, c), "inside_high": F.when(c <= high, c), "outside": (c < low) | (c > high)}
     ends = per_value(df, cells, {
         "mean": F.avg("value"), "lowest": F.min("inside_low"), "highest": F.max("inside_high"), "fliers": F.count_if(F.col("outside"))})
-    boxes = df.sparkSession.createDataFrame(
-        [(c, *values) for c, (_, values) in quartiles.items()], "column_name string, q1 double, median double, q3 double")
+    boxes = small_table(df.sparkSession, [(c, *values) for c, (_, values) in quartiles.items()], "column_name string, q1 double, median double, q3 double")
     return boxes.join(ends, "column_name").select(
         "column_name", "q1", "median", "q3", "mean", F.least("q1", "lowest").alias("whisker_low"),
         F.greatest("q3", "highest").alias("whisker_high"), "fliers")

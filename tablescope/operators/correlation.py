@@ -16,6 +16,7 @@ from tablescope.functions.clean import finite
 from tablescope.functions.pvalues import correlation_p_value, kendall_tau
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_weight_below
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 STRONG, MODERATE = 0.7, 0.4
@@ -47,7 +48,7 @@ def _pair_table(clean: DataFrame, pairs: Sequence[tuple[int, int]], prefix: str
         # corr() itself divides by zero on constant columns under ANSI rules
         F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"),
     )
-    wanted = clean.sparkSession.createDataFrame(pairs, "i int, j int")  # pairs without a common row still show up
+    wanted = small_table(clean.sparkSession, pairs, "i int, j int")  # pairs without a common row still show up
     return wanted.join(found, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"])
 
 
@@ -148,7 +149,7 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         parts.append(_shared_rank_pairs(clean, shared))
     if own:
         found = _own_rank_pairs(clean, own)
-        wanted = df.sparkSession.createDataFrame(own, "i int, j int")  # pairs without a common row still show up
+        wanted = small_table(df.sparkSession, own, "i int, j int")  # pairs without a common row still show up
         parts.append(wanted.join(found, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"]))
     table = _finished(reduce(DataFrame.unionByName, parts))
     return _named(table, "spearman", columns, correlation_p_value("r", "n"))
@@ -169,7 +170,7 @@ def kendall(df: DataFrame, columns: Sequence[str], max_rows: int = KENDALL_ROWS)
     """Tau-b per pair; the whole method is skipped above ``max_rows`` rows, which also bounds every group."""
     pairs = column_pairs(columns)
     spark = df.sparkSession
-    wanted = spark.createDataFrame(pairs, "i int, j int")
+    wanted = small_table(spark, pairs, "i int, j int")
     if df.count() > max_rows:
         table = wanted.select(
             "i", "j", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("r"),
@@ -254,7 +255,6 @@ def correlation_cells(matrix: DataFrame, columns: Sequence[str], max_columns: in
 def correlation_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All three methods; fewer than two columns give a single skipped row."""
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame(
-            [(m, "skipped", "insufficient_numeric_variables") for m in METHODS], "method string, status string, reason string"
+        return small_table(df.sparkSession, [(m, "skipped", "insufficient_numeric_variables") for m in METHODS], "method string, status string, reason string"
         )
     return reduce(DataFrame.unionByName, [run(df, columns) for run in METHODS.values()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite, from_micros, micros
@@ -15,6 +15,7 @@ from tablescope.operators.sampling import mix, uniform_sample
 from tablescope.operators.statistics import fences, number
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_position
+from tablescope.plans.small import held, small_table
 from tablescope.plans.wide import quoted, unpivot
 
 OTHER = "其他"
@@ -132,8 +133,7 @@ def grouped_histogram(df: DataFrame, column: str, group: str, bins: int = BINS)
     """Every group counted on one bin layout, with its share of the bin; larger groups come first."""
     bounds = bounds_of(df, [column])
     if not bounds:
-        return df.sparkSession.createDataFrame(
-            [], "bin int, group string, group_rows long, count long, share double"
+        return small_table(df.sparkSession, [], "bin int, group string, group_rows long, count long, share double"
         )
     low, high, _ = bounds[column]
     counts = (
@@ -149,7 +149,7 @@ def grouped_histogram(df: DataFrame, column: str, group: str, bins: int = BINS)
     per_group = counts.groupBy("group").agg(F.sum("count").alias("group_rows"))
     return (
         counts.join(F.broadcast(per_bin), "bin")  # at most `bins` rows
-        .join(per_group, "group")
+        .join(held(per_group), "group")
         .select("bin", "group", "group_rows", "count", (F.col("count") / F.col("_in_bin")).alias("share"))
         .orderBy(F.desc("group_rows"), "group", "bin")
     )
@@ -187,14 +187,14 @@ def merged_groups(df: DataFrame, column: str, n: int = TOP_GROUPS, other: str =
         F.count("*").alias("count")
     )
     largest = counts.orderBy(F.desc("count"), "category").limit(n).select("category", F.lit(True).alias("_shown"))
-    total = df.count()
     merged = (
         counts.join(F.broadcast(largest), "category", "left")  # n rows
         .select(F.when(F.col("_shown"), F.col("category")).otherwise(F.lit(other)).alias("category"), "count", "_shown")
         .groupBy("category")
         .agg(F.sum("count").alias("count"), F.count("*").alias("groups"))
     )
-    return merged.select("category", "count", "groups", (F.col("count") / F.lit(max(total, 1))).alias("share"))
+    everything = Window.partitionBy(F.lit(0))  # over at most n + 1 rows
+    return merged.withColumn("share", F.col("count") / F.sum("count").over(everything))
 
 
 def category_share(df: DataFrame, column: str, n: int = PIE_CATEGORIES) -> DataFrame:
@@ -300,4 +300,4 @@ def strip(
     bands = with_position(
         rows.groupBy("group").agg(F.count("*").alias("group_rows")), [F.desc("group_rows"), "group"], name="band"
     )
-    return rows.join(bands, "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")
+    return rows.join(held(bands), "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")

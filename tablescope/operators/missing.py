@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablescope.operators.quality import null_counts, ratio
 from tablescope.operators.typing import missing_in_row
+from tablescope.plans.materialize import materialize
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 TOP_PATTERNS, TOP_PAIRS = 20, 30
@@ -71,10 +73,9 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
     """The most frequent sets of columns missing in the same row."""
     columns = df.columns if columns is None else list(columns)
     if not columns:
-        return df.sparkSession.createDataFrame(
-            [], "missing_columns array<string>, missing_count long, missing_ratio double, missing_variable_count int"
+        return small_table(df.sparkSession, [], "missing_columns array<string>, missing_count long, missing_ratio double, missing_variable_count int"
         )
-    counts = pattern_counts(df, columns)
+    counts = materialize(pattern_counts(df, columns))
     total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0  # one number
     named = counts.filter(F.size("pattern") > 0).select(
         _names(F.col("pattern"), columns).alias("missing_columns"),
@@ -94,10 +95,9 @@ def missing_pairs(df: DataFrame, columns: Sequence[str] | None = None, top_n: in
     spark = df.sparkSession
     wanted = [(i, j, columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     if not wanted:
-        return spark.createDataFrame(
-            [], "column_1 string, column_2 string, both_missing_count long, both_missing_ratio double"
+        return small_table(spark, [], "column_1 string, column_2 string, both_missing_count long, both_missing_ratio double"
         )
-    counts = pattern_counts(df, columns)
+    counts = materialize(pattern_counts(df, columns))
     total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0  # one number
     found = (
         counts.filter(F.size("pattern") > 1)
@@ -106,7 +106,7 @@ def missing_pairs(df: DataFrame, columns: Sequence[str] | None = None, top_n: in
         .groupBy("a", "b")
         .agg(F.sum("count").alias("both"))
     )
-    pairs = spark.createDataFrame(wanted, "i int, j int, column_1 string, column_2 string")
+    pairs = small_table(spark, wanted, "i int, j int, column_1 string, column_2 string")
     return (
         pairs.join(found, (F.col("i") == F.col("a")) & (F.col("j") == F.col("b")), "left")
         .withColumn("both_missing_count", F.coalesce("both", F.lit(0)))

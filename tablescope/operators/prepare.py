@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions import clean
 from tablescope.operators.typing import column_profile, dataset_profile, pick
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 COMBINED = "DATETIME"
@@ -100,7 +101,7 @@ def coerce(df: DataFrame, types: Mapping[str, str], combine: bool = True) -> tup
             out = out.withColumn(COMBINED, clean.combine_date_time(F.col(quoted(dates[0])), F.col(quoted(times[0]))))
         missing = counts["n"] - counts["combined"] if reason is None else None
         records.append(("combined_datetime", COMBINED, "skipped" if reason else "ok", reason, None, missing, None))
-    return out, df.sparkSession.createDataFrame(records, _RECORD)
+    return out, small_table(df.sparkSession, records, _RECORD)
 
 
 def summarize(transformations: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, p
 MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.30
 HIGH_CARDINALITY = 0.50
 STRONG_SKEW, MODERATE_SKEW = 2.0, 1.0
+COUNTS_PER_PASS = 400  # plain counts are cheap enough to take many at once
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -26,7 +27,7 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def build(name: str) -> dict[str, Column]:
         return {"row_count": F.count(F.lit(1)), "missing_count": F.count_if(F.col(quoted(name)).isNull())}
 
-    return per_column(df, columns, build, "row_count long, missing_count long")
+    return per_column(df, columns, build, "row_count long, missing_count long", COUNTS_PER_PASS)
 
 
 def missing_values(df: DataFrame) -> DataFrame:

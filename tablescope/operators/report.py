@@ -15,6 +15,7 @@ from tablescope.operators import (
 from tablescope.operators.categorical import MISSING_LABEL, label
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_position
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted, unpivot
 
 SCHEMA_VERSION = "1.0"
@@ -98,8 +99,7 @@ def row_payload(
         *(["time_value"] if time_col else []),
     )
     kept = sampled.count() if truncated else source
-    scope = df.sparkSession.createDataFrame(
-        [(source, kept, limit, truncated)],
+    scope = small_table(df.sparkSession, [(source, kept, limit, truncated)],
         "source_row_count long, row_count long, sample_limit long, truncated boolean",
     )
     return rows, dictionary, scope
@@ -162,7 +162,7 @@ def time_series(
     if status == "ok" and not numbers:
         status, reason = "skipped", "no_numeric_variables"
     out = {
-        "time_axis": df.sparkSession.createDataFrame([(status, axis, reason)], "status string, time_column string, reason string")
+        "time_axis": small_table(df.sparkSession, [(status, axis, reason)], "status string, time_column string, reason string")
     }
     if status != "ok":
         return out
@@ -190,7 +190,7 @@ def write_bundle(results: Mapping[str, DataFrame], folder: str, fmt: str = "parq
         shown.write.mode("overwrite").format(fmt).save(target)
         entries.append((SCHEMA_VERSION, name, target, fmt, ",".join(table.columns)))
     spark = next(iter(results.values())).sparkSession
-    manifest = spark.createDataFrame(entries, "schema_version string, name string, path string, format string, columns string")
+    manifest = small_table(spark, entries, "schema_version string, name string, path string, format string, columns string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
     return manifest
 

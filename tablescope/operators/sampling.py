@@ -8,11 +8,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.clean import epoch_ms, is_temporal
 from tablescope.operators.categorical import MISSING_LABEL, label, value_counts
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import first_n, with_position
+from tablescope.plans.small import held, small_table
 from tablescope.plans.wide import quoted
 
 SEED = 42
@@ -70,6 +72,11 @@ def choose_strata(unique_counts: Mapping[str, int], limit: int) -> list[str]:
 
 
 _STRATUM = "_stratum"
+BROADCAST_KEYS = 1_000_000
+
+
+def _fixed_width(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def _time_number(df: DataFrame, time_col: str) -> Column:
@@ -101,7 +108,7 @@ def representative_sample(
     narrow = timed.select(_STRATUM, "_t", *[F.col(quoted(k)).alias(a) for k, a in zip(key, keys, strict=True)])
     placed = with_position(narrow, ["_t", *keys], [_STRATUM], name="_rn", total="_size")
     segment = F.expr("CAST(_rn AS DECIMAL(18,0)) * CAST(share AS DECIMAL(18,0)) div _size")
-    shares = shares.select(F.col(_STRATUM).alias("_s"), "share").filter(F.col("share") > 0)
+    shares = held(shares.select(F.col(_STRATUM).alias("_s"), "share").filter(F.col("share") > 0))
     picked = (
         placed.join(shares, F.col(_STRATUM) == F.col("_s"))
         .withColumn("_segment", segment)
@@ -112,7 +119,9 @@ def representative_sample(
     condition = F.lit(True)
     for k, a in zip(key, keys, strict=True):
         condition = condition & F.col(quoted(k)).eqNullSafe(F.col(a))
-    return df.join(picked, condition, "left_semi")
+    # At most `limit` keys; wide keys and large limits leave the join to adaptive execution.
+    narrow_key = all(_fixed_width(df.schema[k].dataType) for k in key)
+    return df.join(F.broadcast(picked) if limit <= BROADCAST_KEYS and narrow_key else picked, condition, "left_semi")
 
 
 def evenly_spaced(df: DataFrame, limit: int, time_col: str, key: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -141,7 +150,7 @@ def identifier_combinations(
     chosen = chosen[:MAX_COMBINATIONS]
     schema = "combination string, values array<string>, count long, total_unique long"
     if not chosen:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     entries = F.array(
         *[
             F.struct(

@@ -12,6 +12,7 @@ from tablescope.operators.calendar import SECOND, gap_counts, gap_summary, when_
 from tablescope.operators.statistics import number
 from tablescope.plans.ordered import with_position
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_column, quoted, unpivot
 
 MIN_OBSERVATIONS = 3
@@ -194,7 +195,7 @@ def linear_trend(
         "change": F.when(flat, 0.0).otherwise(change),
         "change_percent": F.when(flat, 0.0).when(F.abs(first) > 1e-12, change / F.abs(first) * 100),
     }
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    names = small_table(df.sparkSession, [(c,) for c in columns], "column_name string")
     return names.join(fitted, "column_name", "left").fillna(0, ["count"]).select(
         "column_name", "count", *[F.when(~few, c).alias(k) for k, c in shown.items()],
         F.when(few, "skipped").otherwise("ok").alias("status"),

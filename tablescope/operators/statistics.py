@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tablescope.functions.clean import finite
 from tablescope.functions.normality import shapiro_wilk
 from tablescope.plans.selection import column_quantiles
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
 
 QUANTILES = {
@@ -72,7 +73,7 @@ def quantile_table(df: DataFrame, columns: Sequence[str], found: Quantiles | Non
     found = report_quantiles(df, columns) if found is None else found
     rows = [(c, n, *values) for c, (n, values) in found.items()]
     schema = "column_name string, count long, " + ", ".join(f"{q} double" for q in QUANTILES)
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = small_table(df.sparkSession, rows, schema)
     return table.select(
         "column_name", "count", *[or_null(F.col(q)).alias(q) for q in QUANTILES],
         or_null(F.col("q75") - F.col("q25")).alias("iqr"), or_null(F.col("q50")).alias("median"),
@@ -86,7 +87,7 @@ def mad_table(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float
         medians = {c: values[0] for c, (_, values) in centre.items()}
     spread = column_quantiles(df, {c: F.abs(number(c) - F.lit(m)) for c, m in medians.items()}, [0.5])
     rows = [(c, values[0]) for c, (_, values) in spread.items()]
-    return df.sparkSession.createDataFrame(rows, "column_name string, mad double").select(
+    return small_table(df.sparkSession, rows, "column_name string, mad double").select(
         "column_name", or_null(F.col("mad")).alias("mad")
     )
 
@@ -120,8 +121,7 @@ def outlier_table(df: DataFrame, columns: Sequence[str], known: Quartiles | None
     v = F.col("value")
     counted = per_value(df, cells, {
         "n": F.count(v), "lowest": F.min(v), "highest": F.max(v), "outside": F.count_if(F.col("outside"))})
-    limits = df.sparkSession.createDataFrame(
-        edges, "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
+    limits = small_table(df.sparkSession, edges, "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
     n, flat = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("lowest") == F.col("highest"), F.lit(False))
     constant = lambda c: F.when(flat, F.col("lowest")).otherwise(F.col(c))
     return counted.join(limits, "column_name", "left").select(
@@ -157,8 +157,7 @@ def normality_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     tested, is_small = F.col("reason").isNull(), F.col("n") <= SHAPIRO_LIMIT
     jb = F.col("n") / 6.0 * (F.pow("g1", F.lit(2.0)) + F.pow("g2", F.lit(2.0)) / 4.0)
     out = (
-        df.sparkSession.createDataFrame(
-            plain, "column_name string, ordinal int, n long, reason string, g1 double, g2 double"
+        small_table(df.sparkSession, plain, "column_name string, ordinal int, n long, reason string, g1 double, g2 double"
         )
         .withColumn("test", F.when(tested, F.when(is_small, "Shapiro-Wilk").otherwise("Jarque-Bera")))
         .withColumn("statistic", F.when(tested & ~is_small, jb))

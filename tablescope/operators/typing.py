@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions import clean
-from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, quoted
+from tablescope.plans.small import small_table
+from tablescope.plans.wide import distinct_counts, duplicate_rows, per_value, quoted
 
 PASS_SHARE = 0.80
 IDENTIFIER_UNIQUENESS = 0.95
@@ -82,45 +83,54 @@ def identifier_name(name: str) -> bool:
     )
 
 
-def _share(test: Column, present: Column) -> Column:
-    return F.avg(F.when(present, F.coalesce(test, F.lit(False)).cast("double")))
-
-
-_TEXT_TESTS = (
-    "compact_shape double, compact_parsed double, cjk double, separated double, parsed double, clock double, number double, "
-    "mean_length double"
-)
-_DIGIT_TESTS = "integer_like boolean, low double, high double, compact_shape double, compact_parsed double"
+_TEXT_TESTS = ("compact_shape", "compact_parsed", "cjk", "separated", "parsed", "clock", "number")
 
 
 def _text_tests(name: str) -> dict[str, Column]:
     c = F.col(quoted(name))
-    text, present = F.trim(c), c.isNotNull()
+    text = F.trim(c)
     return {
-        "compact_shape": _share(text.rlike(r"^\d{8}$"), present),
-        "compact_parsed": _share(clean.parse_compact(c).isNotNull(), present),
-        "cjk": _share(text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$"), present),
-        "separated": _share(text.rlike(r"[-/.:]"), present),
-        "parsed": _share(clean.parse_general(name).isNotNull(), present),
-        "clock": _share(clean.is_clock_text(c), present),
-        "number": _share(clean.to_number(c).isNotNull(), present),
-        "mean_length": F.avg(F.length(c)),
+        "value": c.isNotNull(),
+        "compact_shape": text.rlike(r"^\d{8}$"),
+        "compact_parsed": clean.parse_compact(c).isNotNull(),
+        "cjk": text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$"),
+        "separated": text.rlike(r"[-/.:]"),
+        "parsed": clean.parse_general(name).isNotNull(),
+        "clock": clean.is_clock_text(c),
+        "number": clean.to_number(c).isNotNull(),
+        "size": F.length(c),
     }
 
 
 def _digit_tests(name: str) -> dict[str, Column]:
     d = F.col(quoted(name)).cast("double")
-    whole = F.abs(d - F.rint(d)) <= 1e-8 + 1e-5 * F.abs(F.rint(d))
     text = F.rint(d).try_cast("long").cast("string")
     return {
-        "integer_like": F.coalesce(F.bool_and(whole), F.lit(False)),
-        "low": F.min(d),
-        "high": F.max(d),
-        "compact_shape": _share(text.rlike(r"^\d{8}$"), d.isNotNull()),
-        "compact_parsed": _share(clean.parse_compact(text).isNotNull(), d.isNotNull()),
+        "value": d.isNotNull(),
+        "whole": F.abs(d - F.rint(d)) <= 1e-8 + 1e-5 * F.abs(F.rint(d)),
+        "number": d,
+        "compact_shape": text.rlike(r"^\d{8}$"),
+        "compact_parsed": clean.parse_compact(text).isNotNull(),
     }
 
 
+def _share(test: str) -> Column:
+    return F.avg(F.when(F.col("value"), F.coalesce(F.col(test), F.lit(False)).cast("double")))
+
+
+def _tested_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Shares of the present values that pass each test, and their mean length; one pass for all columns."""
+    aggregates = {t: _share(t) for t in _TEXT_TESTS} | {"mean_length": F.avg("size")}
+    return per_value(df, {c: _text_tests(c) for c in columns}, aggregates)
+
+
+def _tested_digits(df: DataFrame, columns: list[str]) -> DataFrame:
+    return per_value(df, {c: _digit_tests(c) for c in columns}, {
+        "integer_like": F.coalesce(F.bool_and("whole"), F.lit(False)), "low": F.min("number"), "high": F.max("number"),
+        "compact_shape": _share("compact_shape"), "compact_parsed": _share("compact_parsed"),
+    })
+
+
 def column_features(df: DataFrame) -> DataFrame:
     """One row per column with everything the type decision looks at.
 
@@ -140,8 +150,8 @@ def column_features(df: DataFrame) -> DataFrame:
         features[name] |= {"row_count": present[0], "non_null": count}
     texts = [c for c, f in features.items() if f["kind"] == "text"]
     digits = [c for c, f in features.items() if f["kind"] == "number" and f["hint"] in ("datetime", "time")]
-    tested = [per_column(df, cs, tests, schema) for cs, tests, schema in (
-        (texts, _text_tests, _TEXT_TESTS), (digits, _digit_tests, _DIGIT_TESTS)) if cs]
+    tested = [_tested_text(df, texts)] if texts else []
+    tested += [_tested_digits(df, digits)] if digits else []
     counted = [c for c, t in fields.items() if clean.is_supported(t)]
     # Each of these has one row per column.
     for row in (r for table in tested for r in table.collect()):
@@ -150,7 +160,7 @@ def column_features(df: DataFrame) -> DataFrame:
     for row in _hashed_counts(df, counted, numbers).collect() if counted else ():
         features[row["name"]]["number_unique" if row["as_number"] else "unique"] = row["unique"]
     names = [f.split()[0] for f in _FEATURES.split(", ")]
-    return df.sparkSession.createDataFrame([tuple(f.get(n) for n in names) for f in features.values()], _FEATURES)
+    return small_table(df.sparkSession, [tuple(f.get(n) for n in names) for f in features.values()], _FEATURES)
 
 
 def _hashed_counts(df: DataFrame, columns: list[str], texts: list[str]) -> DataFrame:
@@ -237,7 +247,7 @@ def override_types(types: DataFrame, overrides: Mapping[str, str] | DataFrame) -
     if isinstance(overrides, DataFrame):
         chosen = overrides.select(F.col("column_name").alias("_name"), F.col("selected_type").alias("_selected"))
     else:
-        chosen = types.sparkSession.createDataFrame(list(overrides.items()), "_name string, _selected string")
+        chosen = small_table(types.sparkSession, list(overrides.items()), "_name string, _selected string")
     chosen = chosen.filter(F.col("_selected").isin(*OVERRIDE_TYPES))
     auto = F.col("detected_type")
     actual = F.when(

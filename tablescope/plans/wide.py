@@ -16,19 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescope.plans.small import small_table
+
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 AGGREGATES_PER_PASS = 30
 
 
 def per_column(
-    df: DataFrame, columns: Sequence[str], build: Callable[[str], Mapping[str, Column]], schema: str
+    df: DataFrame, columns: Sequence[str], build: Callable[[str], Mapping[str, Column]], schema: str,
+    at_once: int = AGGREGATES_PER_PASS,
 ) -> DataFrame:
     """``column_name, ordinal`` plus the aggregates of ``build(name)``, one row per column."""
     spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], f"column_name string, ordinal int, {schema}")
+        return small_table(spark, [], f"column_name string, ordinal int, {schema}")
     parts = []
-    step = max(1, AGGREGATES_PER_PASS // len(build(columns[0])))
+    step = max(1, at_once // len(build(columns[0])))
     for start in range(0, len(columns), step):
         batch = columns[start : start + step]
         row = df.agg(
@@ -68,7 +71,7 @@ def per_value(
     Columns of a frame without rows are listed too, with null aggregates.
     """
     fields = {n: c if isinstance(c, Mapping) else {"value": c} for n, c in cells.items()}
-    names = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(fields)], "column_name string, ordinal int")
+    names = small_table(df.sparkSession, [(n, i) for i, n in enumerate(fields)], "column_name string, ordinal int")
     if not fields:
         return names
     found = unpivot_fields(df, fields).groupBy("column_name").agg(*[a.alias(k) for k, a in aggregates.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.clean import CSV_MISSING_TOKENS, NUMBER
 from tablescope.operators.quality import null_counts
 from tablescope.operators.typing import dataset_profile
-from tablescope.plans.wide import per_column, quoted
+from tablescope.plans.wide import per_value, quoted
 
 PREVIEW_ROWS = 1000
 BOM = "﻿"
@@ -120,17 +120,21 @@ def known(c: Column) -> Column:
 def infer_types(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, ordinal, inferred`` of text columns: bigint, double, boolean or string; one scan."""
 
-    def build(name: str) -> dict[str, Column]:
+    tests = {}
+    for name in columns:
         c = F.col(quoted(name))
         text = F.trim(c)
-        whole = text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull()
-        number = text.rlike(NUMBER) & text.try_cast("double").isNotNull()
-        return {
-            "present": F.count(c), "whole": F.count_if(whole), "number": F.count_if(number),
-            "truth": F.count_if(c.isin(TRUE_WORDS + FALSE_WORDS)),
+        tests[name] = {
+            "value": c.isNotNull(),
+            "whole": text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull(),
+            "number": text.rlike(NUMBER) & text.try_cast("double").isNotNull(),
+            "truth": c.isin(TRUE_WORDS + FALSE_WORDS),
         }
-
-    table = per_column(cells, columns, build, "present long, whole long, number long, truth long")
+    # Text is parsed again by every pass, so all columns share one.
+    table = per_value(cells, tests, {
+        "present": F.count_if(F.col("value")), "whole": F.count_if(F.col("whole")), "number": F.count_if(F.col("number")),
+        "truth": F.count_if(F.col("truth")),
+    }).fillna(0, ["present"])
     all_of = lambda c: (F.col("present") > 0) & (F.col(c) == F.col("present"))
     inferred = (
         F.when(F.col("present") == 0, "double").when(all_of("whole"), "bigint").when(all_of("number"), "double")

@@ -16,7 +16,7 @@ from tablescope.functions.clean import finite
 from tablescope.functions.pvalues import correlation_p_value, kendall_tau
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_weight_below
-from tablescope.plans.small import small_table
+from tablescope.plans.small import held, small_table
 from tablescope.plans.wide import quoted
 
 STRONG, MODERATE = 0.7, 0.4
@@ -96,12 +96,11 @@ def _shared_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> Da
     entries = ", ".join(f"struct({i} AS c, c{i} AS value)" for i in used)
     freq = clean.select(F.expr(f"inline(array({entries}))")).groupBy("c", "value").agg(F.count("*").alias("weight"))
     ranks = materialize(_average_ranks(freq, ["c"]))
-    sizes = {r["c"]: r["n"] for r in ranks.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row per column
     rows = clean.select(*[f"c{i}" for i in used])
     for i in used:
         side = ranks.filter(F.col("c") == i).select(F.col("value").alias(f"c{i}"), F.col("rank").alias(f"r{i}"))
         # Larger rank tables go through a shuffle join, where adaptive execution splits hot values.
-        rows = rows.join(F.broadcast(side) if sizes[i] <= BROADCAST_ROWS else side, f"c{i}")
+        rows = rows.join(held(side, BROADCAST_ROWS), f"c{i}")
     return _pair_table(rows, pairs, "r")
 
 
@@ -110,8 +109,8 @@ def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
     entries = ", ".join(f"struct({k} AS pair, {i} AS i, {j} AS j, c{i} AS x, c{j} AS y)" for k, (i, j) in enumerate(pairs))
     long = clean.select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
     # Equal (x, y) combinations share their ranks, so rows are folded before they are shuffled by value.
-    cells = long.groupBy("pair", "i", "j", "x", "y").agg(F.count("*").alias("weight"))
-    cells = materialize(cells)
+    folded_rows = materialize(long.groupBy("pair", "i", "j", "x", "y").agg(F.count("*").alias("weight")))
+    cells = folded_rows
     sides = cells.select(
         "pair", F.expr("inline(array(struct('x' AS side, x AS value), struct('y' AS side, y AS value)))"), "weight"
     )
@@ -121,10 +120,10 @@ def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
         table = ranks.filter(F.col("side") == side).select(
             "pair", F.col("value").alias(side), F.col("rank").alias(f"r{side}")
         )
-        cells = cells.join(table, ["pair", side])
+        cells = cells.join(held(table, BROADCAST_ROWS), ["pair", side])
     w, rx, ry = F.col("weight").cast("double"), F.col("rx"), F.col("ry")
     # Ranks average (n + 1) / 2, so centring is known beforehand and the sums stay accurate.
-    sizes = long.groupBy("pair").agg(F.count("*").alias("pair_rows"))
+    sizes = folded_rows.groupBy("pair").agg(F.sum("weight").alias("pair_rows"))
     middle = (F.col("pair_rows") + 1) / 2.0
     folded = cells.join(F.broadcast(sizes), "pair")  # one row per pair of columns
     return folded.groupBy("i", "j").agg(

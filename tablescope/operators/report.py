@@ -86,7 +86,7 @@ def row_payload(
         *[F.col(quoted(k)).alias(f"_o{i}") for i, k in enumerate(order_by)],
         *[clean.finite(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(numbers)],
         *[F.coalesce(label(c), F.lit(MISSING_LABEL)).alias(f"l{i}") for i, c in enumerate(coded)],
-        *([sampling._time_number(sampled, time_col).alias("time_value")] if time_col else []),
+        *([sampling.time_number(sampled, time_col).alias("time_value")] if time_col else []),
     )
     for i, c in enumerate(coded):
         side = dictionary.filter(F.col("column_name") == c).select(

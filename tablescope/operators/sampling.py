@@ -79,7 +79,7 @@ def _fixed_width(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _time_number(df: DataFrame, time_col: str) -> Column:
+def time_number(df: DataFrame, time_col: str) -> Column:
     c = F.col(quoted(time_col))
     return epoch_ms(c) if is_temporal(df.schema[time_col].dataType) else c.cast("double")
 
@@ -98,7 +98,7 @@ def representative_sample(
         return df
     names = [F.coalesce(label(s), F.lit(MISSING_LABEL)) for s in strata]
     stratum = F.concat_ws("\u0001", *names) if names else F.lit("")
-    timed = df.withColumn("_t", _time_number(df, time_col)).withColumn(_STRATUM, stratum).filter(
+    timed = df.withColumn("_t", time_number(df, time_col)).withColumn(_STRATUM, stratum).filter(
         F.col("_t").isNotNull() & ~F.isnan("_t")
     )
     sizes = materialize(timed.groupBy(_STRATUM).agg(F.count("*").alias("_size")))
@@ -170,7 +170,7 @@ def identifier_combinations(
 
 def time_filter(df: DataFrame, time_col: str) -> DataFrame:
     """First and last point of the time axis as a number (milliseconds for datetimes)."""
-    t = _time_number(df, time_col)
+    t = time_number(df, time_col)
     kind = "datetime" if is_temporal(df.schema[time_col].dataType) else "time_index"
     return df.agg(F.min(t).alias("min"), F.max(t).alias("max")).select(
         F.col("min").isNotNull().alias("available"), F.lit(kind).alias("time_type"), F.lit(time_col).alias("time_column"),

@@ -15,12 +15,11 @@ from tablescope.operators import (
 from tablescope.operators.categorical import MISSING_LABEL, label
 from tablescope.plans.materialize import materialize
 from tablescope.plans.ordered import with_position
-from tablescope.plans.small import small_table
+from tablescope.plans.small import held, small_table
 from tablescope.plans.wide import quoted, unpivot
 
 SCHEMA_VERSION = "1.0"
 PREVIEW_ROWS = 10
-BROADCAST_ROWS = 200_000
 
 
 def table_preview(df: DataFrame, order_by: Sequence[str] = (), rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -79,9 +78,6 @@ def row_payload(
     numbers = typing.numeric_columns(types)
     coded = [*typing.categorical_columns(types), *typing.pick(types, "identifier")]
     dictionary = materialize(category_codes(sampled, coded, order_by)) if coded else None
-    sizes = {} if dictionary is None else {
-        r["column_name"]: r["n"] for r in dictionary.groupBy("column_name").agg(F.count("*").alias("n")).collect()
-    }
     rows = sampled.select(
         *[F.col(quoted(k)).alias(f"_o{i}") for i, k in enumerate(order_by)],
         *[clean.finite(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(numbers)],
@@ -92,7 +88,7 @@ def row_payload(
         side = dictionary.filter(F.col("column_name") == c).select(
             F.col("category").alias(f"l{i}"), F.col("code").alias(f"code{i}")
         )
-        rows = rows.join(F.broadcast(side) if sizes[c] <= BROADCAST_ROWS else side, f"l{i}")
+        rows = rows.join(held(side), f"l{i}")
     rows = rows.select(
         *[F.col(f"n{i}").alias(c) for i, c in enumerate(numbers)],
         *[F.col(f"code{i}").alias(f"{c}_code") for i, c in enumerate(coded)],

@@ -104,10 +104,10 @@ def parse_format(name: str, shape: str, pattern: str) -> Column:
 
 
 def parse_general(name: str) -> Column:
-    """The first general format whose shape fits the text column ``name``; all of them start with a digit."""
+    """The first general format whose shape fits the text column ``name``; one test rules out most other text."""
     ref = f"trim({quoted(name)})"
     formats = ", ".join(_parse_sql(ref, shape, pattern) for shape, pattern in GENERAL_FORMATS)
-    return F.expr(rf'CASE WHEN {ref} RLIKE r"^\d" THEN coalesce({formats}) END')
+    return F.expr(rf'CASE WHEN {ref} RLIKE r"^\d[\d/:. T-]*$" THEN coalesce({formats}) END')
 
 
 def parse_compact(c: Column) -> Column:

@@ -13,7 +13,7 @@ from tablescope.operators.statistics import number
 from tablescope.plans.ordered import with_position
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
 from tablescope.plans.small import small_table
-from tablescope.plans.wide import per_column, quoted, unpivot
+from tablescope.plans.wide import per_value, quoted, unpivot
 
 MIN_OBSERVATIONS = 3
 WINDOW, THRESHOLD = 7, 3.5
@@ -143,15 +143,12 @@ def series_summary(df: DataFrame, time_col: str, columns: Sequence[str], min_obs
     timed = _timed(df, time_col)
     middle = column_quantiles(timed, {c: number(c) for c in columns}, [0.5])
 
-    def build(name: str) -> dict[str, Column]:
-        c = number(name)
-        return {
-            "count": F.count(c), "missing_count": F.count_if(c.isNull()), "mean": F.avg(c),
-            "median": F.lit(middle[name][1][0] if name in middle else None).cast("double"),
-            "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)),
-        }
-
-    table = per_column(timed, columns, build, "count long, missing_count long, mean double, median double, std double")
+    v = F.col("value")
+    medians = small_table(df.sparkSession, [(c, q[0]) for c, (_, q) in middle.items()], "column_name string, median double")
+    table = per_value(timed, {c: number(c) for c in columns}, {
+        "count": F.count(v), "missing_count": F.count_if(v.isNull()), "mean": F.avg(v),
+        "std": F.coalesce(F.stddev_samp(v), F.lit(0.0)),
+    }).join(medians, "column_name", "left").fillna(0, ["count"])
     few = F.col("count") < min_observations
     shown = [F.when(~few, F.col(c)).alias(c) for c in ("missing_count", "mean", "median", "std")]
     return table.select(

@@ -89,15 +89,18 @@ _TEXT_TESTS = ("compact_shape", "compact_parsed", "cjk", "separated", "parsed",
 def _text_tests(name: str) -> dict[str, Column]:
     c = F.col(quoted(name))
     text = F.trim(c)
+    first = F.substring(text, 1, 1)
+    # Most text fails on its first character, long before a pattern is tried.
+    digit = first.between("0", "9")
     return {
         "value": c.isNotNull(),
-        "compact_shape": text.rlike(r"^\d{8}$"),
-        "compact_parsed": clean.parse_compact(c).isNotNull(),
-        "cjk": text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$"),
+        "compact_shape": F.when(digit, text.rlike(r"^\d{8}$")),
+        "compact_parsed": F.when(digit, clean.parse_compact(c).isNotNull()),
+        "cjk": F.when(digit, text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$")),
         "separated": text.rlike(r"[-/.:]"),
-        "parsed": clean.parse_general(name).isNotNull(),
-        "clock": clean.is_clock_text(c),
-        "number": clean.to_number(c).isNotNull(),
+        "parsed": F.when(digit, clean.parse_general(name).isNotNull()),
+        "clock": F.when(digit, clean.is_clock_text(c)),
+        "number": F.when(digit | first.isin("+", "-", ".", "i", "I"), clean.to_number(c).isNotNull()),
         "size": F.length(c),
     }
 

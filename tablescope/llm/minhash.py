@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.components import connected_components
+from tablescope.llm.groups import Forest, borders, whole_groups
 from tablescope.llm.scan import chunks, distinct, mixed, shingles
 from tablescope.llm.scratch import Scratch
 
@@ -120,54 +121,13 @@ def _leaves(vertices: DataFrame, scratch: Scratch, trees: int, node_limit: int,
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[pa.RecordBatch]]:
-    """Batches of rows sorted by ``key``, cut so that every group is whole; many small groups come together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = batch.column(key).to_numpy()
-        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if held and held[-1].column(key)[-1].as_py() != keys[0]:
-            yield held
-            held = []
-        if len(change):
-            cut = int(change[-1])
-            yield [*held, batch.slice(0, cut)]
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield held
-
-
-class _Forest:
-    def __init__(self, size: int):
-        self.up = np.arange(size)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return int(i)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.up[self.up]
-            if (up == self.up).all():
-                return up
-            self.up = up
-
-
 def _likely(sig: np.ndarray, least: int) -> np.ndarray:
     """Group number of every vertex of a node after joining likely pairs; alone means no likely partner."""
-    forest = _Forest(len(sig))
+    forest = Forest(len(sig))
     for i in range(len(sig) - 1):
         same = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least
-        for j in np.flatnonzero(same) + i + 1 if same.any() else ():
-            a, b = forest.root(i), forest.root(int(j))
-            if a != b:
-                forest.up[max(a, b)] = min(a, b)
+        for j in (np.flatnonzero(same) + i + 1).tolist():
+            forest.join(i, j)
     return forest.roots()
 
 
@@ -179,12 +139,11 @@ def _clusters(leaves: DataFrame, vertices: DataFrame, threshold: float) -> DataF
     sorted_rows = rows.repartition("node").sortWithinPartitions("node", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches):
-            node = np.concatenate([b.column(0).to_numpy() for b in held])
-            row = np.concatenate([b.column(1).to_numpy() for b in held])
-            sig = np.frombuffer(b"".join(s for b in held for s in b.column(2).to_pylist()), dtype=np.uint32).reshape(len(row), COORDINATES)
-            begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            size = np.diff(np.append(begin, len(node)))
+        for batch in whole_groups(batches):
+            node, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(len(row), COORDINATES)
+            begin = borders(node)
+            begin, size = begin[:-1], np.diff(begin)
             label = np.arange(len(row))
             pairs = begin[size == 2]
             near = (sig[pairs] == sig[pairs + 1]).sum(axis=1) >= least
@@ -192,8 +151,8 @@ def _clusters(leaves: DataFrame, vertices: DataFrame, threshold: float) -> DataF
             for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 label[b : b + n] = b + _likely(sig[b : b + n], least)
             order = np.argsort(label, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
-            count = np.diff(np.append(start, len(order)))
+            start = borders(label[order])
+            start, count = start[:-1], np.diff(start)
             # The same members give the same number in every tree.
             total = np.add.reduceat(mixed(row[order].astype(np.uint64) + np.uint64(1)), start)
             number = np.repeat(mixed(total + count.astype(np.uint64)).view(np.int64), count)
@@ -242,19 +201,17 @@ def _links(clusters: DataFrame, profiled: DataFrame, k: int, percent: int) -> Da
     sorted_rows = texts.repartition("cluster").sortWithinPartitions("cluster", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches):
-            cluster = np.concatenate([b.column(0).to_numpy() for b in held])
-            row = np.concatenate([b.column(1).to_numpy() for b in held])
+        for batch in whole_groups(batches):
+            row = batch.column(1).to_numpy()
             parts, sizes = [], [np.zeros(1, dtype=np.int64)]
-            for b in held:
-                for _, _, raw, starts in chunks(b.column(2)):
-                    own, offset = distinct(*shingles(raw, starts, k))
-                    parts.append(own)
-                    sizes.append(np.diff(offset))
+            for _, _, raw, starts in chunks(batch.column(2)):
+                own, offset = distinct(*shingles(raw, starts, k))
+                parts.append(own)
+                sizes.append(np.diff(offset))
             elements, offset = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
-            begin = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+            begin = borders(batch.column(0).to_numpy()).tolist()
             a, b = [], []
-            for first, last in zip(begin.tolist(), np.append(begin[1:], len(row)).tolist(), strict=True):
+            for first, last in zip(begin[:-1], begin[1:], strict=True):
                 near = _linked(elements[offset[first] : offset[last]], offset[first : last + 1] - offset[first], percent)
                 a += [row[first + i] for i, _ in near]
                 b += [row[first + j] for _, j in near]

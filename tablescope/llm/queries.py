@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.bpe import bpe_round_trip
+from tablescope.llm.embeddings import near_embeddings
 from tablescope.llm.minhash import near_duplicates
 from tablescope.llm.mixing import mix
 from tablescope.llm.scratch import Scratch
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder, manifest = write_token_files(docs, Scratch(spark, "op2"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -44,7 +49,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescope.llm.ranges import with_position
 from tablescope.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,22 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _weights(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
-    """``weight`` by the place of the source in code point order, null last."""
-    # One row per source: ranges of names are ranked apart, then shifted by the counts before them.
-    ranked = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
-    ranked = ranked.withColumn("inner", F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())))
-    return ranked.select("source", "source_size", "part", "inner")
-
-
 def targets(sources: DataFrame, scratch: Scratch, weights: Sequence[int], budget: float, max_epochs: float) -> DataFrame:
-    """``source, source_size, weight, target`` for one row per source."""
-    ranked = scratch.write(_weights(sources, weights), "ranked")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranked.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    place = F.col("before") + F.col("inner") - 1
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int"))
-    own = scratch.write(ranked.join(parts, "part").select("source", "source_size", weight.alias("weight")), "weighted")
+    """``source, source_size, weight, target`` for one row per source; weights go round in code point order, null last."""
+    ranked = with_position(sources, [F.col("source").asc_nulls_last()], scratch, "ranked")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("pos") % len(weights)).cast("int"))
+    own = scratch.write(ranked.select("source", "source_size", weight.alias("weight")), "weighted")
     total = own.agg(F.sum("source_size")).first()[0] or 0
     cap = F.col("source_size") * float(max_epochs)
     level = 0.0  # words for a unit of weight; it only rises, so clamped sources stay clamped

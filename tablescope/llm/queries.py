@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablescope.llm.bpe import bpe_round_trip
 from tablescope.llm.embeddings import near_embeddings
+from tablescope.llm.imatch import fingerprints
 from tablescope.llm.minhash import near_duplicates
 from tablescope.llm.mixing import mix
 from tablescope.llm.scratch import Scratch
@@ -48,8 +49,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, Scratch(spark, "op9")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescope.llm.scratch import Scratch
+
 SAMPLE_PER_SHARD = 20
 MAX_SHARDS = 20_000
 
@@ -53,3 +55,19 @@ def with_shard(df: DataFrame, key: str, lower_ends: list[int], name: str = "shar
 def dealt(df: DataFrame, by: list[str], shard: str = "shard") -> DataFrame:
     """Each shard whole in one task, its rows sorted by ``by``; a task may hold several shards, one after the other."""
     return df.repartition(F.col(shard)).sortWithinPartitions(shard, *by)
+
+
+_INNER_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
+
+
+def with_position(df: DataFrame, by: list[Column], scratch: Scratch, table: str) -> DataFrame:
+    """``df`` written in the order of ``by``, plus ``pos``: the place of each row, from 0.
+
+    Ranges are numbered apart and shifted by the counts before them, one row a range; no window holds the table.
+    """
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    held = scratch.write(placed, table).withColumn("_range", F.shiftright("_id", _INNER_BITS))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inner = F.col("_id").bitwiseAND(F.lit((1 << _INNER_BITS) - 1))
+    return held.join(ranges, F.col("_range") == F.col("_r")).withColumn("pos", F.col("_before") + inner).drop("_id", "_range", "_r", "_n", "_before")

@@ -115,4 +115,6 @@ def read_token_files(folder: str, manifest: DataFrame, with_ids: bool = False) -
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return manifest.select("name", "first").repartition("name").mapInArrow(run, schema)
+    # A given number of tasks: adaptive execution would see a tiny table and read all files in one.
+    files = max(1, min(manifest.count(), 20_000))
+    return manifest.select("name", "first").repartition(files, "name").mapInArrow(run, schema)

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablescope.llm.bpe import bpe_round_trip
 from tablescope.llm.embeddings import near_embeddings
+from tablescope.llm.html import extract
 from tablescope.llm.imatch import fingerprints
 from tablescope.llm.minhash import near_duplicates
 from tablescope.llm.mixing import mix
+from tablescope.llm.quality import quality_scores, remainder
 from tablescope.llm.scratch import Scratch
 from tablescope.llm.tokens import read_token_files, write_token_files
+from tablescope.llm.toxicity import toxicity_scores
+from tablescope.llm.warc import read_warc, write_warc
 from tablescope.llm.workers import importable
 
 END_ID = 2
@@ -33,6 +38,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(folder, manifest)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"), Scratch(spark, "op3"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_warc(_table(spark, sf_dir, "pages"), Scratch(spark, "op4"))
+    return read_warc(folder, manifest).drop("url")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = quality_scores(docs, docs, labels, remainder(F.col("id"), 4) != 2)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -44,6 +64,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, Scratch(spark, "op7"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity_scores(docs, docs, labels, remainder(F.col("id"), 5) != 0)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mix(docs, Scratch(spark, "op9")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +80,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_files, op6_byte_level_bpe, op7_minhash_near_dedup, op9_mixing, op10_document_fingerprints)}
+    named = (
+        op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_warc, op5_quality_classifier, op6_byte_level_bpe, op7_minhash_near_dedup, op8_toxicity, op9_mixing,
+        op10_document_fingerprints,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,9 +37,9 @@ from tablescope.llm.scan import chunks, distinct, mixed, shingles
 from tablescope.llm.scratch import Scratch
 
 COORDINATES = 64
-NODE_LIMIT = 1000  # documents that are compared with each other in one task
+NODE_LIMIT = 4000  # documents that are compared with each other in one task
 BRANCHES = 2
-MAX_DEPTH = 6
+MAX_DEPTH = 3
 #: Standard deviations below the threshold at which minwise tokens rule a pair out: odds of 1 in 10**6.
 SLACK = 4.75
 _A = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -135,7 +135,7 @@ def _clusters(leaves: DataFrame, vertices: DataFrame, threshold: float) -> DataF
     """``cluster, row``: likely groups inside nodes; equal groups of several trees share their number."""
     # Two sets of similarity t share each token with odds t.
     least = math.floor(COORDINATES * threshold - SLACK * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    rows = leaves.join(vertices.select("row", "sig"), "row").select("node", "row", "sig")
+    rows = leaves.hint("merge").join(vertices.select("row", "sig"), "row").select("node", "row", "sig")
     sorted_rows = rows.repartition("node").sortWithinPartitions("node", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,8 @@ def _linked(elements: np.ndarray, offset: np.ndarray, percent: int) -> list[tupl
 
 def _links(clusters: DataFrame, profiled: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b``: rows linked on full sets."""
-    texts = clusters.join(profiled.select("row", "body"), "row").select("cluster", "row", "body")
+    # Always a shuffle of the texts: what grows with the corpus is never broadcast, whichever side looks small.
+    texts = clusters.hint("merge").join(profiled.select("row", "body"), "row").select("cluster", "row", "body")
     sorted_rows = texts.repartition("cluster").sortWithinPartitions("cluster", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +239,7 @@ def near_duplicates(
     keyed = firsts.select(F.col("h1").bitwiseXOR(F.lit(0).cast("long")).alias("g1"), F.col("h2").bitwiseXOR(F.lit(0).cast("long")).alias("g2"), "vertex")
     of = scratch.write(full.select("row", "h1", "h2").join(keyed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("row", "vertex"), "vertex")
     reps = of.filter("row = vertex").select("row")
-    vertices = scratch.write(full.select("row", "sig").join(reps, "row"), "vertices")
+    vertices = scratch.write(full.select("row", "sig").join(reps.hint("merge"), "row"), "vertices")
     leaves = _leaves(vertices, scratch, trees, node_limit, max_depth)
     clusters = scratch.write(_clusters(leaves, vertices, threshold), "clusters")
     links = scratch.write(_links(clusters, full, words, percent), "links")

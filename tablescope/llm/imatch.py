@@ -4,12 +4,13 @@ Terms are runs of letters and digits, in lower case. The lexicon holds the terms
 band, as a share of all documents: common words say little, rare ones break at the first edit. A text keeps its distinct
 terms of the lexicon, hashed and sorted. Random bits of a term's hash deal the lexicon into subsets: at scale ``s`` into
 ``2 ** s`` classes, of which ``SUBSETS`` are looked at, each giving the hash of the sorted terms that fall into it.
-A fingerprint holds two neighbouring scales, chosen so that a class keeps about one of the text's terms: one edit then
+A fingerprint holds two neighbouring scales, chosen by the number of its distinct terms, so that a class keeps about one of them: one edit then
 changes one subset and not all of them. The likeness of two fingerprints is the share of equal subsets at the scales
 that both hold, among the subsets not empty in both.
 
 The lexicon has at most ``mean number of distinct terms / low`` entries, whatever the number of documents; it is broadcast
-only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``.
+only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``. Terms of classes that are not looked at
+never leave their text.
 
 Null texts count as empty. A text without terms of the lexicon (empty ones included) is its own single term, so equal texts
 agree and different ones do not. Documents are ordered by id, nulls first, then by a hash of the text; rows that agree in
@@ -32,35 +33,44 @@ _NULL_ID = -(1 << 63)
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
+    found = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
 def lexicon(docs: DataFrame, scratch: Scratch, low: float, high: float, text: str = "t") -> DataFrame:
-    """``term``: hashes of terms in at least ``low`` and at most ``high`` of all documents (always in two, if ``low`` is above 0)."""
+    """``lex``: hashes of the terms in at least ``low`` and at most ``high`` of all documents.
+
+    Terms of a single document are left out, and those of two always within ``high``.
+    """
     rows = docs.count()
-    counted = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    least = max(2 if low > 0 else 1, low * rows)
-    return scratch.write(counted.filter((F.col("df") >= least) & (F.col("df") <= max(2.0, high * rows))).select("term"), "lexicon")
+    counted = docs.select(F.explode(terms(F.col(text))).alias("lex")).groupBy("lex").agg(F.count("*").alias("df"))
+    return scratch.write(counted.filter((F.col("df") >= max(2, low * rows)) & (F.col("df") <= max(2.0, high * rows))).select("lex"), "lexicon")
+
+
+def scale_of(distinct_terms: Column) -> Column:
+    """An even power of two, of about half as many classes as a text has terms or fewer; at least as many as are looked at."""
+    return F.greatest(F.lit(4), (F.floor(F.log2(F.greatest(distinct_terms, F.lit(1)) / 2) / 2) * 2).cast("int"))
+
+
+def _class(term: Column, scale: Column) -> Column:
+    return term.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), scale) - 1)
 
 
 def _subsets(kept: Column, scale: Column) -> Column:
-    """32-bit hashes of the first ``SUBSETS`` classes at ``scale``; null where a class is empty."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), scale.cast("int")) - 1
-    seen = F.filter(kept, lambda t: t.bitwiseAND(mask) < SUBSETS)
+    """32-bit hashes of the terms of the first ``SUBSETS`` classes at ``scale``; null where a class is empty."""
+    seen = F.filter(kept, lambda t: _class(t, scale) < SUBSETS)
 
     def one(r: Column) -> Column:
-        own = F.filter(seen, lambda t: t.bitwiseAND(mask) == r)
+        own = F.filter(seen, lambda t: _class(t, scale) == r)
         return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(own), 32).cast("int"))
 
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
 
 
-def fingerprint(kept: Column, whole: Column) -> Column:
-    """``terms, scale, coarse, fine`` from a text's sorted distinct terms of the lexicon, or from its own hash if it has none."""
-    own = F.when(F.size(kept) > 0, kept).otherwise(F.array(whole))
-    n = F.size(own)
-    scale = F.greatest(F.lit(4), (F.floor(F.log2(n) / 2) * 2).cast("int"))
-    return F.struct(n.alias("terms"), scale.alias("scale"), _subsets(own, scale).alias("coarse"), _subsets(own, scale + 2).alias("fine"))
+def fingerprint(kept: Column, scale: Column, whole: Column) -> Column:
+    """``terms, scale, coarse, fine`` from the sorted terms of a text, or from the text's own hash if it has none."""
+    own = F.when(F.size(kept) > 0, kept).otherwise(F.array(whole.bitwiseAND(~(SUBSETS - 1))))
+    return F.struct(F.size(kept).alias("terms"), scale.alias("scale"), _subsets(own, scale).alias("coarse"), _subsets(own, scale + 2).alias("fine"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -99,7 +109,7 @@ def fingerprints(
         F.coalesce(ident, F.lit(_NULL_ID)).alias("k"), F.xxhash64(ident.isNull(), t).alias("h"), t.alias("t"), ident.isNull().alias("no_id")
     )
     words = lexicon(base, scratch, low, high)
-    small = words.count() <= BROADCAST_TERMS
+    words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     keys = base.select("k", "h", F.char_length("t").alias("n"), "no_id").groupBy("k", "h").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.max("no_id").alias("no_id"))
     # Null ids hold the smallest key; an id of that very value comes right after them.
     order = [F.col("k").asc(), F.col("no_id").desc(), F.col("h").asc()]
@@ -118,17 +128,22 @@ def fingerprints(
     both = texts.join(sent, (F.col("k") == F.col("prev_k")) & (F.col("h") == F.col("prev_h"))).select(
         "k", "h", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("t").alias("body")), F.struct(F.lit(1).alias("v"), edited.alias("body")))).alias("e")
     ).select("k", "h", "e.*")
-    # The row of a version itself (term null) and its terms in the lexicon; the join's partitioning serves the grouping too.
-    whole = F.struct(F.char_length("body").alias("n"), F.sha2("body", 256).alias("sha"), F.xxhash64(F.lit("text"), F.col("body")).alias("own"))
-    listed = both.select("k", "h", "v", whole.alias("w"), F.explode_outer(terms(F.col("body"))).alias("term"))
-    marked = listed.join(F.broadcast(words.select(F.col("term").alias("lex"))) if small else words.select(F.col("term").alias("lex")), F.col("term") == F.col("lex"), "left")
-    grouped = marked.groupBy("k", "h", "v").agg(F.any_value("w").alias("w"), F.array_sort(F.collect_set("lex")).alias("kept"))
-    printed = grouped.select("k", "h", "v", "w", fingerprint(F.col("kept"), F.col("w.own")).alias("fp"))
-    paired = printed.groupBy("k", "h").agg(
-        F.max(F.when(F.col("v") == 0, F.col("w.n"))).cast("long").alias("n_chars"), F.max(F.when(F.col("v") == 1, F.col("w.sha"))).alias("edited_sha256"),
-        F.any_value(F.when(F.col("v") == 0, F.col("fp")), True).alias("fp"), F.any_value(F.when(F.col("v") == 1, F.col("fp")), True).alias("efp"),
+    # Step by step, so that no step is worked out twice.
+    termed = both.select("k", "h", "v", F.char_length("body").cast("long").alias("n"), F.unhex(F.sha2("body", 256)).alias("sha"), terms(F.col("body")).alias("all"))
+    scaled = termed.select("k", "h", "v", "n", "sha", "all", scale_of(F.size("all")).alias("scale"))
+    listed = scaled.select("k", "h", "v", "n", "sha", "scale", F.explode_outer(F.filter("all", lambda t: _class(t, F.col("scale")) < SUBSETS)).alias("term"))
+    # The texts' partitioning by key serves the grouping as well: no further shuffle.
+    marked = listed.join(words, F.col("term") == F.col("lex"), "left")
+    grouped = marked.groupBy("k", "h", "v").agg(
+        F.any_value("n").alias("n"), F.any_value("sha").alias("sha"), F.any_value("scale").alias("scale"), F.array_sort(F.collect_set("lex")).alias("kept")
     )
-    made = scratch.write(paired.join(places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "pos", "copies", "no_id"), (F.col("k") == F.col("pk")) & (F.col("h") == F.col("ph"))).drop("pk", "ph"), "made")
+    printed = grouped.select("k", "h", "v", "n", "sha", fingerprint(F.col("kept"), F.col("scale"), F.xxhash64("sha")).alias("fp"))
+    printed = printed.groupBy("k", "h").agg(
+        F.max(F.when(F.col("v") == 0, F.col("n"))).alias("n_chars"), F.max(F.when(F.col("v") == 1, F.hex("sha"))).alias("edited_sha256"),
+        F.any_value(F.when(F.col("v") == 0, F.col("fp")), True).alias("fp"), F.any_value(F.when(F.col("v") == 1, F.col("fp")), True).alias("efp"),
+    ).withColumn("edited_sha256", F.lower("edited_sha256"))
+    where = places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "pos", "copies", "no_id")
+    made = scratch.write(printed.join(where, (F.col("k") == F.col("pk")) & (F.col("h") == F.col("ph"))).drop("pk", "ph"), "made")
     after = made.select(F.pmod(F.col("pos") - 1, F.lit(max(total, 1))).alias("p"), F.col("fp").alias("next_fp"))
     out = made.join(after, F.col("pos") == F.col("p"))
     result = out.select(

@@ -71,8 +71,9 @@ def write_token_files(
             keys, texts, shards = (batch.column(i).to_pylist() for i in (0, 1, 2))
             begin = 0
             while begin < len(keys):
-                stop = begin + 1
-                while stop < len(keys) and stop - begin < 200 and shards[stop] == shards[begin]:
+                stop, chars = begin + 1, len(texts[begin])
+                while stop < len(keys) and stop - begin < 200 and shards[stop] == shards[begin] and chars + len(texts[stop]) <= ids_per_file:
+                    chars += len(texts[stop])
                     stop += 1
                 if held and (shards[begin] != shard or size >= ids_per_file):
                     yield close()

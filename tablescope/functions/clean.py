@@ -17,6 +17,9 @@ CSV_MISSING_TOKENS = [
 # What a cell of a numeric text column must hold to count as missing.
 NUMERIC_MISSING_TOKENS = ["", "-", "--", "NA", "N/A", "na", "n/a", "null", "NULL", "None", "none", "."]
 
+# What counts as white space around a cell.
+WHITE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 # Fixed values: (shape of the text, date pattern) pairs of the general datetime parse.
@@ -35,7 +38,24 @@ GENERAL_FORMATS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    # Where the first number can be no month, it is the day.
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "yyyy-M-d h:mm:ss a"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4} \d{1,2}:\d{2}:\d{2}$", "d-MMM-yyyy H:mm:ss"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{8} \d{1,2}:\d{2}$", "yyyyMMdd H:mm"),
+    (r"^\d{8} \d{1,2}:\d{2}:\d{2}$", "yyyyMMdd H:mm:ss"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
     (r"^\d{4}-\d{1,2}$", "yyyy-M"),
     (r"^\d{4}/\d{1,2}$", "yyyy/M"),
     (r"^\d{8}$", "yyyyMMdd"),
@@ -49,6 +69,11 @@ CJK_FORMATS = [
     (r"^\d{4}年\d{1,2}月$", "yyyy年M月"),
 ]
 
+_ISO = r"\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}"
+ZONED = rf"^{_ISO}(:\d{{2}}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})$"
+FINE = rf"^{_ISO}:\d{{2}}\.\d{{7,9}}$"  # finer than microseconds: cut
+DATE_START = r"^(\d|[A-Za-z]{3,9} \d{1,2}, \d{4}$)[\w/:., +-]*$"
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -83,8 +108,17 @@ def finite(c: Column) -> Column:
     return F.when((F.abs(d) < float("inf")), d)
 
 
+def strip(c: Column) -> Column:
+    """Text without white space around it, tabs, line ends and wide blanks included."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def _stripped_sql(name: str) -> str:
+    return f"btrim({quoted(name)}, '{WHITE}')"
+
+
 def without_tokens(c: Column, tokens: list[str] = NUMERIC_MISSING_TOKENS) -> Column:
-    text = F.trim(c)
+    text = strip(c)
     return F.when(~text.isin(tokens), text)
 
 
@@ -100,19 +134,24 @@ def _parse_sql(ref: str, shape: str, pattern: str) -> str:
 
 
 def parse_format(name: str, shape: str, pattern: str) -> Column:
-    return F.expr(_parse_sql(f"trim({quoted(name)})", shape, pattern))
+    return F.expr(_parse_sql(_stripped_sql(name), shape, pattern))
 
 
 def parse_general(name: str) -> Column:
-    """The first general format whose shape fits the text column ``name``; one test rules out most other text."""
-    ref = f"trim({quoted(name)})"
+    """The first general format whose shape fits the text column ``name``; one test rules out most other text.
+
+    Times with ``Z`` or an offset become the time in UTC.
+    """
+    ref = _stripped_sql(name)
     formats = ", ".join(_parse_sql(ref, shape, pattern) for shape, pattern in GENERAL_FORMATS)
-    return F.expr(rf'CASE WHEN {ref} RLIKE r"^\d[\d/:. T-]*$" THEN coalesce({formats}) END')
+    zoned = f'CASE WHEN {ref} RLIKE r"{ZONED}" THEN CAST(to_utc_timestamp(try_cast({ref} AS TIMESTAMP), current_timezone()) AS TIMESTAMP_NTZ) END'
+    fine = f'CASE WHEN {ref} RLIKE r"{FINE}" THEN try_cast({ref} AS TIMESTAMP_NTZ) END'
+    return F.expr(f'CASE WHEN {ref} RLIKE r"{DATE_START}" THEN coalesce({formats}, {zoned}, {fine}) END')
 
 
 def parse_compact(c: Column) -> Column:
     """Whole numbers such as 20230105 (or their text) as dates."""
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     return F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
 
 
@@ -156,7 +195,7 @@ def _seconds_from_clock(text: Column) -> Column:
 
 
 def is_clock_text(c: Column) -> Column:
-    return _seconds_from_clock(F.trim(c)).isNotNull()
+    return _seconds_from_clock(strip(c)).isNotNull()
 
 
 def seconds_of_day(c: Column, dtype: T.DataType) -> Column:

@@ -15,7 +15,7 @@ from tablescope.plans.selection import column_quantiles
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
 
-BINS, BAR_CATEGORIES, SCATTER_COLUMNS = 30, 15, 10
+BINS, BAR_CATEGORIES = 30, 15
 
 
 def fin(name: str) -> Column:
@@ -98,8 +98,8 @@ def category_bars(df: DataFrame, columns: Sequence[str], n: int = BAR_CATEGORIES
     return top_categories(df, columns, n).orderBy("column_name", F.asc("count"), F.desc("category"))
 
 
-def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int = SCATTER_COLUMNS) -> DataFrame:
-    """Least-squares line and extent of every pair of the first ten numeric columns; all pairs in one scan."""
+def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
+    """Least-squares line and extent of every pair of numeric columns; all pairs in one scan."""
     chosen = list(columns)[:max_columns]
     clean = df.select(*[fin(c).alias(f"c{i}") for i, c in enumerate(chosen)])
     pairs = column_pairs(chosen)
@@ -124,7 +124,7 @@ def heatmap(cells: DataFrame) -> DataFrame:
 
 
 def time_lines(
-    df: DataFrame, time_col: str, columns: Sequence[str], frequency: str, tie: Sequence[str] = (), max_columns: int = 10
+    df: DataFrame, time_col: str, columns: Sequence[str], frequency: str, tie: Sequence[str] = (), max_columns: int | None = None
 ) -> DataFrame:
     """Points of the time-series chart: bucket means, or raw values of an irregular series."""
     chosen = list(columns)[:max_columns]

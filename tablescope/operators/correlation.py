@@ -8,20 +8,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite
-from tablescope.functions.pvalues import correlation_p_value, kendall_tau
-from tablescope.plans.materialize import materialize
-from tablescope.plans.ordered import with_weight_below
-from tablescope.plans.small import held, small_table
+from tablescope.functions.pvalues import correlation_p_value, normal_p_value
+from tablescope.plans.materialize import materialize, settled
+from tablescope.plans.ordered import with_position, with_weight_below
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 STRONG, MODERATE = 0.7, 0.4
-KENDALL_ROWS = 50_000
-BROADCAST_ROWS = 500_000  # rank tables up to this many (value, rank) rows are broadcast, about 10 MB
 
 
 def column_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
@@ -95,12 +92,12 @@ def _shared_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> Da
     used = sorted({i for p in pairs for i in p})
     entries = ", ".join(f"struct({i} AS c, c{i} AS value)" for i in used)
     freq = clean.select(F.expr(f"inline(array({entries}))")).groupBy("c", "value").agg(F.count("*").alias("weight"))
-    ranks = materialize(_average_ranks(freq, ["c"]))
+    ranks = settled(_average_ranks(freq, ["c"]))
     rows = clean.select(*[f"c{i}" for i in used])
     for i in used:
         side = ranks.filter(F.col("c") == i).select(F.col("value").alias(f"c{i}"), F.col("rank").alias(f"r{i}"))
-        # Larger rank tables go through a shuffle join, where adaptive execution splits hot values.
-        rows = rows.join(held(side, BROADCAST_ROWS), f"c{i}")
+        # A shuffle join where the table is large: adaptive execution splits hot values.
+        rows = rows.join(side, f"c{i}")
     return _pair_table(rows, pairs, "r")
 
 
@@ -115,12 +112,12 @@ def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataF
         "pair", F.expr("inline(array(struct('x' AS side, x AS value), struct('y' AS side, y AS value)))"), "weight"
     )
     freq = sides.groupBy("pair", "side", "value").agg(F.sum("weight").alias("weight"))
-    ranks = materialize(_average_ranks(freq, ["pair", "side"]))
+    ranks = settled(_average_ranks(freq, ["pair", "side"]))
     for side in ("x", "y"):
         table = ranks.filter(F.col("side") == side).select(
             "pair", F.col("value").alias(side), F.col("rank").alias(f"r{side}")
         )
-        cells = cells.join(held(table, BROADCAST_ROWS), ["pair", side])
+        cells = cells.join(table, ["pair", side])
     w, rx, ry = F.col("weight").cast("double"), F.col("rx"), F.col("ry")
     # Ranks average (n + 1) / 2, so centring is known beforehand and the sums stay accurate.
     sizes = folded_rows.groupBy("pair").agg(F.sum("weight").alias("pair_rows"))
@@ -154,32 +151,63 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _named(table, "spearman", columns, correlation_p_value("r", "n"))
 
 
-_KENDALL_SCHEMA = "i int, j int, n long, flat_x boolean, flat_y boolean, r double, p double"
-
-
-def _kendall_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    flat_x, flat_y = bool((x == x[0]).all()), bool((y == y[0]).all())
-    r, p = kendall_tau(x, y) if len(x) >= 3 and not flat_x and not flat_y else (None, None)
-    row = (pdf["i"].iloc[0], pdf["j"].iloc[0], len(x), flat_x, flat_y, r, p)
-    return pd.DataFrame([row], columns=["i", "j", "n", "flat_x", "flat_y", "r", "p"])
+def _ties(cells: DataFrame, side: str) -> DataFrame:
+    """Per pair of columns: tied pairs of rows, and the two sums that ties take part in the variance with."""
+    t = F.col("t").cast("decimal(38,0)")
+    d = F.col("t").cast("double")
+    groups = cells.groupBy("i", "j", side).agg(F.sum("weight").alias("t"))
+    return groups.groupBy("i", "j").agg(
+        F.sum((t * (t - 1) / 2).cast("decimal(38,0)")).alias(f"tied_{side}"), F.sum(d * (d - 1) * (d - 2)).alias(f"thirds_{side}"),
+        F.sum(d * (d - 1) * (2 * d + 5)).alias(f"spread_{side}"), (F.count("*") == 1).alias(f"flat_{side}"),
+    )
 
 
-def kendall(df: DataFrame, columns: Sequence[str], max_rows: int = KENDALL_ROWS) -> DataFrame:
-    """Tau-b per pair; the whole method is skipped above ``max_rows`` rows, which also bounds every group."""
+def _discordant(cells: DataFrame) -> DataFrame:
+    """Pairs of rows that x and y order the other way round, per pair of columns.
+
+    Rows are put in the order of (x, y). Two rows are out of order exactly if, at the first bit in which the ranks of their
+    y differ, the earlier row has a one. So every row takes part once per bit, in the group of the bits above it, and each group
+    counts the ones before each zero: a running sum over ordered blocks, in which no group is held by one task.
+    """
+    values = cells.select("i", "j", "y").distinct()
+    ranks = settled(with_position(values, ["y"], ["i", "j"], name="rank"))
+    bits = max(1, int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length())
+    ranked = cells.join(ranks, ["i", "j", "y"])
+    entries = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
+    long = ranked.select("i", "j", "x", "y", "weight", "rank", entries.alias("bit"))
+    # rank >> bit and so on, with shifts that follow a column
+    above = F.call_function("shiftright", F.col("rank"), F.col("bit") + 1)
+    one = F.call_function("shiftright", F.col("rank"), F.col("bit")).bitwiseAND(1)
+    marked = long.select("i", "j", "bit", above.alias("above"), "x", "y", "weight", one.alias("one"), (F.col("weight") * one).alias("ones"))
+    summed = with_weight_below(marked, ["x", "y"], "ones", ["i", "j", "bit", "above"], name="before")
+    lost = F.when(F.col("one") == 0, F.col("weight").cast("decimal(38,0)") * F.col("before").cast("decimal(20,0)")).otherwise(F.lit(0))
+    return summed.groupBy("i", "j").agg(F.sum(lost.cast("decimal(38,0)")).alias("discordant"))
+
+
+def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Tau-b of every pair at any number of rows; p-values by the normal limit with its correction for ties."""
     pairs = column_pairs(columns)
-    spark = df.sparkSession
-    wanted = small_table(spark, pairs, "i int, j int")
-    if df.count() > max_rows:
-        table = wanted.select(
-            "i", "j", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("r"),
-            F.lit(None).cast("double").alias("p"), F.lit("dataset_size_exceeds_kendall_limit").alias("reason"),
-        )
-        return _named(table, "kendall", columns, F.col("p"))
     entries = ", ".join(f"struct({i} AS i, {j} AS j, c{i} AS x, c{j} AS y)" for i, j in pairs)
-    cells = _clean(df, columns).select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
-    found = cells.groupBy("i", "j").applyInPandas(_kendall_group, _KENDALL_SCHEMA)
-    table = wanted.join(found, ["i", "j"], "left").fillna(0, ["n"])
+    long = _clean(df, columns).select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = settled(long.groupBy("i", "j", "x", "y").agg(F.count("*").alias("weight")))
+    w = F.col("weight").cast("decimal(38,0)")
+    sizes = cells.groupBy("i", "j").agg(F.sum("weight").alias("n"), F.sum((w * (w - 1) / 2).cast("decimal(38,0)")).alias("tied_both"))
+    found = settled(sizes.join(_ties(cells, "x"), ["i", "j"]).join(_ties(cells, "y"), ["i", "j"]).join(_discordant(cells), ["i", "j"]))
+    n, big = F.col("n").cast("double"), F.col("n").cast("decimal(38,0)")
+    all_pairs = (big * (big - 1) / 2).cast("decimal(38,0)")
+    score = (all_pairs - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - 2 * F.col("discordant")).cast("double")
+    tau = F.try_divide(F.try_divide(score, F.sqrt((all_pairs - F.col("tied_x")).cast("double"))), F.sqrt((all_pairs - F.col("tied_y")).cast("double")))
+    m = n * (n - 1.0)
+    variance = (
+        (m * (2 * n + 5) - F.col("spread_x") - F.col("spread_y")) / 18
+        + F.try_divide(2.0 * F.col("tied_x").cast("double") * F.col("tied_y").cast("double"), m)
+        + F.try_divide(F.col("thirds_x") * F.col("thirds_y"), 9 * m * (n - 2))
+    )
+    table = found.select(
+        "i", "j", "n", "flat_x", "flat_y", tau.alias("r"), normal_p_value(F.try_divide(F.abs(score), F.sqrt(F.greatest(variance, F.lit(0.0))))).alias("p")
+    )
+    wanted = small_table(df.sparkSession, pairs, "i int, j int")
+    table = wanted.join(table, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"])
     return _named(_finished(table), "kendall", columns, F.col("p"))
 
 
@@ -238,8 +266,8 @@ def skipped_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def correlation_cells(matrix: DataFrame, columns: Sequence[str], max_columns: int = 30) -> DataFrame:
-    """Matrix cells by column index for the first ``max_columns`` columns, nulls dropped."""
+def correlation_cells(matrix: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
+    """Matrix cells by column index, nulls dropped; ``max_columns`` keeps the first ones."""
     shown = list(columns)[:max_columns]
     index = F.create_map(*[part for i, c in enumerate(shown) for part in (F.lit(c), F.lit(i))])
     return (

@@ -13,9 +13,9 @@ from tablescope.operators.categorical import MISSING_LABEL, label
 from tablescope.operators.charts import BINS, bin_of, bounds_of
 from tablescope.operators.sampling import mix, uniform_sample
 from tablescope.operators.statistics import fences, number
-from tablescope.plans.materialize import materialize
+from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import with_position
-from tablescope.plans.small import held, small_table
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted, unpivot
 
 OTHER = "其他"
@@ -37,9 +37,12 @@ def find_combination(df: DataFrame, parts: Mapping[str, object] | DataFrame) ->
     """Rows matching up to four identifier fields, or any of a table of combinations (semi-join)."""
     if isinstance(parts, DataFrame):
         condition = F.lit(True)
-        wanted = parts.select(*[F.col(quoted(c)).cast("string").alias(f"_w{i}") for i, c in enumerate(parts.columns)])
+        # In the types of df: the same number matches however the table of combinations stores it.
+        told = F.lit(True)
         for i, c in enumerate(parts.columns):
-            condition = condition & label(c).eqNullSafe(F.col(f"_w{i}"))
+            told = told & (F.col(quoted(c)).isNull() | F.col(quoted(c)).try_cast(df.schema[c].dataType).isNotNull())
+            condition = condition & F.col(quoted(c)).eqNullSafe(F.col(f"_w{i}"))
+        wanted = parts.filter(told).select(*[F.col(quoted(c)).try_cast(df.schema[c].dataType).alias(f"_w{i}") for i, c in enumerate(parts.columns)])
         return df.join(wanted, condition, "left_semi")
     for column, value in parts.items():
         df = df.filter(F.col(quoted(column)) == F.lit(value))
@@ -82,10 +85,11 @@ def bucketed_series(
     keep = df.select(
         time_key(time_col, granularity).alias("bucket"),
         *([F.coalesce(label(group), F.lit(MISSING_LABEL)).alias("group")] if group else []),
-        *[number(c).alias(c) for c in columns if c not in ("bucket", "group")],
+        # Numbered, so that a column called like a key is not taken for it.
+        *[number(c).alias(f"v{i}") for i, c in enumerate(columns)],
     ).filter(F.col("bucket").isNotNull())
     keys = ["bucket", *(["group"] if group else [])]
-    cells = unpivot(keep, {c: finite(F.col(quoted(c))) for c in columns}, keys)
+    cells = unpivot(keep, {c: finite(F.col(f"v{i}")) for i, c in enumerate(columns)}, keys)
     return cells.filter(F.col("value").isNotNull()).groupBy("column_name", *keys).agg(agg("value").alias("value"))
 
 
@@ -149,7 +153,7 @@ def grouped_histogram(df: DataFrame, column: str, group: str, bins: int = BINS)
     per_group = counts.groupBy("group").agg(F.sum("count").alias("group_rows"))
     return (
         counts.join(F.broadcast(per_bin), "bin")  # at most `bins` rows
-        .join(held(per_group), "group")
+        .join(settled(per_group), "group")
         .select("bin", "group", "group_rows", "count", (F.col("count") / F.col("_in_bin")).alias("share"))
         .orderBy(F.desc("group_rows"), "group", "bin")
     )
@@ -300,4 +304,4 @@ def strip(
     bands = with_position(
         rows.groupBy("group").agg(F.count("*").alias("group_rows")), [F.desc("group_rows"), "group"], name="band"
     )
-    return rows.join(held(bands), "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")
+    return rows.join(settled(bands), "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")

@@ -13,9 +13,9 @@ from tablescope.operators import (
     calendar, categorical, charts, correlation, missing, prepare, quality, sampling, series, statistics, typing,
 )
 from tablescope.operators.categorical import MISSING_LABEL, label
-from tablescope.plans.materialize import materialize
+from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import with_position
-from tablescope.plans.small import held, small_table
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted, unpivot
 
 SCHEMA_VERSION = "1.0"
@@ -88,7 +88,7 @@ def row_payload(
         side = dictionary.filter(F.col("column_name") == c).select(
             F.col("category").alias(f"l{i}"), F.col("code").alias(f"code{i}")
         )
-        rows = rows.join(held(side), f"l{i}")
+        rows = rows.join(settled(side), f"l{i}")
     rows = rows.select(
         *[F.col(f"n{i}").alias(c) for i, c in enumerate(numbers)],
         *[F.col(f"code{i}").alias(f"{c}_code") for i, c in enumerate(coded)],

@@ -12,15 +12,13 @@ from pyspark.sql import types as T
 
 from tablescope.functions.clean import epoch_ms, is_temporal
 from tablescope.operators.categorical import MISSING_LABEL, label, value_counts
-from tablescope.plans.materialize import materialize
+from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import first_n, with_position
-from tablescope.plans.small import held, small_table
+from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 SEED = 42
-ROW_LIMIT = 500_000
-IDENTIFIER_LIMIT = 300_000
-MAX_FIELDS, MAX_COMBINATIONS = 4, 30
+MAX_FIELDS = 4
 
 
 def mix(seed: int, *columns: str | Column) -> Column:
@@ -108,7 +106,7 @@ def representative_sample(
     narrow = timed.select(_STRATUM, "_t", *[F.col(quoted(k)).alias(a) for k, a in zip(key, keys, strict=True)])
     placed = with_position(narrow, ["_t", *keys], [_STRATUM], name="_rn", total="_size")
     segment = F.expr("CAST(_rn AS DECIMAL(18,0)) * CAST(share AS DECIMAL(18,0)) div _size")
-    shares = held(shares.select(F.col(_STRATUM).alias("_s"), "share").filter(F.col("share") > 0))
+    shares = settled(shares.select(F.col(_STRATUM).alias("_s"), "share").filter(F.col("share") > 0))
     picked = (
         placed.join(shares, F.col(_STRATUM) == F.col("_s"))
         .withColumn("_segment", segment)
@@ -129,25 +127,26 @@ def evenly_spaced(df: DataFrame, limit: int, time_col: str, key: Sequence[str],
     return representative_sample(df, limit, key, time_col, (), seed)
 
 
-def identifier_counts(df: DataFrame, columns: Sequence[str], max_values: int = IDENTIFIER_LIMIT) -> DataFrame:
-    """Most frequent identifier values per column with the number of distinct values, null included."""
-    counts = materialize(value_counts(df, columns, MISSING_LABEL))
+def identifier_counts(df: DataFrame, columns: Sequence[str], max_values: int | None = None) -> DataFrame:
+    """Identifier values per column with the number of distinct values, null included; ``max_values`` keeps the most frequent."""
+    counts = value_counts(df, columns, MISSING_LABEL)
     return _top_with_total(counts, "column_name", "category", max_values)
 
 
-def _top_with_total(counts: DataFrame, key: str, value: str, max_values: int) -> DataFrame:
+def _top_with_total(counts: DataFrame, key: str, value: str, max_values: int | None) -> DataFrame:
+    if max_values is not None:
+        counts = materialize(counts)
     totals = counts.groupBy(key).agg(F.count("*").alias("total_unique"))
-    if any(r["total_unique"] > max_values for r in totals.collect()):  # one row per column or combination
+    if max_values is not None and any(r["total_unique"] > max_values for r in totals.collect()):  # one row per column or combination
         counts = first_n(counts, [F.desc("count"), value], max_values, [key])
     return counts.join(F.broadcast(totals), key)
 
 
 def identifier_combinations(
-    df: DataFrame, columns: Sequence[str], max_values: int = IDENTIFIER_LIMIT, max_fields: int = MAX_FIELDS
+    df: DataFrame, columns: Sequence[str], max_values: int | None = None, max_fields: int = MAX_FIELDS
 ) -> DataFrame:
-    """Counts of every combination of two to four identifiers (at most 30 combinations)."""
+    """Counts of every combination of two to four identifiers; ``max_values`` keeps the most frequent of each."""
     chosen = [c for size in range(2, min(max_fields, len(columns)) + 1) for c in combinations(columns, size)]
-    chosen = chosen[:MAX_COMBINATIONS]
     schema = "combination string, values array<string>, count long, total_unique long"
     if not chosen:
         return small_table(df.sparkSession, [], schema)
@@ -163,7 +162,7 @@ def identifier_combinations(
     counts = (
         df.select(F.explode(entries).alias("e")).select("e.*").groupBy("combination", "values").agg(F.count("*").alias("count"))
     )
-    return _top_with_total(materialize(counts), "combination", "values", max_values).select(
+    return _top_with_total(counts, "combination", "values", max_values).select(
         "combination", "values", "count", "total_unique"
     )
 

@@ -88,10 +88,10 @@ def resample(df: DataFrame, time_col: str, columns: Sequence[str], frequency: st
     over many tasks.
     """
     cells = unpivot(
-        df.select(bucket(when_of(time_col), frequency).alias("bucket"), *[quoted(c) for c in columns]).filter(
+        df.select(bucket(when_of(time_col), frequency).alias("bucket"), *[number(c).alias(f"v{i}") for i, c in enumerate(columns)]).filter(
             F.col("bucket").isNotNull()
         ),
-        {c: number(c) for c in columns},
+        {c: F.col(f"v{i}") for i, c in enumerate(columns)},
         ["bucket"],
     ).filter(F.col("value").isNotNull())
     keys = ["column_name", "bucket"]
@@ -113,8 +113,8 @@ def irregular_series(df: DataFrame, time_col: str, columns: Sequence[str], tie:
     """``(column, time, value)`` without nulls, in time order."""
     ts = when_of(time_col).alias("datetime")
     renamed = {t: f"_tie{i}" for i, t in enumerate(tie)}
-    wide = df.select(ts, *[F.col(quoted(t)).alias(r) for t, r in renamed.items()], *[number(c).alias(c) for c in columns])
-    cells = unpivot(wide, {c: F.col(quoted(c)) for c in columns}, ["datetime", *renamed.values()])
+    wide = df.select(ts, *[F.col(quoted(t)).alias(r) for t, r in renamed.items()], *[number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    cells = unpivot(wide, {c: F.col(f"v{i}") for i, c in enumerate(columns)}, ["datetime", *renamed.values()])
     kept = cells.filter(F.col("datetime").isNotNull() & F.col("value").isNotNull())
     return kept.orderBy("column_name", "datetime", *renamed.values()).drop(*renamed.values())
 
@@ -122,8 +122,8 @@ def irregular_series(df: DataFrame, time_col: str, columns: Sequence[str], tie:
 def time_index_means(df: DataFrame, index_col: str, columns: Sequence[str]) -> DataFrame:
     """Mean of each column per value of an ordered index such as a week number."""
     cells = unpivot(
-        df.select(number(index_col).alias("time_index"), *[quoted(c) for c in columns if c != index_col]),
-        {c: number(c) for c in columns if c != index_col},
+        df.select(number(index_col).alias("time_index"), *[number(c).alias(f"v{i}") for i, c in enumerate(columns) if c != index_col]),
+        {c: F.col(f"v{i}") for i, c in enumerate(columns) if c != index_col},
         ["time_index"],
     )
     return (

@@ -20,6 +20,7 @@ QUANTILES = {
 }
 FENCE = 1.5
 SHAPIRO_LIMIT = 5000
+JARQUE_BERA, SHAPIRO_WILK = "Jarque-Bera", "Shapiro-Wilk"
 
 
 def number(name: str) -> Column:
@@ -142,9 +143,10 @@ def _shapiro_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["column_name"].iloc[0], statistic, p_value)], columns=["column_name", "statistic", "p_value"])
 
 
-def normality_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Shapiro-Wilk up to 5,000 values, Jarque-Bera above."""
-
+def normality_table(df: DataFrame, columns: Sequence[str], test: str = JARQUE_BERA) -> DataFrame:
+    """The test asked for, at every size: Jarque-Bera, or Shapiro-Wilk of columns with at most ``SHAPIRO_LIMIT`` values."""
+    if test not in (JARQUE_BERA, SHAPIRO_WILK):
+        raise ValueError(f"unknown test: {test}")
     v = F.col("value")
     base = per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
         "n": F.count(v), "low": F.min(v), "high": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
@@ -152,27 +154,20 @@ def normality_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "reason",
         F.when(F.col("n") < 3, "insufficient_samples").when(F.col("low") == F.col("high"), "constant_variable"),
     )
-    plain = base.select("column_name", "ordinal", "n", "reason", "g1", "g2").collect()  # one row per column
-    small = [r["column_name"] for r in plain if r["reason"] is None and r["n"] <= SHAPIRO_LIMIT]
-    tested, is_small = F.col("reason").isNull(), F.col("n") <= SHAPIRO_LIMIT
-    jb = F.col("n") / 6.0 * (F.pow("g1", F.lit(2.0)) + F.pow("g2", F.lit(2.0)) / 4.0)
-    out = (
-        small_table(df.sparkSession, plain, "column_name string, ordinal int, n long, reason string, g1 double, g2 double"
-        )
-        .withColumn("test", F.when(tested, F.when(is_small, "Shapiro-Wilk").otherwise("Jarque-Bera")))
-        .withColumn("statistic", F.when(tested & ~is_small, jb))
-        .withColumn("p_value", F.exp(-F.col("statistic") / 2.0))
-    )
-    if small:
-        # Each group holds at most 5,000 values by the rule that picks the test.
-        values = unpivot(df, {c: finite(F.col(quoted(c))) for c in small}).filter(F.col("value").isNotNull())
-        shapiro = values.groupBy("column_name").applyInPandas(_shapiro_group, _SHAPIRO_SCHEMA)
-        named = shapiro.select(
-            F.col("column_name").alias("_name"), F.col("statistic").alias("_w"), F.col("p_value").alias("_p")
-        )
-        out = out.join(named, F.col("column_name") == F.col("_name"), "left").withColumns(
-            {"statistic": F.coalesce("statistic", "_w"), "p_value": F.coalesce("p_value", "_p")}
-        )
+    tested = F.col("reason").isNull()
+    base = base.withColumn("test", F.when(tested, test))
+    if test == JARQUE_BERA:
+        jb = F.col("n") / 6.0 * (F.pow("g1", F.lit(2.0)) + F.pow("g2", F.lit(2.0)) / 4.0)
+        out = base.withColumn("statistic", F.when(tested, jb)).withColumn("p_value", F.exp(-F.col("statistic") / 2.0))
+    else:
+        plain = base.select("column_name", "n", "reason").collect()  # one row per column
+        if too_many := [r["column_name"] for r in plain if r["reason"] is None and r["n"] > SHAPIRO_LIMIT]:
+            raise ValueError(f"Shapiro-Wilk is defined here for at most {SHAPIRO_LIMIT} values: {', '.join(too_many)}")
+        values = unpivot(df, {c: finite(F.col(quoted(c))) for c in columns}).filter(F.col("value").isNotNull())
+        known = base.filter(tested).select(F.col("column_name").alias("_name"))
+        groups = values.join(known, F.col("column_name") == F.col("_name"), "left_semi").groupBy("column_name")
+        shapiro = groups.applyInPandas(_shapiro_group, _SHAPIRO_SCHEMA).withColumnRenamed("column_name", "_name")
+        out = base.join(shapiro, F.col("column_name") == F.col("_name"), "left")
     usable = or_null(F.col("statistic")).isNotNull() & or_null(F.col("p_value")).isNotNull()
     return out.select(
         "column_name", "ordinal", "n", "test", or_null(F.col("statistic")).alias("statistic"),

@@ -89,7 +89,7 @@ _PARSE_TESTS = ("compact_parsed", "parsed")
 
 def _text_tests(name: str) -> dict[str, Column]:
     c = F.col(quoted(name))
-    text = F.trim(c)
+    text = clean.strip(c)
     first = F.substring(text, 1, 1)
     # Most text fails on its first character, long before a pattern is tried.
     digit = first.between("0", "9")

@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.plans.materialize import materialize
-from tablescope.plans.small import held
+from tablescope.plans.materialize import materialize, settled
 
 BLOCK, SEQ = "_block", "_seq"
 _SEQ_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
@@ -56,7 +55,7 @@ def block_summary(blocks: DataFrame, keys: Sequence[str], weight: Column) -> Dat
 def join_summary(blocks: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring the summary back to the rows: broadcast while small, else joined on (block, key), at most one block a key."""
     names = {k: f"_s_{k}" for k in (BLOCK, *keys)}
-    right = held(summary)
+    right = settled(summary)
     for old, new in names.items():
         right = right.withColumnRenamed(old, new)
     condition = F.lit(True)

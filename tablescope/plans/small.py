@@ -8,12 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-HELD_ROWS, HELD_TEXT = 100_000, 256
 
 _ARROW = {
     "string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -27,23 +22,3 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
     arrays = [pa.array(list(values), _ARROW[kind]) for values, (_, kind) in zip(columns, fields, strict=True)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, [name for name, _ in fields]))
-
-
-def held(df: DataFrame, max_rows: int = HELD_ROWS) -> DataFrame:
-    """``df`` as a broadcast local relation if it is small, else ``df`` itself.
-
-    Small means at most ``max_rows`` rows in which no text is longer than ``HELD_TEXT`` bytes, so what
-    reaches the driver is bounded even when the check fails. For summaries that are usually tiny but have
-    no fixed bound; larger ones are left to the shuffle join that adaptive execution plans.
-    """
-    if any(isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
-        return df
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    too_long = F.lit(False)
-    for c in texts:
-        too_long = too_long | (F.octet_length(c) > HELD_TEXT)
-    cut = df.limit(max_rows + 1).withColumn("_long", F.coalesce(too_long, F.lit(False)))
-    table = cut.withColumns({c: F.when(~F.col("_long"), F.col(c)) for c in texts}).toArrow()
-    if table.num_rows > max_rows or pc.any(table["_long"]).as_py():
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table.drop_columns(["_long"]), df.schema))

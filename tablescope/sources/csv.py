@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.functions.clean import CSV_MISSING_TOKENS, NUMBER
+from tablescope.functions.clean import CSV_MISSING_TOKENS, NUMBER, strip
 from tablescope.operators.quality import null_counts
 from tablescope.operators.typing import dataset_profile
 from tablescope.plans.wide import per_value, quoted
@@ -55,22 +55,36 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def _probe(spark: SparkSession, path: str) -> tuple[bool, bool, bool]:
-    """(any content, all of it UTF-8, a quoted field spans lines); one scan."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    row = (
-        spark.read.text(path)
-        .agg(
-            F.count_if(F.length("value") > 0).alias("lines"),
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-            F.bool_or(quotes % 2 == 1).alias("spans"),
-        )
-        .first()
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("head"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    return row["lines"] > 0, bool(row["utf8"]), bool(row["spans"])
 
 
-def _scan(spark: SparkSession, path: str, encoding: str, multi_line: bool, names: Sequence[str] | None) -> DataFrame:
+def _probe(spark: SparkSession, path: str) -> tuple[bool, dict[tuple[str, bool], list[str]]]:
+    """(all content is UTF-8, {(header line, a quoted field spans lines): files}).
+
+    One scan looks at every line; a second one fetches the first line of each file. The driver sees one row per file.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = _lines(spark, path)
+    files = lines.groupBy("file").agg(
+        F.count_if(F.length("value") > 0).alias("lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(quotes % 2 == 1).alias("spans"), F.min(F.when(F.col("head"), F.col("place"))).alias("first"),
+    ).collect()
+    files = [f for f in files if f["lines"]]
+    if not files:
+        raise ValueError("The CSV file is empty.")
+    first = {f["first"] for f in files}
+    heads = {r["file"]: r["value"] for r in lines.filter(F.col("head") & F.col("place").isin(list(first))).collect()} if len(files) > 1 else {}
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for f in sorted(files, key=lambda f: f["file"]):
+        groups.setdefault((heads.get(f["file"], ""), bool(f["spans"])), []).append(f["file"])
+    return all(f["utf8"] for f in files), groups
+
+
+def _scan(spark: SparkSession, files: str | Sequence[str], encoding: str, multi_line: bool, names: Sequence[str] | None) -> DataFrame:
     reader = (
         spark.read.option("encoding", encoding)
         .option("quote", '"')
@@ -84,31 +98,51 @@ def _scan(spark: SparkSession, path: str, encoding: str, multi_line: bool, names
         # One column more than the header has, to notice rows that are too long.
         fields = [*(f"c{i}" for i in range(len(names))), _EXTRA]
         reader = reader.schema(", ".join(f"{f} string" for f in fields))
-    return reader.csv(path)
+    return reader.csv(files)
+
+
+def _part(spark: SparkSession, files: Sequence[str], encoding: str, multi_line: bool, strict: bool) -> tuple[DataFrame, list[str], set[int]] | None:
+    """Cells, header names and blank positions of files with one header; None if the encoding does not fit."""
+    head = _scan(spark, files[0], encoding, multi_line, None).first()
+    raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
+    names, blank = header_names(raw)
+    cells = _scan(spark, files, encoding, multi_line, names)
+    broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
+    checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if strict else broken)).first()
+    if checks["long"]:
+        raise ValueError("Unable to parse CSV file: a row has more fields than the header")
+    if not strict and (any(checks[1:]) or any(_REPLACEMENT in n for n in names)):
+        return None
+    return cells.drop(_EXTRA), names, blank
+
+
+def _together(parts: Sequence[tuple[DataFrame, list[str], set[int]]]) -> tuple[DataFrame, list[str], set[int]]:
+    """Files with different headers, matched by column name in the order of the first."""
+    cells, names, blank = parts[0]
+    order = unique_names(names)
+    for other, other_names, other_blank in parts[1:]:
+        place = {n: i for i, n in enumerate(unique_names(other_names))}
+        if set(place) != set(order):
+            odd = sorted(set(place) ^ set(order))
+            raise ValueError(f"The CSV files have different columns: {', '.join(odd)}")
+        cells = cells.unionAll(other.select(*[F.col(f"c{place[n]}").alias(f"c{i}") for i, n in enumerate(order)]))
+        blank = blank & {i for i, n in enumerate(order) if place[n] in other_blank}
+    return cells, names, blank
 
 
 def _text_frame(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], set[int]]:
     """All cells as text with missing tokens removed, columns named c0, c1, ..., header names, blank positions."""
-    some, utf8, spans = _probe(spark, path)
-    if not some:
-        raise ValueError("The CSV file is empty.")
+    utf8, groups = _probe(spark, path)
     if not utf8:
         # Lets Spark read GB18030 and GBK. It is looked at whenever the frame runs, so it stays set.
         spark.conf.set(_LEGACY_CHARSETS, "true")
     for encoding in ENCODINGS[:1] if utf8 else ENCODINGS[1:]:
-        head = _scan(spark, path, encoding, spans, None).first()
-        raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
-        names, blank = header_names(raw)
-        cells = _scan(spark, path, encoding, spans, names)
-        broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
-        checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if utf8 else broken)).first()
-        if checks["long"]:
-            raise ValueError("Unable to parse CSV file: a row has more fields than the header")
-        if utf8 or not (any(checks[1:]) or any(_REPLACEMENT in n for n in names)):
+        parts = [_part(spark, files, encoding, spans, utf8) for (_, spans), files in groups.items()]
+        if all(p is not None for p in parts):
             break
     else:
         raise ValueError(f"Unable to decode the CSV file. Tried: {', '.join(ENCODINGS)}")
-    cells = cells.drop(_EXTRA)
+    cells, names, blank = _together(parts)
     return cells.select(*[known(F.col(c)).alias(c) for c in cells.columns]), names, blank
 
 
@@ -123,7 +157,7 @@ def infer_types(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     tests = {}
     for name in columns:
         c = F.col(quoted(name))
-        text = F.trim(c)
+        text = strip(c)
         tests[name] = {
             "value": c.isNotNull(),
             "whole": text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull(),
@@ -144,7 +178,7 @@ def infer_types(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _typed(c: Column, kind: str) -> Column:
-    return c if kind == "string" else F.trim(c).try_cast(kind)
+    return c if kind == "string" else strip(c).try_cast(kind)
 
 
 def _typed_frame(cells: DataFrame, names: Sequence[str], kinds: dict[str, str]) -> DataFrame:
@@ -180,11 +214,6 @@ def empty_columns(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return null_counts(df, candidates).filter(F.col("missing_count") == F.col("row_count")).select("column_name")
 
 
-def drop_empty_columns(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    empty = [r["column_name"] for r in empty_columns(df, candidates).collect()]
-    return df.drop(*empty)
-
-
 def count_rows(spark: SparkSession, path: str) -> int:
     cells, _, _ = _text_frame(spark, path)
     return cells.count()

@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -126,3 +127,14 @@ def test_date_plus_time(spark):
     _, steps = prepare.coerce(twice, {"d": "datetime", "e": "datetime", "t": "time", "gone": "numeric"})
     reasons = {r.column_name: r.reason for r in steps.filter("status = 'skipped'").collect()}
     assert reasons == {"DATETIME": "datetime_time_pair_not_unique", "gone": "column_not_found"}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"), ("2024-01-05 10:00:00+08:00", "2024-01-05 02:00:00"), ("05-Jan-2024", "2024-01-05 00:00:00"),
+    ("2024-01-05 10:00:00.123456789", "2024-01-05 10:00:00.123456"), ("January 5, 2024", "2024-01-05 00:00:00"), ("5 Jan 2024", "2024-01-05 00:00:00"),
+    ("1/5/2024 3:07 PM", "2024-01-05 15:07:00"), ("20240105 10:07", "2024-01-05 10:07:00"), ("13/01/2024", "2024-01-13 00:00:00"),
+    ("\t2024-01-05\u3000", "2024-01-05 00:00:00"), ("May be 5, or 6", None), ("5 apples", None),
+])
+def test_dates_people_write(spark, text, want):
+    got = spark.createDataFrame([(text,)], "x string").select(clean.parse_general("x").cast("string").alias("d")).first().d
+    assert got == want

@@ -82,3 +82,20 @@ def test_whole_analysis_from_csv_to_bundle(spark, tmp_path):
     assert (back["column_name"], back["mode"]) == ("city", "c0")
     assert spark.read.json(str(tmp_path / "bundle" / "frequency")).first()["detected"] == "daily"
     assert spark.read.json(str(tmp_path / "bundle" / "manifest")).first()["schema_version"] == "1.0"
+
+
+def test_files_are_matched_by_column_name(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, data in (("a.csv", b"a,b\n1,2\n"), ("b.csv", b"b,a\n20,10\n"), ("c.csv", b'a,b\n"3\n3",4\n')):
+        (folder / name).write_bytes(data)
+    assert sorted(tuple(r) for r in csv.read_csv(spark, str(folder)).select("a", "b").collect()) == [("1", 2), ("10", 20), ("3\n3", 4)]
+    (folder / "d.csv").write_bytes(b"a,c\n1,2\n")
+    with pytest.raises(ValueError, match="different columns"):
+        csv.read_csv(spark, str(folder))
+
+
+def test_white_space_around_cells(spark, tmp_path):
+    df = csv.read_csv(spark, write(tmp_path, "n,f\n12\t,\u30001.5\n\t7,2 \n".encode()))
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "double"]
+    assert sorted(tuple(r) for r in df.collect()) == [(7, 2.0), (12, 1.5)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.plans import selection
 from tablescope.plans.ordered import first_n, with_position, with_previous, with_weight_below
-from tablescope.plans.small import held
+from tablescope.plans.materialize import settled
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
 from tablescope.plans.wide import distinct_counts, duplicate_rows
 
@@ -100,14 +100,8 @@ def test_distinct_counts_skip_nulls(spark):
     assert got == {"a": 2, "b": 1}
 
 
-def test_only_small_tables_are_held(spark):
-    def is_local(df):
-        return "LocalRelation" in df._jdf.queryExecution().analyzed().toString()
-
+def test_summaries_are_written_where_executors_see_them(spark):
     frame = spark.range(50).select("id", F.col("id").cast("string").alias("s"))
-    assert is_local(held(frame, 50)) and sorted(held(frame, 50).collect()) == sorted(frame.collect())
-    assert not is_local(held(frame, 49))
-    assert not is_local(held(frame.withColumn("s", F.repeat("s", 500)), 50))
-    assert not is_local(held(frame.select(F.array("s").alias("a")), 50))
-    nulls = spark.createDataFrame([(None,), ("x",)], "s string")
-    assert sorted(r.s or "" for r in held(nulls).collect()) == ["", "x"]
+    written = settled(frame)
+    assert sorted(written.collect()) == sorted(frame.collect()) and written.dtypes == frame.dtypes
+    assert spark.conf.get("spark.checkpoint.dir") in written.inputFiles()[0]

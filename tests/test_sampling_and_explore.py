@@ -122,3 +122,33 @@ def test_histogram_of_flat_columns(spark):
     out = charts.histogram(df, ["a", "b", "c"]).collect()
     assert {r.column_name for r in out} == {"c"} and len(out) == 30
     assert {r.bin: r["count"] for r in out if r["count"]} == {0: 1, 29: 1}
+
+
+def test_columns_called_like_keys(spark):
+    from tablescope.operators import series
+
+    rows = [(100.0, 5, "2024-01-01", 1.0), (300.0, 5, "2024-01-01", 2.0)]
+    df = spark.createDataFrame(rows, "`group` double, g int, d string, bucket double").withColumn("d", F.to_date("d").cast("timestamp_ntz"))
+    got = {r.column_name: r.value for r in explore.bucketed_series(df, "d", ["group", "bucket"], "day", group="g").collect()}
+    assert got == {"group": 200.0, "bucket": 1.5}
+    daily = {r.column_name: r["mean"] for r in series.resample(df, "d", ["bucket", "group"], "daily").collect()}
+    assert daily == {"group": 200.0, "bucket": 1.5}
+    named = df.withColumnRenamed("bucket", "time_index").withColumnRenamed("group", "datetime")
+    assert series.irregular_series(named, "d", ["datetime", "time_index"]).count() == 4
+    assert {r.column_name for r in series.time_index_means(named, "g", ["datetime", "time_index"]).collect()} == {"datetime", "time_index"}
+
+
+def test_combinations_match_by_value(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, s string")
+    wanted = spark.createDataFrame([(1.0, "a"), (2.0, None), (9.0, "x")], "k double, s string")
+    assert explore.find_combination(df, wanted).count() == 2
+
+
+def test_nothing_is_cut_unless_asked_for(spark):
+    wide = spark.range(5).select("id", *[F.lit(i).alias(f"c{i}") for i in range(6)])
+    combos = sampling.identifier_combinations(wide, [f"c{i}" for i in range(6)])
+    assert combos.select("combination").distinct().count() == 50
+    assert sampling.identifier_counts(wide, ["id"], max_values=2).count() == 2
+    many = spark.range(8).select(*[(F.col("id") * (i + 1) % 7).alias(f"x{i}") for i in range(31)])
+    varying = [c for c in many.columns if c not in ("x6", "x13", "x20", "x27")]  # multiples of seven are constant
+    assert charts.scatter_fits(many, many.columns).count() == len(varying) * (len(varying) - 1) // 2

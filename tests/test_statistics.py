@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.clean import tidy
 from tablescope.functions.normality import shapiro_wilk
-from tablescope.functions.pvalues import correlation_p, kendall_tau
+from tablescope.functions.pvalues import correlation_p
 from tablescope.operators import correlation, missing, quality, statistics
 
 
@@ -71,13 +71,24 @@ def brute_tau(x, y):
     return c / math.sqrt(tx) / math.sqrt(ty)
 
 
-def test_tau_with_ties():
+def test_tau_with_ties(spark):
     rng = np.random.default_rng(3)
     for size in (6, 40, 150):
         x, y = rng.integers(0, size // 2, size).astype(float), rng.integers(0, 5, size).astype(float)
-        assert kendall_tau(x, y)[0] == pytest.approx(brute_tau(x, y))
-    assert kendall_tau(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 3, 4])) == (1.0, pytest.approx(2 / 24))
-    assert kendall_tau(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 4, 3]))[1] == pytest.approx(2 * 4 / 24)
+        row = correlation.kendall(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), ["x", "y"]).first()
+        assert row.correlation == pytest.approx(brute_tau(x, y)) and 0 <= row.p_value <= 1
+
+
+def test_kendall_of_many_rows(spark):
+    """Against the counts of a table of few values, far above what could be compared row by row."""
+    frame = spark.range(60_000).select(F.expr("id % 7").alias("x"), F.expr("(id * id) % 11").alias("y"))
+    cells = [(r.x, r.y, r["count"]) for r in frame.groupBy("x", "y").count().collect()]
+    sign = lambda d: (d > 0) - (d < 0)
+    score = sum(a * b * sign(x - u) * sign(y - v) for x, y, a in cells for u, v, b in cells)
+    size_x = sum(a * b * abs(sign(x - u)) for x, _, a in cells for u, _, b in cells)
+    size_y = sum(a * b * abs(sign(y - v)) for _, y, a in cells for _, v, b in cells)
+    row = correlation.kendall(frame, ["x", "y"]).first()
+    assert row.sample_size == 60_000 and row.correlation == pytest.approx(score / math.sqrt(size_x) / math.sqrt(size_y))
 
 
 def test_correlation_p_values():

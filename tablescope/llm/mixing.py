@@ -3,8 +3,8 @@
 Every source asks for its weight's share of the budget; a source that would have to repeat its text more than
 ``max_epochs`` times is clamped there, and what it leaves over is shared out again by weight until no source is
 above its limit. A source's rate (target / size) is then met with whole repetitions of every document and, for
-the fraction, one more repetition of the documents with the smallest seeded hashes. The hash border of a source
-is found by counting words in ever finer bands of the hash, so no source is ever sorted or held in one task.
+the fraction, one more repetition of documents in the order of seeded hashes, as long as they fit; smaller ones
+then fill what is left. The hash borders of a source are found by counting words in ever finer bands of the hash, so no source is ever sorted or held in one task.
 
 Null texts have size 0 and are taken as such. The null source is a source of its own. Rows that agree in id and
 text share a hash: they are taken together. An empty table gives an empty result. Only the named columns are read.
@@ -62,9 +62,10 @@ def mix(
     rows = scratch.write(sized, "sized")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = scratch.write(_with_border(rows, targets(sums, scratch, weights, budget, max_epochs), scratch), "plan")
-    right = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "border")
+    right = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "border", "second", "room")
     joined = rows.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    repeats = F.col("whole") + (F.col("u") < F.col("border")).cast("long")
+    more = (F.col("u") < F.col("border")) | ((F.col("u") < F.col("second")) & (F.col("size") <= F.col("room")))
+    repeats = F.col("whole") + more.cast("long")
     return joined.withColumn("repeats", repeats).select(
         "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"),
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
@@ -72,28 +73,39 @@ def mix(
 
 
 def _with_border(rows: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds ``whole`` and ``border``: documents with a hash below the border are repeated once more.
+    """Adds ``whole``, ``border``, ``second`` and ``room``: who is repeated once more.
+
+    Documents with a hash below ``border`` are, as many as fit in order. What is then still missing is less than the next
+    document; of the others, those no larger than this ``room`` and below ``second`` fill it.
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    state = plan.withColumn("whole", F.floor(rate + F.lit(1e-12)))
+    state = state.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    state = _bordered(rows, state, scratch, "first", F.lit(True)).withColumnsRenamed({"low": "border"})
+    state = state.withColumn("room", F.col("need"))
+    state = _bordered(rows, state, scratch, "second", (F.col("u") >= F.col("border")) & (F.col("size") <= F.col("room")))
+    return state.withColumn("second", F.col("low")).drop("low", "need")
+
+
+def _bordered(rows: DataFrame, state: DataFrame, scratch: Scratch, name: str, taking_part: Column) -> DataFrame:
+    """``low``: the hash below which the documents that take part fit into ``need``, and the need that is left.
 
     Each step counts words per source in the bands of the one band that holds the border, map-side first, so at
     most ``2 ** BAND_BITS`` rows a source are shuffled however many documents it has.
     """
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate + F.lit(1e-12))
-    state = plan.withColumn("whole", whole).withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     state = state.withColumn("low", F.lit(0).cast("long"))
     shift = HASH_BITS
     while shift > 0:
         width = shift
         shift = max(0, shift - BAND_BITS)
-        state = scratch.write(state, f"border{width}")
-        ask = state.select(F.col("source").alias("s"), "low", "need")
-        inside = rows.join(ask, F.col("source").eqNullSafe(F.col("s"))).filter(F.shiftright("u", width) == F.shiftright("low", width))
+        state = scratch.write(state, f"{name}{width}")
+        ask = state.select(F.col("source").alias("s"), "low", "need", *[c for c in ("border", "room") if c in state.columns])
+        inside = rows.join(ask, F.col("source").eqNullSafe(F.col("s"))).filter((F.shiftright("u", width) == F.shiftright("low", width)) & taking_part)
         bands = inside.groupBy("s", F.shiftright("u", shift).alias("band")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-        running = Window.partitionBy("s").orderBy("band")
-        summed = bands.withColumn("upto", F.sum("words").over(running))
+        summed = bands.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("band")))
         # The last band that fits whole; the border lies in the one after it.
         step = 1 << shift
-        fits = (F.col("upto") <= F.col("need")) if shift else (F.col("upto") - F.col("words") / 2 <= F.col("need"))
+        fits = F.col("upto") <= F.col("need")
         found = summed.groupBy("s").agg(
             F.max(F.when(fits, F.col("upto"))).alias("used"), F.min(F.when(~fits, F.col("band"))).alias("next"), F.max("band").alias("top")
         )
@@ -103,4 +115,4 @@ def _with_border(rows: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFram
             .withColumn("need", F.col("need") - F.coalesce("used", F.lit(0)))
             .drop("s", "used", "next", "top")
         )
-    return state.withColumn("border", F.col("low")).drop("low", "need")
+    return scratch.write(state, f"{name}0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescope.catalog.basics import TYPED_TABLES, type_sql
 from tablescope.catalog.base import (
     DOCS_LABELED, HOLES, LINEITEM_CATEGORICAL, LINEITEM_NUMERIC, ORDERS_NUMERIC, Catalogue, docs_labeled, lineitem_holes,
     long_sql, same, table,
@@ -147,9 +148,27 @@ def d11_small(spark, folder):
         ["mean_balance", "customers"], statistics.SHAPIRO_WILK).drop("ordinal")
 
 
-@add("d12_numeric_report")
+def report_sql(source: str, columns: list[str]) -> str:
+    """Summary, spread, outliers and normality of columns without infinities, side by side."""
+    cells = long_sql(source, columns)
+    jb = "n / 6.0 * (g1 * g1 + g2 * g2 / 4.0)"
+    return (
+        f"WITH cells AS ({cells}), summary AS (SELECT column_name, {MOMENTS}, {QUANTILE_SQL}, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, "
+        "median(v) AS median, mad(v) AS mad FROM cells GROUP BY column_name), "
+        f"outside AS ({outlier_sql('SELECT column_name, v FROM cells')}), "
+        "centred AS (SELECT column_name, v, avg(v) OVER (PARTITION BY column_name) AS mu FROM cells), "
+        "shape AS (SELECT column_name, count(*) AS n, avg(power(v - mu, 3)) / power(avg(power(v - mu, 2)), 1.5) AS g1, "
+        "avg(power(v - mu, 4)) / power(avg(power(v - mu, 2)), 2) - 3 AS g2 FROM centred GROUP BY column_name) "
+        "SELECT summary.*, lower_bound, upper_bound, outlier_count, outlier_ratio, outside.status AS outlier_status, 'Jarque-Bera' AS test, "
+        f"{jb} AS statistic, exp(-({jb}) / 2.0) AS p_value, 'ok' AS normality_status FROM summary JOIN outside USING (column_name) JOIN shape USING (column_name)"
+    )
+
+
+@add("d12_numeric_report", same(
+    report_sql("orders", ORDERS_NUMERIC),
+    f"{MOMENT_NAMES} {QUANTILE_NAMES} iqr median mad lower_bound upper_bound outlier_ratio statistic p_value", "count missing outlier_count"))
 def d12(spark, folder):
-    return statistics.numeric_report(table(spark, folder, "orders"), ORDERS_NUMERIC).drop("ordinal")
+    return statistics.numeric_report(table(spark, folder, "orders"), ORDERS_NUMERIC).drop("ordinal", "outlier_reason", "normality_reason")
 
 
 FREQ = (
@@ -296,7 +315,14 @@ def f6(spark, folder):
     return quality.skewness(frame, SKEW_COLUMNS).drop("reason")
 
 
-@add("f7_type_issues")
+DOC_TYPES = type_sql("documents", TYPED_TABLES["documents"])
+
+
+@add("f7_type_issues", same(
+    "SELECT column_name, dtype, detected_type, CASE WHEN detected_type = 'text' THEN 'text_variable' WHEN detected_type = 'identifier' THEN "
+    "'identifier_variable' WHEN detected_type IN ('datetime', 'time') THEN 'temporal_variable' WHEN dtype = 'string' THEN "
+    "'object_dtype_requires_review' END AS issue FROM (SELECT column_name, detected_type, CASE WHEN column_name IN ('doc_id', 'n_chars') THEN "
+    f"'bigint' ELSE 'string' END AS dtype FROM ({DOC_TYPES}))"))
 def f7(spark, folder):
     return quality.type_issues(typing.detect_types(table(spark, folder, "documents")))
 

@@ -87,5 +87,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+_REACH = (
+    "reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x), "
+    "classes AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
+)
+
+# All pairs of vectors; the tables hold finite vectors of one length only.
+EMBEDDINGS_SQL = (
+    "WITH RECURSIVE links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND "
+    "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95), ids AS (SELECT vec_id AS id FROM embeddings), "
+    f"{_REACH} SELECT id AS vec_id, (SELECT count(*) FROM links WHERE x = id) AS n_links, component_id, id = component_id AS kept FROM classes"
+)
+
+WARC_SQL = (
+    "WITH p AS (SELECT page_id, strlen(COALESCE(html, '')) AS n, sha256(COALESCE(html, '')) AS d FROM pages), "
+    "f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d) "
+    "SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, "
+    "CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (d)"
+)
+
+# All pairs of documents that share a shingle.
+MINHASH_SQL = (
+    "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), "
+    "s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i + 3], ' ') FOR i IN "
+    "range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)), "
+    "n AS (SELECT doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id), "
+    "common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL), "
+    "links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)), "
+    f"ids AS (SELECT doc_id AS id FROM documents), {_REACH} "
+    "SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN classes ON id = doc_id"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": EMBEDDINGS_SQL, "op4_warc": WARC_SQL, "op7_minhash_near_dedup": MINHASH_SQL}

@@ -22,7 +22,7 @@ def test_same_answer(spark, folder, con, name):
     assert difference(QUERIES[name](spark, folder), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("op") and n != "pipeline"))
 def test_has_rows(spark, folder, name):
     assert QUERIES[name](spark, folder).count() > 0
 

@@ -221,15 +221,10 @@ def _links(clusters: DataFrame, profiled: DataFrame, k: int, percent: int) -> Da
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, recall: float = 1 - 1e-8, doc_id: str = "doc_id", text: str = "text",
-    keep: Sequence[str] = (), node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH,
-) -> DataFrame:
-    """``row, doc_id, n_shingles, component_id, kept`` and the columns in ``keep``, one row per document.
-
-    ``component_id`` is the smallest id of the documents reachable by links of ``100 * |a & b| >= percent * |a | b|``;
-    ``kept`` is true for one document of each class.
-    """
+def _classed(
+    docs: DataFrame, scratch: Scratch, words: int, percent: int, recall: float, doc_id: str, text: str, keep: Sequence[str], node_limit: int, max_depth: int
+) -> tuple[DataFrame, DataFrame]:
+    """The written profile of the documents, and ``row, doc_id, n_shingles, class, component_id`` of each of its rows."""
     threshold = percent / 100
     trees = min(COORDINATES, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     raw = scratch.write(profile(docs, words, doc_id, text, keep).withColumn("row", F.monotonically_increasing_id()), "profile")
@@ -244,17 +239,35 @@ def near_duplicates(
     clusters = scratch.write(_clusters(leaves, vertices, threshold), "clusters")
     links = scratch.write(_links(clusters, full, words, percent), "links")
     stars = connected_components(links, scratch)
-    classed = of.join(stars, F.col("vertex") == F.col("node"), "left").select("row", F.coalesce("root", "vertex").alias("class"))
-    rows = raw.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
-    rows = rows.join(classed.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").drop("r").withColumn("class", F.coalesce("class", "row"))
-    own = scratch.write(rows, "classed")
-    # Within a class the smallest id is kept; of several rows with it, the first.
+    classed = of.join(stars, F.col("vertex") == F.col("node"), "left").select(F.col("row").alias("r"), F.coalesce("root", "vertex").alias("class"))
+    rows = raw.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(classed, F.col("row") == F.col("r"), "left").drop("r")
+    own = scratch.write(rows.withColumn("class", F.coalesce("class", "row")), "classed")
+    # Within a class the smallest id is kept.
     best = own.groupBy("class").agg(F.min("doc_id").alias("component_id")).withColumn("key", F.col("class").bitwiseXOR(F.lit(0).cast("long"))).drop("class")
-    named = own.join(best, F.col("class") == F.col("key")).drop("key")
-    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return raw, own.join(best, F.col("class") == F.col("key")).drop("key")
+
+
+def near_duplicates(
+    docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, recall: float = 1 - 1e-8, doc_id: str = "doc_id", text: str = "text",
+    node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per document.
 
+    ``component_id`` is the smallest id of the documents reachable by links of ``100 * |a & b| >= percent * |a | b|``;
+    ``kept`` is true where it is the document's own.
+    """
+    _, named = _classed(docs, scratch, words, percent, recall, doc_id, text, (), node_limit, max_depth)
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-def one_of_each(classed: DataFrame) -> DataFrame:
-    """One row of every class of ``near_duplicates``: that with the smallest id, the first of several."""
-    least = classed.filter("kept").groupBy("class").agg(F.min("row").alias("r")).select("r")
-    return classed.join(least, F.col("row") == F.col("r"), "left_semi")
+
+def deduplicated(
+    docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, recall: float = 1 - 1e-8, doc_id: str = "doc_id", text: str = "text",
+    keep: Sequence[str] = (), node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH,
+) -> DataFrame:
+    """``doc_id, text`` and the columns in ``keep`` of one document of every class: that with the smallest id, one row of several."""
+    raw, named = _classed(docs, scratch, words, percent, recall, doc_id, text, keep, node_limit, max_depth)
+    named = scratch.write(named.select("row", "class", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("best")), "named")
+    chosen = named.filter("best").groupBy("class").agg(F.min("row").alias("r")).select("r")
+    gone = named.select("row").join(chosen, F.col("row") == F.col("r"), "left_anti").select(F.col("row").alias("g"))
+    # Texts travel once more, and only to leave out what goes.
+    return raw.join(gone, F.col("row") == F.col("g"), "left_anti").select(F.col("id").alias(doc_id), F.col("body").alias(text), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

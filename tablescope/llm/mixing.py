@@ -59,11 +59,12 @@ def mix(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), u.alias("u"),
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
     )
-    rows = scratch.write(sized, "sized")
+    # The sums need the narrow columns alone; texts wait until every document's share is known.
+    rows = scratch.write(sized.select("source", "size", "u"), "sized")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = scratch.write(_with_border(rows, targets(sums, scratch, weights, budget, max_epochs), scratch), "plan")
     right = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "border", "second", "room")
-    joined = rows.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = sized.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     more = (F.col("u") < F.col("border")) | ((F.col("u") < F.col("second")) & (F.col("size") <= F.col("room")))
     repeats = F.col("whole") + more.cast("long")
     return joined.withColumn("repeats", repeats).select(

@@ -69,7 +69,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, usable: Column, featu
     """A model of ``label`` from at most ``sample`` labelled rows for which ``usable`` (a test of the column ``id``) holds."""
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & usable)
     chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).join(chosen, F.col("d") == F.col("id"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("id"))  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

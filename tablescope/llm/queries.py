@@ -61,7 +61,7 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # The query's contract asks for shingles of four words.
-    return near_duplicates(docs, Scratch(spark, "op7"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(docs, Scratch(spark, "op7"), words=4)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from tablescope.llm.components import connected_components
 from tablescope.llm.embeddings import near_embeddings
-from tablescope.llm.minhash import near_duplicates, one_of_each
+from tablescope.llm.minhash import deduplicated, near_duplicates
 
 
 def _classes(ids, linked):
@@ -67,9 +67,10 @@ def test_classes_are_those_of_all_pairs(documents, scratch, corpus, limits):
 def test_repeated_and_null_ids(documents, scratch):
     text = "one two three four five six seven"
     rows = [(None, text), (5, text), (5, text), (9, text + " eight"), (None, "quite another text of some words"), (3, None)]
-    classed = near_duplicates(documents(rows), scratch, words=4, percent=50, keep=("text", "source")).cache()
+    classed = near_duplicates(documents(rows), scratch, words=4, percent=50)
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in classed.collect()) == [(0, 0), (0, 5), (3, 3), (5, 5), (5, 5), (9, 5)]
-    assert sorted(r.doc_id or 0 for r in one_of_each(classed).collect()) == [0, 3, 5]
+    stay = deduplicated(documents(rows), scratch, words=4, percent=50, keep=("source", "row")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source, r.row) for r in stay) == [(0, rows[4][1], "s", 7), (3, None, "s", 7), (5, text, "s", 7)]
 
 
 def test_no_documents(documents, scratch):

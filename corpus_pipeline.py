@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.llm.bpe import bpe_round_trip
-from tablescope.llm.minhash import near_duplicates, one_of_each
+from tablescope.llm.minhash import deduplicated
 from tablescope.llm.mixing import mix
 from tablescope.llm.quality import quality_scores
 from tablescope.llm.scratch import Scratch
@@ -43,8 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near-duplicates (shingles of five words, similarity of 0.8)."""
     importable(spark)
-    own = docs.select(*COLUMNS)
-    return one_of_each(near_duplicates(own, Scratch(spark, "near_dedup"), keep=COLUMNS[1:])).select(*COLUMNS)
+    return deduplicated(docs, Scratch(spark, "near_dedup"), keep=COLUMNS[2:]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tablescope.llm.linear import Model, fit, folded, per_text
 from tablescope.llm.scan import Hasher, chunks, mixed, words
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 _SALTS = mixed(np.arange(1, 9, dtype=np.uint64))
 
 

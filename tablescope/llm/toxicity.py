@@ -7,7 +7,7 @@ character trigram model times the channel's odds is the restored word. Texts are
 the words restored, and the beginnings of both, with a linear model over these indicators.
 
 The language model counts the trigrams of all words of all documents: each task counts into a table of fixed size, and the
-tables are added up by Spark. The classifier is fitted on at most ``quality.SAMPLE`` labelled rows.
+tables are added up by Spark. The classifier is fitted on at most ``SAMPLE`` labelled rows.
 
 Null and empty texts hold no words; their score is that of a margin of 0. Labels follow the rules of ``quality``.
 """
@@ -38,6 +38,7 @@ _KEEP, _SWAP, _DROP, _DOUBLE, _RARE = np.log(0.9), np.log(0.09), np.log(0.3), np
 _PREFIX = 5
 _SALTS = mixed(np.arange(101, 104, dtype=np.uint64))
 REMEMBERED = 200_000
+SAMPLE = 20_000
 
 
 def _char_table() -> np.ndarray:
@@ -224,4 +225,4 @@ def toxicity_scores(
 ) -> DataFrame:
     """``keep`` and ``score`` (0 to 1, higher: label 1 likelier) of every row of ``docs``; letters are counted over ``train_docs``."""
     features = toxicity_features(Restorer(language_model(trigram_counts(train_docs, text))))
-    return scored(docs, fitted(train_docs, labels, label, usable, features, text=text), features, keep, text)
+    return scored(docs, fitted(train_docs, labels, label, usable, features, text=text, sample=SAMPLE), features, keep, text)

@@ -300,3 +300,17 @@ def m19(spark, folder):
     kept = explore.keep_time(table(spark, folder, "lineitem"), "l_shipdate", "1995-01-01")
     kept = explore.keep_range(kept, "l_quantity", 10, 20)
     return explore.numeric_by_category(kept, "l_returnflag", ["l_extendedprice"]).select("category", "rows", "value")
+
+
+# Sixth powers have a long tail, the plain columns have none.
+TAILED = "(SELECT l_quantity, l_discount, power(l_extendedprice, 6) AS tailed FROM lineitem)"
+TAILED_COLUMNS = ["l_quantity", "l_discount", "tailed"]
+
+
+@add("m20_axis_range", same(
+    "SELECT column_name, CASE WHEN c THEN q1 - 0.06 * (q2 - q1) ELSE low END AS low, CASE WHEN c THEN q2 + 0.06 * (q2 - q1) ELSE high END AS high, "
+    "c AS clipped FROM (SELECT *, q1 < q2 AND high - low > 1.6 * 1.12 * (q2 - q1) AS c FROM (SELECT column_name, min(v) AS low, max(v) AS high, "
+    f"quantile_cont(v, 0.005) AS q1, quantile_cont(v, 0.995) AS q2 FROM ({long_sql(TAILED, TAILED_COLUMNS)}) GROUP BY column_name))", "low high"))
+def m20(spark, folder):
+    frame = table(spark, folder, "lineitem").select("l_quantity", "l_discount", F.pow("l_extendedprice", F.lit(6)).alias("tailed"))
+    return explore.axis_range(frame, TAILED_COLUMNS)

@@ -15,6 +15,7 @@ from tablescope.operators.sampling import mix, uniform_sample
 from tablescope.operators.statistics import fences, number
 from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import with_position
+from tablescope.plans.selection import column_quantiles
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted, unpivot
 
@@ -24,6 +25,8 @@ MANY_TIMES = 5_000
 SCATTER_POINTS, LINE_BINS = 20_000, 1_000
 ENVELOPE_BINS, FEW_NEIGHBOURS, PROTECTED_SHARE = 96, 8, 0.01
 FAR_REACH, FAR_SHARE = 3.0, 0.20
+# Tail share left out of an axis, its margin, and how much longer the full range must be.
+TAIL_SHARE, AXIS_MARGIN, LONG_TAIL = 0.005, 0.06, 1.6
 
 STEPS = {"hour": 3600 * SECOND, "day": 86400 * SECOND}
 
@@ -305,3 +308,14 @@ def strip(
         rows.groupBy("group").agg(F.count("*").alias("group_rows")), [F.desc("group_rows"), "group"], name="band"
     )
     return rows.join(settled(bands), "group").select(*[quoted(c) for c in keep], "value", "group", "band", "offset")
+
+
+def axis_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, low, high, clipped``: the range to draw, without long tails, one row per column that has values."""
+    found = column_quantiles(df, {c: finite(F.col(quoted(c))) for c in columns}, [0.0, TAIL_SHARE, 1 - TAIL_SHARE, 1.0])
+    rows = []
+    for name, (_, (lowest, low, high, highest)) in found.items():
+        margin = AXIS_MARGIN * (high - low)
+        clipped = low < high and highest - lowest > LONG_TAIL * (high - low + 2 * margin)
+        rows.append((name, *((low - margin, high + margin) if clipped else (lowest, highest)), clipped))
+    return small_table(df.sparkSession, rows, "column_name string, low double, high double, clipped boolean")

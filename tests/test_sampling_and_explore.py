@@ -152,3 +152,11 @@ def test_nothing_is_cut_unless_asked_for(spark):
     many = spark.range(8).select(*[(F.col("id") * (i + 1) % 7).alias(f"x{i}") for i in range(31)])
     varying = [c for c in many.columns if c not in ("x6", "x13", "x20", "x27")]  # multiples of seven are constant
     assert charts.scatter_fits(many, many.columns).count() == len(varying) * (len(varying) - 1) // 2
+
+
+def test_axis_without_its_tail(spark):
+    df = spark.range(1001).select(F.when(F.col("id") == 1000, 1e6).otherwise(F.col("id").cast("double")).alias("x"), F.col("id").cast("double").alias("y"))
+    got = {r.column_name: r for r in explore.axis_range(df, ["x", "y"]).collect()}
+    assert got["x"].clipped and got["x"].low == pytest.approx(5 - 0.06 * 990) and got["x"].high == pytest.approx(995 + 0.06 * 990)
+    assert not got["y"].clipped and (got["y"].low, got["y"].high) == (0.0, 1000.0)
+    assert explore.axis_range(df.filter("x IS NULL"), ["x"]).count() == 0

@@ -269,5 +269,5 @@ def deduplicated(
     named = scratch.write(named.select("row", "class", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("best")), "named")
     chosen = named.filter("best").groupBy("class").agg(F.min("row").alias("r")).select("r")
     gone = named.select("row").join(chosen, F.col("row") == F.col("r"), "left_anti").select(F.col("row").alias("g"))
-    # Texts travel once more, and only to leave out what goes.
-    return raw.join(gone, F.col("row") == F.col("g"), "left_anti").select(F.col("id").alias(doc_id), F.col("body").alias(text), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    # Texts travel once more, and only to leave out what goes; by a shuffle at every size.
+    return raw.join(gone.hint("merge"), F.col("row") == F.col("g"), "left_anti").select(F.col("id").alias(doc_id), F.col("body").alias(text), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

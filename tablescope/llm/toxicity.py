@@ -38,7 +38,7 @@ _KEEP, _SWAP, _DROP, _DOUBLE, _RARE = np.log(0.9), np.log(0.09), np.log(0.3), np
 _PREFIX = 5
 _SALTS = mixed(np.arange(101, 104, dtype=np.uint64))
 REMEMBERED = 200_000
-SAMPLE = 20_000
+SAMPLE = 10_000
 
 
 def _char_table() -> np.ndarray:

@@ -73,6 +73,37 @@ def test_disguises(spark, documents):
     assert min(out[1], out[2], out[3], out[5]) >= 0.5 > out[4]
 
 
+def test_disguises_of_any_length_and_sign(spark, documents):
+    from tablescope.llm.scan import words
+    from tablescope.llm.toxicity import LOOKS_LIKE, MARKS, disguised, toxicity_features
+
+    def shown(text):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return [w for _, w in disguised(raw, *words(raw, np.array([0, len(raw)])))]
+
+    assert all(f"st{c}pid" in shown(f"so st{c}pid today") for c in LOOKS_LIKE)
+    assert all(c.join("idiot") in shown(f"an {c.join('idiot')} here") for c in MARKS)
+    for text in ("what an i d i o t.", "an i d i o t, he said", "he said 'i d i o t' twice", "he said \u201ci d i o t\u201d twice", "(i d i o t)"):
+        assert "i d i o t" in shown(text)
+    plain = "you are worthless and this is what they say about the idiot"
+    lines = [(i, plain if i < 30 else "what a fine day it is and this is what they say") for i in range(60)]
+    own = Restorer(language_model(trigram_counts(documents(lines))))
+    assert own.word("idi" + "o" * 70 + "t") == "idiot"
+    features = toxicity_features(own)
+
+    def found(text):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return set(features(raw, np.array([0, len(raw)]))[1].tolist())
+
+    for text in (" ".join("youareworthlessandthisiswhattheysayabouttheidiotagainandagainandagain"), "w o r t h l e s s."):
+        assert found("worthless") <= found(text)
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    hidden = documents([(1, "such an idi" + "o" * 70 + "t"), (2, "an i d i o t."), (3, " ".join("youaresuchanidiot" * 6)), (4, "such a fine day")])
+    train = documents([(i, "what an idiot he is" if i < 30 else "what a fine day it is") for i in range(60)] + [(i + 100, t) for i, t in lines])
+    out = {r.doc_id: r.score for r in toxicity_scores(hidden, train, labels, F.lit(True)).collect()}
+    assert min(out[1], out[2], out[3]) >= 0.5 > out[4]
+
+
 def _targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}

@@ -34,7 +34,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    folder, manifest = write_token_files(docs, Scratch(spark, "op2"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    folder, manifest = write_token_files(docs, Scratch(spark, "op2"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, added_tokens=True)
     return read_token_files(folder, manifest)
 
 

@@ -10,7 +10,9 @@ two named ones are never read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,32 +33,74 @@ ROWS_PER_SHARD = 4096
 _MANIFEST = "shard int, seq int, name string, docs long, ids long, bytes long"
 
 
-@cache
-def _cache(tokenizer_file: str) -> PieceCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(tokenizer_file)
-    own.encode_special_tokens = True  # their names in a text are ordinary text
+class _Encoder:
+    """The tokenizer of a file: ordinary text piece by piece, and its added tokens by their own ids if ``added``."""
+
+    def __init__(self, tokenizer_file: str, added: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(tokenizer_file)
+        with open(tokenizer_file, encoding="utf-8") as lines:
+            tokens = json.load(lines)["added_tokens"] if added else []
+        self.whole = None
+        # The cuts below are plain searches; with tokens of other rules, texts go to the library as they are.
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+            self.whole = Tokenizer.from_file(tokenizer_file)
+        self.added = {t["content"]: np.array([t["id"]], dtype=np.uint32) for t in tokens}
+        # Where two begin at one place, the longer is taken.
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        own.encode_special_tokens = True  # what is left between the cuts is ordinary text
+
+        def encode(pieces: list[str]) -> list[bytes]:
+            # The library splits texts into the same pieces and merges within each alone.
+            return [np.array(e.ids, dtype=np.uint32).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
+
+        self.pieces = PieceCache(encode)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if self.whole is not None:
+            rows = [np.array(e.ids, dtype=np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
+        if self.cut is None or not any(self.cut.search(t) for t in texts):
+            return encode_texts(texts, self.pieces)
+        parts: list[str] = []
+        order: list[list[str | int]] = []  # of every text: added tokens, and numbers of parts
+        for t in texts:
+            at, own = 0, []
+            for m in self.cut.finditer(t):
+                own += [len(parts), m[0]]
+                parts.append(t[at : m.start()])
+                at = m.end()
+            order.append([*own, len(parts)])
+            parts.append(t[at:])
+        ids, counts = encode_texts(parts, self.pieces)
+        stops = np.cumsum(counts)
+        rows = [np.concatenate([self.added[x] if isinstance(x, str) else ids[stops[x] - counts[x] : stops[x]] for x in own]) for own in order]
+        return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        # The library splits texts into the same pieces and merges within each alone.
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceCache(encode)
+@cache
+def _encoder(tokenizer_file: str, added: bool) -> _Encoder:
+    return _Encoder(tokenizer_file, added)
 
 
 def write_token_files(
     docs: DataFrame, scratch: Scratch, tokenizer_file: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
-    ids_per_file: int = IDS_PER_FILE,
+    ids_per_file: int = IDS_PER_FILE, added_tokens: bool = False,
 ) -> tuple[str, DataFrame]:
-    """The folder of the files, and the manifest with ``first``: the ids of all files before each."""
+    """The folder of the files, and the manifest with ``first``: the ids of all files before each.
+
+    With ``added_tokens`` the names of the tokenizer's added tokens in a text give their ids, as the library does unless
+    told otherwise; without, they are ordinary text.
+    """
     folder = scratch.files("ids")
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     ordered = dealt(with_shard(narrow, "d", borders(narrow, "d", ROWS_PER_SHARD)), ["d", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, seq, held, size = _cache(tokenizer_file), None, 0, [], 0
+        own, shard, seq, held, size = _encoder(tokenizer_file, added_tokens), None, 0, [], 0
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate([h[1] for h in held])
@@ -79,7 +123,7 @@ def write_token_files(
                     yield close()
                     seq, held, size = (seq + 1 if shards[begin] == shard else 0), [], 0
                 shard = shards[begin]
-                ids, counts = encode_texts(texts[begin:stop], own)
+                ids, counts = own.encode(texts[begin:stop])
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 held.append((keys[begin:stop], ids, counts + 1))
                 size += len(ids)

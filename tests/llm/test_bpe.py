@@ -97,6 +97,21 @@ def test_token_files(documents, scratch):
         start += len(want)
 
 
+def test_added_tokens_of_the_query(spark, documents, tmp_path):
+    from tablescope.llm.queries import op2_token_files
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*TEXTS, "end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext| >", "don<|endoftext|>'t  ", "last"]
+    documents(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(op2_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert own.encode("end <|endoftext|> next", add_special_tokens=False).ids == [437, 220, 50256, 1306]
+    start = 0
+    for row, text in zip(rows, texts, strict=True):
+        want = [*own.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, dtype="<u4").tobytes()))
+        start += len(want)
+
+
 def test_no_token_files(documents, scratch):
     folder, manifest = write_token_files(documents([]), scratch, public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert read_token_files(folder, manifest).count() == 0

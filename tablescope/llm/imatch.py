@@ -1,16 +1,14 @@
 """Operator 10: document fingerprints by I-Match over randomised lexicon subsets, in DataFrame functions only.
 
 Terms are runs of letters and digits, in lower case. The lexicon holds the terms whose document frequency lies within a
-band, as a share of all documents: common words say little, rare ones break at the first edit. A text keeps its distinct
-terms of the lexicon, hashed and sorted. Random bits of a term's hash deal the lexicon into subsets: at scale ``s`` into
-``2 ** s`` classes, of which ``SUBSETS`` are looked at, each giving the hash of the sorted terms that fall into it.
-A fingerprint holds two neighbouring scales, chosen by the number of its distinct terms, so that a class keeps about one of them: one edit then
-changes one subset and not all of them. The likeness of two fingerprints is the share of equal subsets at the scales
-that both hold, among the subsets not empty in both.
+band, as a share of all documents: common words say little, rare ones break at the first edit. A text keeps all its distinct
+terms of the lexicon. The first bits of a term's hash deal the lexicon into ``SUBSETS`` random shares of one size, the same
+for every text; together they hold the whole lexicon. A fingerprint holds, for every share with terms of the text, a hash of
+the set of these terms: one edit changes one share and not all of them, and no term goes unseen. The likeness of two
+fingerprints is the share of equal hashes among the shares not empty in both.
 
 The lexicon has at most ``mean number of distinct terms / low`` entries, whatever the number of documents; it is broadcast
-only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``. Terms of classes that are not looked at
-never leave their text.
+only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``.
 
 Null texts count as empty. A text without terms of the lexicon (empty ones included) is its own single term, so equal texts
 agree and different ones do not. Documents are ordered by id, nulls first, then by a hash of the text; rows that agree in
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from tablescope.llm.ranges import with_position
 from tablescope.llm.scratch import Scratch
 
-SUBSETS = 16
+SUBSETS = 256  # a power of two
 BROADCAST_TERMS = 2_000_000
 _NULL_ID = -(1 << 63)
 
@@ -47,53 +45,29 @@ def lexicon(docs: DataFrame, scratch: Scratch, low: float, high: float, text: st
     return scratch.write(counted.filter((F.col("df") >= max(2, low * rows)) & (F.col("df") <= max(2.0, high * rows))).select("lex"), "lexicon")
 
 
-def scale_of(distinct_terms: Column) -> Column:
-    """An even power of two, of about half as many classes as a text has terms or fewer; at least as many as are looked at."""
-    return F.greatest(F.lit(4), (F.floor(F.log2(F.greatest(distinct_terms, F.lit(1)) / 2) / 2) * 2).cast("int"))
+def _share(term: Column) -> Column:
+    """The share of the lexicon that a term falls into."""
+    return F.shiftrightunsigned(term, 64 - (SUBSETS - 1).bit_length())
 
 
-def _class(term: Column, scale: Column) -> Column:
-    return term.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), scale) - 1)
-
-
-def _subsets(kept: Column, scale: Column) -> Column:
-    """32-bit hashes of the terms of the first ``SUBSETS`` classes at ``scale``; null where a class is empty."""
-    seen = F.filter(kept, lambda t: _class(t, scale) < SUBSETS)
-
-    def one(r: Column) -> Column:
-        own = F.filter(seen, lambda t: _class(t, scale) == r)
-        return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(own), 32).cast("int"))
-
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), one)
-
-
-def fingerprint(kept: Column, scale: Column, whole: Column) -> Column:
-    """``terms, scale, coarse, fine`` from the sorted terms of a text, or from the text's own hash if it has none."""
-    own = F.when(F.size(kept) > 0, kept).otherwise(F.array(whole.bitwiseAND(~(SUBSETS - 1))))
-    return F.struct(F.size(kept).alias("terms"), scale.alias("scale"), _subsets(own, scale).alias("coarse"), _subsets(own, scale + 2).alias("fine"))
+def fingerprint(terms: Column, parts: Column, whole: Column) -> Column:
+    """``terms, parts`` from the hashes (share and 32 bits) of a text's terms, or from the text's own hash if it has none."""
+    own = F.array(whole.bitwiseAND(SUBSETS * 2**32 - 1))
+    return F.struct(terms.alias("terms"), F.when(F.size(parts) > 0, parts).otherwise(own).alias("parts"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subsets at the scales that both fingerprints hold, from 0 to 1."""
+    """Share of equal hashes among the shares that either fingerprint has terms of, from 0 to 1."""
 
-    def pairs(x: Column, y: Column) -> Column:
-        return F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() & q.isNotNull() & (p == q), 1).when(p.isNotNull() | q.isNotNull(), 0))
+    def shares(fp: Column) -> Column:
+        return F.transform(fp["parts"], lambda x: F.shiftright(x, 32))
 
-    gap = a["scale"] - b["scale"]
-    both = (
-        F.when(gap == 0, F.concat(pairs(a["coarse"], b["coarse"]), pairs(a["fine"], b["fine"])))
-        .when(gap == 2, pairs(a["coarse"], b["fine"]))
-        .when(gap == -2, pairs(a["fine"], b["coarse"]))
-    )
-    told = F.filter(both, lambda x: x.isNotNull())
-    hits = F.size(F.filter(told, lambda x: x == 1))
-    return F.when(F.size(told) > 0, hits / F.size(told)).otherwise(F.lit(0.0))
+    return F.size(F.array_intersect(a["parts"], b["parts"])) / F.size(F.array_union(shares(a), shares(b)))
 
 
 def shown(fp: Column) -> Column:
     """A fingerprint as text."""
-    words = [F.array_join(F.transform(fp[k], lambda x: F.coalesce(F.hex(x.bitwiseAND(0xFFFFFFFF)), F.lit("-"))), ",") for k in ("coarse", "fine")]
-    return F.concat_ws(":", fp["terms"].cast("string"), fp["scale"].cast("string"), *words)
+    return F.concat_ws(":", fp["terms"].cast("string"), F.array_join(F.transform(fp["parts"], F.hex), ","))
 
 
 def fingerprints(
@@ -130,18 +104,26 @@ def fingerprints(
     ).select("k", "h", "e.*")
     # Step by step, so that no step is worked out twice.
     termed = both.select("k", "h", "v", F.char_length("body").cast("long").alias("n"), F.unhex(F.sha2("body", 256)).alias("sha"), terms(F.col("body")).alias("all"))
-    scaled = termed.select("k", "h", "v", "n", "sha", "all", scale_of(F.size("all")).alias("scale"))
-    listed = scaled.select("k", "h", "v", "n", "sha", "scale", F.explode_outer(F.filter("all", lambda t: _class(t, F.col("scale")) < SUBSETS)).alias("term"))
-    # The texts' partitioning by key serves the grouping as well: no further shuffle.
+    listed = termed.select("k", "h", "v", "n", "sha", F.explode_outer("all").alias("term"))
+    # The texts' partitioning by key serves both groupings as well: no further shuffle.
     marked = listed.join(words, F.col("term") == F.col("lex"), "left")
-    grouped = marked.groupBy("k", "h", "v").agg(
-        F.any_value("n").alias("n"), F.any_value("sha").alias("sha"), F.any_value("scale").alias("scale"), F.array_sort(F.collect_set("lex")).alias("kept")
+    shares = marked.groupBy("k", "h", "v", "n", "sha", _share(F.col("lex")).alias("share")).agg(
+        F.count("lex").alias("terms"), F.bit_xor(F.xxhash64("lex")).bitwiseAND(2**32 - 1).alias("x")
+    )
+
+    def of(v: int) -> Column:
+        return F.col("v") == v
+
+    part = F.when(F.col("share").isNotNull(), F.shiftleft("share", 32) + F.col("x"))
+    grouped = shares.groupBy("k", "h").agg(
+        F.max(F.when(of(0), F.col("n"))).alias("n_chars"), F.max(F.when(of(0), F.col("sha"))).alias("sha"), F.max(F.when(of(1), F.col("sha"))).alias("esha"),
+        F.sum(F.when(of(0), F.col("terms"))).alias("terms"), F.sum(F.when(of(1), F.col("terms"))).alias("eterms"),
+        F.collect_list(F.when(of(0), part)).alias("parts"), F.collect_list(F.when(of(1), part)).alias("eparts"),
+    )
+    printed = grouped.select(
+        "k", "h", "n_chars", F.lower(F.hex("esha")).alias("edited_sha256"),
+        fingerprint(F.col("terms"), F.array_sort("parts"), F.xxhash64("sha")).alias("fp"), fingerprint(F.col("eterms"), F.array_sort("eparts"), F.xxhash64("esha")).alias("efp"),
     )
-    printed = grouped.select("k", "h", "v", "n", "sha", fingerprint(F.col("kept"), F.col("scale"), F.xxhash64("sha")).alias("fp"))
-    printed = printed.groupBy("k", "h").agg(
-        F.max(F.when(F.col("v") == 0, F.col("n"))).alias("n_chars"), F.max(F.when(F.col("v") == 1, F.hex("sha"))).alias("edited_sha256"),
-        F.any_value(F.when(F.col("v") == 0, F.col("fp")), True).alias("fp"), F.any_value(F.when(F.col("v") == 1, F.col("fp")), True).alias("efp"),
-    ).withColumn("edited_sha256", F.lower("edited_sha256"))
     where = places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "pos", "copies", "no_id")
     made = scratch.write(printed.join(where, (F.col("k") == F.col("pk")) & (F.col("h") == F.col("ph"))).drop("pk", "ph"), "made")
     after = made.select(F.pmod(F.col("pos") - 1, F.lit(max(total, 1))).alias("p"), F.col("fp").alias("next_fp"))

@@ -163,6 +163,16 @@ def test_fingerprints(documents, scratch):
     assert np.mean([r.near_edited for r in long]) > 0.15 + np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_see_every_term(documents, scratch):
+    words = [f"w{i}" for i in range(1500)]
+    # Each document lacks one term of the others; the rest of the terms are in all of them, and every term in two or more.
+    texts = [" ".join(words[:i] + words[i + 1 :]) for i in range(0, 1500, 75)] + [" ".join(words)] * 2
+    out = sorted(fingerprints(documents(list(enumerate(texts))), scratch, high=1.0).collect(), key=lambda r: r.doc_id)
+    assert len({r.fingerprint for r in out}) == 21 and out[20].fingerprint == out[21].fingerprint
+    assert all(0.95 < r.near_next < 1 for r in out[:20]) and out[20].near_next == 1
+    assert out[20].fingerprint.startswith("1500:") and out[0].fingerprint.startswith("1499:")
+
+
 def test_fingerprints_of_one_and_none(documents, scratch):
     one = fingerprints(documents([(None, "only text of all")]), scratch).collect()
     assert len(one) == 1 and one[0].doc_id is None and one[0].near_next == 1.0

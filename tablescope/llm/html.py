@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -58,15 +60,36 @@ _TAG = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*+)>?",
     re.S,
 )
+SPELT_DEPTH = 400  # elements open above one whose path is kept as text
 _ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "score", "link", "order")
+    __slots__ = ("tag", "path", "out", "score", "link", "order", "above", "near", "within")
 
-    def __init__(self, tag: str, path: str, out: bool, link: bool, order: int):
+    def __init__(self, tag: str, path: str, out: bool, link: bool, order: int, above: _Node | None = None):
         self.tag, self.path, self.out, self.link, self.order, self.score = tag, path, out, link, order, 0.0
+        self.above, self.within = above, None
+        near = above.near if above else ()
+        self.near: tuple[_Node, ...] = (self, *near[:1]) if tag in CONTAINERS or order == 0 else near  # the two nearest containers
+
+    def is_within(self, path: str) -> bool:
+        """Whether it or an element around it has this path; one walk of a page asks for one path."""
+        asked, node = [], self
+        while node is not None and node.within is None and node.path != path:
+            asked.append(node)
+            node = node.above
+        found = node is not None and (node.path == path or bool(node.within))
+        for n in asked:
+            n.within = found
+        return found
+
+
+def _path(above: str, step: str, depth: int) -> str:
+    """The path as text; of deeper elements a digest, so that paths do not grow with the square of the depth."""
+    path = f"{above}>{step}" if above else step
+    return path if depth < SPELT_DEPTH else "#" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
@@ -119,7 +142,7 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
 
 def _walk(page: str) -> Iterator[tuple[list[_Node], str | None]]:
     """The open elements and a piece of text in them, or None where a block begins or ends."""
-    stack, order = [_Node("", "", False, False, 0)], 0
+    stack, order, opened = [_Node("", "", False, False, 0)], 0, Counter()
     for kind, tag, rest in _events(page):
         if kind == "text":
             yield stack, tag
@@ -136,9 +159,11 @@ def _walk(page: str) -> Iterator[tuple[list[_Node], str | None]]:
             shut = ("p",) if tag in CLOSES_P else ()
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 shut = ("p", tag) if tag not in ("dt", "dd") else ("p", "dt", "dd")
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in shut) else ():
                 t = stack[i].tag
                 if t in shut:
+                    for n in stack[i:]:
+                        opened[n.tag] -= 1
                     del stack[i:]
                     break
                 if t in BLOCKS or t in ("td", "th"):
@@ -148,13 +173,15 @@ def _walk(page: str) -> Iterator[tuple[list[_Node], str | None]]:
             if tag == "header" and out and any(n.tag in ("article", "main") for n in stack):
                 out = False  # the head of an article holds its title
             order += 1
-            if len(stack) < 400:  # deeper elements count as part of the one above
-                stack.append(_Node(tag, f"{top.path}>{step}" if top.path else step, top.out or out, top.link or tag == "a", order))
-        else:
+            opened[tag] += 1
+            stack.append(_Node(tag, _path(top.path, step, len(stack)), top.out or out, top.link or tag == "a", order, top))
+        elif opened[tag] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     if tag in BLOCKS or tag in ("td", "th"):
                         yield stack, None if tag in BLOCKS else " "
+                    for n in stack[i:]:
+                        opened[n.tag] -= 1
                     del stack[i:]
                     break
                 if stack[i].tag in ("table", "article", "body", "html") and tag not in ("body", "html", "article", "main", "section", "div", "table"):
@@ -172,8 +199,7 @@ def votes(page: str | None) -> list[tuple[str, int]]:
                 # Longer blocks are surer prose; text in links is not.
                 gain = plain - 2 * (size - plain)
                 if gain > 0:
-                    holders = [n for n in held if n.tag in CONTAINERS or n.order == 0][-2:]
-                    for n, share in zip(reversed(holders), (1.0, 0.4)):
+                    for n, share in zip(held.near, (1.0, 0.4)):
                         n.score += share * gain
                         found[n.order] = n
             size, plain, held = 0, 0, None
@@ -182,7 +208,7 @@ def votes(page: str | None) -> list[tuple[str, int]]:
             if n:
                 size += n
                 plain += 0 if stack[-1].link else n
-                held = held or list(stack)
+                held = held or stack[-1]
     total = sum(n.score for n in found.values())
     best = sorted(found.values(), key=lambda n: (-n.score, n.order))[:VOTERS]
     return [(n.path, int(1000 * n.score / total)) for n in best if total > 0]
@@ -191,7 +217,7 @@ def votes(page: str | None) -> list[tuple[str, int]]:
 def main_text(page: str | None, paths: list[str]) -> str:
     """Text of the containers on the first of ``paths`` that the page has, else of its best container."""
     page = page or ""
-    present = {n.path for stack, text in _walk(page) if text is not None and not stack[-1].out for n in stack} if len(paths) > 1 else set(paths)
+    present = _present(page) if len(paths) > 1 else set(paths)
     wanted = next((p for p in paths if p in present), None)
     blocks = _blocks(page, wanted) if wanted is not None else []
     if not blocks:
@@ -200,6 +226,19 @@ def main_text(page: str | None, paths: list[str]) -> str:
     return "\n".join(blocks)
 
 
+def _present(page: str) -> set[str]:
+    """Paths of all elements around text."""
+    seen: set[int] = set()
+    out: set[str] = set()
+    for stack, text in _walk(page):
+        node = stack[-1] if text is not None and not stack[-1].out else None
+        while node is not None and node.order not in seen:
+            seen.add(node.order)
+            out.add(node.path)
+            node = node.above
+    return out
+
+
 def _blocks(page: str, path: str) -> list[str]:
     out, held = [], []
     for stack, text in _walk(page):
@@ -209,7 +248,7 @@ def _blocks(page: str, path: str) -> list[str]:
                 if block:
                     out.append(block)
                 held = []
-        elif not stack[-1].out and (path == "" or any(n.path == path for n in stack)):
+        elif not stack[-1].out and (path == "" or stack[-1].is_within(path)):
             held.append(text)
     return out
 

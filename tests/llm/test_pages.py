@@ -86,3 +86,11 @@ def test_archives_do_not_depend_on_partitions(spark):
 def test_no_pages(spark, scratch):
     folder, manifest = write_warc(_pages(spark, []), scratch)
     assert read_warc(folder, manifest).count() == 0
+
+
+def test_end_tags_and_blocks_beyond_any_depth():
+    nested = "<div id=wrap><article><p>Before it all, a first sentence.</p>" + "<div>" * 500 + "deep" + "</div>" * 500 + "<p>And the rest.</p></article></div>"
+    assert main_text(f"<html><body>{nested}<p>Foot</p></body></html>", ["html>body>div>article"]).split("\n") == ["Before it all, a first sentence.", "deep", "And the rest."]
+    page = "<article><p>Main text.</p>" + "<b>" * 450 + "<div class='comments'><p>Leaks in.</p></div></article>"
+    assert main_text(page, ["article"]) == "Main text."
+    assert main_text("<b>" * 100_000 + "<div>x</div>" * 1000, []).count("x") == 1000

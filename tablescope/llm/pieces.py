@@ -8,12 +8,15 @@ pieces many times, so the encoders below look at each different piece once.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cache
 
 import numpy as np
 
+from tablescope.llm.identity import equal_groups
+
 CHARS_PER_CHUNK = 500_000
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 # The code points with the property White_Space.
@@ -130,8 +133,7 @@ class PieceCache:
 def encode_texts(texts: Sequence[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each text has.
 
-    Equal pieces of a chunk are found by a 64-bit hash of their code points: two different pieces of a chunk
-    share one with odds of about 1 in 10**10 a chunk.
+    Equal pieces of a chunk are found by a hash of their code points and then compared point by point.
     """
     ids, counts = [], []
     for begin, stop in chunks(texts):
@@ -146,7 +148,7 @@ def encode_texts(texts: Sequence[str], cache: PieceCache) -> tuple[np.ndarray, n
         keyed = np.zeros(len(points) + 1, dtype=np.uint64)
         np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * _powers(room)[: len(points)], out=keyed[1:])
         h = _mixed((keyed[ends] - keyed[starts]) * _inverse_powers(room)[starts])
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        first, which = equal_groups(points, starts, ends, h)
         whole = "".join(part)
         found = cache.of([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
@@ -162,3 +164,31 @@ def encode_texts(texts: Sequence[str], cache: PieceCache) -> tuple[np.ndarray, n
         np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32),
         np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64),
     )
+
+
+class AddedTokens:
+    """Plain tokens that stand in a text by name and give their own ids, whatever is around them."""
+
+    def __init__(self, ids: Mapping[str, int]):
+        self.ids = {content: np.array([i], dtype=np.uint32) for content, i in ids.items()}
+        # Where two begin at one place, the longer is taken.
+        self.cut = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None
+
+    def encode(self, texts: Sequence[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has: text between added tokens is ordinary."""
+        if self.cut is None or not any(self.cut.search(t) for t in texts):
+            return encode_texts(texts, cache)
+        parts: list[str] = []
+        order: list[list[str | int]] = []  # of every text: added tokens, and numbers of parts
+        for t in texts:
+            at, own = 0, []
+            for m in self.cut.finditer(t):
+                own += [len(parts), m[0]]
+                parts.append(t[at : m.start()])
+                at = m.end()
+            order.append([*own, len(parts)])
+            parts.append(t[at:])
+        ids, counts = encode_texts(parts, cache)
+        stops = np.cumsum(counts)
+        rows = [np.concatenate([self.ids[x] if isinstance(x, str) else ids[stops[x] - counts[x] : stops[x]] for x in own]) for own in order]
+        return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.files import commit_file, read_file
 from tablescope.llm.pfor import pack, unpack
-from tablescope.llm.pieces import PieceCache, encode_texts
+from tablescope.llm.pieces import AddedTokens, PieceCache
 from tablescope.llm.ranges import borders, dealt, with_shard
 from tablescope.llm.scratch import Scratch
 
@@ -47,14 +47,16 @@ class _Encoder:
         # The cuts below are plain searches; with tokens of other rules, texts go to the library as they are.
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
             self.whole = Tokenizer.from_file(tokenizer_file)
-        self.added = {t["content"]: np.array([t["id"]], dtype=np.uint32) for t in tokens}
-        # Where two begin at one place, the longer is taken.
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.added = AddedTokens({t["content"]: t["id"] for t in tokens})
         own.encode_special_tokens = True  # what is left between the cuts is ordinary text
 
         def encode(pieces: list[str]) -> list[bytes]:
-            # The library splits texts into the same pieces and merges within each alone.
-            return [np.array(e.ids, dtype=np.uint32).tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
+            # The library splits texts into the same pieces and merges within each alone: one call, split by piece afterwards.
+            done = own.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(done.ids, dtype=np.uint32)
+            ends = np.cumsum(np.bincount(np.array(done.word_ids, dtype=np.int64), minlength=len(pieces))) * 4
+            flat = ids.tobytes()
+            return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
         self.pieces = PieceCache(encode)
 
@@ -63,22 +65,7 @@ class _Encoder:
         if self.whole is not None:
             rows = [np.array(e.ids, dtype=np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
-        if self.cut is None or not any(self.cut.search(t) for t in texts):
-            return encode_texts(texts, self.pieces)
-        parts: list[str] = []
-        order: list[list[str | int]] = []  # of every text: added tokens, and numbers of parts
-        for t in texts:
-            at, own = 0, []
-            for m in self.cut.finditer(t):
-                own += [len(parts), m[0]]
-                parts.append(t[at : m.start()])
-                at = m.end()
-            order.append([*own, len(parts)])
-            parts.append(t[at:])
-        ids, counts = encode_texts(parts, self.pieces)
-        stops = np.cumsum(counts)
-        rows = [np.concatenate([self.added[x] if isinstance(x, str) else ids[stops[x] - counts[x] : stops[x]] for x in own]) for own in order]
-        return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
+        return self.added.encode(texts, self.pieces)
 
 
 @cache

@@ -115,3 +115,39 @@ def test_added_tokens_of_the_query(spark, documents, tmp_path):
 def test_no_token_files(documents, scratch):
     folder, manifest = write_token_files(documents([]), scratch, public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert read_token_files(folder, manifest).count() == 0
+
+
+def swapped_words(size, a="a", b="b"):
+    """Two different words of ``size`` letters whose polynomial hashes modulo a power of two agree for every odd base."""
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_pieces_of_equal_hash_keep_their_ids(documents, reference, size):
+    from tablescope.llm.tokens import _encoder
+
+    a, b = swapped_words(size)
+    texts = [a, b, f"{b} {a} {b}", a]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for encode, want in (
+        (encoder(MULTI).encode, reference.encode_ordinary),
+        (_encoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode, lambda t: library.encode(t, add_special_tokens=False).ids),
+    ):
+        ids, counts = encode(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [want(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 1), max_size=80), st.lists(st.tuples(st.integers(0, 79), st.integers(0, 40), st.integers(0, 2)), min_size=1, max_size=40))
+def test_members_of_a_group_are_equal(values, ranges):
+    from tablescope.llm.identity import equal_groups
+
+    values = np.array(values)
+    begin = np.array([min(b, len(values)) for b, _, _ in ranges])
+    end = np.minimum(begin + np.array([n for _, n, _ in ranges]), len(values))
+    first, which = equal_groups(values, begin, end, np.array([h for _, _, h in ranges]))
+    for i, g in enumerate(which.tolist()):
+        j = first[g]
+        assert values[begin[i] : end[i]].tolist() == values[begin[j] : end[j]].tolist()

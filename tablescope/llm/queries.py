@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.llm.backtrack import encode_decode
 from tablescope.llm.bpe import bpe_round_trip
 from tablescope.llm.embeddings import near_embeddings
 from tablescope.llm.html import extract
 from tablescope.llm.imatch import fingerprints
 from tablescope.llm.minhash import near_duplicates
 from tablescope.llm.mixing import mix
+from tablescope.llm.periods import periodic_runs, repeated_tail, strongest
 from tablescope.llm.quality import quality_scores, remainder
 from tablescope.llm.scratch import Scratch
 from tablescope.llm.tokens import read_token_files, write_token_files
@@ -79,10 +81,26 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = periodic_runs(docs.select("doc_id", repeated_tail(F.col("text"), F.col("doc_id")).alias("text")))
+    best = strongest(F.col("runs"))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = told.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), line.alias("lines"))
+    return told.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_warc, op5_quality_classifier, op6_byte_level_bpe, op7_minhash_near_dedup, op8_toxicity, op9_mixing,
-        op10_document_fingerprints,
+        op10_document_fingerprints, op11_backtracking_bpe, op13_periodic_runs,
     )
     return {f.__name__: f for f in named}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.backtrack import encode_decode
 from tablescope.llm.bpe import bpe_round_trip
+from tablescope.llm.collocations import collocations
 from tablescope.llm.embeddings import near_embeddings
 from tablescope.llm.html import extract
 from tablescope.llm.imatch import fingerprints
@@ -85,6 +86,10 @@ def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), Scratch(spark, "op12")).drop("example")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     told = periodic_runs(docs.select("doc_id", repeated_tail(F.col("text"), F.col("doc_id")).alias("text")))
@@ -100,7 +105,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_embedding_near_dedup, op2_token_files, op3_html_extraction, op4_warc, op5_quality_classifier, op6_byte_level_bpe, op7_minhash_near_dedup, op8_toxicity, op9_mixing,
-        op10_document_fingerprints, op11_backtracking_bpe, op13_periodic_runs,
+        op10_document_fingerprints, op11_backtracking_bpe, op12_collocations, op13_periodic_runs,
     )
     return {f.__name__: f for f in named}
 
@@ -137,6 +142,22 @@ MINHASH_SQL = (
     "SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN classes ON id = doc_id"
 )
 
+# All phrases of one to three words, on 128-bit numbers.
+COLLOCATIONS_SQL = (
+    "WITH p AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents), "
+    "w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p), "
+    "o AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3)) AS s(k)), "
+    "c AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL), t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang), "
+    "d AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10), "
+    "b AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS longer FROM d, (VALUES (1), (2)) AS s(i) WHERE k = 3 GROUP BY ALL), "
+    "e AS (SELECT d.* FROM d LEFT JOIN b USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a), "
+    "x AS (SELECT e.lang, e.phrase, e.a, i, y.f AS l, z.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(y.f AS HUGEINT) * z.f) AS BIGINT) AS score FROM e, (VALUES (1), (2)) AS s(i), "
+    "c AS y, c AS z WHERE i < e.k AND y.lang = e.lang AND y.phrase = array_to_string(ws[1:i], ' ') AND z.lang = e.lang AND z.phrase = array_to_string(ws[i + 1:], ' ')), "
+    "m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1) "
+    "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m JOIN t USING (lang) QUALIFY rank <= 2000"
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": EMBEDDINGS_SQL, "op4_warc": WARC_SQL, "op7_minhash_near_dedup": MINHASH_SQL}
+    return {"op1_embedding_near_dedup": EMBEDDINGS_SQL, "op4_warc": WARC_SQL, "op7_minhash_near_dedup": MINHASH_SQL, "op12_collocations": COLLOCATIONS_SQL}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +75,6 @@ CJK_FORMATS = [
 _ISO = r"\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}"
 ZONED = rf"^{_ISO}(:\d{{2}}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})$"
 FINE = rf"^{_ISO}:\d{{2}}\.\d{{7,9}}$"  # finer than microseconds: cut
-DATE_START = r"^(\d|[A-Za-z]{3,9} \d{1,2}, \d{4}$)[\w/:., +-]*$"
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -137,16 +139,48 @@ def parse_format(name: str, shape: str, pattern: str) -> Column:
     return F.expr(_parse_sql(_stripped_sql(name), shape, pattern))
 
 
+def _skeletons(shape: str) -> list[str]:
+    """What is left of the texts of a shape without their digits, every letter as ``a``."""
+    found = [""]
+    for digits, first, last, letters, other in re.findall(r"(\\d(?:\{[\d,]+\})?)|\[A-Za-z\]\{(\d),?(\d?)\}|(\[AaPp\]\[Mm\])|\\?(.)", shape.strip("^$")):
+        if first:
+            found = [f + "a" * n for f in found for n in range(int(first), int(last or first) + 1)]
+        elif letters:
+            found = [f + "aa" for f in found]
+        elif not digits:
+            found = [f + ("a" if other.isalpha() else other) for f in found]
+    return found
+
+
+def _by_skeleton() -> dict[str, list[str]]:
+    """For each skeleton the formats to try, by number, in their order."""
+    out: dict[str, list[str]] = {}
+    for i, (shape, _) in enumerate(GENERAL_FORMATS):
+        for skeleton in _skeletons(shape):
+            out.setdefault(skeleton, []).append(i)
+    return out
+
+
 def parse_general(name: str) -> Column:
-    """The first general format whose shape fits the text column ``name``; one test rules out most other text.
+    """The first general format whose shape fits the text column ``name``.
 
-    Times with ``Z`` or an offset become the time in UTC.
+    A text without its digits and with all letters alike is its skeleton; it names the one or two formats that are tried.
+    Times with ``Z`` or an offset become the time in UTC; what is finer than microseconds is cut.
     """
     ref = _stripped_sql(name)
-    formats = ", ".join(_parse_sql(ref, shape, pattern) for shape, pattern in GENERAL_FORMATS)
-    zoned = f'CASE WHEN {ref} RLIKE r"{ZONED}" THEN CAST(to_utc_timestamp(try_cast({ref} AS TIMESTAMP), current_timezone()) AS TIMESTAMP_NTZ) END'
+    letters = string.ascii_letters
+    skeleton = f"translate({ref}, '{letters}{string.digits}', '{'a' * len(letters)}')"
     fine = f'CASE WHEN {ref} RLIKE r"{FINE}" THEN try_cast({ref} AS TIMESTAMP_NTZ) END'
-    return F.expr(f'CASE WHEN {ref} RLIKE r"{DATE_START}" THEN coalesce({formats}, {zoned}, {fine}) END')
+    cases: dict[tuple[int, ...], list[str]] = {}
+    for known, formats in _by_skeleton().items():
+        cases.setdefault(tuple(formats), []).append(known)
+    branches = []
+    for formats, known in cases.items():
+        tries = [_parse_sql(ref, *GENERAL_FORMATS[i]) for i in formats] + ([fine] if any(k.endswith(":.") for k in known) else [])
+        tested = " OR ".join(f"{skeleton} = '{k}'" for k in known)
+        branches.append(f"WHEN {tested} THEN coalesce({', '.join([*tries, 'NULL'])})")
+    zoned = f'CASE WHEN {ref} RLIKE r"{ZONED}" THEN CAST(to_utc_timestamp(try_cast({ref} AS TIMESTAMP), current_timezone()) AS TIMESTAMP_NTZ) END'
+    return F.expr(f"CASE {' '.join(branches)} ELSE {zoned} END")
 
 
 def parse_compact(c: Column) -> Column:

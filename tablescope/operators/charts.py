@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite
 from tablescope.operators.categorical import top_categories
-from tablescope.operators.correlation import column_pairs, pair_cells
+from tablescope.operators.correlation import column_pairs, pair_table
 from tablescope.operators.series import irregular_series, resample
 from tablescope.plans.selection import column_quantiles
 from tablescope.plans.small import small_table
@@ -98,24 +98,17 @@ def category_bars(df: DataFrame, columns: Sequence[str], n: int = BAR_CATEGORIES
     return top_categories(df, columns, n).orderBy("column_name", F.asc("count"), F.desc("category"))
 
 
-def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
-    """Least-squares line and extent of every pair of numeric columns; all pairs in one scan."""
+def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int | None = None, measures: DataFrame | None = None) -> DataFrame:
+    """Least-squares line and extent of every pair of numeric columns that vary; ``measures`` is their ``pair_table`` where that is at hand."""
     chosen = list(columns)[:max_columns]
-    clean = df.select(*[fin(c).alias(f"c{i}") for i, c in enumerate(chosen)])
-    pairs = column_pairs(chosen)
-    x, y = F.col("a"), F.col("b")
+    if measures is None:
+        measures = pair_table(df.select(*[fin(c).alias(f"c{i}") for i, c in enumerate(chosen)]), column_pairs(chosen))
+    slope = F.try_divide("cov", F.col("std_x") * F.col("std_x"))
     names = F.array(*[F.lit(c) for c in chosen])
-    table = (
-        pair_cells(clean, pairs)
-        .groupBy("i", "j")
-        .agg(
-            F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-            F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(y).alias("y_min"), F.max(y).alias("y_max"),
-        )
-        .withColumns({"x": F.get(names, F.col("i")), "y": F.get(names, F.col("j"))})
-        .drop("i", "j")
+    return measures.filter((F.col("n") >= 2) & (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max"))).select(
+        "n", slope.alias("slope"), (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"), "x_min", "x_max", "y_min", "y_max",
+        F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"),
     )
-    return table.filter((F.col("n") >= 2) & (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max")))
 
 
 def heatmap(cells: DataFrame) -> DataFrame:

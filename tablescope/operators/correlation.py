@@ -5,20 +5,32 @@ Results are long tables: ``method, x, y, i, j, correlation, p_value, sample_size
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite
 from tablescope.functions.pvalues import correlation_p_value, normal_p_value
 from tablescope.plans.materialize import materialize, settled
-from tablescope.plans.ordered import with_position, with_weight_below
+from tablescope.plans.ordered import with_weights_below
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 STRONG, MODERATE = 0.7, 0.4
+MEASURES_PER_PASS = 400
+PAIR_MEASURES = {
+    "n": "long", "cov": "double", "std_x": "double", "std_y": "double", "mean_x": "double", "mean_y": "double", "x_min": "double", "x_max": "double",
+    "y_min": "double", "y_max": "double",
+}
+# Kendall: blocks of a column are about BLOCK_SHARE square roots of the rows long; a grid of at most GRID_WHOLE borders is one
+# task's work for a pair of columns, a wider one is cut again, every GRID_STEP blocks.
+BLOCK_SHARE, MAX_BLOCKS, GRID_WHOLE, GRID_STEP = 4, 50_000, 500, 16
 
 
 def column_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
@@ -30,23 +42,42 @@ def _clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[finite(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
-def pair_cells(clean: DataFrame, pairs: Sequence[tuple[int, int]], prefix: str = "c") -> DataFrame:
-    """``i, j, a, b`` for every row and pair of columns in which both are present."""
-    entries = ", ".join(f"struct({i} AS i, {j} AS j, {prefix}{i} AS a, {prefix}{j} AS b)" for i, j in pairs)
-    return clean.select(F.expr(f"inline(array({entries}))")).filter("a IS NOT NULL AND b IS NOT NULL")
+def _both(i: int, j: int, c: int, prefix: str = "c") -> Column:
+    """Values of column ``c`` where both columns of the pair are present."""
+    other = j if c == i else i
+    return F.when(F.col(f"{prefix}{other}").isNotNull(), F.col(f"{prefix}{c}"))
 
 
-def _pair_table(clean: DataFrame, pairs: Sequence[tuple[int, int]], prefix: str = "c") -> DataFrame:
-    """n, extremes and correlation of every pair; one scan, folded to one row per task and pair."""
-    found = pair_cells(clean, pairs, prefix).groupBy("i", "j").agg(
-        F.count("*").alias("n"),
-        (F.min("a") == F.max("a")).alias("flat_x"),
-        (F.min("b") == F.max("b")).alias("flat_y"),
+def pair_measures(i: int, j: int) -> dict[str, Column]:
+    """What the rows of a pair of columns add up to; rows that lack either are left out."""
+    x, y = _both(i, j, i), _both(i, j, j)
+    return {
+        "n": F.count(x), "cov": F.covar_pop(x, y), "std_x": F.stddev_pop(x), "std_y": F.stddev_pop(y), "mean_x": F.avg(x), "mean_y": F.avg(y),
+        "x_min": F.min(x), "x_max": F.max(x), "y_min": F.min(y), "y_max": F.max(y),
+    }
+
+
+def pair_table(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """``i, j`` and the measures of every pair of columns ``c0, c1, ...``; a scan for every ``MEASURES_PER_PASS`` of them.
+
+    No row is copied: each pass is one row of aggregates over the columns of its pairs.
+    """
+    rows, step = [], max(1, MEASURES_PER_PASS // len(PAIR_MEASURES))
+    for start in range(0, len(pairs), step):
+        batch = pairs[start : start + step]
+        row = clean.agg(*[m.alias(f"{k}_{p}") for p, (i, j) in enumerate(batch) for k, m in pair_measures(i, j).items()]).first()
+        rows += [(i, j, *[row[f"{k}_{p}"] for k in PAIR_MEASURES]) for p, (i, j) in enumerate(batch)]
+    # One row per pair of columns.
+    return small_table(clean.sparkSession, rows, "i int, j int, " + ", ".join(f"{k} {t}" for k, t in PAIR_MEASURES.items()))
+
+
+def _pearson_table(measures: DataFrame) -> DataFrame:
+    return measures.select(
+        "i", "j", "n", F.coalesce(F.col("x_min") == F.col("x_max"), F.lit(True)).alias("flat_x"),
+        F.coalesce(F.col("y_min") == F.col("y_max"), F.lit(True)).alias("flat_y"),
         # corr() itself divides by zero on constant columns under ANSI rules
-        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"),
+        F.try_divide("cov", F.col("std_x") * F.col("std_y")).alias("r"),
     )
-    wanted = small_table(clean.sparkSession, pairs, "i int, j int")  # pairs without a common row still show up
-    return wanted.join(found, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"])
 
 
 def _reasons() -> Column:
@@ -76,79 +107,82 @@ def _finished(table: DataFrame) -> DataFrame:
     )
 
 
-def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    table = _pair_table(_clean(df, columns), column_pairs(columns))
-    return _named(_finished(table), "pearson", columns, correlation_p_value("r", "n"))
+def pearson(df: DataFrame, columns: Sequence[str], measures: DataFrame | None = None) -> DataFrame:
+    """Every pair; ``measures`` is its ``pair_table`` where that is at hand."""
+    measures = pair_table(_clean(df, columns), column_pairs(columns)) if measures is None else measures
+    return _named(_finished(_pearson_table(measures)), "pearson", columns, correlation_p_value("r", "n"))
 
 
-def _average_ranks(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Average rank of every distinct value from its count and the count below it."""
-    ranked = with_weight_below(freq, ["value"], "weight", keys, name="below")
-    return ranked.select(*keys, "value", (F.col("below") + (F.col("weight") + 1) / 2.0).alias("rank"))
+def presence_classes(clean: DataFrame, columns: int) -> list[int]:
+    """For each column the first one that is present in exactly the same rows."""
+    here = [F.col(f"c{i}").isNotNull() for i in range(columns)]
+    counts = clean.agg(*[F.count_if(p).alias(f"p{i}") for i, p in enumerate(here)]).first()
+    # Only columns of equal counts can be alike.
+    asked = [(i, j) for i, j in column_pairs(range(columns)) if counts[i] == counts[j]]
+    alike = {}
+    for start in range(0, len(asked), MEASURES_PER_PASS):
+        batch = asked[start : start + MEASURES_PER_PASS]
+        row = clean.agg(*[F.coalesce(F.bool_and(here[i] == here[j]), F.lit(True)).alias(f"a{k}") for k, (i, j) in enumerate(batch)]).first()
+        alike |= dict(zip(batch, row, strict=True))
+    return [next((i for i in range(j) if alike.get((i, j))), j) for j in range(columns)]
 
 
-def _shared_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """Pairs of complete columns: each column is ranked once."""
-    used = sorted({i for p in pairs for i in p})
-    entries = ", ".join(f"struct({i} AS c, c{i} AS value)" for i in used)
-    freq = clean.select(F.expr(f"inline(array({entries}))")).groupBy("c", "value").agg(F.count("*").alias("weight"))
-    ranks = settled(_average_ranks(freq, ["c"]))
-    rows = clean.select(*[f"c{i}" for i in used])
-    for i in used:
-        side = ranks.filter(F.col("c") == i).select(F.col("value").alias(f"c{i}"), F.col("rank").alias(f"r{i}"))
-        # A shuffle join where the table is large: adaptive execution splits hot values.
-        rows = rows.join(side, f"c{i}")
-    return _pair_table(rows, pairs, "r")
+def _rank_table(clean: DataFrame, columns: int, classes: Sequence[int]) -> DataFrame:
+    """``c, value`` and for every class of presence ``w_q`` (rows of the value where the class is present) and ``d_q``: the
+    value's average rank among those rows, less the middle rank of all of them.
 
-
-def _own_rank_pairs(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """Pairs touched by missing values: ranked over the rows where both sides are present."""
-    entries = ", ".join(f"struct({k} AS pair, {i} AS i, {j} AS j, c{i} AS x, c{j} AS y)" for k, (i, j) in enumerate(pairs))
-    long = clean.select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
-    # Equal (x, y) combinations share their ranks, so rows are folded before they are shuffled by value.
-    folded_rows = materialize(long.groupBy("pair", "i", "j", "x", "y").agg(F.count("*").alias("weight")))
-    cells = folded_rows
-    sides = cells.select(
-        "pair", F.expr("inline(array(struct('x' AS side, x AS value), struct('y' AS side, y AS value)))"), "weight"
-    )
-    freq = sides.groupBy("pair", "side", "value").agg(F.sum("weight").alias("weight"))
-    ranks = settled(_average_ranks(freq, ["pair", "side"]))
-    for side in ("x", "y"):
-        table = ranks.filter(F.col("side") == side).select(
-            "pair", F.col("value").alias(side), F.col("rank").alias(f"r{side}")
-        )
-        cells = cells.join(table, ["pair", side])
-    w, rx, ry = F.col("weight").cast("double"), F.col("rx"), F.col("ry")
-    # Ranks average (n + 1) / 2, so centring is known beforehand and the sums stay accurate.
-    sizes = folded_rows.groupBy("pair").agg(F.sum("weight").alias("pair_rows"))
-    middle = (F.col("pair_rows") + 1) / 2.0
-    folded = cells.join(F.broadcast(sizes), "pair")  # one row per pair of columns
-    return folded.groupBy("i", "j").agg(
-        F.sum("weight").alias("n"),
-        (F.min("x") == F.max("x")).alias("flat_x"),
-        (F.min("y") == F.max("y")).alias("flat_y"),
-        F.try_divide(
-            F.sum(w * (rx - middle) * (ry - middle)),
-            F.sqrt(F.sum(w * (rx - middle) * (rx - middle)) * F.sum(w * (ry - middle) * (ry - middle))),
-        ).alias("r"),
-    )
+    Values are counted first, then put in order once per column, whatever the number of partners; each class has its own
+    running count along that one order.
+    """
+    kinds = sorted(set(classes))
+    entries = ", ".join(f"struct({i} AS c, c{i} AS value)" for i in range(columns))
+    here = [F.col(f"c{q}").isNotNull().cast("long").alias(f"w_{q}") for q in kinds]
+    cells = clean.select(*here, F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL")
+    freq = cells.groupBy("c", "value").agg(*[F.sum(f"w_{q}").alias(f"w_{q}") for q in kinds])
+    weights = {f"w_{q}": f"b_{q}" for q in kinds}
+    placed = with_weights_below(freq, ["value"], weights, ["c"], totals={f"w_{q}": f"t_{q}" for q in kinds})
+    centred = [(F.col(f"b_{q}") + (F.col(f"w_{q}") - F.col(f"t_{q}")) / 2.0).alias(f"d_{q}") for q in kinds]
+    return settled(placed.select("c", "value", *[f"w_{q}" for q in kinds], *centred))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every pair over the rows where both are present, ranked among those rows.
+
+    A value's rank in a pair depends on the partner only by the rows where that is missing, so ranks are kept per column
+    and class of partners that miss the same rows. Ranks of a pair average its middle rank, which is taken off beforehand:
+    one sum of products per pair is all that the rows are read for.
+    """
+    k, pairs = len(columns), column_pairs(columns)
     clean = _clean(df, columns)
-    pairs = column_pairs(columns)
-    missing = clean.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"m{i}") for i in range(len(columns))]).first()
-    shared = [p for p in pairs if not missing[p[0]] and not missing[p[1]]]
-    own = [p for p in pairs if missing[p[0]] or missing[p[1]]]
-    parts = []
-    if shared:
-        parts.append(_shared_rank_pairs(clean, shared))
-    if own:
-        found = _own_rank_pairs(clean, own)
-        wanted = small_table(df.sparkSession, own, "i int, j int")  # pairs without a common row still show up
-        parts.append(wanted.join(found, ["i", "j"], "left").fillna(0, ["n"]).fillna(True, ["flat_x", "flat_y"]))
-    table = _finished(reduce(DataFrame.unionByName, parts))
-    return _named(table, "spearman", columns, correlation_p_value("r", "n"))
+    classes = presence_classes(clean, k)
+    ranks = _rank_table(clean, k, classes)
+    kinds = sorted(set(classes))
+    w, d = (lambda q: F.col(f"w_{q}")), (lambda q: F.col(f"d_{q}"))
+    sums = ranks.groupBy("c").agg(
+        *[F.sum(w(q)).alias(f"n_{q}") for q in kinds], *[F.sum(w(q) * d(q) * d(q)).alias(f"s_{q}") for q in kinds],
+        *[(F.count_if(w(q) > 0) <= 1).alias(f"flat_{q}") for q in kinds],
+    )
+    side = {r["c"]: r for r in sums.collect()}  # one row per column
+    rows = clean.select(*[f"c{i}" for i in range(k)])
+    for i in range(k):
+        wanted = sorted({classes[j] for j in range(k) if j != i})
+        table = ranks.filter(F.col("c") == i).select(F.col("value").alias(f"v{i}"), *[F.col(f"d_{q}").alias(f"d{i}_{q}") for q in wanted])
+        # A shuffle join where the table is large: adaptive execution splits hot values.
+        rows = rows.join(table, F.col(f"c{i}") == F.col(f"v{i}"), "left").drop(f"c{i}", f"v{i}")
+    if len(pairs) > MEASURES_PER_PASS:
+        rows = materialize(rows)
+    found = []
+    for start in range(0, len(pairs), MEASURES_PER_PASS):
+        batch = pairs[start : start + MEASURES_PER_PASS]
+        row = rows.agg(*[F.sum(F.col(f"d{i}_{classes[j]}") * F.col(f"d{j}_{classes[i]}")).alias(f"p{p}") for p, (i, j) in enumerate(batch)]).first()
+        for p, (i, j) in enumerate(batch):
+            x, y = (side[a].asDict() if a in side else {} for a in (i, j))
+            n = x.get(f"n_{classes[j]}", 0)
+            spread = ((x.get(f"s_{classes[j]}") or 0.0) * (y.get(f"s_{classes[i]}") or 0.0)) ** 0.5
+            flat = x.get(f"flat_{classes[j]}", True), y.get(f"flat_{classes[i]}", True)
+            found.append((i, j, n, *flat, row[p] / spread if spread and row[p] is not None else None))
+    table = small_table(df.sparkSession, found, "i int, j int, n long, flat_x boolean, flat_y boolean, r double")
+    return _named(_finished(table), "spearman", columns, correlation_p_value("r", "n"))
 
 
 def _ties(cells: DataFrame, side: str) -> DataFrame:
@@ -162,37 +196,167 @@ def _ties(cells: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _discordant(cells: DataFrame) -> DataFrame:
-    """Pairs of rows that x and y order the other way round, per pair of columns.
+def _block_borders(clean: DataFrame, columns: int) -> list[np.ndarray]:
+    """Values that part each column into blocks of about equal numbers of rows.
 
-    Rows are put in the order of (x, y). Two rows are out of order exactly if, at the first bit in which the ranks of their
-    y differ, the earlier row has a one. So every row takes part once per bit, in the group of the bits above it, and each group
-    counts the ones before each zero: a running sum over ordered blocks, in which no group is held by one task.
+    They only deal out work: a block holds at most one ``blocks``-th of the rows, about, and no result depends on it.
     """
-    values = cells.select("i", "j", "y").distinct()
-    ranks = settled(with_position(values, ["y"], ["i", "j"], name="rank"))
-    bits = max(1, int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length())
-    ranked = cells.join(ranks, ["i", "j", "y"])
-    entries = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    long = ranked.select("i", "j", "x", "y", "weight", "rank", entries.alias("bit"))
-    # rank >> bit and so on, with shifts that follow a column
-    above = F.call_function("shiftright", F.col("rank"), F.col("bit") + 1)
-    one = F.call_function("shiftright", F.col("rank"), F.col("bit")).bitwiseAND(1)
-    marked = long.select("i", "j", "bit", above.alias("above"), "x", "y", "weight", one.alias("one"), (F.col("weight") * one).alias("ones"))
-    summed = with_weight_below(marked, ["x", "y"], "ones", ["i", "j", "bit", "above"], name="before")
-    lost = F.when(F.col("one") == 0, F.col("weight").cast("decimal(38,0)") * F.col("before").cast("decimal(20,0)")).otherwise(F.lit(0))
-    return summed.groupBy("i", "j").agg(F.sum(lost.cast("decimal(38,0)")).alias("discordant"))
+    rows = clean.count()
+    blocks = max(2, min(MAX_BLOCKS, math.isqrt(rows) // BLOCK_SHARE))
+    points = ", ".join(repr(b / blocks) for b in range(1, blocks))
+    row = clean.agg(*[F.expr(f"percentile_approx(c{i}, array({points}), {max(10_000, 4 * blocks)})").alias(f"b{i}") for i in range(columns)]).first()
+    return [np.unique(np.array(b or [], dtype=np.float64)) for b in row]
+
+
+def _blocks_of(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Odd numbers for the border values themselves, even ones for what lies between: a value shared by many rows is a block of its own."""
+    left = np.searchsorted(borders, values, side="left")
+    at = np.searchsorted(borders, values, side="right") > left
+    return (2 * left + at).astype(np.int64)
+
+
+_SIDED = "pair int, side int, block long, u double, v double, w long"
+
+
+def _dealt_to_blocks(cells: DataFrame, borders: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each cell once for its block of x and once for its block of y, and once (``side`` 2) with both block numbers.
+
+    A block of one value has nothing to compare: its cells are tied there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, x, y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for p in np.unique(pair).tolist():
+                own = pair == p
+                px, py = _blocks_of(x[own], borders[p][0]), _blocks_of(y[own], borders[p][1])
+                a, b = px % 2 == 0, py % 2 == 0
+                parts = [(0, px[a], x[own][a], y[own][a], w[own][a]), (1, py[b], px[b], y[own][b], w[own][b]), (2, px, px, py, w[own])]
+                for side, block, u, v, weight in parts:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(u), p), pa.int32()), pa.array(np.full(len(u), side), pa.int32()), pa.array(block, pa.int64()),
+                         pa.array(u.astype(np.float64)), pa.array(v.astype(np.float64)), pa.array(weight, pa.int64())],
+                        names=["pair", "side", "block", "u", "v", "w"])
+
+    return cells.mapInArrow(run, _SIDED)
+
+
+def inversions(group: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[int]:
+    """Per group (numbered from 0, ascending) the weight of pairs of rows that ``u`` and ``v`` order the other way round, exactly.
+
+    Rows are put in the order of (u, v). Two of them are out of order exactly if, at the first bit in which their ranks by v
+    differ, the earlier one has a one: at every bit each zero adds up the ones before it that agree with it in the bits above.
+    """
+    groups = int(group[-1]) + 1 if len(group) else 0
+    by_v = np.lexsort((v, group))
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (np.diff(v[by_v]) != 0) | (np.diff(group[by_v]) != 0)
+    rank = np.empty(len(v), dtype=np.int64)
+    rank[by_v] = np.cumsum(new) - 1
+    order = np.lexsort((v, u, group))
+    group, rank, w = group[order], rank[order], w[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    # Ranks start anew in each group, so that the bits above tell groups apart only by the group's own number.
+    rank -= np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(rank)))) if len(rank) else 0
+    bits = int(rank.max(initial=0)).bit_length()
+    wide = float(w.sum(dtype=np.float64)) ** 2 >= 2.0**62
+    out = [0] * groups
+    above = group
+    for bit in range(bits - 1, -1, -1):
+        # Rows stay in the order of (bits above, u, v): a stable sort by the next bit keeps it.
+        one = (rank >> bit) & 1
+        ones = np.cumsum(w * one)
+        start = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+        base = np.repeat((ones - w * one)[start], np.diff(np.append(start, len(above))))
+        lost = (ones - base) * (1 - one)
+        for g, part in _per_group(group, lost, w, wide):
+            out[g] += part
+        order = np.argsort(above * 2 + one, kind="stable")
+        above, group, rank, w = (above * 2 + one)[order], group[order], rank[order], w[order]
+    return out
+
+
+def _per_group(group: np.ndarray, a: np.ndarray, w: np.ndarray, wide: bool) -> Iterator[tuple[int, int]]:
+    """Sums of ``a * w`` by group; rows of a group stand together. With whole numbers of any size where 64 bits might not do."""
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    product = a.astype(object) * w.astype(object) if wide else a * w
+    for g, total in zip(group[start].tolist(), np.add.reduceat(product, start).tolist(), strict=True):
+        yield g, int(total)
+
+
+def _in_blocks(dealt: DataFrame) -> DataFrame:
+    """``pair, lost``: pairs of rows in the wrong order, added up block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pair, side, block, u, v, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            new = np.ones(len(pair), dtype=bool)
+            new[1:] = (np.diff(pair) != 0) | (np.diff(side) != 0) | (np.diff(block) != 0)
+            lost = inversions(np.cumsum(new) - 1, u, v, w)
+            return pa.RecordBatch.from_arrays([pa.array(pair[new], pa.int32()), pa.array([Decimal(x) for x in lost], pa.decimal128(38, 0))], names=["pair", "lost"])
+
+        # Blocks are sorted; a block that goes on in the next batch waits for it.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+            whole = held and any(held[-1].column(i)[-1].as_py() != k[0] for i, k in enumerate(key))
+            if whole:
+                yield counted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield counted(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield counted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return dealt.repartition("pair", "side", "block").sortWithinPartitions("pair", "side", "block").mapInArrow(run, "pair int, lost decimal(38,0)")
+
+
+def _discordant(cells: DataFrame, pairs: Sequence[tuple[int, int]], borders: Sequence[np.ndarray]) -> DataFrame:
+    """Pairs of rows that x and y order the other way round: ``i, j, discordant``.
+
+    x and y are cut into blocks. Two rows in different blocks of both are counted on the grid of block numbers; two in one
+    block of x, or in one of y only, are counted inside that block. So each cell travels twice, whatever the number of rows.
+    The grid is counted in the same way, its numbers being the values: it holds far fewer cells, and once they are few
+    enough per pair of columns one block holds them.
+    """
+    # Pairs are numbered in their order: those of column i begin after i rows of a triangle.
+    level = cells.select(F.expr(f"CAST(i * (2 * {len(borders)} - i - 1) div 2 + j - i - 1 AS INT)").alias("pair"), "x", "y", F.col("weight").alias("w"))
+    cuts = {p: (borders[i], borders[j]) for p, (i, j) in enumerate(pairs)}
+    lost = None
+    while True:
+        # With no border left all cells of a pair are one block of x, and nothing is left for the grid.
+        dealt = settled(_dealt_to_blocks(level, cuts))
+        part = _in_blocks(dealt.filter("side < 2"))
+        lost = part if lost is None else lost.unionAll(part)
+        widest = max((max(len(a), len(b)) for a, b in cuts.values()), default=0)
+        if not widest:
+            break
+        level = dealt.filter("side = 2").groupBy("pair", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w"))
+        coarse = {p: tuple(2.0 * np.arange(GRID_STEP, len(c) + 1, GRID_STEP) for c in both) for p, both in cuts.items()}
+        cuts = coarse if widest > GRID_WHOLE else {p: (np.zeros(0), np.zeros(0)) for p in cuts}
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    summed = lost.groupBy("pair").agg(F.sum("lost").cast("decimal(38,0)").alias("discordant"))
+    return summed.select(names[F.col("pair")]["i"].alias("i"), names[F.col("pair")]["j"].alias("j"), "discordant")
 
 
 def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Tau-b of every pair at any number of rows; p-values by the normal limit with its correction for ties."""
     pairs = column_pairs(columns)
     entries = ", ".join(f"struct({i} AS i, {j} AS j, c{i} AS x, c{j} AS y)" for i, j in pairs)
-    long = _clean(df, columns).select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
+    clean = _clean(df, columns)
+    borders = _block_borders(clean, len(columns))
+    long = clean.select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
     cells = settled(long.groupBy("i", "j", "x", "y").agg(F.count("*").alias("weight")))
     w = F.col("weight").cast("decimal(38,0)")
     sizes = cells.groupBy("i", "j").agg(F.sum("weight").alias("n"), F.sum((w * (w - 1) / 2).cast("decimal(38,0)")).alias("tied_both"))
-    found = settled(sizes.join(_ties(cells, "x"), ["i", "j"]).join(_ties(cells, "y"), ["i", "j"]).join(_discordant(cells), ["i", "j"]))
+    found = settled(sizes.join(_ties(cells, "x"), ["i", "j"]).join(_ties(cells, "y"), ["i", "j"]).join(_discordant(cells, pairs, borders), ["i", "j"], "left").fillna(0, ["discordant"]))
     n, big = F.col("n").cast("double"), F.col("n").cast("decimal(38,0)")
     all_pairs = (big * (big - 1) / 2).cast("decimal(38,0)")
     score = (all_pairs - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - 2 * F.col("discordant")).cast("double")

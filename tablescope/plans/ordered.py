@@ -9,7 +9,7 @@ rows simply spans many blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +89,29 @@ def with_weight_below(
     return out.drop(BLOCK, SEQ, "_b_first", "_b_before", "_b_weight", "_b_total")
 
 
+def with_weights_below(
+    df: DataFrame, order: Sequence[str | Column], weights: Mapping[str, str], keys: Sequence[str] = (), totals: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Several running sums along one order: for ``{weight: name}`` the sum of each weight over the earlier rows of the same key.
+
+    ``totals`` (``{weight: name}``) adds the sum of a weight over all rows of the key.
+    """
+    blocks = ordered_blocks(df, order, keys)
+    spec = _key_window(keys)
+    before, whole = spec.rowsBetween(Window.unboundedPreceding, -1), spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = totals or {}
+    summed = blocks.groupBy(BLOCK, *keys).agg(*[F.sum(w).alias(f"_w{i}") for i, w in enumerate(weights)])
+    summary = summed.select(
+        BLOCK, *keys, *[F.coalesce(F.sum(f"_w{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(weights))],
+        *[F.sum(f"_w{list(weights).index(w)}").over(whole).alias(name) for w, name in totals.items()],
+    )
+    inside = Window.partitionBy(BLOCK, *keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_summary(blocks, summary, keys).withColumns(
+        {name: F.col(f"_b{i}") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for i, (w, name) in enumerate(weights.items())}
+    )
+    return out.drop(BLOCK, SEQ, *[f"_b{i}" for i in range(len(weights))])
+
+
 def with_previous(
     df: DataFrame, order: Sequence[str | Column], value: str, keys: Sequence[str] = (), name: str = "previous"
 ) -> DataFrame:

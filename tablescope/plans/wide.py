@@ -52,10 +52,15 @@ def per_column(
 
 def unpivot_fields(df: DataFrame, cells: Mapping[str, Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """Long view: ``keep``, ``column_name`` and several fields per input row and column."""
+    # Fields are columns first: generated code then works out once what several of them have in common.
+    flat = df.select(
+        *[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keep)],
+        *[c.alias(f"_f{i}_{j}") for i, fields in enumerate(cells.values()) for j, c in enumerate(fields.values())],
+    )
     entries = F.array(
-        *[F.struct(F.lit(n).alias("column_name"), *[c.alias(k) for k, c in fields.items()]) for n, fields in cells.items()]
+        *[F.struct(F.lit(n).alias("column_name"), *[F.col(f"_f{i}_{j}").alias(k) for j, k in enumerate(fields)]) for i, (n, fields) in enumerate(cells.items())]
     )
-    return df.select(*[quoted(k) for k in keep], F.inline(entries))
+    return flat.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], F.inline(entries))
 
 
 def unpivot(df: DataFrame, cells: Mapping[str, Column], keep: Sequence[str] = (), value: str = "value") -> DataFrame:

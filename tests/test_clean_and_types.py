@@ -1,6 +1,8 @@
-import pytest
+import re
+
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,3 +140,21 @@ def test_date_plus_time(spark):
 def test_dates_people_write(spark, text, want):
     got = spark.createDataFrame([(text,)], "x string").select(clean.parse_general("x").cast("string").alias("d")).first().d
     assert got == want
+
+
+def test_every_date_format_reads_what_it_writes(spark):
+    plain = [p for _, p in clean.GENERAL_FORMATS if "[" not in p]
+    when = F.lit("2023-05-25 22:41:07").cast("timestamp_ntz")
+    written = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(p).alias("pattern"), F.date_format(when, p).alias("x")) for p in plain])))
+    rows = written.withColumn("d", clean.parse_general("x").cast("string")).collect()
+    for r in rows:
+        day = "2023-05-25" if "d" in r.pattern else "2023-05-01"
+        clock = "00:00:00" if not re.search("[Hh]", r.pattern) else "22:41:07" if "ss" in r.pattern else "22:41:00"
+        assert r.d == f"{day} {clock}", r
+    assert len(rows) == len(plain)
+
+
+def test_a_text_without_its_digits_names_its_formats():
+    found = clean._by_skeleton()
+    assert sorted({i for formats in found.values() for i in formats}) == list(range(len(clean.GENERAL_FORMATS)))
+    assert max(map(len, found.values())) <= 3

@@ -38,8 +38,8 @@ from tablescope.llm.scan import Hasher, chunks, mixed, runs
 from tablescope.llm.scratch import Scratch
 
 UNKNOWN = "und"
-BYTES_AT_ONCE = 3_000_000
-ENTRIES_HELD = 3_000_000
+BYTES_AT_ONCE = 1_000_000
+ENTRIES_HELD = 1_500_000
 BYTES_PER_RANGE = 64 << 20
 LEAST_RANGES = 256
 BITS_PER_FINGERPRINT = 64
@@ -262,6 +262,7 @@ def _written_out(docs: DataFrame, filters: dict[int, tuple[str, str]], longest:
                 np.minimum.at(example, group[has], key[words.text[at]][has])
                 examples = pa.array(example, pa.int64(), mask=example == np.iinfo(np.int64).max)
                 yield _rows(list(name[words.text[shown]]), n, words.phrases(shown, n), counts, examples)
+            del words, same_word
 
     return docs.mapInArrow(run, schema)
 

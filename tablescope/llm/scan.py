@@ -92,11 +92,45 @@ class Hasher:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
 
 
+_PRIME, _BASE = (1 << 31) - 1, 1_566_083_941
+
+
+@cache
+def _prime_powers(size: int, inverse: bool) -> np.ndarray:
+    out = np.empty(size, dtype=np.int64)
+    out[0], done = pow(_BASE, -1, _PRIME) if inverse else _BASE, 1
+    while done < size:
+        more = min(done, size - done)
+        out[done : done + more] = out[:more] * out[done - 1] % _PRIME
+        done += more
+    return out
+
+
+@cache
+def _prime_letters() -> np.ndarray:
+    return (letters() % np.uint64(_PRIME)).astype(np.int64)
+
+
+class StrongHasher(Hasher):
+    """As ``Hasher``, with a second polynomial modulo a prime: words exist that agree modulo every power of two."""
+
+    def __init__(self, raw: np.ndarray):
+        super().__init__(raw)
+        room = 1 << max(16, int(len(raw)).bit_length())
+        self.prime_inverse = _prime_powers(room, True)
+        self.prime_sums = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum(_prime_letters()[raw] * _prime_powers(room, False)[: len(raw)] % _PRIME, out=self.prime_sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        rest = (self.prime_sums[end] - self.prime_sums[begin]) % _PRIME * self.prime_inverse[begin] % _PRIME
+        return mixed(super().of(begin, end) + mixed(rest.astype(np.uint64)))
+
+
 def shingles(raw: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words and where each text's begin; a shorter text with words gives all of them as one."""
     begin, end, text = words(raw, starts)
     texts = len(starts) - 1
-    h = Hasher(raw).of(begin, end)
+    h = StrongHasher(raw).of(begin, end)
     n = np.bincount(text, minlength=texts)
     first = np.cumsum(n) - n
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))

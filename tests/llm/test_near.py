@@ -118,3 +118,12 @@ def test_links_of_vectors(spark, scratch, chunk):
 
 def test_no_vectors(spark, scratch):
     assert near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_agree_modulo_powers_of_two_are_not_linked(documents, scratch, size):
+    a, b = "a", "b"
+    while len(a) < size:
+        a, b = a + b, b + a
+    rows = {r.doc_id: r for r in near_duplicates(documents([(1, a), (2, b), (3, f"x {a}"), (4, f"x {b}"), (5, b.upper())]), scratch, words=4).collect()}
+    assert {i: r.component_id for i, r in rows.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}

@@ -356,8 +356,8 @@ PATTERN = "concat_ws(',', CASE WHEN l_discount IS NULL THEN 'l_discount' END, CA
 
 @add("g3_missing_patterns", same(
     f"SELECT p AS missing_columns, count(*) AS missing_count, count(*) / CAST((SELECT count(*) FROM lineitem) AS DOUBLE) "
-    f"AS missing_ratio, len(string_split(p, ',')) AS missing_variable_count FROM (SELECT {PATTERN} AS p FROM {HOLES}) "
-    "WHERE p <> '' GROUP BY p ORDER BY 2 DESC, 1 LIMIT 20", "missing_ratio", "missing_count missing_variable_count"))
+    f"AS missing_ratio, len(string_split(p, ',')) AS missing_variable_count, count(*) OVER () AS total, count(*) OVER () > 20 AS truncated FROM (SELECT {PATTERN} AS p FROM {HOLES}) "
+    "WHERE p <> '' GROUP BY p ORDER BY 2 DESC, 1 LIMIT 20", "missing_ratio", "missing_count missing_variable_count total"))
 def g3(spark, folder):
     return missing.missing_patterns(lineitem_holes(spark, folder))
 
@@ -368,8 +368,8 @@ PAIR_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
 @add("g4_missing_pairs", same(
     " UNION ALL ".join(
         f"SELECT '{a}' AS column_1, '{b}' AS column_2, count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) AS both_missing_count, "
-        f"count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) / CAST(count(*) AS DOUBLE) AS both_missing_ratio FROM {HOLES}"
+        f"count(*) FILTER (WHERE {a} IS NULL AND {b} IS NULL) / CAST(count(*) AS DOUBLE) AS both_missing_ratio, 3 AS total, false AS truncated FROM {HOLES}"
         for k, a in enumerate(PAIR_COLUMNS) for b in PAIR_COLUMNS[k + 1:]),
-    "both_missing_ratio", "both_missing_count"))
+    "both_missing_ratio", "both_missing_count total"))
 def g4(spark, folder):
     return missing.missing_pairs(lineitem_holes(spark, folder), PAIR_COLUMNS)

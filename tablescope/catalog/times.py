@@ -45,8 +45,8 @@ def h3(spark, folder):
 
 @add("h4_top_intervals", same(
     "SELECT g AS interval_seconds, g / 60 AS interval_minutes, g / 3600 AS interval_hours, count(*) AS count, "
-    f"count(*) / CAST((SELECT count(*) - 1 FROM orders) AS DOUBLE) AS ratio FROM ({gaps('orders', 'o_orderdate')}) GROUP BY g "
-    "ORDER BY 4 DESC, 1 LIMIT 10", "interval_seconds interval_minutes interval_hours ratio", "count"))
+    f"count(*) / CAST((SELECT count(*) - 1 FROM orders) AS DOUBLE) AS ratio, count(*) OVER () AS total, count(*) OVER () > 10 AS truncated FROM ({gaps('orders', 'o_orderdate')}) GROUP BY g "
+    "ORDER BY 4 DESC, 1 LIMIT 10", "interval_seconds interval_minutes interval_hours ratio", "count total"))
 def h4(spark, folder):
     return calendar.top_intervals(table(spark, folder, "orders"), "o_orderdate")
 

@@ -16,8 +16,18 @@ def label(name: str) -> Column:
     return F.col(quoted(name)).cast("string")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], missing_label: str | None = None) -> DataFrame:
-    """``column_name, category, count``; nulls are dropped, or counted under ``missing_label``."""
+def all_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, category, count``, missing values under a null category."""
+    return unpivot(df, {c: label(c) for c in columns}, value="category").groupBy("column_name", "category").agg(F.count("*").alias("count"))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], missing_label: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """``column_name, category, count``; nulls are dropped, or counted under ``missing_label``.
+
+    ``counts`` are the ``all_counts`` of the columns where they are at hand.
+    """
+    if counts is not None and not missing_label:
+        return counts.filter(F.col("category").isNotNull())
     cells = {c: F.coalesce(label(c), F.lit(missing_label)) if missing_label else label(c) for c in columns}
     long = unpivot(df, cells, value="category")
     if not missing_label:
@@ -32,26 +42,27 @@ def with_share(counts: DataFrame, keys: Sequence[str] = ("column_name",), name:
     return counts.join(F.broadcast(totals), keys).withColumn(name, F.col("count") / F.col("_all")).drop("_all")
 
 
-def frequency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def frequency_table(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Every category with its count and its share of the non-null values."""
-    return with_share(value_counts(df, columns))
+    return with_share(value_counts(df, columns, counts=counts))
 
 
-def top_categories(df: DataFrame, columns: Sequence[str], n: int = 20, missing_label: str | None = None) -> DataFrame:
+def top_categories(
+    df: DataFrame, columns: Sequence[str], n: int = 20, missing_label: str | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """The ``n`` most frequent categories per column (ties by name), with their rank.
 
     The limit inside the window reaches the map side, so each task passes on at most ``n`` rows a column.
     """
     by = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("category"))
     return (
-        value_counts(df, columns, missing_label).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+        value_counts(df, columns, missing_label, counts).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
     )
 
 
-def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def categorical_summary(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """count, missing, unique, mode with count and ratio, entropy (bits) and normalised entropy."""
-    cells = unpivot(df, {c: label(c) for c in columns}, value="category")
-    counts = cells.groupBy("column_name", "category").agg(F.count("*").alias("count"))
+    counts = all_counts(df, columns) if counts is None else counts
     known = F.when(F.col("category").isNotNull(), F.col("count"))
     # Largest count first, then the smallest name: names are compared among the largest counts only.
     grouped = counts.groupBy("column_name").agg(

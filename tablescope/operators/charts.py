@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +35,12 @@ def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     return F.least(F.lit(bins - 1), F.floor((value - low) / (high - low) * bins)).cast("int")
 
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
+Bounds = dict[str, tuple[float, float, float]]
+
+
+def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS, bounds: Bounds | None = None) -> DataFrame:
     """Counts of equal-width bins over [min, max]; constant and empty columns have none."""
-    bounds = bounds_of(df, columns)
+    bounds = bounds_of(df, columns) if bounds is None else bounds
     spark = df.sparkSession
     if not bounds:
         return small_table(spark, [], "column_name string, bin int, bin_start double, bin_end double, count long")
@@ -62,19 +65,25 @@ def histogram_marks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return small_table(df.sparkSession, rows, "column_name string, mean double, median double")
 
 
-def box_plot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Quartiles, mean, whiskers at the last values inside the fences, and how many lie outside."""
-    varied = list(bounds_of(df, columns))
-    quartiles = column_quantiles(df, {c: fin(c) for c in varied}, [0.25, 0.5, 0.75]) if varied else {}
+def box_measures(name: str, q1: float, q3: float) -> dict[str, Column]:
+    low, high, c = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), fin(name)
+    return {"value": c, "inside_low": F.when(c >= low, c), "inside_high": F.when(c <= high, c), "outside": (c < low) | (c > high)}
 
-    cells = {}
-    for name, (_, (q1, _, q3)) in quartiles.items():
-        low, high, c = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), fin(name)
-        cells[name] = {
-            "value": c, "inside_low": F.when(c >= low, c), "inside_high": F.when(c <= high, c), "outside": (c < low) | (c > high)}
-    ends = per_value(df, cells, {
-        "mean": F.avg("value"), "lowest": F.min("inside_low"), "highest": F.max("inside_high"), "fliers": F.count_if(F.col("outside"))})
-    boxes = small_table(df.sparkSession, [(c, *values) for c, (_, values) in quartiles.items()], "column_name string, q1 double, median double, q3 double")
+
+def box_plot(
+    df: DataFrame, columns: Sequence[str], quartiles: Mapping[str, tuple[float, float, float]] | None = None, ends: DataFrame | None = None
+) -> DataFrame:
+    """Quartiles, mean, whiskers at the last values inside the fences, and how many lie outside.
+
+    ``quartiles`` of the columns that vary and their ``ends`` are found unless they are at hand.
+    """
+    if quartiles is None:
+        varied = list(bounds_of(df, columns))
+        quartiles = {c: tuple(v) for c, (_, v) in column_quantiles(df, {c: fin(c) for c in varied}, [0.25, 0.5, 0.75]).items()} if varied else {}
+    if ends is None:
+        ends = per_value(df, {c: box_measures(c, q1, q3) for c, (q1, _, q3) in quartiles.items()}, {
+            "mean": F.avg("value"), "lowest": F.min("inside_low"), "highest": F.max("inside_high"), "fliers": F.count_if(F.col("outside"))})
+    boxes = small_table(df.sparkSession, [(c, *values) for c, values in quartiles.items()], "column_name string, q1 double, median double, q3 double")
     return boxes.join(ends, "column_name").select(
         "column_name", "q1", "median", "q3", "mean", F.least("q1", "lowest").alias("whisker_low"),
         F.greatest("q3", "highest").alias("whisker_high"), "fliers")
@@ -93,9 +102,9 @@ def box_fliers(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> Dat
     return unpivot(df, cells, key).filter(F.col("value").isNotNull())
 
 
-def category_bars(df: DataFrame, columns: Sequence[str], n: int = BAR_CATEGORIES) -> DataFrame:
+def category_bars(df: DataFrame, columns: Sequence[str], n: int = BAR_CATEGORIES, counts: DataFrame | None = None) -> DataFrame:
     """Most frequent categories, smallest bar first."""
-    return top_categories(df, columns, n).orderBy("column_name", F.asc("count"), F.desc("category"))
+    return top_categories(df, columns, n, counts=counts).orderBy("column_name", F.asc("count"), F.desc("category"))
 
 
 def scatter_fits(df: DataFrame, columns: Sequence[str], max_columns: int | None = None, measures: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ Results are long tables: ``method, x, y, i, j, correlation, p_value, sample_size
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
@@ -21,6 +21,7 @@ from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import with_weights_below
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
+from tablescope.plans.workers import importable
 
 STRONG, MODERATE = 0.7, 0.4
 MEASURES_PER_PASS = 400
@@ -327,6 +328,7 @@ def _discordant(cells: DataFrame, pairs: Sequence[tuple[int, int]], borders: Seq
     enough per pair of columns one block holds them.
     """
     # Pairs are numbered in their order: those of column i begin after i rows of a triangle.
+    importable(cells.sparkSession)
     level = cells.select(F.expr(f"CAST(i * (2 * {len(borders)} - i - 1) div 2 + j - i - 1 AS INT)").alias("pair"), "x", "y", F.col("weight").alias("w"))
     cuts = {p: (borders[i], borders[j]) for p, (i, j) in enumerate(pairs)}
     lost = None
@@ -378,27 +380,15 @@ def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 
-def correlation_matrix(pairs: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Symmetric matrix in long form: both triangles of ``pairs`` plus the diagonal."""
-    method = F.col("method")
-    clean = _clean(df, columns)
-    diagonal = clean.agg(
-        *[
-            F.struct(F.count(f"c{i}").alias("n"), (F.min(f"c{i}") < F.max(f"c{i}")).alias("varies")).alias(f"s{i}")
-            for i in range(len(columns))
-        ]
-    )
-    entries = F.array(*[F.struct(F.lit(c).alias("x"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)])
-    one = pairs.select("method").distinct()
-    selves = (
-        diagonal.select(F.explode(entries).alias("e"))
-        .select("e.x", "e.s.n", "e.s.varies")
-        .withColumn("_k", F.lit(1))
-        .join(one.withColumn("_k", F.lit(1)), "_k")  # one method name, one row per column
-        .select(
-            method, "x", F.col("x").alias("y"), F.when(F.col("varies"), 1.0).alias("correlation"),
-            F.when(F.col("varies"), 0.0).alias("p_value"), F.when(F.col("n") >= 2, F.col("n")).alias("sample_size"),
-        )
+def matrix_of(pairs: DataFrame, single: Mapping[str, tuple[int, bool]]) -> DataFrame:
+    """Symmetric matrix in long form: both triangles of ``pairs`` plus the diagonal.
+
+    ``single`` has for every column the number of its values and whether they vary.
+    """
+    methods = [r["method"] for r in pairs.select("method").distinct().collect()]
+    selves = small_table(
+        pairs.sparkSession, [(m, c, c, 1.0 if varies else None, 0.0 if varies else None, n if n >= 2 else None) for m in methods for c, (n, varies) in single.items()],
+        "method string, x string, y string, correlation double, p_value double, sample_size long",
     )
     ok = F.col("status") == "ok"
     upper = pairs.select("method", "x", "y", "correlation", "p_value", F.when(ok, F.col("sample_size")).alias("sample_size"))
@@ -406,6 +396,13 @@ def correlation_matrix(pairs: DataFrame, df: DataFrame, columns: Sequence[str])
     return upper.unionByName(lower).unionByName(selves)
 
 
+def correlation_matrix(pairs: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``matrix_of`` with the columns' numbers of values found in one scan."""
+    clean = _clean(df, columns)
+    row = clean.agg(*[a for i in range(len(columns)) for a in (F.count(f"c{i}").alias(f"n{i}"), (F.min(f"c{i}") < F.max(f"c{i}")).alias(f"v{i}"))]).first()
+    return matrix_of(pairs, {c: (row[f"n{i}"], bool(row[f"v{i}"])) for i, c in enumerate(columns)})
+
+
 def strength(r: Column) -> Column:
     size = F.abs(r)
     return F.when(r.isNull(), "unknown").when(size >= STRONG, "strong").when(size >= MODERATE, "moderate").otherwise("weak")
@@ -443,9 +440,9 @@ def correlation_cells(matrix: DataFrame, columns: Sequence[str], max_columns: in
     )
 
 
-def correlation_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All three methods; fewer than two columns give a single skipped row."""
+def correlation_report(df: DataFrame, columns: Sequence[str], measures: DataFrame | None = None) -> DataFrame:
+    """All three methods; fewer than two columns give a single skipped row. ``measures`` is the ``pair_table`` where that is at hand."""
     if len(columns) < 2:
         return small_table(df.sparkSession, [(m, "skipped", "insufficient_numeric_variables") for m in METHODS], "method string, status string, reason string"
         )
-    return reduce(DataFrame.unionByName, [run(df, columns) for run in METHODS.values()])
+    return reduce(DataFrame.unionByName, [pearson(df, columns, measures), spearman(df, columns), kendall(df, columns)])

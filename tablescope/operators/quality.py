@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.clean import finite
 from tablescope.operators import statistics
-from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, per_value, quoted
+from tablescope.plans.wide import distinct_counts, duplicate_rows, per_column, quoted
 
 MISSING_WARNING, MISSING_CRITICAL = 0.05, 0.30
 HIGH_CARDINALITY = 0.50
@@ -30,16 +29,16 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return per_column(df, columns, build, "row_count long, missing_count long", COUNTS_PER_PASS)
 
 
-def missing_values(df: DataFrame) -> DataFrame:
+def missing_values(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     share = F.col("missing_ratio")
-    return null_counts(df, df.columns).withColumn("missing_ratio", ratio(F.col("missing_count"), F.col("row_count"))).select(
+    return (null_counts(df, df.columns) if base is None else base).withColumn("missing_ratio", ratio(F.col("missing_count"), F.col("row_count"))).select(
         "column_name", "ordinal", "missing_count", "missing_ratio",
         F.when(share >= MISSING_CRITICAL, "critical").when(share >= MISSING_WARNING, "warning").otherwise("ok").alias("level"),
     )
 
 
-def duplicates(df: DataFrame) -> DataFrame:
-    return duplicate_rows(df).select(
+def duplicates(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    return (duplicate_rows(df) if counted is None else counted).select(
         F.col("duplicate_rows").alias("duplicate_count"),
         ratio(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_ratio"),
     )
@@ -52,7 +51,7 @@ def _with_unique(base: DataFrame, df: DataFrame, columns: Sequence[str]) -> Data
     return base.join(counts, "column_name", "left").fillna(0, ["unique"])
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
+def constant_columns(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Columns with at most one value, null counting as a value.
 
     A column is constant when all rows are null, or none is and its smallest value equals its largest.
@@ -66,15 +65,16 @@ def constant_columns(df: DataFrame) -> DataFrame:
             "same": F.coalesce(F.min(c) == F.max(c), F.lit(True)),
         }
 
-    table = per_column(df, df.columns, build, "row_count long, non_null long, same boolean")
+    table = per_column(df, df.columns, build, "row_count long, non_null long, same boolean") if base is None else base
     full = F.col("non_null") == F.col("row_count")
     return table.filter((F.col("non_null") == 0) | (full & F.col("same"))).select("column_name", "ordinal")
 
 
-def high_cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def high_cardinality(df: DataFrame, columns: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+    """``base`` has ``column_name, row_count, unique`` where they are at hand."""
     share = F.col("unique_ratio")
     return (
-        _with_unique(null_counts(df, columns), df, columns)
+        (_with_unique(null_counts(df, columns), df, columns) if base is None else base)
         .withColumn("unique_ratio", ratio(F.col("unique"), F.col("row_count")))
         .select(
             "column_name", "unique", "unique_ratio",
@@ -83,11 +83,11 @@ def high_cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def outliers(df: DataFrame, columns: Sequence[str], table: DataFrame | None = None) -> DataFrame:
     """Fence outliers; constant columns are skipped without bounds, empty ones left out."""
     ok = F.col("status") == "ok"
     return (
-        statistics.outlier_table(df, columns)
+        (statistics.outlier_table(df, columns) if table is None else table)
         .filter(~F.col("reason").eqNullSafe("no_valid_values"))
         .select(
             "column_name", "outlier_count", "outlier_ratio",
@@ -98,10 +98,8 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    v = F.col("value")
-    table = per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
-        "n": F.count(v), "low": F.min(v), "high": F.max(v), "g1": F.skewness(v)}).fillna(0, ["n"])
+def skewness(df: DataFrame, columns: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+    table = statistics.finite_moments(df, columns) if base is None else base
     few, flat = F.col("n") < 3, F.col("low") == F.col("high")
     size = F.abs("skewness")
     return table.withColumn(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from tablescope.operators import (
 from tablescope.operators.categorical import MISSING_LABEL, label
 from tablescope.plans.materialize import materialize, settled
 from tablescope.plans.ordered import with_position
-from tablescope.plans.small import small_table
-from tablescope.plans.wide import quoted, unpivot
+from tablescope.plans.selection import Quantiles, column_quantiles, column_spreads
+from tablescope.plans.small import OnePass, at_hand, small_table
+from tablescope.plans.wide import duplicate_rows, quoted, unpivot
 
 SCHEMA_VERSION = "1.0"
 PREVIEW_ROWS = 10
@@ -101,59 +103,194 @@ def row_payload(
     return rows, dictionary, scope
 
 
-def analyse(df: DataFrame, order_by: Sequence[str], overrides: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """Type, coerce and analyse a table: ``{name: result table}``. ``order_by`` breaks ties of time."""
-    tidy = clean.tidy(df)
-    types = typing.override_types(typing.detect_types(tidy), overrides or {})
-    types = materialize(types)
+FULL_EXPORT_ROWS = 500_000  # fixed value: rows of the exploration table beyond which it is a sample
+IDENTIFIER_LIMIT = 500
+
+
+class _Facts:
+    """What one pass over a typed table says about each of its columns, and the tables reports start from."""
+
+    def __init__(self, df: DataFrame, plain: Sequence[str], numbers: Sequence[str], dates: Sequence[str], kinds: Mapping[str, str]):
+        self.df, self.spark, self.numbers, self.dates = df, df.sparkSession, list(numbers), list(dates)
+        self.listed = [c for c in kinds if c in df.columns]
+        # Only floating columns can hold infinities, which some reports leave out.
+        self.open_ended = [c for c in numbers if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+        ask = OnePass(df)
+        ask.ask({("total", k): m for k, m in missing.total_measures(self.listed).items()})
+        ask.ask({("present", c): F.count(F.col(quoted(c))) for c in df.columns})
+        ask.ask({("same", c): F.coalesce(F.min(quoted(c)) == F.max(quoted(c)), F.lit(True)) for c in plain})
+        for c in numbers:
+            ask.ask({(k, c): m for k, m in self._moments(statistics.number(c)).items()})
+        for c in self.open_ended:
+            ask.ask({(f"finite_{k}", c): m for k, m in self._moments(clean.finite(F.col(quoted(c)))).items()})
+        for c in dates:
+            ask.ask({(k, c): m for k, m in calendar.range_measures(c).items()})
+        self.found = ask.answer()
+        self.rows = self.found["total", "n"]
+
+    @staticmethod
+    def _moments(v: Column) -> dict[str, Column]:
+        return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v)}
+
+    def _finite(self, k: str, c: str):
+        return self.found[f"finite_{k}" if c in self.open_ended else k, c]
+
+    def endless(self) -> list[str]:
+        """Columns that hold infinities."""
+        return [c for c in self.open_ended if self.found["n", c] != self.found["finite_n", c]]
+
+    def nulls(self, columns: Sequence[str]) -> DataFrame:
+        rows = [(c, i, self.rows, self.rows - self.found["present", c]) for i, c in enumerate(columns)]
+        return small_table(self.spark, rows, "column_name string, ordinal int, row_count long, missing_count long")
+
+    def constants(self, columns: Sequence[str]) -> DataFrame:
+        rows = [(c, i, self.rows, self.found["present", c], self.found["same", c]) for i, c in enumerate(columns)]
+        return small_table(self.spark, rows, "column_name string, ordinal int, row_count long, non_null long, same boolean")
+
+    def totals(self) -> DataFrame:
+        keys = ("n", "total_missing", "complete_rows", "columns_with_missing")
+        return small_table(self.spark, [[self.found["total", k] for k in keys]], ", ".join(f"{k} long" for k in keys))
+
+    def moments(self) -> DataFrame:
+        f = self.found
+        rows = [(c, i, f["n", c], self.rows - f["n", c], *[f[k, c] for k in ("mean", "std", "min", "max", "g1", "g2")]) for i, c in enumerate(self.numbers)]
+        return small_table(self.spark, rows, "column_name string, ordinal int, count long, missing long, mean double, std double, min double, max double, g1 double, g2 double")
+
+    def finite_moments(self) -> DataFrame:
+        rows = [(c, i, *[self._finite(k, c) for k in ("n", "min", "max", "mean", "std", "g1", "g2")]) for i, c in enumerate(self.numbers)]
+        return small_table(self.spark, rows, "column_name string, ordinal int, n long, low double, high double, mean double, std double, g1 double, g2 double")
+
+    def bounds(self) -> dict[str, tuple[float, float, float]]:
+        """Of the columns whose finite values vary."""
+        found = {c: tuple(self._finite(k, c) for k in ("min", "max", "mean")) for c in self.numbers}
+        return {c: b for c, b in found.items() if b[0] is not None and b[0] < b[1]}
+
+    def time_range(self, c: str) -> DataFrame:
+        row = [self.found[k, c] for k in ("min_datetime", "max_datetime", "valid_count", "missing_count")]
+        return self.spark.createDataFrame([row], "min_datetime timestamp_ntz, max_datetime timestamp_ntz, valid_count long, missing_count long")
+
+
+def analyse(
+    df: DataFrame, order_by: Sequence[str], overrides: Mapping[str, str] | None = None, time_col: str | None = None,
+    sample_limit: int | None = FULL_EXPORT_ROWS,
+) -> dict[str, DataFrame]:
+    """Type, coerce and analyse a table: ``{name: result table}``. ``order_by`` breaks ties of time.
+
+    Scans are shared: one pass for counts, moments and ranges of all columns, one quantile search with the median distances,
+    one pass for fences and boxes, one for all pairs of numbers, one table of counts each for categories, missing patterns,
+    duplicate rows, and per date for its gaps and its hours; every report is derived from these. ``time_col`` chooses the
+    time axis among several dates. The dashboard's tables come along: ``row_payload`` (at most ``sample_limit`` rows, spread
+    over strata and time that are chosen by themselves; None for all rows), its ``row_dictionary`` and ``data_scope``,
+    ``identifier_counts``, ``identifier_combinations``, ``time_filter`` and ``correlation_cells``.
+    """
+    spark, tidy = df.sparkSession, clean.tidy(df)
+    types = at_hand(typing.override_types(typing.detect_types(tidy), overrides or {}))
     kinds = typing.type_map(types)
     ready, steps = prepare.coerce(tidy, kinds)
+    changed = [c for c in tidy.columns if ready.schema[c].dataType != tidy.schema[c].dataType]
+    # Parsed text is written once, not parsed again by every pass.
+    ready = settled(ready) if changed else ready
     numbers, categories = typing.numeric_columns(kinds), typing.categorical_columns(kinds)
     plain = [c for c, k in kinds.items() if k != "skipped"]
+    dates = [*typing.pick(kinds, "datetime"), *([prepare.COMBINED] if prepare.COMBINED in ready.columns else [])]
+    facts = _Facts(ready, plain, numbers, dates, kinds)
+    counted = at_hand(duplicate_rows(ready, typing.profile_measures(ready)))
+    listed = facts.listed
+    patterns = settled(missing.pattern_counts(ready, listed))
+    dataset = typing.dataset_profile(ready, counted)
     out = {
-        "types": types, "type_counts": typing.type_counts(types), "dataset": typing.dataset_profile(ready),
+        "types": types, "type_counts": typing.type_counts(types), "dataset": dataset, "loading": loading(df, dataset),
         "preprocessing": steps, "preprocessing_summary": prepare.summarize(steps),
-        "missing_values": quality.missing_values(ready), "duplicates": quality.duplicates(ready),
-        "constant_columns": quality.constant_columns(ready.select(*[quoted(c) for c in plain])),
-        "type_issues": quality.type_issues(types), "missing_summary": missing.missing_summary(ready, list(kinds)),
-        "missing_by_column": missing.missing_by_column(ready, list(kinds)),
-        "missing_patterns": missing.missing_patterns(ready, list(kinds)),
-        "missing_pairs": missing.missing_pairs(ready, list(kinds)),
+        "missing_values": quality.missing_values(ready, facts.nulls(ready.columns)), "duplicates": quality.duplicates(ready, counted),
+        "constant_columns": quality.constant_columns(ready, facts.constants(plain)),
+        "type_issues": quality.type_issues(types), "missing_summary": missing.missing_summary(ready, listed, facts.totals()),
+        "missing_by_column": missing.missing_by_column(ready, listed, facts.nulls(listed)),
+        "missing_patterns": missing.missing_patterns(ready, listed, counts=patterns),
+        "missing_pairs": missing.missing_pairs(ready, listed, counts=patterns),
         "preview": table_preview(tidy, order_by),
     }
+    found, measures = {}, None
     if numbers:
-        out |= {
-            "numeric": statistics.numeric_report(ready, numbers), "outliers": quality.outliers(ready, numbers),
-            "skewness": quality.skewness(ready, numbers), "histogram": charts.histogram(ready, numbers),
-            "box_plot": charts.box_plot(ready, numbers),
-        }
+        found = numeric_tables(ready, facts, out)
     if categories:
+        counts = settled(categorical.all_counts(ready, categories))
+        unique = small_table(spark, [(r["column_name"], facts.rows, r["unique"]) for r in types.collect() if r["column_name"] in categories],
+            "column_name string, row_count long, unique long")
         out |= {
-            "categorical": categorical.categorical_summary(ready, categories),
-            "frequencies": categorical.frequency_table(ready, categories),
-            "category_bars": charts.category_bars(ready, categories),
-            "high_cardinality": quality.high_cardinality(ready, categories),
+            "categorical": categorical.categorical_summary(ready, categories, counts),
+            "frequencies": categorical.frequency_table(ready, categories, counts),
+            "category_bars": charts.category_bars(ready, categories, counts=counts),
+            "high_cardinality": quality.high_cardinality(ready, categories, unique),
         }
-    out["correlation"] = correlation.correlation_report(ready, numbers)
     if len(numbers) >= 2:
+        measures = correlation.pair_table(ready.select(*[clean.finite(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(numbers)]), correlation.column_pairs(numbers))
+        out["correlation"] = at_hand(correlation.correlation_report(ready, numbers, measures))
         out["important_pairs"] = correlation.important_pairs(out["correlation"])
-        out["scatter_fits"] = charts.scatter_fits(ready, numbers)
-    dates = [*typing.pick(kinds, "datetime"), *([prepare.COMBINED] if prepare.COMBINED in ready.columns else [])]
+        out["scatter_fits"] = charts.scatter_fits(ready, numbers, measures=measures)
+        varied = [c for c in numbers if c in facts.bounds()]
+        matrix = correlation.matrix_of(out["correlation"], {c: (facts._finite("n", c), c in varied) for c in numbers})
+        out["correlation_cells"] = correlation.correlation_cells(matrix, numbers)
+    else:
+        out["correlation"] = correlation.correlation_report(ready, numbers)
+    gaps = {}
     for c in dates:
+        gaps[c], clock = calendar.gap_table(ready, c), settled(calendar.clock_counts(ready, c))
         out |= {
-            f"time_range__{c}": calendar.time_range(ready, c), f"time_intervals__{c}": calendar.time_intervals(ready, c),
-            f"top_intervals__{c}": calendar.top_intervals(ready, c), f"hourly__{c}": calendar.hourly_distribution(ready, c),
-            f"daily__{c}": calendar.daily_distribution(ready, c), f"weekday__{c}": calendar.weekday_distribution(ready, c),
+            f"time_range__{c}": calendar.time_range(ready, c, facts.time_range(c)),
+            f"time_intervals__{c}": calendar.time_intervals(ready, c, gaps[c]), f"top_intervals__{c}": calendar.top_intervals(ready, c, gaps=gaps[c]),
+            f"hourly__{c}": calendar.hourly_distribution(ready, c, clock), f"daily__{c}": calendar.daily_distribution(ready, c, counted=clock),
+            f"weekday__{c}": calendar.weekday_distribution(ready, c, clock),
         }
-    out |= time_series(ready, kinds, dates, numbers, order_by)
-    return out
+    status, axis, reason = typing.time_axis({**{c: "datetime" for c in dates}, **kinds}, time_col)
+    out |= time_series(ready, (status, axis, reason), numbers, order_by, facts, found, gaps.get(axis))
+    return out | dashboard_tables(ready, kinds, order_by, axis if status == "ok" else None, sample_limit, types)
+
+
+def loading(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row on the table as it came: rows, columns, missing values, duplicate rows, names and types of the columns."""
+    names, kinds = ([F.lit(x) for x in xs] for xs in (df.columns, [f.dataType.simpleString() for f in df.schema.fields]))
+    return profile.select("rows", "columns", "missing_values", "duplicate_rows", F.array(*names).alias("column_names"), F.array(*kinds).alias("column_types"))
+
+
+def numeric_tables(df: DataFrame, facts: _Facts, out: dict[str, DataFrame]) -> Quantiles:
+    """Reports on numeric columns into ``out``; returns their quantiles."""
+    numbers, names = facts.numbers, list(statistics.QUANTILES)
+    found, spread = column_spreads(df, {c: statistics.number(c) for c in numbers}, list(statistics.QUANTILES.values()))
+    q25, q50, q75 = (names.index(q) for q in ("q25", "q50", "q75"))
+    boxed = {c: tuple(v[q] for q in (q25, q50, q75)) for c, (_, v) in found.items()}
+    if endless := facts.endless():
+        # Fences and boxes leave infinities out.
+        boxed |= {c: tuple(v) for c, (_, v) in column_quantiles(df, {c: charts.fin(c) for c in endless}, [0.25, 0.5, 0.75]).items()}
+    bounds = facts.bounds()
+    fences = {c: (q1, q3) for c, (q1, _, q3) in boxed.items()}
+    ask = OnePass(df)
+    for c in fences:
+        m = statistics.outlier_measures(c, fences)
+        ask.ask({("outside", c): F.count_if(m["outside"])})
+        if c in bounds:
+            box = charts.box_measures(c, *fences[c])
+            ask.ask({("lowest", c): F.min(box["inside_low"]), ("highest", c): F.max(box["inside_high"])})
+    seen = ask.answer() if fences else {}
+    outside = [(c, i, *[facts._finite(k, c) for k in ("n", "min", "max")], seen.get(("outside", c), 0)) for i, c in enumerate(numbers)]
+    fenced = statistics.outlier_table(df, numbers, fences, counted=small_table(df.sparkSession, outside,
+        "column_name string, ordinal int, n long, lowest double, highest double, outside long"))
+    ends = small_table(df.sparkSession, [(c, bounds[c][2], seen["lowest", c], seen["highest", c], seen["outside", c]) for c in bounds],
+        "column_name string, mean double, lowest double, highest double, fliers long")
+    finite = facts.finite_moments()
+    out |= {
+        "numeric": statistics.joined_report(df, numbers, found, spread, statistics.moments(df, numbers, facts.moments()), fenced,
+            statistics.normality_table(df, numbers, base=finite)),
+        "outliers": quality.outliers(df, numbers, fenced), "skewness": quality.skewness(df, numbers, finite),
+        "histogram": charts.histogram(df, numbers, bounds=bounds), "box_plot": charts.box_plot(df, numbers, {c: boxed[c] for c in bounds}, ends),
+    }
+    return found
 
 
 def time_series(
-    df: DataFrame, kinds: Mapping[str, str], dates: Sequence[str], numbers: Sequence[str], tie: Sequence[str]
+    df: DataFrame, chosen: tuple[str, str | None, str], numbers: Sequence[str], tie: Sequence[str], facts: _Facts, found: Quantiles, gaps: DataFrame | None
 ) -> dict[str, DataFrame]:
     """Frequency, aggregated or raw series, summaries, trends and anomalies on the chosen time axis."""
-    status, axis, reason = typing.time_axis({**{c: "datetime" for c in dates}, **kinds})
+    status, axis, reason = chosen
     numbers = [c for c in numbers if c != axis]
     if status == "ok" and not numbers:
         status, reason = "skipped", "no_numeric_variables"
@@ -164,11 +301,16 @@ def time_series(
         return out
     if reason == "time_index":
         return out | {"time_index_means": series.time_index_means(df, axis, numbers)}
-    frequency = series.detect_frequency(df, axis)
+    frequency = at_hand(series.detect_frequency(df, axis, gaps=gaps))
     detected = frequency.first()["detected"]
+    # Where every row has a time, what is known of all rows holds for the series.
+    whole = facts.found["missing_count", axis] == 0
+    middle = list(statistics.QUANTILES).index("q50")
+    known = {"base": facts.moments(), "middles": {c: found[c][1][middle] for c in numbers if c in found}} if whole else {}
+    counts = {c: facts.found["n", c] for c in numbers} if whole else None
     out |= {
-        "frequency": frequency, "series_summary": series.series_summary(df, axis, numbers),
-        "trend": series.linear_trend(df, axis, numbers, tie), "anomalies": series.anomalies(df, axis, numbers, tie),
+        "frequency": frequency, "series_summary": series.series_summary(df, axis, numbers, **known),
+        "trend": series.linear_trend(df, axis, numbers, tie), "anomalies": series.anomalies(df, axis, numbers, tie, counts=counts),
     }
     if detected == "irregular":
         out["series"] = series.irregular_series(df, axis, numbers, tie)
@@ -177,8 +319,37 @@ def time_series(
     return out
 
 
-def write_bundle(results: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> DataFrame:
-    """Write every result table below ``folder`` and a manifest that names them; returns the manifest."""
+def dashboard_tables(
+    df: DataFrame, kinds: Mapping[str, str], order_by: Sequence[str], axis: str | None, limit: int | None, types: DataFrame
+) -> dict[str, DataFrame]:
+    """Rows to explore with their dictionary and scope, identifier lookups, and the ends of the time axis."""
+    unique = {r["column_name"]: r["unique"] for r in types.collect()}
+    strata = sampling.choose_strata({c: unique[c] for c in typing.categorical_columns(kinds)}, limit) if limit else []
+    rows, dictionary, scope = row_payload(df, kinds, order_by, axis, limit, strata)
+    out = {"row_payload": rows, "data_scope": scope}
+    if dictionary is not None:
+        out["row_dictionary"] = dictionary
+    if identifiers := typing.pick(kinds, "identifier"):
+        out["identifier_counts"] = sampling.identifier_counts(df, identifiers, IDENTIFIER_LIMIT)
+        if len(identifiers) > 1:
+            out["identifier_combinations"] = sampling.identifier_combinations(df, identifiers, max_values=IDENTIFIER_LIMIT)
+    if axis:
+        out["time_filter"] = sampling.time_filter(df, axis)
+    return out
+
+
+def metadata(results: Mapping[str, DataFrame], source: str | None = None, overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """One row about a bundle: version, where the data came from, the user's type choices, and the names of its tables."""
+    spark = next(iter(results.values())).sparkSession
+    chosen = [f"{c}={k}" for c, k in (overrides or {}).items()]
+    return small_table(spark, [(SCHEMA_VERSION, "completed", source, chosen, list(results))],
+        "schema_version string, status string, source string, user_overrides array<string>, tables array<string>")
+
+
+def write_bundle(
+    results: Mapping[str, DataFrame], folder: str, fmt: str = "parquet", source: str | None = None, overrides: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Write every result table below ``folder``, a metadata row and a manifest that names the tables; returns the manifest."""
     entries = []
     for name, table in results.items():
         target = f"{folder}/{name}"
@@ -186,6 +357,7 @@ def write_bundle(results: Mapping[str, DataFrame], folder: str, fmt: str = "parq
         shown.write.mode("overwrite").format(fmt).save(target)
         entries.append((SCHEMA_VERSION, name, target, fmt, ",".join(table.columns)))
     spark = next(iter(results.values())).sparkSession
+    metadata(results, source, overrides).coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
     manifest = small_table(spark, entries, "schema_version string, name string, path string, format string, columns string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
     return manifest
@@ -193,8 +365,5 @@ def write_bundle(results: Mapping[str, DataFrame], folder: str, fmt: str = "parq
 
 def bundle_rows(results: Mapping[str, DataFrame]) -> DataFrame:
     """Every result row as JSON, tagged with its table, for readers that take one file."""
-    out = None
-    for name, table in results.items():
-        part = json_rows(table).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(name).alias("table"), "json")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [json_rows(table).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(name).alias("table"), "json") for name, table in results.items()]
+    return reduce(DataFrame.unionByName, parts)

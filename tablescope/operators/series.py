@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.clean import finite, from_micros, micros
-from tablescope.operators.calendar import SECOND, gap_counts, gap_summary, when_of
+from tablescope.operators.calendar import SECOND, gap_summary, gap_table, when_of
 from tablescope.operators.statistics import number
 from tablescope.plans.ordered import with_position
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
@@ -26,9 +26,10 @@ FREQUENCIES = {
 }
 
 
-def detect_frequency(df: DataFrame, time_col: str, tolerance: float = TOLERANCE) -> DataFrame:
+def detect_frequency(df: DataFrame, time_col: str, tolerance: float = TOLERANCE, gaps: DataFrame | None = None) -> DataFrame:
     """Frequency from the median of the positive gaps."""
-    summary = gap_summary(gap_counts(df, time_col).filter(F.col("gap") > 0))
+    gaps = gap_table(df, time_col) if gaps is None else gaps
+    summary = gap_summary(gaps.filter(F.col("gap") > 0))
     median = F.col("median_interval_seconds")
     name = F.lit("irregular")
     for label, seconds in reversed(FREQUENCIES.items()):
@@ -138,17 +139,24 @@ def _timed(df: DataFrame, time_col: str) -> DataFrame:
     return df.filter(when_of(time_col).isNotNull())
 
 
-def series_summary(df: DataFrame, time_col: str, columns: Sequence[str], min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
-    """count, missing, mean, median and std over rows with a valid time."""
-    timed = _timed(df, time_col)
-    middle = column_quantiles(timed, {c: number(c) for c in columns}, [0.5])
+def series_summary(
+    df: DataFrame, time_col: str, columns: Sequence[str], min_observations: int = MIN_OBSERVATIONS, base: DataFrame | None = None,
+    middles: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """count, missing, mean, median and std over rows with a valid time.
 
+    ``base`` (``column_name, count, missing, mean, std``) and ``middles`` (medians) of these rows are found unless they are at hand.
+    """
+    timed = _timed(df, time_col)
+    if middles is None:
+        middles = {c: q[0] for c, (_, q) in column_quantiles(timed, {c: number(c) for c in columns}, [0.5]).items()}
     v = F.col("value")
-    medians = small_table(df.sparkSession, [(c, q[0]) for c, (_, q) in middle.items()], "column_name string, median double")
+    medians = small_table(df.sparkSession, [(c, m) for c, m in middles.items() if c in columns], "column_name string, median double")
     table = per_value(timed, {c: number(c) for c in columns}, {
-        "count": F.count(v), "missing_count": F.count_if(v.isNull()), "mean": F.avg(v),
-        "std": F.coalesce(F.stddev_samp(v), F.lit(0.0)),
-    }).join(medians, "column_name", "left").fillna(0, ["count"])
+        "count": F.count(v), "missing": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v),
+    }) if base is None else base.filter(F.col("column_name").isin(list(columns)))
+    table = table.withColumns({"std": F.coalesce("std", F.lit(0.0)), "missing_count": F.col("missing")})
+    table = table.join(medians, "column_name", "left").fillna(0, ["count"])
     few = F.col("count") < min_observations
     shown = [F.when(~few, F.col(c)).alias(c) for c in ("missing_count", "mean", "median", "std")]
     return table.select(
@@ -258,10 +266,18 @@ def rolling_scores(
 
 def anomalies(
     df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (),
-    window: int = WINDOW, threshold: float = THRESHOLD, chunk: int = CHUNK,
+    window: int = WINDOW, threshold: float = THRESHOLD, chunk: int = CHUNK, counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Values whose score exceeds ``threshold``; columns with fewer than ``window`` values have none."""
-    enough = _timed(df, time_col).agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    usable = [c for i, c in enumerate(columns) if enough[i] >= window]
-    scored = rolling_scores(df, time_col, usable or list(columns), tie, window, chunk)
-    return scored.filter(F.abs("robust_z_score") > threshold if usable else F.lit(False))
+    """Values whose score exceeds ``threshold``; columns with fewer than ``window`` values have none.
+
+    ``counts`` of the values with a valid time are taken unless they are at hand. Where no column has enough values nothing is put in order.
+    """
+    if counts is None:
+        row = _timed(df, time_col).agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        counts = dict(zip(columns, row, strict=True))
+    usable = [c for c in columns if counts[c] >= window]
+    if not usable:
+        fields = [F.lit(None).cast("long").alias("position"), when_of(time_col).alias("datetime"), *[F.col(quoted(t)) for t in tie]]
+        empty = [F.lit(None).cast(k).alias(n) for n, k in (("column_name", "string"), ("value", "double"), ("rolling_median", "double"), ("robust_z_score", "double"))]
+        return df.limit(0).select(*fields, *empty)
+    return rolling_scores(df, time_col, usable, tie, window, chunk).filter(F.abs("robust_z_score") > threshold)

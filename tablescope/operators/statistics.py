@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions.clean import finite
 from tablescope.functions.normality import shapiro_wilk
-from tablescope.plans.selection import column_quantiles
+from tablescope.plans.selection import Quantiles, column_quantiles, column_spreads
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
 
@@ -42,10 +42,10 @@ def or_null(c: Column) -> Column:
     return finite(c)
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, missing, mean, std, variance, min, max, range, cv, skewness, kurtosis; one scan."""
+def moments(df: DataFrame, columns: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+    """count, missing, mean, std, variance, min, max, range, cv, skewness, kurtosis; one scan, none if ``base`` has the sums."""
     v = F.col("value")
-    table = per_value(df, {c: number(c) for c in columns}, {
+    table = base if base is not None else per_value(df, {c: number(c) for c in columns}, {
         "count": F.count(v), "missing": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v),
         "min": F.min(v), "max": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
     })
@@ -62,9 +62,6 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-Quantiles = dict[str, tuple[int, list[float]]]
-
-
 def report_quantiles(df: DataFrame, columns: Sequence[str]) -> Quantiles:
     return column_quantiles(df, {c: number(c) for c in columns}, list(QUANTILES.values()))
 
@@ -81,16 +78,11 @@ def quantile_table(df: DataFrame, columns: Sequence[str], found: Quantiles | Non
     )
 
 
-def mad_table(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float] | None = None) -> DataFrame:
-    """Median absolute deviation from the median, unscaled."""
-    if medians is None:
-        centre = column_quantiles(df, {c: number(c) for c in columns}, [0.5])
-        medians = {c: values[0] for c, (_, values) in centre.items()}
-    spread = column_quantiles(df, {c: F.abs(number(c) - F.lit(m)) for c, m in medians.items()}, [0.5])
-    rows = [(c, values[0]) for c, (_, values) in spread.items()]
-    return small_table(df.sparkSession, rows, "column_name string, mad double").select(
-        "column_name", or_null(F.col("mad")).alias("mad")
-    )
+def mad_table(df: DataFrame, columns: Sequence[str], found: Mapping[str, float] | None = None) -> DataFrame:
+    """Median absolute deviation from the median, unscaled; ``found`` names it where it is known."""
+    if found is None:
+        found = column_spreads(df, {c: number(c) for c in columns}, [0.5])[1]
+    return small_table(df.sparkSession, list(found.items()), "column_name string, mad double").select("column_name", or_null(F.col("mad")).alias("mad"))
 
 
 Quartiles = Mapping[str, tuple[float, float]]
@@ -107,21 +99,25 @@ def fences(df: DataFrame, columns: Sequence[str], reach: float = FENCE) -> dict[
     return {c: (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)) for c, (q1, q3) in quartiles(df, columns).items()}
 
 
-def outlier_table(df: DataFrame, columns: Sequence[str], known: Quartiles | None = None, reach: float = FENCE) -> DataFrame:
-    """Values outside the quartile fences: bounds, count and share of finite values."""
+def outlier_measures(name: str, known: Quartiles, reach: float = FENCE) -> dict[str, Column]:
+    """What a column's rows are looked at for once its quartiles are known."""
+    c, outside = finite(F.col(quoted(name))), F.lit(False)
+    if name in known:
+        q1, q3 = known[name]
+        outside = (c < q1 - reach * (q3 - q1)) | (c > q3 + reach * (q3 - q1))
+    return {"value": c, "outside": outside}
+
+
+def outlier_table(
+    df: DataFrame, columns: Sequence[str], known: Quartiles | None = None, reach: float = FENCE, counted: DataFrame | None = None
+) -> DataFrame:
+    """Values outside the quartile fences: bounds, count and share of finite values; ``counted`` has the counts where they are at hand."""
     known = quartiles(df, columns) if known is None else known
-    cells, edges = {}, []
-    for name in columns:
-        c, outside = finite(F.col(quoted(name))), F.lit(False)
-        if name in known:
-            q1, q3 = known[name]
-            low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
-            outside = (c < low) | (c > high)
-            edges.append((name, q1, q3, low, high))
-        cells[name] = {"value": c, "outside": outside}
+    edges = [(c, q1, q3, q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)) for c, (q1, q3) in known.items() if c in columns]
     v = F.col("value")
-    counted = per_value(df, cells, {
-        "n": F.count(v), "lowest": F.min(v), "highest": F.max(v), "outside": F.count_if(F.col("outside"))})
+    if counted is None:
+        counted = per_value(df, {c: outlier_measures(c, known, reach) for c in columns}, {
+            "n": F.count(v), "lowest": F.min(v), "highest": F.max(v), "outside": F.count_if(F.col("outside"))})
     limits = small_table(df.sparkSession, edges, "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
     n, flat = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("lowest") == F.col("highest"), F.lit(False))
     constant = lambda c: F.when(flat, F.col("lowest")).otherwise(F.col(c))
@@ -135,6 +131,14 @@ def outlier_table(df: DataFrame, columns: Sequence[str], known: Quartiles | None
     )
 
 
+def finite_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, ordinal, n, low, high, mean, std, g1, g2`` of the finite values; one scan."""
+    v = F.col("value")
+    return per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
+        "n": F.count(v), "low": F.min(v), "high": F.max(v), "mean": F.avg(v), "std": F.stddev_samp(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
+    }).fillna(0, ["n"])
+
+
 _SHAPIRO_SCHEMA = "column_name string, statistic double, p_value double"
 
 
@@ -143,14 +147,12 @@ def _shapiro_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(pdf["column_name"].iloc[0], statistic, p_value)], columns=["column_name", "statistic", "p_value"])
 
 
-def normality_table(df: DataFrame, columns: Sequence[str], test: str = JARQUE_BERA) -> DataFrame:
+def normality_table(df: DataFrame, columns: Sequence[str], test: str = JARQUE_BERA, base: DataFrame | None = None) -> DataFrame:
     """The test asked for, at every size: Jarque-Bera, or Shapiro-Wilk of columns with at most ``SHAPIRO_LIMIT`` values."""
     if test not in (JARQUE_BERA, SHAPIRO_WILK):
         raise ValueError(f"unknown test: {test}")
-    v = F.col("value")
-    base = per_value(df, {c: finite(F.col(quoted(c))) for c in columns}, {
-        "n": F.count(v), "low": F.min(v), "high": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
-    }).fillna(0, ["n"]).withColumn(
+    base = finite_moments(df, columns) if base is None else base
+    base = base.withColumn(
         "reason",
         F.when(F.col("n") < 3, "insufficient_samples").when(F.col("low") == F.col("high"), "constant_variable"),
     )
@@ -183,26 +185,32 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Everything about numeric columns: summary, MAD, outliers and normality; quantiles are found once."""
-    found = report_quantiles(df, columns)
+    """Everything about numeric columns: summary, MAD, outliers and normality; quantiles and MAD are found in one search."""
+    found, spread = column_spreads(df, {c: number(c) for c in columns}, list(QUANTILES.values()))
     names = list(QUANTILES)
-    q25, q50, q75 = (names.index(q) for q in ("q25", "q50", "q75"))
+    q25, q75 = names.index("q25"), names.index("q75")
     # Fences leave infinities out; where there are none the quartiles at hand will do.
     endless = [c for c, r in _infinite(df, columns).items() if r]
     known = {c: (v[q25], v[q75]) for c, (_, v) in found.items() if c not in endless}
     known |= quartiles(df, endless) if endless else {}
-    outliers = outlier_table(df, columns, known).select(
+    return joined_report(df, columns, found, spread, moments(df, columns), outlier_table(df, columns, known), normality_table(df, columns))
+
+
+def joined_report(
+    df: DataFrame, columns: Sequence[str], found: Quantiles, spread: Mapping[str, float], summed: DataFrame, fenced: DataFrame, tested: DataFrame
+) -> DataFrame:
+    """The parts of the numeric report side by side."""
+    outliers = fenced.select(
         "column_name", "lower_bound", "upper_bound", "outlier_count", "outlier_ratio",
         F.col("status").alias("outlier_status"), F.col("reason").alias("outlier_reason"),
     )
-    normality = normality_table(df, columns).select(
+    normality = tested.select(
         "column_name", "test", "statistic", "p_value",
         F.col("status").alias("normality_status"), F.col("reason").alias("normality_reason"),
     )
     return (
-        moments(df, columns)
-        .join(quantile_table(df, columns, found).drop("count"), "column_name")
-        .join(mad_table(df, columns, {c: v[q50] for c, (_, v) in found.items()}), "column_name", "left")
+        summed.join(quantile_table(df, columns, found).drop("count"), "column_name")
+        .join(mad_table(df, columns, spread), "column_name", "left")
         .join(outliers, "column_name", "left")
         .join(normality, "column_name", "left")
     )

@@ -351,17 +351,19 @@ def missing_in_row(columns: list[str]) -> Column:
     return missing
 
 
-def dataset_profile(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, missing cells and rate, duplicate and complete rows, bytes of data."""
-    width = len(df.columns)
+def profile_measures(df: DataFrame) -> dict[str, Column]:
     missing = missing_in_row(df.columns)
-    measures = {
-        "missing_values": missing,
-        "complete_rows": (missing == 0).cast("int"),
-        "data_bytes": row_bytes(df),
-    }
+    return {"missing_values": missing, "complete_rows": (missing == 0).cast("int"), "data_bytes": row_bytes(df)}
+
+
+def dataset_profile(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One row: rows, columns, missing cells and rate, duplicate and complete rows, bytes of data.
+
+    ``counted`` is ``duplicate_rows`` with the ``profile_measures`` where that is at hand.
+    """
+    width = len(df.columns)
     rows = F.col("row_count")
-    return duplicate_rows(df, measures).select(
+    return (duplicate_rows(df, profile_measures(df)) if counted is None else counted).select(
         rows.alias("rows"),
         F.lit(width).cast("long").alias("columns"),
         "missing_values",

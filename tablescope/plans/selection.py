@@ -10,16 +10,21 @@ without folding, so the result is always exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescope.plans.materialize import settled
 from tablescope.plans.ordered import BLOCK, SEQ, block_summary, join_summary, ordered_blocks
+from tablescope.plans.small import small_table
 
 SKETCH_ACCURACY = 10_000
 FEW_DISTINCT = 20_000  # below this the whole frequency table is cheap to shuffle
 COLUMNS_PER_PASS = 40
+GRID = 1000  # sketched values per column from which distances are bracketed
 
 
 def weighted_quantiles(
@@ -103,43 +108,128 @@ def _folded(value: str, brackets: Sequence[tuple[float, float]]) -> tuple[str, s
     return f"CASE {shown} ELSE {_literal(brackets[-1][1])} END", f"CASE {folded} ELSE 1 END"
 
 
-def _ranked_columns(
-    df: DataFrame, names: Sequence[str], brackets: Mapping[str, Sequence[tuple[float, float]]], probabilities
-) -> dict[str, tuple[int, list[float], bool]]:
+def _counted(df: DataFrame, names: Sequence[str], brackets: Mapping[str, Sequence[tuple[float, float]]]) -> DataFrame:
+    """``c, value, folded, weight`` of the named columns, what lies between two brackets folded into one row."""
     entries = []
     for i, n in enumerate(names):
         shown, folded = _folded(n, brackets.get(n, ()))
         entries.append(f"struct({i} AS c, {n} IS NOT NULL AS present, {shown} AS value, {folded} AS folded)")
     cells = df.select(F.expr(f"inline(array({', '.join(entries)}))")).filter("present")
-    freq = cells.groupBy("c", "value", "folded").agg(F.count("*").alias("weight"))
+    return cells.groupBy("c", "value", "folded").agg(F.count("*").alias("weight"))
+
+
+def _ranked(freq: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> dict[str, tuple[int, list[float], bool]]:
     # A folded row that is asked for would surface as folded = 1 among the picked rows.
     rows = weighted_quantiles(freq, probabilities, ["c"], order=["folded"]).collect()
     return {names[r["c"]]: (r["n"], list(r["quantiles"]), bool(r["folded"])) for r in rows}
 
 
-def column_quantiles(
-    df: DataFrame, exprs: Mapping[str, Column], probabilities: Sequence[float]
-) -> dict[str, tuple[int, list[float]]]:
-    """``{name: (count, [quantile, ...])}`` of numeric expressions; nulls are skipped.
+Reach = tuple[float, float, float, float]
+_ALL: Reach = (-math.inf, math.inf, -1.0, math.inf)
 
-    The dictionary has one small entry per expression, so its size follows the schema, not the data.
+
+def _reach(grid: Sequence[float], low: float, high: float) -> Reach:
+    """The median's bracket, and distances from it between which the median distance must lie.
+
+    ``grid`` are sketched values at even ranks. The share of values within a distance of the median is bounded from both
+    sides by the ranks of the grid values around its two ends.
+    """
+    g = np.array(grid, dtype=np.float64)
+    if not np.isfinite([low, high]).all():
+        return _ALL
+    error, steps = 2.0 / SKETCH_ACCURACY, len(g) - 1
+    with np.errstate(invalid="ignore"):
+        d = np.unique(np.abs(np.concatenate([g - low, g - high])))
+    d = d[np.isfinite(d)]
+
+    def at_most(x: np.ndarray) -> np.ndarray:
+        return np.minimum(1.0, np.searchsorted(g, x, side="right") / steps + error)
+
+    def at_least(x: np.ndarray, side: str) -> np.ndarray:
+        return np.maximum(0.0, (np.searchsorted(g, x, side=side) - 1) / steps - error)
+
+    upper = at_most(high + d) - at_least(low - d, "left")
+    lower = at_least(low + d, "right") - np.minimum(1.0, np.searchsorted(g, high - d, side="left") / steps + error)
+    near, far = d[upper < 0.5 - error], d[lower >= 0.5 + error]
+    return low, high, float(near.max(initial=-1.0)), float(far.min(initial=math.inf))
+
+
+def _deviations(freq: DataFrame, names: Sequence[str], middles: Mapping[str, float], reach: Mapping[str, Reach]) -> dict[str, tuple[float, bool]]:
+    """Median distance from the median out of the counted values, and whether it fell outside what was kept exactly.
+
+    Folded values between the two brackets of distances are nearer than all in them, those outside are farther.
+    """
+    spark = freq.sparkSession
+    rows = [(i, middles[n], reach[n][1] - reach[n][2], reach[n][0] + reach[n][2], *reach[n][2:]) for i, n in enumerate(names) if n in middles]
+    known = small_table(spark, rows, "k int, m double, inner_low double, inner_high double, near double, far double")
+    d = F.when(F.col("folded") == 0, F.abs(F.col("value") - F.col("m"))).when(F.col("value").between(F.col("inner_low"), F.col("inner_high")) & (F.col("value") < F.col("inner_high")), -1.0)
+    told = freq.join(F.broadcast(known), F.col("c") == F.col("k"))  # one row per column
+    told = told.select("c", F.coalesce(d, F.lit(math.inf)).alias("value"), "weight", "near", "far")
+    lost = ((F.col("value") < F.col("near")) | (F.col("value") > F.col("far"))).cast("int").alias("folded")
+    counted = told.groupBy("c", "value", lost).agg(F.sum("weight").alias("weight"))
+    return {n: (values[0], missed) for n, (_, values, missed) in _ranked(counted, names, [0.5]).items()}
+
+
+Quantiles = dict[str, tuple[int, list[float]]]
+
+
+def column_spreads(df: DataFrame, exprs: Mapping[str, Column], probabilities: Sequence[float], deviations: bool = True) -> tuple[Quantiles, dict[str, float]]:
+    """Quantiles as ``column_quantiles`` has them, and with ``deviations`` the median distance from the median of each.
+
+    Both come from the same counted values: the sketch brackets the median distance on both sides of the median before the
+    median itself is known, and what lies in these brackets is kept exactly in the one pass that keeps the rest.
+    ``probabilities`` must then hold 0.5.
     """
-    out: dict[str, tuple[int, list[float]]] = {}
+    out, spread = {}, {}
     names = list(exprs)
     margin = 4.0 / SKETCH_ACCURACY
     points = [x for p in probabilities for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    grid = [i / GRID for i in range(GRID + 1)] if deviations else []
     for start in range(0, len(names), COLUMNS_PER_PASS):
         batch = {f"v{i}": n for i, n in enumerate(names[start : start + COLUMNS_PER_PASS])}
         values = df.select(*[exprs[n].cast("double").alias(v) for v, n in batch.items()])
+        asked = ", ".join(map(repr, points + grid))
         sketch = values.agg(
             *[F.expr(f"approx_count_distinct({v}, 0.05) AS d_{v}") for v in batch],
-            *[F.expr(f"percentile_approx({v}, array({', '.join(map(repr, points))}), {SKETCH_ACCURACY}) AS p_{v}") for v in batch],
+            *[F.expr(f"percentile_approx({v}, array({asked}), {SKETCH_ACCURACY}) AS p_{v}") for v in batch],
         ).first()
         present = [v for v in batch if sketch[f"p_{v}"] is not None]
-        brackets = {v: _brackets(sketch[f"p_{v}"]) for v in present if sketch[f"d_{v}"] > FEW_DISTINCT}
-        result = _ranked_columns(values, present, brackets, probabilities) if present else {}
-        missed = [v for v, (_, _, folded) in result.items() if folded]
+        if not present:
+            continue
+        brackets, reach = {}, dict.fromkeys(present, _ALL)
+        for v in present:
+            known = list(sketch[f"p_{v}"])
+            if sketch[f"d_{v}"] <= FEW_DISTINCT:
+                continue
+            wanted = known[: len(points)]
+            if deviations:
+                half = 2 * list(probabilities).index(0.5)
+                reach[v] = low, high, near, far = _reach(known[len(points) :], wanted[half], wanted[half + 1])
+                wanted += [low - far, high - near, low + near, high + far]
+            brackets[v] = _brackets(wanted)
+        if not deviations:
+            result, away = _ranked(_counted(values, present, brackets), present, probabilities), {}
+        else:
+            freq = settled(_counted(values, present, brackets))
+            result = _ranked(freq, present, probabilities)
+            middles = {v: values_of[list(probabilities).index(0.5)] for v, (_, values_of, folded) in result.items() if not folded}
+            away = _deviations(freq, present, middles, reach)
+        missed = [v for v in present if result[v][2] or away.get(v, (0, deviations))[1]]
         if missed:
-            result |= _ranked_columns(values, missed, {}, probabilities)
-        out |= {batch[v]: (count, quantiles) for v, (count, quantiles, _) in result.items()}
-    return out
+            freq = _counted(values, missed, {})
+            freq = settled(freq) if deviations else freq
+            result |= _ranked(freq, missed, probabilities)
+            if deviations:
+                middles = {v: result[v][1][list(probabilities).index(0.5)] for v in missed}
+                away |= _deviations(freq, missed, middles, dict.fromkeys(missed, _ALL))
+        out |= {batch[v]: result[v][:2] for v in present}
+        spread |= {batch[v]: d for v, (d, _) in away.items()}
+    return out, spread
+
+
+def column_quantiles(df: DataFrame, exprs: Mapping[str, Column], probabilities: Sequence[float]) -> Quantiles:
+    """``{name: (count, [quantile, ...])}`` of numeric expressions; nulls are skipped.
+
+    The dictionary has one small entry per expression, so its size follows the schema, not the data.
+    """
+    return column_spreads(df, exprs, probabilities, deviations=False)[0]

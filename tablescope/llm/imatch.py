@@ -2,13 +2,15 @@
 
 Terms are runs of letters and digits, in lower case. The lexicon holds the terms whose document frequency lies within a
 band, as a share of all documents: common words say little, rare ones break at the first edit. A text keeps all its distinct
-terms of the lexicon. The first bits of a term's hash deal the lexicon into ``SUBSETS`` random shares of one size, the same
-for every text; together they hold the whole lexicon. A fingerprint holds, for every share with terms of the text, a hash of
-the set of these terms: one edit changes one share and not all of them, and no term goes unseen. The likeness of two
-fingerprints is the share of equal hashes among the shares not empty in both.
+terms of the lexicon, in sorted order. The lexicon has random subsets, the same for every text: the whole of it, and in
+``SUBSETS`` so many of each size, down to one term in 512. For every subset the sorted terms of the text that it holds give
+one 64-bit hash; a subset without terms of the text gives none. These hashes are the fingerprint. The likeness of two
+fingerprints is the share of equal hashes among the subsets that hold terms of either. Sizes differ because texts do: an edit
+of a quarter of a text leaves those subsets alone that hold about as many of its terms as it has changed ones to none,
+whatever its length, and the larger ones tell exact copies apart from near ones.
 
 The lexicon has at most ``mean number of distinct terms / low`` entries, whatever the number of documents; it is broadcast
-only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``.
+only after it has been counted, and joined by a shuffle beyond ``BROADCAST_TERMS``. Texts are shuffled once, by their id.
 
 Null texts count as empty. A text without terms of the lexicon (empty ones included) is its own single term, so equal texts
 agree and different ones do not. Documents are ordered by id, nulls first, then by a hash of the text; rows that agree in
@@ -18,13 +20,17 @@ An empty table gives an empty result. Columns beside the two named ones are neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.ranges import with_position
 from tablescope.llm.scratch import Scratch
 
-SUBSETS = 256  # a power of two
+#: Subsets by size: ``{s: count}`` are ``count`` subsets that hold each term with odds of 1 in ``2**s``.
+SUBSETS = {0: 1, 3: 3, 5: 5, 7: 6, 9: 9}
+_EMPTY = 42  # the hash of no terms at all
 BROADCAST_TERMS = 2_000_000
 _NULL_ID = -(1 << 63)
 
@@ -36,38 +42,46 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, scratch: Scratch, low: float, high: float, text: str = "t") -> DataFrame:
-    """``lex``: hashes of the terms in at least ``low`` and at most ``high`` of all documents.
+    """``lex, mask``: hashes of the terms in at least ``low`` and at most ``high`` of all documents, and a bit for each subset they are in.
 
     Terms of a single document are left out, and those of two always within ``high``.
     """
     rows = docs.count()
     counted = docs.select(F.explode(terms(F.col(text))).alias("lex")).groupBy("lex").agg(F.count("*").alias("df"))
-    return scratch.write(counted.filter((F.col("df") >= max(2, low * rows)) & (F.col("df") <= max(2.0, high * rows))).select("lex"), "lexicon")
-
+    return scratch.write(counted.filter((F.col("df") >= max(2, low * rows)) & (F.col("df") <= max(2.0, high * rows))).select("lex", _mask(F.col("lex")).alias("mask")), "lexicon")
 
-def _share(term: Column) -> Column:
-    """The share of the lexicon that a term falls into."""
-    return F.shiftrightunsigned(term, 64 - (SUBSETS - 1).bit_length())
 
+def _mask(term: Column) -> Column:
+    """One bit for each subset, set with the odds of its size, by a hash of the term and the subset's number."""
+    sizes = [s for s, count in SUBSETS.items() for _ in range(count)]
+    bits = [F.when(F.xxhash64(term, F.lit(j)).bitwiseAND((1 << s) - 1) == 0, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")) for j, s in enumerate(sizes)]
+    return reduce(Column.bitwiseOR, bits)
 
-def fingerprint(terms: Column, parts: Column, whole: Column) -> Column:
-    """``terms, parts`` from the hashes (share and 32 bits) of a text's terms, or from the text's own hash if it has none."""
-    own = F.array(whole.bitwiseAND(SUBSETS * 2**32 - 1))
-    return F.struct(terms.alias("terms"), F.when(F.size(parts) > 0, parts).otherwise(own).alias("parts"))
 
+def fingerprint(kept: Column, whole: Column) -> Column:
+    """Hashes of the subsets of ``kept``, sorted structs of ``lex`` and ``mask``; null for a subset without terms.
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the shares that either fingerprint has terms of, from 0 to 1."""
+    A text without terms of the lexicon has the hash of the whole text in the first place.
+    """
+    count = sum(SUBSETS.values())
+    hashed = F.transform(
+        F.sequence(F.lit(0), F.lit(count - 1)),
+        lambda j: F.xxhash64(F.transform(F.filter(kept, lambda t: F.getbit(t["mask"], j) == 1), lambda t: t["lex"])),
+    )
+    own = F.concat(F.array(whole), F.array_repeat(F.lit(_EMPTY).cast("long"), count - 1))
+    return F.transform(F.when(F.size(kept) > 0, hashed).otherwise(own), lambda x: F.when(x != _EMPTY, x))
 
-    def shares(fp: Column) -> Column:
-        return F.transform(fp["parts"], lambda x: F.shiftright(x, 32))
 
-    return F.size(F.array_intersect(a["parts"], b["parts"])) / F.size(F.array_union(shares(a), shares(b)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal hashes among the subsets that either fingerprint has terms of, from 0 to 1."""
+    both = F.arrays_zip(a.alias("a"), b.alias("b"))
+    equal = F.size(F.filter(both, lambda x: x["a"] == x["b"]))
+    return equal / F.size(F.filter(both, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
 
 
 def shown(fp: Column) -> Column:
-    """A fingerprint as text."""
-    return F.concat_ws(":", fp["terms"].cast("string"), F.array_join(F.transform(fp["parts"], F.hex), ","))
+    """A fingerprint as text: its hashes in order, nothing for a subset without terms."""
+    return F.array_join(F.transform(fp, lambda x: F.coalesce(F.hex(x), F.lit(""))), ",")
 
 
 def fingerprints(
@@ -99,30 +113,22 @@ def fingerprints(
     size = F.char_length("t")
     edited = F.concat(F.substring("t", F.lit(1), (size - F.floor(size / 4)).cast("int")), F.col("front"))
     texts = single.dropDuplicates(["k", "h"]) if total < docs.count() else single
-    both = texts.join(sent, (F.col("k") == F.col("prev_k")) & (F.col("h") == F.col("prev_h"))).select(
-        "k", "h", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("t").alias("body")), F.struct(F.lit(1).alias("v"), edited.alias("body")))).alias("e")
-    ).select("k", "h", "e.*")
-    # Step by step, so that no step is worked out twice.
-    termed = both.select("k", "h", "v", F.char_length("body").cast("long").alias("n"), F.unhex(F.sha2("body", 256)).alias("sha"), terms(F.col("body")).alias("all"))
-    listed = termed.select("k", "h", "v", "n", "sha", F.explode_outer("all").alias("term"))
-    # The texts' partitioning by key serves both groupings as well: no further shuffle.
-    marked = listed.join(words, F.col("term") == F.col("lex"), "left")
-    shares = marked.groupBy("k", "h", "v", "n", "sha", _share(F.col("lex")).alias("share")).agg(
-        F.count("lex").alias("terms"), F.bit_xor(F.xxhash64("lex")).bitwiseAND(2**32 - 1).alias("x")
-    )
+    both = texts.join(sent, (F.col("k") == F.col("prev_k")) & (F.col("h") == F.col("prev_h"))).select("k", "h", "t", edited.alias("e"))
 
-    def of(v: int) -> Column:
-        return F.col("v") == v
+    def told(body: str, v: int) -> Column:
+        return F.transform(terms(F.col(body)), lambda x: F.struct(x.alias("term"), F.lit(v).alias("v")))
 
-    part = F.when(F.col("share").isNotNull(), F.shiftleft("share", 32) + F.col("x"))
-    grouped = shares.groupBy("k", "h").agg(
-        F.max(F.when(of(0), F.col("n"))).alias("n_chars"), F.max(F.when(of(0), F.col("sha"))).alias("sha"), F.max(F.when(of(1), F.col("sha"))).alias("esha"),
-        F.sum(F.when(of(0), F.col("terms"))).alias("terms"), F.sum(F.when(of(1), F.col("terms"))).alias("eterms"),
-        F.collect_list(F.when(of(0), part)).alias("parts"), F.collect_list(F.when(of(1), part)).alias("eparts"),
-    )
+    listed = both.select(
+        "k", "h", F.char_length("t").cast("long").alias("n_chars"), F.unhex(F.sha2("t", 256)).alias("sha"), F.unhex(F.sha2("e", 256)).alias("esha"),
+        F.explode_outer(F.concat(told("t", 0), told("e", 1))).alias("one"),
+    ).select("k", "h", "n_chars", "sha", "esha", "one.term", "one.v")
+    # The texts' partitioning by key serves the grouping as well: no further shuffle.
+    marked = listed.join(words, F.col("term") == F.col("lex"), "left")
+    held = F.when(F.col("lex").isNotNull(), F.struct("lex", "mask"))
+    grouped = marked.groupBy("k", "h", "n_chars", "sha", "esha").agg(*[F.array_sort(F.collect_list(F.when(F.col("v") == v, held))).alias(f"kept{v}") for v in (0, 1)])
     printed = grouped.select(
         "k", "h", "n_chars", F.lower(F.hex("esha")).alias("edited_sha256"),
-        fingerprint(F.col("terms"), F.array_sort("parts"), F.xxhash64("sha")).alias("fp"), fingerprint(F.col("eterms"), F.array_sort("eparts"), F.xxhash64("esha")).alias("efp"),
+        fingerprint(F.col("kept0"), F.xxhash64("sha")).alias("fp"), fingerprint(F.col("kept1"), F.xxhash64("esha")).alias("efp"),
     )
     where = places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "pos", "copies", "no_id")
     made = scratch.write(printed.join(where, (F.col("k") == F.col("pk")) & (F.col("h") == F.col("ph"))).drop("pk", "ph"), "made")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.catalog.basics import TYPED_TABLES, type_sql
@@ -9,7 +12,7 @@ from tablescope.catalog.base import (
     DOCS_LABELED, HOLES, LINEITEM_CATEGORICAL, LINEITEM_NUMERIC, ORDERS_NUMERIC, Catalogue, docs_labeled, lineitem_holes,
     long_sql, same, table,
 )
-from tablescope.operators import categorical, missing, quality, statistics, typing
+from tablescope.operators import categorical, missing, quality, report, statistics, typing
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -171,6 +174,51 @@ def d12(spark, folder):
     return statistics.numeric_report(table(spark, folder, "orders"), ORDERS_NUMERIC).drop("ordinal", "outlier_reason", "normality_reason")
 
 
+def _analysed(spark, folder, source, columns, order):
+    return report.analyse(table(spark, folder, source).select(*columns), [order])
+
+
+ANALYSED_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ANALYSED_LINES = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_KINDS_OF_LINES = "(SELECT count(DISTINCT l_tax) + count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) FROM lineitem)"
+_DAYS = "(SELECT DISTINCT CAST(l_shipdate AS TIMESTAMP) AS t FROM lineitem)"
+ANALYSIS_SIZES = {
+    "types": 8, "missing_values": 8, "missing_by_column": 8, "missing_pairs": 28, "duplicates": 1, "dataset": 1, "loading": 1, "preview": 10, "numeric": 4, "outliers": 4,
+    "skewness": 4, "histogram": 120, "box_plot": 4, "categorical": 3, "high_cardinality": 3, "frequencies": _KINDS_OF_LINES, "category_bars": _KINDS_OF_LINES,
+    "correlation": 18, "correlation_cells": 48, "scatter_fits": 6, "time_range__l_shipdate": 1, "time_intervals__l_shipdate": 1, "hourly__l_shipdate": 24,
+    "weekday__l_shipdate": 7, "daily__l_shipdate": f"(SELECT least(100, count(DISTINCT CAST(t AS DATE))) FROM {_DAYS})",
+    "top_intervals__l_shipdate": f"(SELECT least(10, count(DISTINCT g) + max(again)) FROM (SELECT t - lag(t) OVER (ORDER BY t) AS g FROM {_DAYS}), "
+    "(SELECT CAST(count(*) > count(DISTINCT l_shipdate) AS BIGINT) AS again FROM lineitem))",
+    "time_axis": 1, "frequency": 1, "series_summary": 4, "trend": 4, "row_payload": "(SELECT least(500000, count(*)) FROM lineitem)", "row_dictionary": _KINDS_OF_LINES,
+    "data_scope": 1, "time_filter": 1,
+}
+
+
+@add("l9_analysis_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({rows} AS BIGINT) AS rows" for name, rows in ANALYSIS_SIZES.items()))
+def l9_tables(spark, folder):
+    """The whole analysis of lineitem, each of its tables worked out and counted."""
+    out = _analysed(spark, folder, "lineitem", ANALYSED_LINES, "l_orderkey")
+    sizes = [out[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in ANALYSIS_SIZES]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+@add("l9_analysis_numeric", same(
+    report_sql("orders", ORDERS_NUMERIC),
+    f"{MOMENT_NAMES} {QUANTILE_NAMES} iqr median mad lower_bound upper_bound outlier_ratio statistic p_value", "count missing outlier_count"))
+def l9_numeric(spark, folder):
+    return _analysed(spark, folder, "orders", ANALYSED_ORDERS, "o_orderkey")["numeric"].drop("ordinal", "outlier_reason", "normality_reason")
+
+
+@add("l9_analysis_series_and_loading", same(
+    "SELECT column_name, count(v) AS count, count(*) - count(v) AS missing_count, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, "
+    "(SELECT count(*) FROM orders) AS rows, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS column_names "
+    f"FROM ({long_sql('orders', ORDERS_NUMERIC)}) GROUP BY column_name", "mean median std", "count missing_count rows"))
+def l9_series(spark, folder):
+    out = _analysed(spark, folder, "orders", ANALYSED_ORDERS, "o_orderkey")
+    known = out["loading"].first()  # one row
+    return out["series_summary"].drop("status", "reason").withColumns({"rows": F.lit(known["rows"]), "column_names": F.lit(",".join(known["column_names"]))})
+
+
 FREQ = (
     "SELECT column_name, v AS category, count(*) AS count FROM "
     f"({long_sql('lineitem', LINEITEM_CATEGORICAL, 'CAST({c} AS VARCHAR)')}) WHERE v IS NOT NULL GROUP BY column_name, v"

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from tablescope.functions.clean import micros
 from tablescope.operators.quality import ratio
 from tablescope.plans.materialize import settled
-from tablescope.plans.ordered import with_previous
+from tablescope.plans.ordered import FEW_ROWS, counted, with_previous
 from tablescope.plans.selection import weighted_quantiles
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 
 TOP_INTERVALS, MAX_DAYS = 10, 100
 SECOND = 1_000_000
-GAPS_IN_ONE = 100_000  # different gaps whose median one aggregate holds
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
@@ -53,7 +52,8 @@ def gap_counts(df: DataFrame, time_col: str) -> DataFrame:
         .groupBy("us")
         .agg(F.count("*").alias("copies"))
     )
-    between = with_previous(times, ["us"], "us").select(
+    times, few = counted(times)
+    between = with_previous(times, ["us"], "us", few=few).select(
         F.inline(
             F.array(
                 F.struct((F.col("us") - F.col("previous")).alias("gap"), F.lit(1).cast("long").alias("n")),
@@ -72,18 +72,14 @@ def gap_table(df: DataFrame, time_col: str) -> DataFrame:
 def gap_summary(gaps: DataFrame) -> DataFrame:
     """total, mean, median, min, max in seconds of a written gap table.
 
-    The median is found from the counts: in one aggregate where there are few different gaps, else by ranks over ordered blocks.
+    The median is found from the counts.
     """
     gap, weight = F.col("gap"), F.col("weight")
     row = gaps.agg(
         F.count("*").alias("gaps"), F.coalesce(F.sum(weight), F.lit(0)).alias("total"),
         (F.sum(gap.cast("decimal(38,0)") * weight).cast("double") / F.sum(weight) / SECOND).alias("mean"), F.min(gap).alias("low"), F.max(gap).alias("high"),
     ).first()
-    middle = None
-    if row["gaps"] > GAPS_IN_ONE:
-        middle = weighted_quantiles(gaps, [0.5], value="gap").first()["quantiles"][0]
-    elif row["gaps"]:
-        middle = gaps.agg(F.expr("percentile(gap, 0.5, weight)")).first()[0]
+    middle = weighted_quantiles(gaps, [0.5], value="gap", few=row["gaps"] <= FEW_ROWS).first()["quantiles"][0] if row["gaps"] else None
     seconds = [None if x is None else x / SECOND for x in (middle, row["low"], row["high"])]
     return small_table(gaps.sparkSession, [(row["total"], row["mean"], *seconds)],
         "total_intervals long, mean_interval_seconds double, median_interval_seconds double, min_interval_seconds double, max_interval_seconds double")
@@ -119,8 +115,8 @@ def clock_counts(df: DataFrame, time_col: str) -> DataFrame:
     return df.select(F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).filter(F.col("day").isNotNull()).groupBy("day", "hour").agg(F.count("*").alias("n"))
 
 
-def _slots(counted: DataFrame, slot: Column, slots: int, name: str) -> DataFrame:
-    counts = counted.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
+def _slots(hours: DataFrame, slot: Column, slots: int, name: str) -> DataFrame:
+    counts = hours.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
     # Folds into one row of counts first: the number of slots is fixed.
     row = counts.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sum("n").alias("total"))
     return row.filter(F.col("total") > 0).select(
@@ -132,15 +128,15 @@ def _slots(counted: DataFrame, slot: Column, slots: int, name: str) -> DataFrame
     )
 
 
-def hourly_distribution(df: DataFrame, time_col: str, counted: DataFrame | None = None) -> DataFrame:
-    """All 24 hours with counts and shares; ``counted`` is the ``clock_counts`` where they are at hand."""
-    return _slots(clock_counts(df, time_col) if counted is None else counted, F.col("hour"), 24, "hour")
+def hourly_distribution(df: DataFrame, time_col: str, hours: DataFrame | None = None) -> DataFrame:
+    """All 24 hours with counts and shares; ``hours`` is the ``clock_counts`` where they are at hand."""
+    return _slots(clock_counts(df, time_col) if hours is None else hours, F.col("hour"), 24, "hour")
 
 
-def weekday_distribution(df: DataFrame, time_col: str, counted: DataFrame | None = None) -> DataFrame:
+def weekday_distribution(df: DataFrame, time_col: str, hours: DataFrame | None = None) -> DataFrame:
     """All seven weekdays, Monday first."""
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
-    out = _slots(clock_counts(df, time_col) if counted is None else counted, F.weekday("day"), 7, "weekday_index")
+    out = _slots(clock_counts(df, time_col) if hours is None else hours, F.weekday("day"), 7, "weekday_index")
     return out.select(F.get(names, F.col("weekday_index")).alias("weekday"), "weekday_index", "count", "ratio")
 
 
@@ -153,9 +149,9 @@ def daily_counts(df: DataFrame, time_col: str) -> DataFrame:
     )
 
 
-def daily_distribution(df: DataFrame, time_col: str, max_results: int = MAX_DAYS, counted: DataFrame | None = None) -> DataFrame:
+def daily_distribution(df: DataFrame, time_col: str, max_results: int = MAX_DAYS, hours: DataFrame | None = None) -> DataFrame:
     """The last ``max_results`` days, with the number of days there are and whether any were left out."""
-    days = daily_counts(df, time_col) if counted is None else counted.groupBy("day").agg(F.sum("n").alias("count"))
+    days = daily_counts(df, time_col) if hours is None else hours.groupBy("day").agg(F.sum("n").alias("count"))
     total = days.count()
     return days.orderBy(F.desc("day")).limit(max_results).select(
         "day", "count", F.lit(total).cast("long").alias("unique_dates"), F.lit(total > max_results).alias("truncated")

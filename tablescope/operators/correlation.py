@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.clean import finite
 from tablescope.functions.pvalues import correlation_p_value, normal_p_value
 from tablescope.plans.materialize import materialize, settled
-from tablescope.plans.ordered import with_weights_below
+from tablescope.plans.ordered import counted, with_weights_below
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import quoted
 from tablescope.plans.workers import importable
@@ -141,7 +141,8 @@ def _rank_table(clean: DataFrame, columns: int, classes: Sequence[int]) -> DataF
     cells = clean.select(*here, F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL")
     freq = cells.groupBy("c", "value").agg(*[F.sum(f"w_{q}").alias(f"w_{q}") for q in kinds])
     weights = {f"w_{q}": f"b_{q}" for q in kinds}
-    placed = with_weights_below(freq, ["value"], weights, ["c"], totals={f"w_{q}": f"t_{q}" for q in kinds})
+    freq, few = counted(freq)
+    placed = with_weights_below(freq, ["value"], weights, ["c"], {f"w_{q}": f"t_{q}" for q in kinds}, few)
     centred = [(F.col(f"b_{q}") + (F.col(f"w_{q}") - F.col(f"t_{q}")) / 2.0).alias(f"d_{q}") for q in kinds]
     return settled(placed.select("c", "value", *[f"w_{q}" for q in kinds], *centred))
 
@@ -291,7 +292,7 @@ def _in_blocks(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def added(batch: pa.RecordBatch) -> pa.RecordBatch:
             pair, side, block, u, v, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             new = np.ones(len(pair), dtype=bool)
             new[1:] = (np.diff(pair) != 0) | (np.diff(side) != 0) | (np.diff(block) != 0)
@@ -306,15 +307,15 @@ def _in_blocks(dealt: DataFrame) -> DataFrame:
             change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
             whole = held and any(held[-1].column(i)[-1].as_py() != k[0] for i, k in enumerate(key))
             if whole:
-                yield counted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                yield added(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held = []
             cut = int(change[-1]) + 1 if len(change) else 0
             if cut:
-                yield counted(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+                yield added(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield counted(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield added(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return dealt.repartition("pair", "side", "block").sortWithinPartitions("pair", "side", "block").mapInArrow(run, "pair int, lost decimal(38,0)")
 

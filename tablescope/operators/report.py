@@ -238,7 +238,7 @@ def analyse(
         out |= {
             f"time_range__{c}": calendar.time_range(ready, c, facts.time_range(c)),
             f"time_intervals__{c}": calendar.time_intervals(ready, c, gaps[c]), f"top_intervals__{c}": calendar.top_intervals(ready, c, gaps=gaps[c]),
-            f"hourly__{c}": calendar.hourly_distribution(ready, c, clock), f"daily__{c}": calendar.daily_distribution(ready, c, counted=clock),
+            f"hourly__{c}": calendar.hourly_distribution(ready, c, clock), f"daily__{c}": calendar.daily_distribution(ready, c, hours=clock),
             f"weekday__{c}": calendar.weekday_distribution(ready, c, clock),
         }
     status, axis, reason = typing.time_axis({**{c: "datetime" for c in dates}, **kinds}, time_col)

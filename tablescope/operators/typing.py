@@ -294,7 +294,7 @@ def type_counts(types: DataFrame) -> DataFrame:
 
 def type_map(types: DataFrame) -> dict[str, str]:
     """``{column: detected_type}`` in column order, to plan further work (one entry per column)."""
-    return {r["column_name"]: r["detected_type"] for r in types.orderBy("ordinal").collect()}
+    return {r["column_name"]: r["detected_type"] for r in sorted(types.collect(), key=lambda r: r["ordinal"])}
 
 
 def pick(types: Mapping[str, str], *kinds: str) -> list[str]:

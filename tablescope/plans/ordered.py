@@ -20,6 +20,22 @@ BLOCK, SEQ = "_block", "_seq"
 _SEQ_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
+FEW_ROWS = 200_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` written as a table, and whether it has at most ``FEW_ROWS`` rows.
+
+    So few rows need no blocks: one sort does, and gives the same. The functions below are told so by ``few``.
+    """
+    table = settled(df)
+    return table, table.count() <= FEW_ROWS
+
+
+def _plain(keys: Sequence[str], order: Sequence[str | Column]):
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+
+
 def ordered_blocks(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = ()) -> DataFrame:
     """``df`` plus ``_block`` and ``_seq``; blocks and places follow ``keys`` then ``order``."""
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
@@ -90,12 +106,17 @@ def with_weight_below(
 
 
 def with_weights_below(
-    df: DataFrame, order: Sequence[str | Column], weights: Mapping[str, str], keys: Sequence[str] = (), totals: Mapping[str, str] | None = None
+    df: DataFrame, order: Sequence[str | Column], weights: Mapping[str, str], keys: Sequence[str] = (), totals: Mapping[str, str] | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Several running sums along one order: for ``{weight: name}`` the sum of each weight over the earlier rows of the same key.
 
     ``totals`` (``{weight: name}``) adds the sum of a weight over all rows of the key.
     """
+    if few:
+        running, whole = _plain(keys, order).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*(keys or [F.lit(0)]))
+        sums = {name: F.coalesce(F.sum(w).over(running), F.lit(0)) for w, name in weights.items()}
+        return df.withColumns(sums | {name: F.sum(w).over(whole) for w, name in (totals or {}).items()})
     blocks = ordered_blocks(df, order, keys)
     spec = _key_window(keys)
     before, whole = spec.rowsBetween(Window.unboundedPreceding, -1), spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,9 +134,11 @@ def with_weights_below(
 
 
 def with_previous(
-    df: DataFrame, order: Sequence[str | Column], value: str, keys: Sequence[str] = (), name: str = "previous"
+    df: DataFrame, order: Sequence[str | Column], value: str, keys: Sequence[str] = (), name: str = "previous", few: bool = False
 ) -> DataFrame:
     """``value`` of the row just before, in ``order`` and within the same key (null for the first)."""
+    if few:
+        return df.withColumn(name, F.lag(value).over(_plain(keys, order)))
     blocks = ordered_blocks(df, order, keys)
     summary = (
         blocks.groupBy(BLOCK, *keys)

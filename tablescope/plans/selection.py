@@ -17,8 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.plans.materialize import settled
-from tablescope.plans.ordered import BLOCK, SEQ, block_summary, join_summary, ordered_blocks
+from tablescope.plans.ordered import BLOCK, SEQ, block_summary, counted, join_summary, ordered_blocks, with_weights_below
 from tablescope.plans.small import small_table
 
 SKETCH_ACCURACY = 10_000
@@ -34,15 +33,13 @@ def weighted_quantiles(
     value: str = "value",
     weight: str = "weight",
     order: Sequence[str] = (),
+    few: bool = False,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key of distinct ``value`` rows counted by ``weight``.
 
     Returns ``keys, n, quantiles`` (an array in the order of ``probabilities``). ``order`` may
-    name further sort columns after ``value``.
+    name further sort columns after ``value``. ``few`` says that a single sort will do (``ordered.counted``).
     """
-    blocks = ordered_blocks(freq, [value, *order], keys)
-    summary = block_summary(blocks, keys, F.col(weight))
-
     # (index of the probability, 0 for the rank below and 1 for the rank above, rank)
     targets = "array({})".format(
         ", ".join(
@@ -51,19 +48,19 @@ def weighted_quantiles(
             for side, fn in ((0, "floor"), (1, "ceil"))
         )
     )
-    # Only blocks that hold a wanted rank go on to the running sum.
-    wanted = summary.withColumn(
-        "_targets", F.expr(f"filter({targets}, t -> t.rank >= _b_before AND t.rank < _b_before + _b_weight)")
-    ).filter("size(_targets) > 0")
-    inside = Window.partitionBy(BLOCK, *keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
-    hits = (
-        join_summary(blocks, wanted, keys)
-        .withColumn("_below", F.col("_b_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .withColumn(
-            "_hit",
-            F.expr(f"explode(filter(_targets, t -> t.rank >= _below AND t.rank < _below + `{weight}`))"),
-        )
-    )
+    if few:
+        placed = with_weights_below(freq, [value, *order], {weight: "_below"}, keys, {weight: "_b_total"}, few=True)
+        placed = placed.withColumn("_targets", F.expr(targets))
+    else:
+        blocks = ordered_blocks(freq, [value, *order], keys)
+        summary = block_summary(blocks, keys, F.col(weight))
+        # Only blocks that hold a wanted rank go on to the running sum.
+        wanted = summary.withColumn(
+            "_targets", F.expr(f"filter({targets}, t -> t.rank >= _b_before AND t.rank < _b_before + _b_weight)")
+        ).filter("size(_targets) > 0")
+        inside = Window.partitionBy(BLOCK, *keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, -1)
+        placed = join_summary(blocks, wanted, keys).withColumn("_below", F.col("_b_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    hits = placed.withColumn("_hit", F.expr(f"explode(filter(_targets, t -> t.rank >= _below AND t.rank < _below + `{weight}`))"))
     picks = [
         F.expr(f"max(CASE WHEN _hit.i = {i} AND _hit.side = {side} THEN CAST(`{value}` AS DOUBLE) END) AS _v{i}_{side}")
         for i in range(len(probabilities))
@@ -118,9 +115,9 @@ def _counted(df: DataFrame, names: Sequence[str], brackets: Mapping[str, Sequenc
     return cells.groupBy("c", "value", "folded").agg(F.count("*").alias("weight"))
 
 
-def _ranked(freq: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> dict[str, tuple[int, list[float], bool]]:
+def _ranked(freq: DataFrame, few: bool, names: Sequence[str], probabilities: Sequence[float]) -> dict[str, tuple[int, list[float], bool]]:
     # A folded row that is asked for would surface as folded = 1 among the picked rows.
-    rows = weighted_quantiles(freq, probabilities, ["c"], order=["folded"]).collect()
+    rows = weighted_quantiles(freq, probabilities, ["c"], order=["folded"], few=few).collect()
     return {names[r["c"]]: (r["n"], list(r["quantiles"]), bool(r["folded"])) for r in rows}
 
 
@@ -154,7 +151,7 @@ def _reach(grid: Sequence[float], low: float, high: float) -> Reach:
     return low, high, float(near.max(initial=-1.0)), float(far.min(initial=math.inf))
 
 
-def _deviations(freq: DataFrame, names: Sequence[str], middles: Mapping[str, float], reach: Mapping[str, Reach]) -> dict[str, tuple[float, bool]]:
+def _deviations(freq: DataFrame, few: bool, names: Sequence[str], middles: Mapping[str, float], reach: Mapping[str, Reach]) -> dict[str, tuple[float, bool]]:
     """Median distance from the median out of the counted values, and whether it fell outside what was kept exactly.
 
     Folded values between the two brackets of distances are nearer than all in them, those outside are farther.
@@ -166,8 +163,8 @@ def _deviations(freq: DataFrame, names: Sequence[str], middles: Mapping[str, flo
     told = freq.join(F.broadcast(known), F.col("c") == F.col("k"))  # one row per column
     told = told.select("c", F.coalesce(d, F.lit(math.inf)).alias("value"), "weight", "near", "far")
     lost = ((F.col("value") < F.col("near")) | (F.col("value") > F.col("far"))).cast("int").alias("folded")
-    counted = told.groupBy("c", "value", lost).agg(F.sum("weight").alias("weight"))
-    return {n: (values[0], missed) for n, (_, values, missed) in _ranked(counted, names, [0.5]).items()}
+    weights = told.groupBy("c", "value", lost).agg(F.sum("weight").alias("weight"))
+    return {n: (values[0], missed) for n, (_, values, missed) in _ranked(weights, few, names, [0.5]).items()}
 
 
 Quantiles = dict[str, tuple[int, list[float]]]
@@ -207,21 +204,17 @@ def column_spreads(df: DataFrame, exprs: Mapping[str, Column], probabilities: Se
                 reach[v] = low, high, near, far = _reach(known[len(points) :], wanted[half], wanted[half + 1])
                 wanted += [low - far, high - near, low + near, high + far]
             brackets[v] = _brackets(wanted)
-        if not deviations:
-            result, away = _ranked(_counted(values, present, brackets), present, probabilities), {}
-        else:
-            freq = settled(_counted(values, present, brackets))
-            result = _ranked(freq, present, probabilities)
-            middles = {v: values_of[list(probabilities).index(0.5)] for v, (_, values_of, folded) in result.items() if not folded}
-            away = _deviations(freq, present, middles, reach)
+        freq, few = counted(_counted(values, present, brackets))
+        result, away = _ranked(freq, few, present, probabilities), {}
+        middle = list(probabilities).index(0.5) if deviations else 0
+        if deviations:
+            away = _deviations(freq, few, present, {v: values_of[middle] for v, (_, values_of, folded) in result.items() if not folded}, reach)
         missed = [v for v in present if result[v][2] or away.get(v, (0, deviations))[1]]
         if missed:
-            freq = _counted(values, missed, {})
-            freq = settled(freq) if deviations else freq
-            result |= _ranked(freq, missed, probabilities)
+            freq, few = counted(_counted(values, missed, {}))
+            result |= _ranked(freq, few, missed, probabilities)
             if deviations:
-                middles = {v: result[v][1][list(probabilities).index(0.5)] for v in missed}
-                away |= _deviations(freq, missed, middles, dict.fromkeys(missed, _ALL))
+                away |= _deviations(freq, few, missed, {v: result[v][1][middle] for v in missed}, dict.fromkeys(missed, _ALL))
         out |= {batch[v]: result[v][:2] for v in present}
         spread |= {batch[v]: d for v, (d, _) in away.items()}
     return out, spread

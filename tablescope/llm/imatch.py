@@ -64,12 +64,17 @@ def fingerprint(kept: Column, whole: Column) -> Column:
     A text without terms of the lexicon has the hash of the whole text in the first place.
     """
     count = sum(SUBSETS.values())
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda j: F.xxhash64(F.transform(F.filter(kept, lambda t: F.getbit(t["mask"], j) == 1), lambda t: t["lex"])),
-    )
+
+    def hashed(terms: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(count - 1)),
+            lambda j: F.xxhash64(F.transform(F.filter(terms, lambda t: F.getbit(t["mask"], j) == 1), lambda t: t["lex"])),
+        )
+
     own = F.concat(F.array(whole), F.array_repeat(F.lit(_EMPTY).cast("long"), count - 1))
-    return F.transform(F.when(F.size(kept) > 0, hashed).otherwise(own), lambda x: F.when(x != _EMPTY, x))
+    # The terms are one element of an array, so that they are sorted once and not again for every subset.
+    every = F.get(F.transform(F.array(kept), lambda terms: F.when(F.size(terms) > 0, hashed(terms)).otherwise(own)), F.lit(0))
+    return F.transform(every, lambda x: F.when(x != _EMPTY, x))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,14 +123,16 @@ def fingerprints(
     def told(body: str, v: int) -> Column:
         return F.transform(terms(F.col(body)), lambda x: F.struct(x.alias("term"), F.lit(v).alias("v")))
 
-    listed = both.select(
+    # A step of its own, so that nothing in it is worked out again for every term.
+    termed = both.select(
         "k", "h", F.char_length("t").cast("long").alias("n_chars"), F.unhex(F.sha2("t", 256)).alias("sha"), F.unhex(F.sha2("e", 256)).alias("esha"),
-        F.explode_outer(F.concat(told("t", 0), told("e", 1))).alias("one"),
-    ).select("k", "h", "n_chars", "sha", "esha", "one.term", "one.v")
+        F.concat(told("t", 0), told("e", 1)).alias("all"),
+    )
+    listed = termed.select("k", "h", "n_chars", "sha", "esha", F.explode_outer("all").alias("one")).select("k", "h", "n_chars", "sha", "esha", "one.term", "one.v")
     # The texts' partitioning by key serves the grouping as well: no further shuffle.
     marked = listed.join(words, F.col("term") == F.col("lex"), "left")
     held = F.when(F.col("lex").isNotNull(), F.struct("lex", "mask"))
-    grouped = marked.groupBy("k", "h", "n_chars", "sha", "esha").agg(*[F.array_sort(F.collect_list(F.when(F.col("v") == v, held))).alias(f"kept{v}") for v in (0, 1)])
+    grouped = marked.groupBy("k", "h", "n_chars", "sha", "esha").agg(*[F.sort_array(F.collect_list(F.when(F.col("v") == v, held))).alias(f"kept{v}") for v in (0, 1)])
     printed = grouped.select(
         "k", "h", "n_chars", F.lower(F.hex("esha")).alias("edited_sha256"),
         fingerprint(F.col("kept0"), F.xxhash64("sha")).alias("fp"), fingerprint(F.col("kept1"), F.xxhash64("esha")).alias("efp"),

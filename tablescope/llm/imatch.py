@@ -3,7 +3,7 @@
 Terms are runs of letters and digits, in lower case. The lexicon holds the terms whose document frequency lies within a
 band, as a share of all documents: common words say little, rare ones break at the first edit. A text keeps all its distinct
 terms of the lexicon, in sorted order. The lexicon has random subsets, the same for every text: the whole of it, and in
-``SUBSETS`` so many of each size, down to one term in 512. For every subset the sorted terms of the text that it holds give
+``SUBSETS`` so many of each size, down to one term in 256. For every subset the sorted terms of the text that it holds give
 one 64-bit hash; a subset without terms of the text gives none. These hashes are the fingerprint. The likeness of two
 fingerprints is the share of equal hashes among the subsets that hold terms of either. Sizes differ because texts do: an edit
 of a quarter of a text leaves those subsets alone that hold about as many of its terms as it has changed ones to none,
@@ -29,7 +29,7 @@ from tablescope.llm.ranges import with_position
 from tablescope.llm.scratch import Scratch
 
 #: Subsets by size: ``{s: count}`` are ``count`` subsets that hold each term with odds of 1 in ``2**s``.
-SUBSETS = {0: 1, 3: 3, 5: 5, 7: 6, 9: 9}
+SUBSETS = {0: 1, 4: 2, 6: 3, 8: 4}
 _EMPTY = 42  # the hash of no terms at all
 BROADCAST_TERMS = 2_000_000
 _NULL_ID = -(1 << 63)
@@ -126,11 +126,12 @@ def fingerprints(
     # A step of its own, so that nothing in it is worked out again for every term.
     termed = both.select(
         "k", "h", F.char_length("t").cast("long").alias("n_chars"), F.unhex(F.sha2("t", 256)).alias("sha"), F.unhex(F.sha2("e", 256)).alias("esha"),
-        F.concat(told("t", 0), told("e", 1)).alias("all"),
+        # One element more keeps texts without terms of the lexicon.
+        F.concat(told("t", 0), told("e", 1), F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(2).alias("v")))).alias("all"),
     )
-    listed = termed.select("k", "h", "n_chars", "sha", "esha", F.explode_outer("all").alias("one")).select("k", "h", "n_chars", "sha", "esha", "one.term", "one.v")
+    listed = termed.select("k", "h", "n_chars", "sha", "esha", F.explode("all").alias("one")).select("k", "h", "n_chars", "sha", "esha", "one.term", "one.v")
     # The texts' partitioning by key serves the grouping as well: no further shuffle.
-    marked = listed.join(words, F.col("term") == F.col("lex"), "left")
+    marked = listed.join(words, F.col("term") == F.col("lex"), "left").filter("lex IS NOT NULL OR v = 2")
     held = F.when(F.col("lex").isNotNull(), F.struct("lex", "mask"))
     grouped = marked.groupBy("k", "h", "n_chars", "sha", "esha").agg(*[F.sort_array(F.collect_list(F.when(F.col("v") == v, held))).alias(f"kept{v}") for v in (0, 1)])
     printed = grouped.select(

@@ -8,9 +8,14 @@
 3. Every page is cut again and gives the text of the containers on its host's best path that it has; a page without any gives
    its own best container.
 
-Inside a container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
-out, by element, role and words of class and id. Character references are decoded, white space inside a block becomes one
-blank, and blocks are joined by line feeds in page order; nothing else is dropped or capped.
+Inside a container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
+comments are left out, by element, role and names of class and id. A name counts only as a whole: all its words speak of such
+a part or of layout (``cookie-notice``, ``related-posts``), or its last word is the name of such a part (``election-comments``);
+``share-price``, ``news-alert`` and ``related-work`` are text. Character references are decoded, white space inside a block
+becomes one blank, and blocks are joined by line feeds in page order; nothing else is dropped or capped.
+
+Scripts, styles, titles and text areas end at their end tag alone, whatever stands before ``>``. Pictures, formulas, players and
+lists of choices end at the end tag of their own depth; one without an end tag ends where the next block begins or ends.
 
 Null pages and pages without text give an empty text. Null URLs form a host of their own. Repeated rows give equal texts. An
 empty table gives an empty result. Columns beside the named ones are never read.
@@ -21,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
@@ -37,13 +42,15 @@ BROADCAST_BYTES = 32_000_000
 
 # Kinds of elements and words of classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+EMBEDDED = frozenset("svg math object select canvas audio video template".split())
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav "
     "ol p pre section summary table tbody tfoot thead tr ul caption center".split()
 )
 CONTAINERS = frozenset("article body center dd div main section table td ul ol blockquote html".split())
-NOT_TEXT = frozenset("nav footer aside form button head dialog menu label".split())
+NOT_TEXT = frozenset("nav footer aside form button head dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 NOT_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors comment comments commentlist disqus respond reply replies cookie cookies consent "
@@ -51,6 +58,16 @@ NOT_MAIN = frozenset(
     "breadcrumbs pagination pager notice notices alert banner toolbar login search skip".split()
 )
 PERHAPS_NOT = frozenset("header footer sidebar widget widgets rail masthead topbar bottom".split())
+LAYOUT = frozenset(
+    "area article articles bar block blocks blog body box boxes btn button buttons card cards column container content count desktop entries entry feed fixed floating "
+    "form frame global google group heading holder icon icons inline inner item items large layout left link links list main message messages mobile module modules outer "
+    "page panel placeholder post posts primary reader readers region right row secondary section side site slot small sticky stories story strip text thread title "
+    "top unit user users view wrap wrapper zone".split()
+)
+HEADS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsors comments commentlist disqus popup newsletter nav navbar navigation menu breadcrumb breadcrumbs "
+    "pagination pager toolbar".split()
+)
 SURELY = frozenset("article content main body post entry story text".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 
@@ -62,7 +79,9 @@ _TAG = re.compile(
 )
 SPELT_DEPTH = 400  # elements open above one whose path is kept as text
 _ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class _Node:
@@ -92,6 +111,24 @@ def _path(above: str, step: str, depth: int) -> str:
     return path if depth < SPELT_DEPTH else "#" + blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+def _named_part(names: Iterable[str]) -> tuple[bool, bool, bool]:
+    """Of names of classes and ids: (one stands for a part that is no main text, one for a part that may be none, one for main text)."""
+    never = perhaps = surely = False
+    for name in names:
+        words = [w.lower() for w in _WORD.findall(name)]
+        # "with-sidebar" and "no-ads" speak of what stands elsewhere.
+        if not words or len(words) > 1 and words[0] in ("with", "has", "no", "without", "is"):
+            continue
+        surely = surely or not SURELY.isdisjoint(words)
+        parts = [w for w in words if w in NOT_MAIN or w in PERHAPS_NOT]
+        if not parts:
+            continue
+        whole = all(w in NOT_MAIN or w in PERHAPS_NOT or w in LAYOUT or len(w) < 3 for w in words)
+        never = never or whole and not NOT_MAIN.isdisjoint(parts) or words[-1] in HEADS
+        perhaps = perhaps or whole
+    return never, perhaps, surely
+
+
 def _label(tag: str, rest: str) -> tuple[str, bool]:
     """The generalised step of a path, and whether the element is left out."""
     out = tag in NOT_TEXT
@@ -103,18 +140,15 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
     role = found.get("role", "").lower()
     if tag in ("html", "body"):
         return step, False
-    said = set()
-    for name in f"{classes} {found.get('id', '')}".split():
-        parts = [w.lower() for w in _WORD.findall(name)]
-        # "with-sidebar" and "no-ads" speak of what stands elsewhere.
-        said.update(w for i, w in enumerate(parts) if not (i and parts[0] in ("with", "has", "no", "without", "is")))
-    surely = bool(said & SURELY) or tag in ("article", "main") or role in ("main", "article")
+    never, perhaps, surely = _named_part(f"{classes} {found.get('id', '')}".split())
+    surely = surely or tag in ("article", "main") or role in ("main", "article")
     out = out or role in ROLES or ("hidden" in found and found["hidden"] in ("", "hidden")) or found.get("aria-hidden", "").lower() == "true"
-    out = out or bool(said & NOT_MAIN) or (bool(said & PERHAPS_NOT) or tag == "header") and not surely
+    out = out or "style" in found and _UNSEEN.search(found["style"]) is not None or tag == "label" and "for" in found
+    out = out or never or (perhaps or tag == "header") and not surely
     return step, out
 
 
-def _events(page: str) -> Iterator[tuple[str, str, str]]:
+def _cut(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, "") and ("open" or "close", tag, rest of the tag); the contents of raw elements are left out."""
     at = 0
     while True:
@@ -133,13 +167,42 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
         if m["end"] or m["end2"]:
             yield "close", tag, ""
             continue
-        if tag in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in RAW:
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in FOREIGN and rest.endswith("/"):
+            continue
         yield "open", tag, rest
 
 
+def _events(page: str) -> list[tuple[str, str, str]]:
+    """What ``_cut`` gives, less all that stands in embedded elements."""
+    events = list(_cut(page))
+    waiting: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, (kind, tag, _) in enumerate(events):
+        if kind != "text" and tag in EMBEDDED:
+            if kind == "open":
+                waiting.setdefault(tag, []).append(i)
+            elif waiting.get(tag):
+                ends[waiting[tag].pop()] = i
+    if not waiting:
+        return events
+    kept, i, n = [], 0, len(events)
+    while i < n:
+        kind, tag, _ = event = events[i]
+        if kind == "text" or tag not in EMBEDDED:
+            kept.append(event)
+        elif kind == "open" and i in ends:
+            i = ends[i]
+        elif kind == "open":
+            while i + 1 < n and (events[i + 1][0] == "text" or events[i + 1][1] not in BLOCKS):
+                i += 1
+        i += 1
+    return kept
+
+
 def _walk(page: str) -> Iterator[tuple[list[_Node], str | None]]:
     """The open elements and a piece of text in them, or None where a block begins or ends."""
     stack, order, opened = [_Node("", "", False, False, 0)], 0, Counter()
@@ -170,7 +233,7 @@ def _walk(page: str) -> Iterator[tuple[list[_Node], str | None]]:
                     break
             top = stack[-1]
             step, out = _label(tag, rest)
-            if tag == "header" and out and any(n.tag in ("article", "main") for n in stack):
+            if tag == "header" and out and opened["article"] + opened["main"] > 0:
                 out = False  # the head of an article holds its title
             order += 1
             opened[tag] += 1

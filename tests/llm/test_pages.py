@@ -2,6 +2,8 @@
 
 import glob
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -94,3 +96,81 @@ def test_end_tags_and_blocks_beyond_any_depth():
     page = "<article><p>Main text.</p>" + "<b>" * 450 + "<div class='comments'><p>Leaks in.</p></div></article>"
     assert main_text(page, ["article"]) == "Main text."
     assert main_text("<b>" * 100_000 + "<div>x</div>" * 1000, []).count("x") == 1000
+
+
+AROUND = "<html><body><article><p>First paragraph of the article, quite long.</p>{}<p>Last paragraph of it, also long enough.</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        "<script src=/x/>code</script>", '<script src="a.js"/>code</script>', "<style/>p{}</style>", "<textarea>a<p>b</textarea>", "<template><p>x</p></template>",
+        "<svg><svg><text>a</text></svg><text>x</text></svg>", "<math/>", '<svg><path d="x">', "<select><option>one", "<object data=x>", "<video src=a />",
+        "<video><p>x</p></video>", '<div style="color: red; display: none">x</div>', '<label for="q">x</label>', '<div class="cookie-notice">x</div>',
+        '<div class="related-posts">x</div>', '<div id="electionComments">x</div>', '<div class="ad-slot-3">x</div>', '<p class="ad">x</p>', '<div class="sidebar">x</div>',
+    ],
+)
+def test_what_is_no_text_neither_leaks_nor_swallows(piece):
+    assert main_text(AROUND.format(piece), []).split("\n") == ["First paragraph of the article, quite long.", "Last paragraph of it, also long enough."]
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        '<h2 class="news-alert">K</h2>', '<p class="share-price">K</p>', '<section id="related-work">K</section>', '<div class="search-algorithms">K</div>',
+        "<label>K</label>", '<div class="with-sidebar">K</div>', '<div class="no-ads">K</div>', '<div class="post-footer">K</div>', "<header><h1>K</h1></header>",
+    ],
+)
+def test_words_of_a_name_do_not_drop_text(piece):
+    assert main_text(AROUND.format(piece), []).split("\n")[1:-1] == ["K"]
+
+
+class _Reader(HTMLParser):
+    """Text of the article by a plain walk: for pages whose main text is their one article."""
+
+    parted = set("p div h1 h2 h3 h4 h5 h6 ul ol li table tr blockquote pre section article".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.dropped, self.blocks, self.held = 0, 0, [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        self.blocks += [block] if (block := " ".join("".join(self.held).split())) else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        # An advert is one element without elements of its name.
+        self.dropped = self.dropped or (tag if ("class", "ad") in attrs or tag in ("script", "style", "nav", "footer", "aside", "form") else 0)
+        if tag in self.parted:
+            self.end()
+        elif tag in ("br", "td", "th"):
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.dropped = 0 if tag == self.dropped else self.dropped
+        if tag in self.parted:
+            self.end()
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.held.append(data)
+
+
+def test_given_pages_against_a_plain_walk(spark, scratch):
+    # All pages of the middle size; the query's tables hold the same kinds of pages.
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: "\n".join(_Reader(r.html or "").blocks) for r in table.select("page_id", "html").collect()}
+    got = extract(table, scratch).collect()
+    assert len(got) == len(want)
+    assert [r.page_id for r in got if r.text != want[r.page_id]] == []
+
+
+def test_nested_headers_take_linear_time():
+    begin = time.perf_counter()
+    main_text("<article>" + "<header><div>" * 9000 + "x", [])
+    assert time.perf_counter() - begin < 3

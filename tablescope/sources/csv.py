@@ -11,12 +11,14 @@ from tablescope.functions.clean import CSV_MISSING_TOKENS, NUMBER, strip
 from tablescope.operators.quality import null_counts
 from tablescope.operators.typing import dataset_profile
 from tablescope.plans.wide import per_value, quoted
+from tablescope.sources.records import records
 
 PREVIEW_ROWS = 1000
 BOM = "﻿"
 ENCODINGS = ("UTF-8", "GB18030", "GBK")
 _REPLACEMENT = "�"
 _EXTRA = "_beyond_header"
+_DIALECT = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 _LEGACY_CHARSETS = "spark.sql.legacy.javaCharsets"
 
 # What counts as a boolean cell.
@@ -84,29 +86,49 @@ def _probe(spark: SparkSession, path: str) -> tuple[bool, dict[tuple[str, bool],
     return all(f["utf8"] for f in files), groups
 
 
-def _scan(spark: SparkSession, files: str | Sequence[str], encoding: str, multi_line: bool, names: Sequence[str] | None) -> DataFrame:
-    reader = (
-        spark.read.option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("header", names is not None)
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", True)
-    )
-    if names is not None:
-        # One column more than the header has, to notice rows that are too long.
-        fields = [*(f"c{i}" for i in range(len(names))), _EXTRA]
-        reader = reader.schema(", ".join(f"{f} string" for f in fields))
-    return reader.csv(files)
+def _scan(spark: SparkSession, files: str | Sequence[str], encoding: str, names: Sequence[str] | None) -> DataFrame:
+    """Cells of files without line breaks in quotes, as c0, c1, ... and one more to notice rows that are too long; the first row without ``names``."""
+    reader = spark.read.options(**_DIALECT).option("encoding", encoding).option("header", names is not None).option("enforceSchema", True)
+    return (reader if names is None else reader.schema(_fields(len(names)))).csv(files)
+
+
+def _fields(n: int) -> str:
+    return ", ".join(f"{f} string" for f in [*(f"c{i}" for i in range(n)), _EXTRA])
+
+
+def _spanning(spark: SparkSession, files: Sequence[str], encoding: str) -> tuple[list[str | None], DataFrame]:
+    """Header and cells of files in which quoted fields hold line breaks; every file is read split by split."""
+    rows = records(spark, list(files), encoding)
+    head = rows.filter("top").select("record").first()["record"]  # all files here have one header
+    # One row, parsed by the same reader; an array of as many fields as the line can have at most.
+    line = spark.range(1).select(F.from_csv(F.lit(head), _fields(head.count(",") + 1), {**_DIALECT, "multiLine": "true"}).alias("r")).select("r.*").first()
+    raw = list(line)[: -1]
+    width = _width(head)
+    cells = rows.filter(~F.col("top")).select(F.from_csv("record", _fields(width), {**_DIALECT, "multiLine": "true"}).alias("r")).select("r.*")
+    return raw[:width], cells
+
+
+def _width(line: str) -> int:
+    """Number of fields of a record: commas outside quoted fields, and one."""
+    n, at, end = 1, 0, len(line)
+    while at < end:
+        if line[at] == '"':
+            at += 1
+            while at < end and not (line[at] == '"' and line[at : at + 2] != '""'):
+                at += 2 if line[at] == '"' else 1
+        comma = line.find(",", at)
+        if comma < 0:
+            break
+        n, at = n + 1, comma + 1
+    return n
 
 
-def _part(spark: SparkSession, files: Sequence[str], encoding: str, multi_line: bool, strict: bool) -> tuple[DataFrame, list[str], set[int]] | None:
+def _part(spark: SparkSession, files: Sequence[str], encoding: str, spans: bool, strict: bool) -> tuple[DataFrame, list[str], set[int]] | None:
     """Cells, header names and blank positions of files with one header; None if the encoding does not fit."""
-    head = _scan(spark, files[0], encoding, multi_line, None).first()
+    head, cells = _spanning(spark, files, encoding) if spans else (_scan(spark, files[0], encoding, None).first(), None)
     raw = [h.removeprefix(BOM) if i == 0 and h else h for i, h in enumerate(head)]
     names, blank = header_names(raw)
-    cells = _scan(spark, files, encoding, multi_line, names)
+    cells = _scan(spark, files, encoding, names) if cells is None else cells
     broken = [F.bool_or(F.coalesce(F.col(c).contains(_REPLACEMENT), F.lit(False))) for c in cells.columns]
     checks = cells.agg(F.count(_EXTRA).alias("long"), *([] if strict else broken)).first()
     if checks["long"]:

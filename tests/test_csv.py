@@ -1,7 +1,11 @@
+import csv as pycsv
+import io
+import random
+
 import pytest
 
 from tablescope.operators import report
-from tablescope.sources import csv
+from tablescope.sources import csv, records
 
 
 def write(tmp_path, data, name="t.csv"):
@@ -99,3 +103,50 @@ def test_white_space_around_cells(spark, tmp_path):
     df = csv.read_csv(spark, write(tmp_path, "n,f\n12\t,\u30001.5\n\t7,2 \n".encode()))
     assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "double"]
     assert sorted(tuple(r) for r in df.collect()) == [(7, 2.0), (12, 1.5)]
+
+
+@pytest.mark.parametrize(
+    ("line", "outside", "inside"),
+    [
+        (b"a,b", False, True), (b'a,"b', True, False), (b'"a', True, False), (b'"a"', False, False), (b'"a""', True, False), (b'a"b,c', False, False),
+        (b'x",y', False, False), (b'x","y', True, True), (b'5" pipe,"z', True, True), (b'""', False, True), (b'"",""', False, True), (b"", False, True),
+    ],
+)
+def test_quote_state_of_a_line(line, outside, inside):
+    assert (records.after(line, False), records.after(line, True)) == (outside, inside)
+
+
+def test_states_over_splits(spark):
+    rows = [("f", 0, b'a,"b'), ("f", 10, b"plain"), ("f", 20, b'x",y'), ("f", 30, b'"q'), ("f", 40, b'""'), ("f", 50, b'z"'), ("f", 60, b"w"), ("g", 0, b"w"), ("g", 9, b"w")]
+    lines = spark.createDataFrame([(b, f, n, i) for i, (f, n, b) in enumerate(rows)], "line binary, file string, block long, place long").coalesce(1)
+    got = {(r.file, r.block): r.start for r in records.starts(lines).collect()}
+    state, want = {}, {}
+    for f, n, b in rows:
+        want[f, n] = state.get(f, False)
+        state[f] = records.after(b, want[f, n])
+    assert got == want
+
+
+@pytest.mark.parametrize("split", ["1000b", "64m"])
+def test_a_file_with_line_breaks_in_quotes_is_split(spark, tmp_path, split):
+    rng = random.Random(7)
+    pieces = ["x", '"', "\n", ",", "two words", "\r\n", "é", ""]
+    rows = [(str(i), "".join(rng.choices(pieces, k=rng.randrange(1, 12))), rng.choice(["plain", '5" pipe', "a\n" * 60 + "end"])) for i in range(200)]
+    out = io.StringIO()
+    writer = pycsv.writer(out, lineterminator="\n")
+    writer.writerow(["i", "s", "two\nlines"])
+    writer.writerows(rows)
+    path = write(tmp_path, out.getvalue().encode("utf-8-sig"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        cells, names, _ = csv._text_frame(spark, path)
+        assert names == ["i", "s", "two\nlines"]
+        got = sorted(tuple(r) for r in cells.collect())
+        parts = cells.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == sorted((a, b or None, c) for a, b, c in rows)
+    assert split == "64m" or parts > 8

@@ -6,11 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.clean import finite, from_micros, micros
+from tablescope.functions.rolling import block_scores
 from tablescope.operators.calendar import SECOND, gap_summary, gap_table, when_of
 from tablescope.operators.statistics import number
-from tablescope.plans.ordered import with_position
+from tablescope.plans.materialize import settled
+from tablescope.plans.ordered import BLOCK, SEQ, ordered_blocks, with_position
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
@@ -18,7 +21,7 @@ from tablescope.plans.wide import per_value, quoted, unpivot
 MIN_OBSERVATIONS = 3
 WINDOW, THRESHOLD = 7, 3.5
 TOLERANCE = 0.20
-CHUNK = 50_000  # rows per window task when a series is cut into overlapping chunks
+BORDER_BYTES = 64_000_000  # border rows of a series, a few a block, that are broadcast; beyond that they are joined by a shuffle
 
 # Seconds of the regular frequencies, in the order they are tried.
 FREQUENCIES = {
@@ -208,50 +211,35 @@ def linear_trend(
     )
 
 
-def rolling_scores(
-    df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), window: int = WINDOW, chunk: int = CHUNK
-) -> DataFrame:
+def rolling_scores(df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), window: int = WINDOW) -> DataFrame:
     """Robust z-score of every value against its centred rolling median.
 
-    Rows get their global place, are cut into chunks of ``chunk`` rows and each chunk borrows the few
-    neighbours its two stacked windows need, so no task sees the whole series.
+    Rows are put in order once, over range blocks. Every block is then read where it lies: only the ``window`` - 1 rows on
+    either side of a border are brought to the neighbours, so no row travels twice and no task sees the whole series.
     """
+    spark = df.sparkSession
     values = [f"_v{i}" for i in range(len(columns))]
     renamed = {t: f"_tie{i}" for i, t in enumerate(tie)}
     narrow = df.select(
         when_of(time_col).alias("datetime"), *[F.col(quoted(t)).alias(r) for t, r in renamed.items()],
         *[number(c).alias(v) for c, v in zip(columns, values, strict=True)],
     ).filter(F.col("datetime").isNotNull())
-    placed = with_position(narrow, ["datetime", *renamed.values(), *values], name="position")
-    halo = 2 * (window // 2)
-    if halo > chunk:
-        raise ValueError("chunk must be at least as long as the window")
-    home = F.floor(F.col("position") / chunk)
-    spread = (
-        placed.withColumn("_home", home)
-        .withColumn(
-            "_chunk",
-            F.explode(
-                F.array_distinct(
-                    F.array(
-                        F.col("_home"),
-                        F.floor((F.col("position") + halo) / chunk),
-                        F.greatest(F.lit(0), F.floor((F.col("position") - halo) / chunk)),
-                    )
-                )
-            ),
-        )
-    )
-    minimum = max(3, window // 2)
-    frame = Window.partitionBy("_chunk").orderBy("position").rowsBetween(-(window // 2), (window - 1) // 2)
-
-    def rolling_median(name: str) -> Column:
-        return F.when(F.count(name).over(frame) >= minimum, F.percentile(name, 0.5).over(frame))
-
-    out = spread.withColumns({f"_m{v}": rolling_median(v) for v in values})
-    out = out.withColumns({f"_d{v}": F.abs(F.col(v) - F.col(f"_m{v}")) for v in values})
-    out = out.withColumns({f"_s{v}": rolling_median(f"_d{v}") for v in values})
-    out = out.filter(F.col("_chunk") == F.col("_home"))
+    blocks = ordered_blocks(narrow, ["datetime", *renamed.values(), *values])
+    halo = max(1, 2 * (window // 2))
+    borders = _borders(blocks, values, halo)
+    if borders.count() * 2 * halo * len(columns) * 8 <= BORDER_BYTES:
+        # Borders come with the first row of a block; the other rows meet nothing and nothing moves.
+        joined = blocks.join(F.broadcast(borders), F.when(F.col(SEQ) == 0, F.col(BLOCK)) == F.col("_home"), "left")
+    else:
+        joined = blocks.join(borders, F.col(BLOCK) == F.col("_home")).sortWithinPartitions(BLOCK, SEQ)
+    joined = joined.drop("_home", SEQ)
+    kept = ["datetime", *renamed.values()]
+    kinds = {f.name: f.dataType for f in narrow.schema.fields}
+    schema = T.StructType([T.StructField("position", T.LongType()), *[T.StructField(k, kinds[k]) for k in kept]])
+    for v in values:
+        for part in ("", "_m", "_s"):
+            schema = schema.add(f"{part}{v}", T.DoubleType())
+    out = spark.createDataFrame([], schema) if not columns else joined.mapInArrow(block_scores(BLOCK, kept, values, window, halo), schema)
     entries = [
         F.struct(
             F.lit(c).alias("column_name"), F.col(v).alias("value"), F.col(f"_m{v}").alias("rolling_median"),
@@ -259,14 +247,38 @@ def rolling_scores(
         )
         for c, v in zip(columns, values, strict=True)
     ]
-    return out.select("position", "datetime", *renamed.values(), F.inline(F.array(*entries))).withColumnsRenamed(
-        {r: t for t, r in renamed.items()}
+    return out.select("position", *kept, F.inline(F.array(*entries))).withColumnsRenamed({r: t for t, r in renamed.items()})
+
+
+def _borders(blocks: DataFrame, values: Sequence[str], halo: int) -> DataFrame:
+    """``_home, _first, _before, _after``: place of a block's first row and the values of up to ``halo`` rows on both sides of it.
+
+    A few rows per block; where blocks are shorter than ``halo`` they come from several neighbours.
+    """
+    sizes = blocks.groupBy(BLOCK).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    spans = settled(sizes.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumnRenamed(BLOCK, "_home"))
+    near = blocks.join(spans, F.col(BLOCK) == F.col("_home")).filter((F.col(SEQ) < halo) | (F.col(SEQ) >= F.col("_rows") - halo))
+    rows = settled(near.select((F.col("_first") + F.col(SEQ)).alias("_place"), F.array(*values).alias("_row")))
+    last = F.col("_first") + F.col("_rows")
+    # Neighbours are looked for in stretches of ``halo`` places: two lie before a block and two after it.
+    asked = spans.withColumn("_last", last).withColumn(
+        "_stretch",
+        F.explode(F.array_distinct(F.array(*[F.floor(c / halo) for c in (F.col("_first") - halo, F.col("_first") - 1, last, last + halo - 1)]))),
+    )
+    met = asked.join(rows.withColumn("_cut", F.floor(F.col("_place") / halo)), F.col("_stretch") == F.col("_cut"))
+    side = lambda low, high: F.transform(
+        F.array_sort(F.collect_list(F.when((F.col("_place") >= low) & (F.col("_place") < high), F.struct("_place", "_row")))), lambda x: x["_row"]
+    )
+    found = met.groupBy("_home").agg(
+        side(F.col("_first") - halo, F.col("_first")).alias("_before"), side(F.col("_last"), F.col("_last") + halo).alias("_after")
     )
+    return settled(spans.select("_home", "_first").join(found.withColumnRenamed("_home", "_h"), F.col("_home") == F.col("_h"), "left").drop("_h"))
 
 
 def anomalies(
     df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (),
-    window: int = WINDOW, threshold: float = THRESHOLD, chunk: int = CHUNK, counts: Mapping[str, int] | None = None,
+    window: int = WINDOW, threshold: float = THRESHOLD, counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Values whose score exceeds ``threshold``; columns with fewer than ``window`` values have none.
 
@@ -280,4 +292,4 @@ def anomalies(
         fields = [F.lit(None).cast("long").alias("position"), when_of(time_col).alias("datetime"), *[F.col(quoted(t)) for t in tie]]
         empty = [F.lit(None).cast(k).alias(n) for n, k in (("column_name", "string"), ("value", "double"), ("rolling_median", "double"), ("robust_z_score", "double"))]
         return df.limit(0).select(*fields, *empty)
-    return rolling_scores(df, time_col, usable, tie, window, chunk).filter(F.abs("robust_z_score") > threshold)
+    return rolling_scores(df, time_col, usable, tie, window).filter(F.abs("robust_z_score") > threshold)

@@ -44,20 +44,35 @@ def reference_scores(values, window):
     return 0.6745 * (s - m) / mad.replace(0, np.nan)
 
 
-@pytest.mark.parametrize(("window", "chunk"), [(7, 10), (7, 50_000), (6, 8), (3, 5)])
-def test_rolling_scores_match_pandas(spark, window, chunk):
+@pytest.mark.parametrize(("window", "broadcast", "batch"), [(7, True, 10_000), (7, False, 3), (6, True, 2), (3, True, 4), (25, True, 10_000), (25, False, 5)])
+def test_rolling_scores_match_pandas(spark, monkeypatch, window, broadcast, batch):
+    """Blocks of about eight rows, shorter than the widest window, and batches shorter than a block."""
+    if not broadcast:
+        monkeypatch.setattr(series, "BORDER_BYTES", 0)
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        _rolling_scores_match_pandas(spark, window)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _rolling_scores_match_pandas(spark, window):
     rng = np.random.default_rng(5)
     values = [float(v) for v in 0.3 * np.arange(64) + rng.normal(size=64)]
     values[20] += 40.0
     values[8] = values[33] = None
     values[40:52] = [1.0] * 12  # no spread, no score
     times = [D(2024, 1, 1) + dt.timedelta(hours=i) for i in range(64)]
-    got = [r.robust_z_score for r in series.rolling_scores(frame(spark, times, values), "ts", ["v"], ["i"], window, chunk).orderBy("position").collect()]
+    got = [r.robust_z_score for r in series.rolling_scores(frame(spark, times, values), "ts", ["v"], ["i"], window).orderBy("position").collect()]
     want = reference_scores(values, window)
     assert len(got) == 64
     for g, w in zip(got, want, strict=True):
         assert (g is None and np.isnan(w)) or g == pytest.approx(w)
-    spikes = series.anomalies(frame(spark, times, values), "ts", ["v"], ["i"], window, 3.5, chunk).collect()
+    spikes = series.anomalies(frame(spark, times, values), "ts", ["v"], ["i"], window, 3.5).collect()
     if window == 7:
         assert 20 in {r.position for r in spikes}
     assert len(spikes) == int((want.abs() > 3.5).sum())

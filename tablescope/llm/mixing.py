@@ -6,12 +6,13 @@ above its limit. A source's rate (target / size) is then met with whole repetiti
 the fraction, one more repetition of documents in the order of seeded hashes, as long as they fit; smaller ones
 then fill what is left. The hash borders of a source are found by counting words in ever finer bands of the hash, so no source is ever sorted or held in one task.
 
-Null texts have size 0 and are taken as such. The null source is a source of its own. Rows that agree in id and
+Null texts have size 0 and are taken as such, at most ``max_epochs`` times like others. The null source is a source of its own. Rows that agree in id and
 text share a hash: they are taken together. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,7 +67,8 @@ def mix(
     right = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "border", "second", "room")
     joined = sized.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     more = (F.col("u") < F.col("border")) | ((F.col("u") < F.col("second")) & (F.col("size") <= F.col("room")))
-    repeats = F.col("whole") + more.cast("long")
+    # A document without words fits anywhere; it too stays within the limit.
+    repeats = F.least(F.col("whole") + more.cast("long"), F.lit(math.ceil(max_epochs)).cast("long"))
     return joined.withColumn("repeats", repeats).select(
         "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"),
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],

@@ -237,3 +237,10 @@ def test_pipeline(spark):
         if i < 4:
             assert docs.columns == list(pipeline.COLUMNS)
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] and sizes[4] > 0 and sizes[5] == sizes[4]
+
+
+def test_documents_without_words_stay_within_the_limit(spark):
+    rows = [(i, "a " * 50, "big") for i in range(40)] + [(100, "b c", "small"), (101, "", "small"), (102, None, "small")]
+    out = {r.doc_id: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark, "limit"), weights=(1, 5)).collect()}
+    assert out[100].target == 4.0 and out[100].taken == 4
+    assert all(r.repeats <= 2 for r in out.values()) and {out[101].taken, out[102].taken} == {0}

@@ -1,6 +1,7 @@
 """The ordering and selection building blocks against brute force, with hot keys and hot values."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -81,6 +82,31 @@ def test_quantiles_of_nulls_and_infinities(spark):
     assert got == {"b": (3, [3.0])}
 
 
+def test_generated_code_for_brackets_is_small_enough_to_be_compiled(spark, capsys):
+    names = [f"v{i}" for i in range(12)]
+    frame = spark.range(10).select(*[F.col("id").cast("double").alias(n) for n in names])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        selection._counted(frame, names, {n: [(10.0 * i, 10.0 * i + 1) for i in range(9)] for n in names}).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM interprets larger methods
+
+
+def test_values_between_brackets_are_folded_at_the_end_below(spark):
+    nan, inf = math.nan, math.inf
+    values = [None, -inf, -1.0, 0.0, 1.0, 1.5, 2.0, 3.0, 9.0, 9.5, inf, nan]
+    frame = spark.createDataFrame([(v, v, v) for v in values], "x double, y double, z double")
+    brackets = {"x": [(0.0, 1.0), (2.0, 2.0), (3.0, 9.0)], "y": [(-inf, -1.0), (9.5, nan)]}
+    got = {(r.c, str(r.value), r.folded): r.weight for r in selection._counted(frame, ["x", "y", "z"], brackets).collect()}
+    x = {("-inf", 1): 2, ("0.0", 0): 1, ("1.0", 0): 1, ("1.0", 1): 1, ("2.0", 0): 1, ("3.0", 0): 1, ("9.0", 0): 1, ("9.0", 1): 3}
+    y = {("-inf", 0): 1, ("-1.0", 0): 1, ("-1.0", 1): 6, ("9.5", 0): 1, ("inf", 0): 1, ("nan", 0): 1}
+    z = {(str(v), 0): 1 for v in values[1:]}
+    assert got == {(c, *k): n for c, part in enumerate((x, y, z)) for k, n in part.items()}
+
+
 def test_weighted_quantiles_per_key(spark):
     freq = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("b", 2.0, 1), ("b", 4.0, 1)], "k string, value double, weight long")
     got = {r.k: (r.n, r.quantiles) for r in weighted_quantiles(freq, [0.5, 0.9], ["k"]).collect()}

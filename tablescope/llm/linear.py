@@ -60,7 +60,8 @@ def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, cost: float =
 
     Every indicator is scaled by the log of the ratio of its smoothed shares in the two classes; a linear hinge-loss model on
     the scaled indicators is then fitted by dual coordinate descent, one text after the other in a seeded order. A fifth of
-    the texts is held back to calibrate the margin. Without both classes the score is the share of label 1, or a half.
+    the texts is held back to calibrate the margin. Without both classes the score is the share of label 1, or a half. ``text``
+    and ``feature`` may be of any whole type; most features are dropped before the arrays are widened.
     """
     size, weights = 1 << BITS, np.zeros(1 << BITS, dtype=np.float32)
     n = len(label)
@@ -68,14 +69,15 @@ def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, cost: float =
     if pos == 0 or neg == 0:
         share = (pos + 1) / (n + 2)
         return Model(weights, 1.0, float(np.log(share / (1 - share))))
-    in_pos = np.bincount(feature[label[text] == 1], minlength=size).astype(np.float64)
-    in_neg = np.bincount(feature[label[text] == 0], minlength=size).astype(np.float64)
+    in_pos = np.bincount(feature[(label == 1)[text]], minlength=size).astype(np.float64)
+    in_neg = np.bincount(feature[(label == 0)[text]], minlength=size).astype(np.float64)
     share = (in_pos + in_neg) / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
     chosen = (in_pos + in_neg >= min(SEEN_IN, n)) & (np.abs(in_pos / pos - in_neg / neg) >= CLEAR * error)
     ratio = np.log((in_pos + smoothing) / (pos + 2 * smoothing)) - np.log((in_neg + smoothing) / (neg + 2 * smoothing))
     keep = chosen[feature]
-    text, feature = text[keep], feature[keep]
+    text, feature = text[keep], feature[keep].astype(np.int64)
+    del keep
     begin = np.searchsorted(text, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tablescope.llm.linear import Model, fit, folded, per_text
 from tablescope.llm.scan import Hasher, chunks, mixed, words
+from tablescope.llm.workers import give_back
 
 SAMPLE = 8_000
 _SALTS = mixed(np.arange(1, 9, dtype=np.uint64))
@@ -81,13 +82,20 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, usable: Column, featu
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["d", "y", "f"])
 
     kind = rows.schema["d"].dataType.simpleString()
-    table = rows.select("d", "t", "y").mapInArrow(run, f"d {kind}, y int, f array<int>").toArrow()
+    model = _model(rows.select("d", "t", "y").mapInArrow(run, f"d {kind}, y int, f array<int>"), cost)
+    give_back()
+    return model
+
+
+def _model(sample: DataFrame, cost: float) -> Model:
+    table = sample.toArrow()
     if table.num_rows == 0:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     table = table.take(pa.compute.sort_indices(table, [("d", "ascending"), ("y", "ascending")])).combine_chunks()
-    lists = table["f"].chunk(0)
+    lists, label = table["f"].chunk(0), table["y"].to_numpy().astype(np.int64)
+    del table
     sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(sizes)), sizes), lists.values.to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64), cost)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.values.to_numpy(), label, cost)
 
 
 def scored(docs: DataFrame, model: Model, features: Features, keep: Sequence[str], text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from tablescope.llm import queries as registered
 from tablescope.llm.imatch import SUBSETS, fingerprints
 from tablescope.llm.linear import fit
 from tablescope.llm.mixing import mix
-from tablescope.llm.quality import quality_scores, remainder
+from tablescope.llm.quality import fitted, quality_features, quality_scores, remainder
 from tablescope.llm.scratch import Scratch
 from tablescope.llm.toxicity import Restorer, language_model, toxicity_scores, trigram_counts
 
@@ -58,6 +58,22 @@ def test_the_model_separates():
     assert ((model.scores(model.margins(text, np.concatenate(rows), 400)) >= 0.5) == (label == 1)).all()
 
 
+def test_a_fit_leaves_no_memory_behind_in_the_driver(spark):
+    def private() -> int:
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) // 1024
+
+    def model(rows: int, words: int):
+        text = f"array_join(transform(sequence(1, {words}), i -> conv(abs(xxhash64(id, i)) % 60000, 10, 36)), ' ') AS text"
+        docs = spark.range(rows).selectExpr("id AS doc_id", text, "CAST(id % 2 AS int) AS quality")
+        return fitted(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), "quality", F.lit(True), quality_features)
+
+    model(100, 50)
+    before = private()
+    model(6000, 500)
+    assert private() - before < 50
+
+
 def test_disguises(spark, documents):
     plain = "the idiot and the moron are pathetic and worthless said a clown in the trash to the loser it was disgusting stupid scum"
     rng = random.Random(3)

@@ -47,10 +47,11 @@ def gap_counts(df: DataFrame, time_col: str) -> DataFrame:
     timestamps are put in order.
     """
     times = (
-        df.select(micros(when_of(time_col)).alias("us"))
-        .filter(F.col("us").isNotNull())
-        .groupBy("us")
+        df.select(when_of(time_col).alias("ts"))
+        .filter(F.col("ts").isNotNull())
+        .groupBy("ts")
         .agg(F.count("*").alias("copies"))
+        .select(micros(F.col("ts")).alias("us"), "copies")
     )
     times, few = counted(times)
     between = with_previous(times, ["us"], "us", few=few).select(

@@ -25,13 +25,16 @@ from tablescope.plans.workers import importable
 
 STRONG, MODERATE = 0.7, 0.4
 MEASURES_PER_PASS = 400
+PAIR_MEASURES_PER_PASS = 30  # more of these fall out of generated code
 PAIR_MEASURES = {
     "n": "long", "cov": "double", "std_x": "double", "std_y": "double", "mean_x": "double", "mean_y": "double", "x_min": "double", "x_max": "double",
     "y_min": "double", "y_max": "double",
 }
 # Kendall: blocks of a column are about BLOCK_SHARE square roots of the rows long; a grid of at most GRID_WHOLE borders is one
-# task's work for a pair of columns, a wider one is cut again, every GRID_STEP blocks.
-BLOCK_SHARE, MAX_BLOCKS, GRID_WHOLE, GRID_STEP = 4, 50_000, 500, 16
+# task's work for a pair of columns, a wider one is cut again, every GRID_STEP blocks. Inside a block, at most TILES stretches of
+# TILE places or more are compared place by place.
+BLOCK_SHARE, MAX_BLOCKS, GRID_WHOLE, GRID_STEP = 8, 50_000, 500, 16
+TILE, TILES = 96, 1024
 
 
 def column_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
@@ -59,11 +62,11 @@ def pair_measures(i: int, j: int) -> dict[str, Column]:
 
 
 def pair_table(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """``i, j`` and the measures of every pair of columns ``c0, c1, ...``; a scan for every ``MEASURES_PER_PASS`` of them.
+    """``i, j`` and the measures of every pair of columns ``c0, c1, ...``; a scan for every ``PAIR_MEASURES_PER_PASS`` of them.
 
     No row is copied: each pass is one row of aggregates over the columns of its pairs.
     """
-    rows, step = [], max(1, MEASURES_PER_PASS // len(PAIR_MEASURES))
+    rows, step = [], max(1, PAIR_MEASURES_PER_PASS // len(PAIR_MEASURES))
     for start in range(0, len(pairs), step):
         batch = pairs[start : start + step]
         row = clean.agg(*[m.alias(f"{k}_{p}") for p, (i, j) in enumerate(batch) for k, m in pair_measures(i, j).items()]).first()
@@ -188,13 +191,13 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _ties(cells: DataFrame, side: str) -> DataFrame:
-    """Per pair of columns: tied pairs of rows, and the two sums that ties take part in the variance with."""
+    """Per pair of columns, of the blocks that are one value: tied pairs of rows, the two sums that ties take part in the variance with, and the number of values."""
     t = F.col("t").cast("decimal(38,0)")
     d = F.col("t").cast("double")
-    groups = cells.groupBy("i", "j", side).agg(F.sum("weight").alias("t"))
-    return groups.groupBy("i", "j").agg(
-        F.sum((t * (t - 1) / 2).cast("decimal(38,0)")).alias(f"tied_{side}"), F.sum(d * (d - 1) * (d - 2)).alias(f"thirds_{side}"),
-        F.sum(d * (d - 1) * (2 * d + 5)).alias(f"spread_{side}"), (F.count("*") == 1).alias(f"flat_{side}"),
+    groups = cells.filter(F.col(side) % 2 == 1).groupBy("pair", side).agg(F.sum("w").alias("t"))
+    return groups.groupBy("pair").agg(
+        F.sum((t * (t - 1) / 2).cast("decimal(38,0)")).alias(f"heavy_{side}"), F.sum(d * (d - 1) * (d - 2)).alias(f"heavy_thirds_{side}"),
+        F.sum(d * (d - 1) * (2 * d + 5)).alias(f"heavy_spread_{side}"), F.count("*").alias(f"heavy_kinds_{side}"),
     )
 
 
@@ -213,10 +216,229 @@ def _block_borders(clean: DataFrame, columns: int) -> list[np.ndarray]:
 def _blocks_of(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Odd numbers for the border values themselves, even ones for what lies between: a value shared by many rows is a block of its own."""
     left = np.searchsorted(borders, values, side="left")
-    at = np.searchsorted(borders, values, side="right") > left
+    if not len(borders):
+        return left.astype(np.int64)
+    at = borders[np.minimum(left, len(borders) - 1)] == values
     return (2 * left + at).astype(np.int64)
 
 
+_SIDE_BITS = 40  # the number of a block is below this bit
+
+
+def _dealt_rows(clean: DataFrame, borders: Sequence[np.ndarray]) -> DataFrame:
+    """``at, c0, c1, ..., w``: each row once for every column in which it lies in a block of several values, whatever the number of pairs.
+
+    Of pairs of columns in which a row lies in blocks of one value there is nothing to compare: only how many rows such two
+    blocks share is told, with the numbers of the blocks in ``c0`` and ``c1`` and rows in ``w``.
+    """
+    k = len(borders)
+    pairs = column_pairs(range(k))
+    names = ["at", *[f"c{i}" for i in range(k)], "w"]
+
+    def shared(counts: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for p, parts in counts.items():
+            i, j = pairs[p]
+            wide = 2 * len(borders[j]) + 1
+            code, w = _folded(parts)
+            cells = [code // wide, code % wide]
+            columns = [np.full(len(code), (k + p) << _SIDE_BITS) | (code & ((1 << _SIDE_BITS) - 1)), *[c.astype(np.float64) for c in cells], *[np.full(len(code), np.nan)] * (k - 2), w]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+        for batch in batches:
+            values = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)]
+            here = [~np.isnan(v) for v in values]
+            blocks = [_blocks_of(v, b) for v, b in zip(values, borders, strict=True)]
+            present = np.sum(here, axis=0)
+            for i in range(k):
+                own = np.flatnonzero(here[i] & (blocks[i] % 2 == 0) & (present > 1))
+                if len(own):
+                    columns = [blocks[i][own] | (i << _SIDE_BITS), *[v[own] for v in values], np.ones(len(own), dtype=np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            heavy = [h & (b % 2 == 1) for h, b in zip(here, blocks, strict=True)]
+            for p, (i, j) in enumerate(pairs):
+                both = heavy[i] & heavy[j]
+                if both.any():
+                    code, w = np.unique(blocks[i][both] * (2 * len(borders[j]) + 1) + blocks[j][both], return_counts=True)
+                    counts.setdefault(p, []).append((code, w))
+                    held += len(code)
+            if held > _HELD_CELLS:
+                counts = {p: [_folded(parts)] for p, parts in counts.items()}
+                held = sum(len(parts[0][0]) for parts in counts.values())
+                if held > _HELD_CELLS // 2:
+                    yield from shared(counts)
+                    counts, held = {}, 0
+        yield from shared(counts)
+
+    schema = ", ".join(["at long", *[f"c{i} double" for i in range(k)], "w long"])
+    return clean.mapInArrow(run, schema)
+
+
+_HELD_CELLS = 1_000_000
+
+
+def _folded(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of cells without repetition and how many rows each has."""
+    codes, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, where = np.unique(codes, return_inverse=True)
+    w = np.zeros(len(code), dtype=np.int64)
+    np.add.at(w, where.reshape(-1), weights)
+    return code, w
+
+
+def _dense(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of the values among the different ones, and how many of these there are."""
+    order = np.argsort(values)
+    ranked = values[order]
+    step = np.ones(len(values), dtype=np.int64)
+    step[1:] = ranked[1:] != ranked[:-1]
+    out = np.empty(len(values), dtype=np.int64)
+    out[order] = np.cumsum(step) - 1
+    return out, int(out[order[-1]]) + 1 if len(values) else 0
+
+
+def wrong_order(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+    """How many pairs of rows ``u`` and ``v`` (whole numbers from 0) order the other way round, and how many agree in both, exactly.
+
+    Rows in the order of (u, v) are cut into stretches of places and into stretches of ranks by v. Two rows that share neither are
+    counted on the table of both, the others place by place inside the stretch that they share.
+    """
+    m = len(u)
+    if m < 2:
+        return 0, 0
+    bits = int(v.max()).bit_length()
+    key = np.sort((u.astype(np.int64) << bits) | v)
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+    same = int((runs * (runs - 1) // 2).sum())
+    size = max(TILE, -(-m // TILES))
+    tiles = -(-m // size)
+    full = tiles * size
+    bits_of_place = full.bit_length()
+    # Equal values by v keep their order; what fills up the last stretch comes after all.
+    place = np.arange(full, dtype=np.int64)
+    place[:m] = np.sort(((key & ((1 << bits) - 1)) << bits_of_place) | place[:m]) & ((1 << bits_of_place) - 1)
+    kind = np.uint16 if full < 1 << 16 else np.int32
+    rank = np.empty(full, dtype=kind)
+    rank[place] = np.arange(full, dtype=kind)
+    lost, by_place = 0, rank.reshape(tiles, size)
+    by_rank = (place // size).astype(np.uint16).reshape(tiles, size)
+    for d in range(1, min(size, m)):
+        lost += int(np.count_nonzero(by_place[:, :-d] > by_place[:, d:])) + int(np.count_nonzero(by_rank[:, :-d] > by_rank[:, d:]))
+    if tiles > 1:
+        table = np.bincount(np.repeat(np.arange(tiles), size) * tiles + rank // size, minlength=tiles * tiles).reshape(tiles, tiles)
+        # Of each cell: rows in later stretches of places and earlier ones of ranks.
+        later = table[::-1].cumsum(axis=0)[::-1][1:, :-1].cumsum(axis=1)
+        lost += int((table[:-1, 1:] * later).sum())
+    return lost, same
+
+
+_SUMS = {"lost": "decimal(38,0)", "tied_both": "decimal(38,0)", "tied_x": "decimal(38,0)", "tied_y": "decimal(38,0)"} | {
+    f"{k}_{s}": t for s in ("x", "y") for k, t in (("thirds", "double"), ("spread", "double"), ("kinds", "long"))}
+
+
+def _in_blocks_of_rows(dealt: DataFrame, borders: Sequence[np.ndarray]) -> DataFrame:
+    """``pair, x, y, w``: rows of each cell of the grid of block numbers; and with null there, what the blocks of a task add up to.
+
+    Every cell is told by one block: that of x, or that of y where the block of x is one value, or by none of both.
+    """
+    k = len(borders)
+    pairs = column_pairs(range(k))
+    number = {ij: p for p, ij in enumerate(pairs)}
+    names = ["pair", "x", "y", "w", *_SUMS]
+    kinds = {"decimal(38,0)": pa.decimal128(38, 0), "double": pa.float64(), "long": pa.int64()}
+
+    def cells(p: np.ndarray | int, x: np.ndarray | int, y: np.ndarray | int, w: np.ndarray) -> pa.RecordBatch:
+        n = len(w)
+        columns = [np.broadcast_to(np.asarray(p, dtype=np.int32), n), *[np.broadcast_to(np.asarray(c, dtype=np.int64), n) for c in (x, y, w)]]
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], *[pa.nulls(n, kinds[t]) for t in _SUMS.values()]], names=names)
+
+    def counted(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.bincount(block)
+        found = np.flatnonzero(w)
+        return found, w[found]
+
+    def tied(sums: dict, side: str, ranks: np.ndarray) -> None:
+        t = np.bincount(ranks)
+        t = t[t > 0]
+        d = t.astype(np.float64)
+        sums[f"tied_{side}"] += int((t * (t - 1) // 2).sum())
+        sums[f"thirds_{side}"] += float((d * (d - 1) * (d - 2)).sum())
+        sums[f"spread_{side}"] += float((d * (d - 1) * (2 * d + 5)).sum())
+        sums[f"kinds_{side}"] += len(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, dict] = {}
+
+        def looked_at(group: pa.Table) -> Iterator[pa.RecordBatch]:
+            at = group.column("at")[0].as_py()
+            side, block = at >> _SIDE_BITS, at & ((1 << _SIDE_BITS) - 1)
+            values = [group.column(f"c{i}").to_numpy() for i in range(k)]
+            own, _ = _dense(values[side])
+            for j in range(k):
+                here = ~np.isnan(values[j])
+                if j == side or not here.any():
+                    continue
+                whole = here.all()
+                mine, other = (own, values[j]) if whole else (own[here], values[j][here])
+                p = number[min(side, j), max(side, j)]
+                s = sums.setdefault(p, dict.fromkeys(_SUMS, 0))
+                met = _blocks_of(other, borders[j])
+                if side < j:
+                    tied(s, "x", mine)
+                    lost, same = wrong_order(mine, _dense(other)[0])
+                    s["lost"] += lost
+                    s["tied_both"] += same
+                    found, w = counted(met)
+                    yield cells(p, block, found, w)
+                else:
+                    tied(s, "y", mine)
+                    s["lost"] += wrong_order(met, mine)[0]
+                    if (heavy := met % 2 == 1).any():
+                        s["tied_both"] += _same(met[heavy], mine[heavy])
+                        found, w = counted(met[heavy])
+                        yield cells(p, found, block, w)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            # Cells that two blocks of one value share come after all blocks.
+            last = int(np.searchsorted(at, k << _SIDE_BITS))
+            if last < len(at):
+                x, y, w = (batch.column(i).to_numpy(zero_copy_only=False)[last:].astype(np.int64) for i in (1, 2, k + 1))
+                yield cells((at[last:] >> _SIDE_BITS) - k, x, y, w)
+                batch, at = batch.slice(0, last), at[:last]
+            if not last:
+                continue
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                # A block that goes on in the next batch waits for it.
+                if held and held[-1].column(0)[0].as_py() != at[a]:
+                    yield from looked_at(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from looked_at(pa.Table.from_batches(held))
+        if sums:
+            columns = [pa.array(list(sums), pa.int32()), *[pa.nulls(len(sums), pa.int64())] * 3]
+            for name, t in _SUMS.items():
+                columns.append(pa.array([Decimal(s[name]) if t.startswith("decimal") else s[name] for s in sums.values()], kinds[t]))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(["pair int, x long, y long, w long", *[f"{n} {t}" for n, t in _SUMS.items()]])
+    return dealt.repartition("at").sortWithinPartitions("at").mapInArrow(run, schema)
+
+
+def _same(u: np.ndarray, v: np.ndarray) -> int:
+    """Pairs of rows that agree in both."""
+    key = np.sort((u.astype(np.int64) << int(v.max()).bit_length()) | v)
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+    return int((runs * (runs - 1) // 2).sum())
+
+
 _SIDED = "pair int, side int, block long, u double, v double, w long"
 
 
@@ -320,46 +542,65 @@ def _in_blocks(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("pair", "side", "block").sortWithinPartitions("pair", "side", "block").mapInArrow(run, "pair int, lost decimal(38,0)")
 
 
-def _discordant(cells: DataFrame, pairs: Sequence[tuple[int, int]], borders: Sequence[np.ndarray]) -> DataFrame:
-    """Pairs of rows that x and y order the other way round: ``i, j, discordant``.
+def _coarse(cuts: Mapping[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Borders on a grid of block numbers: none if one task may hold a pair of columns' cells."""
+    if max((max(len(a), len(b)) for a, b in cuts.values()), default=0) <= GRID_WHOLE:
+        return {p: (np.zeros(0), np.zeros(0)) for p in cuts}
+    return {p: tuple(2.0 * np.arange(GRID_STEP, len(c) + 1, GRID_STEP) for c in both) for p, both in cuts.items()}
+
+
+def _discordant(level: DataFrame, cuts: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs of rows that x and y order the other way round, of counted cells ``pair, x, y, w``: ``pair, discordant``.
 
     x and y are cut into blocks. Two rows in different blocks of both are counted on the grid of block numbers; two in one
     block of x, or in one of y only, are counted inside that block. So each cell travels twice, whatever the number of rows.
     The grid is counted in the same way, its numbers being the values: it holds far fewer cells, and once they are few
     enough per pair of columns one block holds them.
     """
-    # Pairs are numbered in their order: those of column i begin after i rows of a triangle.
-    importable(cells.sparkSession)
-    level = cells.select(F.expr(f"CAST(i * (2 * {len(borders)} - i - 1) div 2 + j - i - 1 AS INT)").alias("pair"), "x", "y", F.col("weight").alias("w"))
-    cuts = {p: (borders[i], borders[j]) for p, (i, j) in enumerate(pairs)}
     lost = None
     while True:
         # With no border left all cells of a pair are one block of x, and nothing is left for the grid.
         dealt = settled(_dealt_to_blocks(level, cuts))
         part = _in_blocks(dealt.filter("side < 2"))
         lost = part if lost is None else lost.unionAll(part)
-        widest = max((max(len(a), len(b)) for a, b in cuts.values()), default=0)
-        if not widest:
+        if not max((max(len(a), len(b)) for a, b in cuts.values()), default=0):
             break
         level = dealt.filter("side = 2").groupBy("pair", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w"))
-        coarse = {p: tuple(2.0 * np.arange(GRID_STEP, len(c) + 1, GRID_STEP) for c in both) for p, both in cuts.items()}
-        cuts = coarse if widest > GRID_WHOLE else {p: (np.zeros(0), np.zeros(0)) for p in cuts}
-    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    summed = lost.groupBy("pair").agg(F.sum("lost").cast("decimal(38,0)").alias("discordant"))
-    return summed.select(names[F.col("pair")]["i"].alias("i"), names[F.col("pair")]["j"].alias("j"), "discordant")
+        cuts = _coarse(cuts)
+    return lost.groupBy("pair").agg(F.sum("lost").cast("decimal(38,0)").alias("discordant"))
 
 
 def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Tau-b of every pair at any number of rows; p-values by the normal limit with its correction for ties."""
+    """Tau-b of every pair at any number of rows; p-values by the normal limit with its correction for ties.
+
+    Each column is cut into blocks of values. A row travels once a column, to its block there, which looks at all partners:
+    pairs of rows in one block of x, or in one of y only, are compared inside it, and all others on the grid of block numbers,
+    which has far fewer cells than there are rows. Blocks of one value have nothing to compare and are only counted.
+    """
     pairs = column_pairs(columns)
-    entries = ", ".join(f"struct({i} AS i, {j} AS j, c{i} AS x, c{j} AS y)" for i, j in pairs)
     clean = _clean(df, columns)
+    importable(df.sparkSession)
     borders = _block_borders(clean, len(columns))
-    long = clean.select(F.expr(f"inline(array({entries}))")).filter("x IS NOT NULL AND y IS NOT NULL")
-    cells = settled(long.groupBy("i", "j", "x", "y").agg(F.count("*").alias("weight")))
-    w = F.col("weight").cast("decimal(38,0)")
-    sizes = cells.groupBy("i", "j").agg(F.sum("weight").alias("n"), F.sum((w * (w - 1) / 2).cast("decimal(38,0)")).alias("tied_both"))
-    found = settled(sizes.join(_ties(cells, "x"), ["i", "j"]).join(_ties(cells, "y"), ["i", "j"]).join(_discordant(cells, pairs, borders), ["i", "j"], "left").fillna(0, ["discordant"]))
+    parts = settled(_in_blocks_of_rows(_dealt_rows(clean, borders), borders))
+    cells = settled(parts.filter("w IS NOT NULL").groupBy("pair", "x", "y").agg(F.sum("w").alias("w")))
+    inside = parts.filter("w IS NULL").groupBy("pair").agg(*[F.sum(name).cast(t).alias(name) for name, t in _SUMS.items()])
+    w = F.col("w").cast("decimal(38,0)")
+    sizes = cells.groupBy("pair").agg(
+        F.sum("w").alias("n"), F.sum(F.when((F.col("x") % 2 == 1) & (F.col("y") % 2 == 1), (w * (w - 1) / 2).cast("decimal(38,0)"))).alias("heavy_both"))
+    grid = _discordant(cells.select("pair", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "w"),
+        _coarse({p: (borders[i], borders[j]) for p, (i, j) in enumerate(pairs)}))
+    found = sizes
+    for part in (inside, _ties(cells, "x"), _ties(cells, "y"), grid):
+        found = found.join(part, "pair", "left")
+    found = settled(found.fillna(0))
+    added = lambda a, b: (F.col(a) + F.col(b)).cast("decimal(38,0)")
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    found = found.select(
+        names[F.col("pair")]["i"].alias("i"), names[F.col("pair")]["j"].alias("j"), "n", added("tied_both", "heavy_both").alias("tied_both"),
+        added("lost", "discordant").alias("discordant"), *[added(f"tied_{s}", f"heavy_{s}").alias(f"tied_{s}") for s in ("x", "y")],
+        *[(F.col(f"{k}_{s}") + F.col(f"heavy_{k}_{s}")).alias(f"{k}_{s}") for k in ("thirds", "spread") for s in ("x", "y")],
+        *[(F.col(f"kinds_{s}") + F.col(f"heavy_kinds_{s}") == 1).alias(f"flat_{s}") for s in ("x", "y")],
+    )
     n, big = F.col("n").cast("double"), F.col("n").cast("decimal(38,0)")
     all_pairs = (big * (big - 1) / 2).cast("decimal(38,0)")
     score = (all_pairs - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - 2 * F.col("discordant")).cast("double")

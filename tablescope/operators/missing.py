@@ -13,7 +13,7 @@ from tablescope.operators.quality import null_counts, ratio
 from tablescope.operators.typing import missing_in_row
 from tablescope.plans.materialize import settled
 from tablescope.plans.small import small_table
-from tablescope.plans.wide import quoted
+from tablescope.plans.wide import MASK_BITS, null_masks, quoted
 
 TOP_PATTERNS, TOP_PAIRS = 20, 30
 
@@ -63,10 +63,10 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None, base:
 
 def pattern_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``pattern`` (indexes of the missing columns of a row) and how many rows have it, complete rows included."""
-    pattern = F.array_compact(
-        F.array(*[F.when(F.col(quoted(c)).isNull(), F.lit(i)) for i, c in enumerate(columns)])
-    )
-    return df.select(pattern.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("count"))
+    masks = {f"_m{i}": m for i, m in enumerate(null_masks(columns))}
+    counts = df.select(*[m.alias(k) for k, m in masks.items()]).groupBy(*masks).agg(F.count("*").alias("count"))
+    bits = [F.when(F.col(f"_m{i // MASK_BITS}").bitwiseAND(F.lit(1 << i % MASK_BITS).cast("long")) != 0, F.lit(i)) for i in range(len(columns))]
+    return counts.select((F.array_compact(F.array(*bits)) if bits else F.array().cast("array<int>")).alias("pattern"), "count")
 
 
 def _names(indexes: Column, columns: Sequence[str]) -> Column:

@@ -308,9 +308,10 @@ def time_series(
     middle = list(statistics.QUANTILES).index("q50")
     known = {"base": facts.moments(), "middles": {c: found[c][1][middle] for c in numbers if c in found}} if whole else {}
     counts = {c: facts.found["n", c] for c in numbers} if whole else None
+    blocks = series.timed_blocks(df, axis, numbers, tie)
     out |= {
         "frequency": frequency, "series_summary": series.series_summary(df, axis, numbers, **known),
-        "trend": series.linear_trend(df, axis, numbers, tie), "anomalies": series.anomalies(df, axis, numbers, tie, counts=counts),
+        "trend": series.linear_trend(df, axis, numbers, tie, blocks=blocks), "anomalies": series.anomalies(df, axis, numbers, tie, counts=counts, blocks=blocks),
     }
     if detected == "irregular":
         out["series"] = series.irregular_series(df, axis, numbers, tie)

@@ -10,13 +10,15 @@ from pyspark.sql import types as T
 
 from tablescope.functions.clean import finite, from_micros, micros
 from tablescope.functions.rolling import block_scores
+from tablescope.functions.trend import block_fits
 from tablescope.operators.calendar import SECOND, gap_summary, gap_table, when_of
 from tablescope.operators.statistics import number
 from tablescope.plans.materialize import settled
-from tablescope.plans.ordered import BLOCK, SEQ, ordered_blocks, with_position
+from tablescope.plans.ordered import BLOCK, SEQ, counted, ordered_blocks, with_weights_below
 from tablescope.plans.selection import column_quantiles, weighted_quantiles
 from tablescope.plans.small import small_table
 from tablescope.plans.wide import per_value, quoted, unpivot
+from tablescope.plans.workers import importable
 
 MIN_OBSERVATIONS = 3
 WINDOW, THRESHOLD = 7, 3.5
@@ -50,11 +52,13 @@ _STEPS = {"minute": 60, "hourly": 3600, "daily": 86400}
 
 def bucket(ts: Column, frequency: str) -> Column:
     """Label of the bucket: start of the minute, hour or day; Sunday ending the week; last day of month or year."""
-    if frequency in _STEPS:
+    if frequency in _STEPS and frequency != "daily":
         step = _STEPS[frequency] * SECOND
         return from_micros(F.floor(micros(ts) / step) * step)
     day = F.to_date(ts)
-    if frequency == "weekly":
+    if frequency == "daily":
+        end = day
+    elif frequency == "weekly":
         end = F.date_add(day, 6 - F.weekday(day))
     elif frequency == "monthly":
         end = F.last_day(day)
@@ -67,14 +71,16 @@ def bucket(ts: Column, frequency: str) -> Column:
 
 def calendar_of(df: DataFrame, time_col: str, frequency: str) -> DataFrame:
     """Every bucket from the first to the last, generated on the executors from a range of numbers."""
-    ts = bucket(when_of(time_col), frequency)
+    ts = when_of(time_col)
+    # Buckets keep the order of times.
+    ends = df.agg(F.min(ts).alias("low"), F.max(ts).alias("high")).select(*[bucket(F.col(c), frequency).alias(c) for c in ("low", "high")])
     if frequency in _STEPS or frequency == "weekly":
         step = _STEPS.get(frequency, 7 * 86400) * SECOND
-        first, last = df.agg(micros(F.min(ts)), micros(F.max(ts))).first()
+        first, last = ends.select(micros(F.col("low")), micros(F.col("high"))).first()
         steps = 0 if first is None else (last - first) // step + 1
         return df.sparkSession.range(steps).select(from_micros(F.lit(first or 0) + F.col("id") * step).alias("bucket"))
     months = 1 if frequency == "monthly" else 12
-    low, high = df.agg(F.date_format(F.min(ts), "yyyy-MM-dd"), F.date_format(F.max(ts), "yyyy-MM-dd")).first()
+    low, high = ends.select(F.date_format("low", "yyyy-MM-dd"), F.date_format("high", "yyyy-MM-dd")).first()
     if low is None:
         steps = 0
     else:
@@ -91,25 +97,23 @@ def resample(df: DataFrame, time_col: str, columns: Sequence[str], frequency: st
     Medians are exact and come from ranked (bucket, value) counts, so one crowded bucket is spread
     over many tasks.
     """
-    cells = unpivot(
-        df.select(bucket(when_of(time_col), frequency).alias("bucket"), *[number(c).alias(f"v{i}") for i, c in enumerate(columns)]).filter(
-            F.col("bucket").isNotNull()
-        ),
-        {c: F.col(f"v{i}") for i, c in enumerate(columns)},
-        ["bucket"],
-    ).filter(F.col("value").isNotNull())
-    keys = ["column_name", "bucket"]
+    cells = df.select(
+        bucket(when_of(time_col), frequency).alias("bucket"), *[number(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    ).filter(F.col("bucket").isNotNull())
+    # Columns go by their numbers until the end, and buckets come first: rows are then told apart by a number alone, for the most part.
+    cells = cells.select("bucket", F.posexplode(F.array(*[F.col(f"v{i}") for i in range(len(columns))])).alias("c", "value")).filter("value IS NOT NULL")
+    keys = ["bucket", "c"]
     plain = cells.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("count")
     )
-    counted = cells.groupBy(*keys, "value").agg(F.count("*").alias("weight"))
-    medians = weighted_quantiles(counted, [0.5], keys).select(*keys, F.col("quantiles")[0].alias("median"))
+    weights = cells.groupBy(*keys, "value").agg(F.count("*").alias("weight"))
+    medians = weighted_quantiles(weights, [0.5], keys).select(*keys, F.col("quantiles")[0].alias("median"))
     names = F.array(*[F.lit(c) for c in columns])
-    slots = calendar_of(df, time_col, frequency).select(F.explode(names).alias("column_name"), "bucket")
+    slots = calendar_of(df, time_col, frequency).select(F.posexplode(names).alias("c", "column_name"), "bucket")
     return (
         slots.join(plain, keys, "left")
         .join(medians, keys, "left")
-        .select(*keys, "mean", "median", "min", "max", F.coalesce("count", F.lit(0)).alias("count"))
+        .select("column_name", "bucket", "mean", "median", "min", "max", F.coalesce("count", F.lit(0)).alias("count"))
     )
 
 
@@ -168,25 +172,94 @@ def series_summary(
     )
 
 
+def timed_blocks(df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Rows with a valid time put in order once, over range blocks: ``datetime, _tie0, ..., _v0, ...`` with block and place."""
+    values = [f"_v{i}" for i in range(len(columns))]
+    renamed = {t: f"_tie{i}" for i, t in enumerate(tie)}
+    narrow = df.select(
+        when_of(time_col).alias("datetime"), *[F.col(quoted(t)).alias(r) for t, r in renamed.items()],
+        *[number(c).alias(v) for c, v in zip(columns, values, strict=True)],
+    ).filter(F.col("datetime").isNotNull())
+    return ordered_blocks(narrow, ["datetime", *renamed.values(), *values])
+
+
+_FIT = {
+    "n": "long", "mean_x": "double", "mean_y": "double", "sxx": "double", "sxy": "double", "syy": "double", "low": "double", "high": "double",
+    "first_value": "double", "last_value": "double",
+}
+
+
+def _fit_parts(blocks: DataFrame, columns: int, ties: int) -> DataFrame:
+    """``c, _block, n`` and the other sums of each block and column (``side`` 1), and rows whose time and ties go on in a neighbouring block, perhaps.
+
+    Rows of one time and equal ties take their places by value, column by column. Where such rows lie inside one block that is
+    settled there; the first (``side`` 0) and the last (``side`` 2) ones of a block are handed on as they are.
+    """
+    importable(blocks.sparkSession)
+    values = [f"_v{i}" for i in range(columns)]
+    keys = ["datetime", *[f"_tie{i}" for i in range(ties)]]
+    kept = [*keys, *values]
+    kinds = {f.name: f.dataType for f in blocks.schema.fields}
+    schema = T.StructType([T.StructField(BLOCK, T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("c", T.IntegerType()), *[T.StructField(k, kinds[k]) for k in kept]])
+    for name, kind in _FIT.items():
+        schema = schema.add(name, kind)
+    return blocks.select(BLOCK, *kept).mapInArrow(block_fits(BLOCK, keys, values, list(_FIT)), schema)
+
+
+def _fitted(blocks: DataFrame, columns: Sequence[str], ties: int) -> DataFrame:
+    """``column_name`` and what the line over places in time order is made of: ``count``, fit, average, extremes, first and last value."""
+    values = [f"_v{i}" for i in range(len(columns))]
+    renamed = [f"_tie{i}" for i in range(ties)]
+    parts = settled(_fit_parts(blocks, len(columns), ties))
+    numbers = {i: F.col(v) for i, v in enumerate(values)}
+    entries = F.array(*[F.struct(F.lit(i).alias("c"), finite(v).alias("value")) for i, v in numbers.items()])
+    loose, few = counted(parts.filter("side <> 1").select(BLOCK, "side", "datetime", *renamed, F.inline(entries)).filter("value IS NOT NULL"))
+    loose = with_weights_below(loose.withColumn("_one", F.lit(1).cast("long")), ["datetime", *renamed, "value"], {"_one": "_q"}, ["c"], few=few)
+    number_of = loose.groupBy("c", BLOCK).agg(F.count_if(F.col("side") == 0).alias("_s0"), F.count_if(F.col("side") == 2).alias("_s2"))
+    # One row per block and column.
+    before = Window.partitionBy("c").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.filter("side = 1").select("c", BLOCK, *_FIT).join(number_of, ["c", BLOCK], "left").fillna(0, ["_s0", "_s2"])
+    sums = sums.withColumns({
+        "_kept": F.coalesce(F.sum("n").over(before), F.lit(0)), "_base": F.coalesce(F.sum(F.col("n") + F.col("_s0") + F.col("_s2")).over(before), F.lit(0)) + F.col("_s0")})
+    sums = settled(sums)
+    inside = sums.filter("n > 0").select(
+        "c", "n", (F.col("_base") + F.col("mean_x")).alias("mean_x"), "mean_y", "sxx", "sxy", "syy", "low", "high", F.col("_base").alias("x_first"), "first_value",
+        (F.col("_base") + F.col("n") - 1).alias("x_last"), "last_value")
+    spots = sums.select(F.col("c").alias("_c"), F.col(BLOCK).alias("_b"), F.col("_kept").alias("_kept_0"), (F.col("_kept") + F.col("n")).alias("_kept_2"))
+    met = loose.join(spots, (F.col("c") == F.col("_c")) & (F.col(BLOCK) == F.col("_b")))
+    place = F.col("_q") + F.when(F.col("side") == 0, F.col("_kept_0")).otherwise(F.col("_kept_2"))
+    x, y, n = F.col("x"), F.col("value"), F.count("*")
+    # Moments that are centred twice keep their digits where places are large.
+    beside = met.withColumn("_place", place).withColumn("x", F.col("_place").cast("double")).groupBy("c").agg(
+        n.alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), (F.var_pop(x) * n).alias("sxx"), (F.covar_pop(x, y) * n).alias("sxy"),
+        (F.var_pop(y) * n).alias("syy"), F.min(y).alias("low"), F.max(y).alias("high"), F.min("_place").alias("x_first"), F.min_by(y, x).alias("first_value"),
+        F.max("_place").alias("x_last"), F.max_by(y, x).alias("last_value"))
+    whole = Window.partitionBy("c")
+    both = inside.unionByName(beside)
+    total = F.sum("n").over(whole)
+    both = both.withColumns({k: F.sum(F.col("n") * F.col(m)).over(whole) / total for k, m in (("_mx", "mean_x"), ("_my", "mean_y"))})
+    dx, dy, w = F.col("mean_x") - F.col("_mx"), F.col("mean_y") - F.col("_my"), F.col("n")
+    summed = both.groupBy("c").agg(
+        F.sum("n").alias("count"), F.max("_mx").alias("_mx"), F.max("_my").alias("average"), F.sum(F.col("sxx") + w * dx * dx).alias("_sxx"),
+        F.sum(F.col("sxy") + w * dx * dy).alias("_sxy"), F.sum(F.col("syy") + w * dy * dy).alias("_syy"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min_by("first_value", "x_first").alias("first_value"), F.max_by("last_value", "x_last").alias("last_value"))
+    slope = F.try_divide("_sxy", "_sxx")
+    return summed.select(
+        F.get(F.array(*[F.lit(c) for c in columns]), F.col("c")).alias("column_name"), "count", slope.alias("fit_slope"), (F.col("average") - slope * F.col("_mx")).alias("fit_intercept"),
+        F.when(F.col("_syy") == 0, 1.0).otherwise(F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx") * F.col("_syy"))).alias("fit_r2"),
+        "average", "low", "high", "first_value", "last_value")
+
+
 def linear_trend(
-    df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), min_observations: int = MIN_OBSERVATIONS
+    df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), min_observations: int = MIN_OBSERVATIONS, blocks: DataFrame | None = None
 ) -> DataFrame:
-    """Least-squares line of the finite values over their place 0..n-1 in time order."""
-    renamed = {t: f"_tie{i}" for i, t in enumerate(tie)}
-    wide = df.select(
-        micros(when_of(time_col)).alias("_us"), *[F.col(quoted(t)).alias(r) for t, r in renamed.items()],
-        *[number(c).alias(c) for c in columns],
-    ).filter(F.col("_us").isNotNull())
-    cells = unpivot(wide, {c: finite(F.col(quoted(c))) for c in columns}, ["_us", *renamed.values()]).filter(
-        F.col("value").isNotNull()
-    )
-    placed = with_position(cells, ["_us", *renamed.values(), "value"], ["column_name"], name="x")
-    y, x = F.col("value"), F.col("x").cast("double")
-    fitted = placed.groupBy("column_name").agg(
-        F.count("*").alias("count"), F.regr_slope(y, x).alias("fit_slope"), F.regr_intercept(y, x).alias("fit_intercept"),
-        F.regr_r2(y, x).alias("fit_r2"), F.avg(y).alias("average"), F.min(y).alias("low"), F.max(y).alias("high"),
-        F.min_by(y, x).alias("first_value"), F.max_by(y, x).alias("last_value"),
-    )
+    """Least-squares line of the finite values over their place 0..n-1 in time order.
+
+    All columns are put in order together; ``blocks`` are their ``timed_blocks`` where these are at hand.
+    """
+    blocks = timed_blocks(df, time_col, columns, tie) if blocks is None and columns else blocks
+    fitted = _fitted(blocks, columns, len(tie)) if columns else small_table(df.sparkSession, [],
+        "column_name string, count long, fit_slope double, fit_intercept double, fit_r2 double, average double, low double, high double, first_value double, last_value double")
     first, change = F.col("first_value"), F.col("last_value") - F.col("first_value")
     near = 1e-8 + 1e-5 * F.abs(first)
     flat = (F.abs(F.col("low") - first) <= near) & (F.abs(F.col("high") - first) <= near)
@@ -211,20 +284,19 @@ def linear_trend(
     )
 
 
-def rolling_scores(df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), window: int = WINDOW) -> DataFrame:
+def rolling_scores(
+    df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (), window: int = WINDOW, blocks: DataFrame | None = None
+) -> DataFrame:
     """Robust z-score of every value against its centred rolling median.
 
-    Rows are put in order once, over range blocks. Every block is then read where it lies: only the ``window`` - 1 rows on
-    either side of a border are brought to the neighbours, so no row travels twice and no task sees the whole series.
+    Rows are put in order once, over range blocks (``blocks`` are the ``timed_blocks`` where these are at hand). Every block is then
+    read where it lies: only the ``window`` - 1 rows on either side of a border are brought to the neighbours, so no row travels
+    twice and no task sees the whole series.
     """
     spark = df.sparkSession
     values = [f"_v{i}" for i in range(len(columns))]
     renamed = {t: f"_tie{i}" for i, t in enumerate(tie)}
-    narrow = df.select(
-        when_of(time_col).alias("datetime"), *[F.col(quoted(t)).alias(r) for t, r in renamed.items()],
-        *[number(c).alias(v) for c, v in zip(columns, values, strict=True)],
-    ).filter(F.col("datetime").isNotNull())
-    blocks = ordered_blocks(narrow, ["datetime", *renamed.values(), *values])
+    blocks = timed_blocks(df, time_col, columns, tie) if blocks is None else blocks
     halo = max(1, 2 * (window // 2))
     borders = _borders(blocks, values, halo)
     if borders.count() * 2 * halo * len(columns) * 8 <= BORDER_BYTES:
@@ -234,7 +306,7 @@ def rolling_scores(df: DataFrame, time_col: str, columns: Sequence[str], tie: Se
         joined = blocks.join(borders, F.col(BLOCK) == F.col("_home")).sortWithinPartitions(BLOCK, SEQ)
     joined = joined.drop("_home", SEQ)
     kept = ["datetime", *renamed.values()]
-    kinds = {f.name: f.dataType for f in narrow.schema.fields}
+    kinds = {f.name: f.dataType for f in blocks.schema.fields}
     schema = T.StructType([T.StructField("position", T.LongType()), *[T.StructField(k, kinds[k]) for k in kept]])
     for v in values:
         for part in ("", "_m", "_s"):
@@ -278,10 +350,12 @@ def _borders(blocks: DataFrame, values: Sequence[str], halo: int) -> DataFrame:
 
 def anomalies(
     df: DataFrame, time_col: str, columns: Sequence[str], tie: Sequence[str] = (),
-    window: int = WINDOW, threshold: float = THRESHOLD, counts: Mapping[str, int] | None = None,
+    window: int = WINDOW, threshold: float = THRESHOLD, counts: Mapping[str, int] | None = None, blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Values whose score exceeds ``threshold``; columns with fewer than ``window`` values have none.
 
+    ``blocks`` are the ``timed_blocks`` of all ``columns`` where these are at hand.
+
     ``counts`` of the values with a valid time are taken unless they are at hand. Where no column has enough values nothing is put in order.
     """
     if counts is None:
@@ -292,4 +366,5 @@ def anomalies(
         fields = [F.lit(None).cast("long").alias("position"), when_of(time_col).alias("datetime"), *[F.col(quoted(t)) for t in tie]]
         empty = [F.lit(None).cast(k).alias(n) for n, k in (("column_name", "string"), ("value", "double"), ("rolling_median", "double"), ("robust_z_score", "double"))]
         return df.limit(0).select(*fields, *empty)
-    return rolling_scores(df, time_col, usable, tie, window).filter(F.abs("robust_z_score") > threshold)
+    shared = blocks if usable == list(columns) else None
+    return rolling_scores(df, time_col, usable, tie, window, shared).filter(F.abs("robust_z_score") > threshold)

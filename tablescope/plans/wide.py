@@ -101,8 +101,20 @@ def row_hash(df: DataFrame) -> list[Column]:
         F.to_json(F.struct(quoted(f.name))) if isinstance(f.dataType, NESTED) else F.col(quoted(f.name))
         for f in df.schema.fields
     ]
-    mask = F.concat(*[F.when(F.col(quoted(c)).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in df.columns])
-    return [F.xxhash64(mask, *columns), F.xxhash64(F.lit(0x5DEECE66D), mask, *columns)]
+    mask = null_masks(df.columns)
+    return [F.xxhash64(*mask, *columns), F.xxhash64(F.lit(0x5DEECE66D), *mask, *columns)]
+
+
+MASK_BITS = 60
+
+
+def null_masks(columns: Sequence[str]) -> list[Column]:
+    """Which of the columns are null in a row, as the bits of a whole number for every ``MASK_BITS`` of them."""
+    masks = []
+    for start in range(0, len(columns), MASK_BITS):
+        bits = [F.when(F.col(quoted(c)).isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(columns[start : start + MASK_BITS])]
+        masks.append(reduce(Column.bitwiseOR, bits))
+    return masks
 
 
 def quoted(name: str) -> str:
@@ -124,20 +136,10 @@ def distinct_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, measures: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row: ``row_count, duplicate_rows`` (later copies of a row, nulls equal) and summed measures.
-
-    ``measures`` are whole numbers computed from one row; copies share them, so each is taken once per
-    distinct row and multiplied by the number of copies.
-    """
+    """One row: ``row_count, duplicate_rows`` (later copies of a row, nulls equal) and ``measures``, whole numbers computed from one row, summed over all rows."""
     measures = measures or {}
     h1, h2 = row_hash(df)
-    return (
-        df.select(h1.alias("h1"), h2.alias("h2"), *[m.cast("long").alias(k) for k, m in measures.items()])
-        .groupBy("h1", "h2")
-        .agg(F.count("*").alias("copies"), *[F.any_value(k).alias(k) for k in measures])
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
-            *[F.coalesce(F.sum(F.col("copies") * F.col(k)), F.lit(0)).alias(k) for k in measures],
-        )
-    )
+    # Hashes alone are shuffled: what rows add up to needs no copies told apart.
+    sums = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.coalesce(F.sum(m.cast("long")), F.lit(0)).alias(k) for k, m in measures.items()])
+    kinds = df.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.lit(1).alias("one")).agg(F.count("*").alias("_kinds"))
+    return sums.crossJoin(F.broadcast(kinds)).select("row_count", (F.col("row_count") - F.col("_kinds")).alias("duplicate_rows"), *measures)

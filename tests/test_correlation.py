@@ -78,6 +78,31 @@ def test_kendall_moves_each_cell_a_few_times(spark):
     df.unpersist()
 
 
+def test_kendall_moves_a_row_once_a_column(spark):
+    rng = np.random.default_rng(5)
+    n = 10_000
+    data = rng.random((5, n))
+    data[4] = rng.integers(0, 7, n)  # nothing to compare in blocks of one value
+    df = frame(spark, data).repartition(4).cache()
+    df.count()
+    rows, moved = shuffled_rows(spark, lambda: correlation.kendall(df, [f"x{i}" for i in range(5)]).collect())
+    assert len(rows) == 10 and all(r.sample_size == n for r in rows)
+    assert moved < 9 * n  # four rows and the grid; a cell for every pair, and two of them for blocks, would be over 20
+    df.unpersist()
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=120), st.sampled_from([(1, 8), (2, 3), (4, 1024)]))
+@settings(max_examples=100, deadline=None)
+def test_wrong_order_in_tiles(rows, tiles):
+    u, v = np.array(rows, dtype=np.int64).T
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(correlation, "TILE", tiles[0])
+        patch.setattr(correlation, "TILES", tiles[1])
+        got = correlation.wrong_order(u, v)
+    pairs = list(combinations(rows, 2))
+    assert got == (sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for a, b in pairs), sum(a == b for a, b in pairs))
+
+
 @pytest.mark.parametrize("masks", [0, 1, 3])
 def test_spearman_with_any_missing_values(spark, masks):
     rng = np.random.default_rng(masks)

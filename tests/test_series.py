@@ -121,3 +121,32 @@ def test_no_times(spark):
     assert series.detect_frequency(df, "ts").first().reason == "no_positive_time_intervals"
     assert calendar.hourly_distribution(df, "ts").count() == 0
     assert series.resample(df, "ts", ["v"], "daily").count() == 0
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+@pytest.mark.parametrize("ties", [0, 1])
+def test_trend_where_times_repeat_across_blocks(spark, ties, batch):
+    """Rows of one time take their places by value, column by column, wherever blocks end."""
+    rng = np.random.default_rng(ties)
+    n = 900
+    day = np.where(rng.random(n) < 0.4, 5, rng.integers(0, 12, n))  # one day has a third of all rows
+    tie = np.where(rng.random(n) < 0.1, -1, rng.integers(0, 4, n))
+    data = {"a": rng.normal(size=n) + 1e6 * day, "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.3, np.nan, rng.random(n)), "d": np.full(n, np.nan)}
+    data["b"][rng.random(n) < 0.1] = np.inf
+    rows = [(int(d), None if t < 0 else int(t), *[None if np.isnan(v[i]) else float(v[i]) for v in data.values()]) for i, (d, t) in enumerate(zip(day, tie))]
+    df = spark.createDataFrame(rows, "day int, tie int, a double, b double, c double, d double").withColumn(
+        "ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(day)")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.column_name: r for r in series.linear_trend(df, "ts", list(data), ["tie"] * ties).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (got["d"]["count"], got["d"].status) == (0, "skipped")
+    for c in "abc":
+        ok = np.isfinite(data[c])
+        y = data[c][ok][np.lexsort((data[c][ok], tie[ok] if ties else np.zeros(ok.sum()), day[ok]))]
+        slope, intercept = np.polyfit(np.arange(len(y)), y, 1)
+        r = got[c]
+        assert (r["count"], r.first_value, r.last_value) == (len(y), y[0], y[-1])
+        assert r.slope == pytest.approx(slope, rel=1e-9) and r.intercept == pytest.approx(intercept, rel=1e-9)
+        assert r.r_squared == pytest.approx(np.corrcoef(np.arange(len(y)), y)[0, 1] ** 2, rel=1e-9)

@@ -34,7 +34,7 @@ PAIR_MEASURES = {
 # task's work for a pair of columns, a wider one is cut again, every GRID_STEP blocks. Inside a block, at most TILES stretches of
 # TILE places or more are compared place by place.
 BLOCK_SHARE, MAX_BLOCKS, GRID_WHOLE, GRID_STEP = 8, 50_000, 500, 16
-TILE, TILES = 96, 1024
+TILE, TILES = 96, 512
 
 
 def column_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:

@@ -73,7 +73,7 @@ def row_payload(
     milliseconds. With ``limit`` the rows are a representative sample.
     """
     source = df.count()
-    sampled = sampling.representative_sample(df, limit, order_by, time_col, strata) if limit else df
+    sampled = sampling.representative_sample(df, limit, order_by, time_col, strata, repeats=True) if limit else df
     truncated = bool(limit and source > limit)
     if truncated:
         sampled = materialize(sampled)

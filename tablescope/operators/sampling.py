@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from tablescope.functions.clean import epoch_ms, is_temporal
 from tablescope.operators.categorical import MISSING_LABEL, label, value_counts
 from tablescope.plans.materialize import materialize, settled
-from tablescope.plans.ordered import first_n, with_position
+from tablescope.plans.ordered import FEW_ROWS, first_n, with_position, with_weights_below
 from tablescope.plans.small import small_table
-from tablescope.plans.wide import quoted
+from tablescope.plans.wide import quoted, row_hash
 
 SEED = 42
 MAX_FIELDS = 4
@@ -83,12 +83,13 @@ def time_number(df: DataFrame, time_col: str) -> Column:
 
 
 def representative_sample(
-    df: DataFrame, limit: int, key: Sequence[str], time_col: str | None = None, strata: Sequence[str] = (), seed: int = SEED
+    df: DataFrame, limit: int, key: Sequence[str], time_col: str | None = None, strata: Sequence[str] = (), seed: int = SEED, repeats: bool = False
 ) -> DataFrame:
     """Proportional strata, and inside each stratum one row from every equal stretch of time.
 
     Up to ``limit`` rows everything is returned; without a time column the sample is uniform. Rows
-    without a valid time are left out. ``key`` identifies a row.
+    without a valid time are left out. ``key`` identifies a row. Where it may not (``repeats``), it orders rows of one time: of
+    rows that share stratum, time and key as many are taken as were chosen, those with the smallest hashes of the whole row.
     """
     if time_col is None:
         return uniform_sample(df, limit, key, seed)
@@ -96,30 +97,49 @@ def representative_sample(
         return df
     names = [F.coalesce(label(s), F.lit(MISSING_LABEL)) for s in strata]
     stratum = F.concat_ws("\u0001", *names) if names else F.lit("")
-    timed = df.withColumn("_t", time_number(df, time_col)).withColumn(_STRATUM, stratum).filter(
-        F.col("_t").isNotNull() & ~F.isnan("_t")
-    )
+    # Times keep their type here: only their order counts.
+    temporal = is_temporal(df.schema[time_col].dataType)
+    t = F.col(quoted(time_col)).cast("timestamp_ntz") if temporal else time_number(df, time_col)
+    timed = df.withColumn("_t", t).withColumn(_STRATUM, stratum).filter(F.col("_t").isNotNull() if temporal else F.col("_t").isNotNull() & ~F.isnan("_t"))
     sizes = materialize(timed.groupBy(_STRATUM).agg(F.count("*").alias("_size")))
-    shares = allocate_shares(sizes, min(limit, sizes.agg(F.sum("_size")).first()[0] or 0), "_size", [_STRATUM])
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    shares = allocate_shares(sizes, min(limit, total), "_size", [_STRATUM])
     # Only the key travels through the sort; whole rows are fetched for the chosen keys.
     keys = [f"_k{i}" for i in range(len(key))]
     narrow = timed.select(_STRATUM, "_t", *[F.col(quoted(k)).alias(a) for k, a in zip(key, keys, strict=True)])
     placed = with_position(narrow, ["_t", *keys], [_STRATUM], name="_rn", total="_size")
-    segment = F.expr("CAST(_rn AS DECIMAL(18,0)) * CAST(share AS DECIMAL(18,0)) div _size")
+    # Whole numbers do where no product outgrows them.
+    wide = total * limit >= 1 << 62
+    segment = F.expr("CAST(_rn AS DECIMAL(18,0)) * CAST(share AS DECIMAL(18,0)) div _size" if wide else "_rn * share div _size")
     shares = settled(shares.select(F.col(_STRATUM).alias("_s"), "share").filter(F.col("share") > 0))
+    spot = keys if not repeats else ["_t", *keys]
     picked = (
         placed.join(shares, F.col(_STRATUM) == F.col("_s"))
         .withColumn("_segment", segment)
         .groupBy(_STRATUM, "_segment")
-        .agg(F.min_by(F.struct(*keys), F.struct(F.xxhash64(F.lit(seed), *keys), *keys)).alias("_pick"))
-        .select("_pick.*")
+        .agg(F.min_by(F.struct(*spot), F.struct(F.xxhash64(F.lit(seed), *keys), *spot)).alias("_pick"))
     )
+    if repeats:
+        known = [F.col(_STRATUM).alias("_s"), F.col("_pick._t").alias("_time"), *[F.col(f"_pick.{a}").alias(f"_p{a}") for a in keys]]
+        picked = settled(picked.groupBy(*known).agg(F.count("*").alias("_wanted")))
+    else:
+        picked = picked.select(*[F.col(f"_pick.{a}").alias(f"_p{a}") for a in keys])
     condition = F.lit(True)
     for k, a in zip(key, keys, strict=True):
-        condition = condition & F.col(quoted(k)).eqNullSafe(F.col(a))
+        condition = condition & F.col(quoted(k)).eqNullSafe(F.col(f"_p{a}"))
     # At most `limit` keys; wide keys and large limits leave the join to adaptive execution.
     narrow_key = all(_fixed_width(df.schema[k].dataType) for k in key)
-    return df.join(F.broadcast(picked) if limit <= BROADCAST_KEYS and narrow_key else picked, condition, "left_semi")
+    chosen = picked.select(*[f"_p{a}" for a in keys])
+    chosen = F.broadcast(chosen) if limit <= BROADCAST_KEYS and narrow_key else chosen
+    if not repeats:
+        return df.join(chosen, condition, "left_semi")
+    met = timed.join(chosen, condition, "left_semi")
+    met = met.join(picked, condition & (F.col(_STRATUM) == F.col("_s")) & (F.col("_t") == F.col("_time")))
+    met = met.withColumn("_row", F.struct(*row_hash(df)))
+    alike = ["_s", "_time", *[f"_p{a}" for a in keys]]
+    met = materialize(met.withColumn("_one", F.lit(1).cast("long")))
+    ranked = with_weights_below(met, ["_row"], {"_one": "_before"}, alike, few=met.count() <= FEW_ROWS)
+    return ranked.filter(F.col("_before") < F.col("_wanted")).select(*[quoted(c) for c in df.columns])
 
 
 def evenly_spaced(df: DataFrame, limit: int, time_col: str, key: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -169,9 +189,11 @@ def identifier_combinations(
 
 def time_filter(df: DataFrame, time_col: str) -> DataFrame:
     """First and last point of the time axis as a number (milliseconds for datetimes)."""
-    t = time_number(df, time_col)
     kind = "datetime" if is_temporal(df.schema[time_col].dataType) else "time_index"
-    return df.agg(F.min(t).alias("min"), F.max(t).alias("max")).select(
+    # Numbers keep the order of times.
+    t = F.col(quoted(time_col)).cast("timestamp_ntz") if kind == "datetime" else time_number(df, time_col)
+    ends = df.agg(F.min(t).alias("low"), F.max(t).alias("high"))
+    return ends.select(*[time_number(ends, c).alias(n) for c, n in (("low", "min"), ("high", "max"))]).select(
         F.col("min").isNotNull().alias("available"), F.lit(kind).alias("time_type"), F.lit(time_col).alias("time_column"),
         "min", "max",
     )

@@ -160,3 +160,17 @@ def test_axis_without_its_tail(spark):
     assert got["x"].clipped and got["x"].low == pytest.approx(5 - 0.06 * 990) and got["x"].high == pytest.approx(995 + 0.06 * 990)
     assert not got["y"].clipped and (got["y"].low, got["y"].high) == (0.0, 1000.0)
     assert explore.axis_range(df.filter("x IS NULL"), ["x"]).count() == 0
+
+
+def test_sample_has_its_size_where_keys_repeat(spark):
+    """Rows that share time, stratum and key are taken as often as they are chosen, not all at once."""
+    rows = [(i % 7, "x" if i % 3 else "y", None if i % 5 == 0 else i // 40, i % 4) for i in range(6000)]
+    df = spark.createDataFrame(rows, "day int, g string, k int, v int").withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(day)"))
+    a = sampling.representative_sample(df.repartition(3), 500, ["k"], "ts", ["g"], repeats=True).collect()
+    b = sampling.representative_sample(df.repartition(7), 500, ["k"], "ts", ["g"], repeats=True).collect()
+    assert len(a) == 500 and sorted(map(str, a)) == sorted(map(str, b))
+    assert sum(r.g == "y" for r in a) in (166, 167)
+    whole = {}
+    for r in df.collect():
+        whole[str(r)] = whole.get(str(r), 0) + 1
+    assert all(sum(str(x) == str(r) for x in a) <= whole[str(r)] for r in a)
